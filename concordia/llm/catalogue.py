@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, linededup, mixing, quality
+from . import bpe, chat, linededup, mixing, quality, tokencount
 
 _QUERIES = {
     "op1_mixing": (mixing.op1_mixing, mixing.OP1_SQL),
     "op2_chat": (chat.op2_chat, chat.OP2_SQL),
     "op3_line_dedup": (linededup.op3_line_dedup, linededup.OP3_SQL),
+    "op4_bpe": (bpe.op4_bpe, None),
+    "op7_token_counts": (tokencount.op7_token_counts, None),
     "op9_quality": (quality.op9_quality, quality.OP9_SQL),
 }
 
