@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, linededup, mixing, quality, tokencount
+from . import bpe, chat, jaccard, linededup, mixing, quality, tokencount
 
 _QUERIES = {
     "op1_mixing": (mixing.op1_mixing, mixing.OP1_SQL),
@@ -10,6 +10,7 @@ _QUERIES = {
     "op3_line_dedup": (linededup.op3_line_dedup, linededup.OP3_SQL),
     "op4_bpe": (bpe.op4_bpe, None),
     "op7_token_counts": (tokencount.op7_token_counts, None),
+    "op8_jaccard": (jaccard.op8_jaccard, None),
     "op9_quality": (quality.op9_quality, quality.OP9_SQL),
 }
 
