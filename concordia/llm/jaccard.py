@@ -7,9 +7,10 @@
    A shingle's nodes are its posting list. A node whose own shingles fill its prefix has no partner.
 4. A node's shared shingles are hashed into groups; the counts by group are its point. The sum of coordinate minima
    bounds the overlap of two points, and that of a point with the upper corner of a box bounds its overlap with all points in it.
-5. Each list's first node is bounded and verified against the list's others. Where a list then still holds several
-   components, the nodes outside its largest one search an R-tree over the list's points for partners in other components;
-   pairs that survive the bound are verified on their shingles. Pairs inside a component need no look, and large lists are cut into cells.
+5. Each list's first node, and then a few of its largest component, are bounded and verified against the others. Where a list
+   still holds several components, the nodes outside its largest one search an R-tree over the list's points for
+   partners in other components; pairs that survive the bound are verified on their shingles. Pairs inside a component need no look,
+   and large lists are cut into cells.
 6. Components of all verified links, by alternating stars.
 """
 
@@ -19,6 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import gather
 from .common import Scratch, power_of_two, table
 
 GROUPS = 64
@@ -327,59 +329,108 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return scratch.write(labels.select(F.col("v").alias("node"), "label").union(labels.select(F.col("label").alias("node"), "label").distinct()), name)
 
 
-def open_lists(postings: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+def open_lists(postings: DataFrame, labels: DataFrame, scratch: Scratch, name: str = "open") -> DataFrame:
     """(token, nodes, top): the posting lists with several components, one of those that hold the same nodes, and their largest component."""
     named = postings.join(labels, "node", "left").select("token", "node", F.coalesce("label", "node").alias("label"))
     own = named.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s1"), F.sum(F.xxhash64(F.lit(7), "node").cast("decimal(38,0)")).alias("s2"))
     lists = own.groupBy("token").agg(F.sum("k").alias("nodes"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("k", "label")).alias("top"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))
     lists = lists.where("parts > 1").groupBy("nodes", "s1", "s2").agg(F.min("token").alias("token"), F.min("top").alias("top"))
-    return scratch.write(lists.select("token", "nodes", F.col("top.label").alias("top"), (F.col("nodes") - F.col("top.k")).alias("probes")), "open")
-
-
-def tree_pairs(postings: DataFrame, lists: DataFrame, labels: DataFrame, found: DataFrame, percent: int, cell: int = 2048) -> DataFrame:
-    """(a, b) of different components whose points allow a link: in each list, what lies outside its largest component is looked up in
-    R-trees over the list. A long list is dealt into cells of about `cell` nodes and as many queries."""
-    at = postings.join(lists, "token").join(labels, "node", "left").join(found.select("node", "n", "point"), "node")
-    at = at.withColumn("label", F.coalesce("label", "node")).withColumns({"icuts": F.ceil(F.col("nodes") / cell).cast("int"), "pcuts": F.ceil(F.col("probes") / cell).cast("int")})
+    return scratch.write(lists.select("token", "nodes", F.col("top.label").alias("top"), (F.col("nodes") - F.col("top.k")).alias("probes")), name)
+
+
+def hub_pairs(postings: DataFrame, lists: DataFrame, labels: DataFrame, hubs: int) -> DataFrame:
+    """(a, b): each node outside a list's largest component with a few nodes of that component, by seeded hashes."""
+    named = postings.join(lists.select("token", "top"), "token").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    inside = named.where("label = top").groupBy("token").agg(F.array(*[F.min(F.struct(F.xxhash64(F.lit(i), "node").alias("h"), F.col("node").alias("x"))) for i in range(hubs)]).alias("hubs"))
+    inside = inside.select("token", F.col("hubs.x").alias("hubs"))
+    out = named.where("label <> top").select("token", "node").join(inside, "token").select("node", F.explode("hubs").alias("hub"))
+    return out.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+
+def cell_links(probe, node, n, label, point, bounds, tokens, percent):
+    """(a, b): links that join components inside one cell. Each query's partners in other components come out of the tree;
+    the best bounds are verified first, and what has become one component needs no further look."""
+    at, ask = np.flatnonzero(~probe), np.flatnonzero(probe)
+    tree = RTree(n[at], point[at])
+    names, comp = np.unique(label, return_inverse=True)
+    root = list(range(len(names)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    a, b = [], []
+    for start in range(0, len(ask), 64):
+        part = ask[start : start + 64]
+        q, x = tree.search(n[part], point[part], percent)
+        order = np.argsort(q, kind="stable")
+        q, x = q[order], at[x[order]]
+        edges = np.searchsorted(q, np.arange(len(part) + 1))
+        for i, (lo, hi) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+            me, rest, step = part[i], x[lo:hi], 4
+            own = find(comp[me])
+            rest = rest[[find(c) != own for c in comp[rest].tolist()]]
+            if not len(rest):
+                continue
+            most = np.minimum(point[rest], point[me]).sum(1)
+            rest = rest[np.argsort(-most / (n[rest] + n[me]), kind="stable")]
+            mine = tokens[bounds[me] : bounds[me + 1]]
+            while len(rest):
+                now, rest, step = rest[:step], rest[step:], step * 4
+                off, flat = gather(bounds, tokens, now)
+                place = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+                both = np.add.reduceat(mine[place] == flat, off[:-1], dtype=np.int64)
+                for j in now[(100 + percent) * both >= percent * (n[now] + n[me])].tolist():
+                    if find(comp[j]) != find(comp[me]):
+                        root[find(comp[j])] = find(comp[me])
+                        a.append(node[me])
+                        b.append(node[j])
+                own = find(comp[me])
+                rest = rest[[find(c) != own for c in comp[rest].tolist()]]
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def tree_links(postings: DataFrame, lists: DataFrame, labels: DataFrame, found: DataFrame, percent: int, cell: int = 1024) -> DataFrame:
+    """(a, b), verified: links between components that an R-tree over each open list's points finds, as many as join what they link. The
+    queries are the nodes outside the list's largest component; a long list is dealt into cells of about `cell` nodes and as many queries."""
+    at = postings.join(lists, "token").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    at = at.withColumns({"icuts": F.ceil(F.col("nodes") / cell).cast("int"), "pcuts": F.ceil(F.col("probes") / cell).cast("int")})
     mine = lambda salt, cuts: F.pmod(F.xxhash64(F.lit(salt), "node"), F.col(cuts)).cast("int")
-    row = ("node", "n", "label", "point")
-    index = at.select("token", mine(1, "icuts").alias("i"), F.explode(F.sequence(F.lit(0), F.col("pcuts") - 1)).alias("p"), F.lit(False).alias("probe"), *row)
-    probes = at.where("label <> top").select("token", F.explode(F.sequence(F.lit(0), F.col("icuts") - 1)).alias("i"), mine(2, "pcuts").alias("p"), F.lit(True).alias("probe"), *row)
+    index = at.select("token", mine(1, "icuts").alias("i"), F.explode(F.sequence(F.lit(0), F.col("pcuts") - 1)).alias("p"), F.lit(False).alias("probe"), "node", "label")
+    probes = at.where("label <> top").select("token", F.explode(F.sequence(F.lit(0), F.col("icuts") - 1)).alias("i"), mine(2, "pcuts").alias("p"), F.lit(True).alias("probe"), "node", "label")
     key = ["token", "i", "p"]
-    dealt = index.union(probes).repartition(*key).sortWithinPartitions(*key)
+    dealt = index.union(probes).join(found.select("node", "n", "point", "tokens"), "node")
+    dealt = dealt.select(*key, "probe", "node", "n", "label", "point", "tokens").repartition(*key).sortWithinPartitions(*key)
 
     def run(batches):
         import pyarrow as pa
 
         def of(parts):
-            probe, node, n, label, point = (np.concatenate(x) for x in zip(*parts, strict=True))
-            tree = RTree(n[~probe], point[~probe])
-            q, x = tree.search(n[probe], point[probe], percent)
-            a, b, la, lb = node[probe][q], node[~probe][x], label[probe][q], label[~probe][x]
-            new = la != lb
-            return np.minimum(a[new], b[new]), np.maximum(a[new], b[new])
-
-        held, last, out, waiting = [], None, [], 0
+            probe, node, n, label, point, sizes, tokens = (np.concatenate(x) for x in zip(*parts, strict=True))
+            if probe.all() or not probe.any():
+                return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names=["a", "b"])
+            a, b = cell_links(probe, node, n, label, point, np.concatenate(([0], np.cumsum(sizes))), tokens, percent)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        held, last = [], None
         for batch in batches:
             keys = np.stack([batch.column(k).to_numpy() for k in range(3)], 1)
-            points = batch.column("point")
-            points = points.flatten().to_numpy().reshape(len(batch), -1)
-            columns = (batch.column("probe").to_numpy(zero_copy_only=False), *(batch.column(c).to_numpy() for c in ("node", "n", "label")), points)
+            points = batch.column("point").flatten().to_numpy().reshape(len(batch), -1)
+            lists_ = batch.column("tokens")
+            sizes = lists_.value_lengths().to_numpy().astype(np.int64)
+            flat, starts = lists_.flatten().to_numpy(), np.concatenate(([0], np.cumsum(sizes)))
+            columns = (batch.column("probe").to_numpy(zero_copy_only=False), *(batch.column(c).to_numpy() for c in ("node", "n", "label")), points, sizes)
             edges = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(1), [True])))
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 if last is not None and tuple(keys[a]) != last:
-                    out.append(of(held))
+                    yield of(held)
                     held = []
                 last = tuple(keys[a])
-                held.append(tuple(c[a:b] for c in columns))
-            waiting = sum(len(x) for x, _ in out)
-            if waiting > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["a", "b"])
-                out = []
+                held.append((*(c[a:b] for c in columns), flat[starts[a] : starts[b]]))
         if held:
-            out.append(of(held))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["a", "b"])
+            yield of(held)
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
@@ -406,10 +457,13 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     links = scratch.write(verified(stars, found, percent), "links")
     labels = components(links, scratch, "once")
     lists = open_lists(postings, labels, scratch)
-    pairs = scratch.write(tree_pairs(postings, lists, labels, found, percent), "pairs")
-    more = scratch.write(verified(pairs, found, percent), "more")
-    labels = components(links.select("a", "b").union(more), scratch, "labels")
-    scratch.drop("found", "stars", "pairs", "firsts", "open")
+    hubs = scratch.write(hub_pairs(postings, lists, labels, 3), "hubs")
+    links = links.union(scratch.write(verified(hubs, found, percent), "hub-links"))
+    labels = components(links, scratch, "twice")
+    lists = open_lists(postings, labels, scratch, "still-open")
+    more = scratch.write(tree_links(postings, lists, labels, found, percent), "more")
+    labels = components(links.union(more), scratch, "labels")
+    scratch.drop("found", "stars", "hubs", "firsts", "open", "still-open")
     scratch.free_shuffles()
 
     nodes = scratch.write(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label")), "nodes")
