@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import Scratch, shared_dir, table
 from .tokencount import PATTERN, WHITE, byte_letters
 
 NONE = np.int32(2**31 - 1)
@@ -327,7 +327,7 @@ def _here(path: str) -> str:
 
 def frequent_words(docs: DataFrame, path: str, top: int, text_col: str = "text", most_bytes: int = 64, hold: int = 400_000) -> list[bytes]:
     """The `top` most frequent words of the vocabulary's kind. What stands between spaces is counted over every text (each task adds up
-    what it has seen before it sends); the 2 * top most frequent of it are taken apart into words."""
+    what it has seen before it sends); the most frequent of it, 2 * top at most, are taken apart into words."""
 
     def run(batches):
         import pyarrow as pa
@@ -349,8 +349,17 @@ def frequent_words(docs: DataFrame, path: str, top: int, text_col: str = "text",
 
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
     counts = docs.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = Scratch(docs.sparkSession, "words").write(counts.where("n > 1").withColumn("rank", F.floor(F.log2("n") * 16).cast("int")), "counts")
+    # the count from which on there are at most 2 * top words, from a histogram of a thousand bins at most
+    room, least = 2 * top, None
+    for rank, k in sorted(map(tuple, counts.groupBy("rank").count().collect()), reverse=True):
+        room -= k
+        if room < 0:
+            break
+        least = rank
     vocab, words = vocabulary(_here(path)), Counter()
-    for word, n in counts.orderBy(F.desc("n"), "word").limit(2 * top).collect():  # bounded by top
+    frequent = counts.where(F.col("rank") >= (2**30 if least is None else least)).select("word", "n")
+    for word, n in frequent.collect():  # bounded by top
         for w in vocab.split(" " + word):
             words[w.encode()] += n
     return [w for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0]))[:top]]
