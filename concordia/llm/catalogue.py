@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, jaccard, linededup, mixing, quality, tokencount
+from . import bpe, chat, html, jaccard, linededup, mixing, pii, quality, tokencount
 
 _QUERIES = {
     "op1_mixing": (mixing.op1_mixing, mixing.OP1_SQL),
     "op2_chat": (chat.op2_chat, chat.OP2_SQL),
     "op3_line_dedup": (linededup.op3_line_dedup, linededup.OP3_SQL),
     "op4_bpe": (bpe.op4_bpe, None),
+    "op5_html": (html.op5_html, None),
+    "op6_pii": (pii.op6_pii, None),
     "op7_token_counts": (tokencount.op7_token_counts, None),
     "op8_jaccard": (jaccard.op8_jaccard, None),
     "op9_quality": (quality.op9_quality, quality.OP9_SQL),
