@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, html, jaccard, linededup, mixing, pii, quality, tokencount
+from . import bpe, chat, html, jaccard, linededup, media, mixing, pii, quality, tokencount
 
 _QUERIES = {
     "op1_mixing": (mixing.op1_mixing, mixing.OP1_SQL),
@@ -14,6 +14,7 @@ _QUERIES = {
     "op7_token_counts": (tokencount.op7_token_counts, None),
     "op8_jaccard": (jaccard.op8_jaccard, None),
     "op9_quality": (quality.op9_quality, quality.OP9_SQL),
+    "op10_media": (media.op10_media, None),
 }
 
 

@@ -79,14 +79,17 @@ def judge(docs: DataFrame, *, text_col: str = "text", host: Column | None = None
 
     A document that breaks a base rule goes. Of a rejected host's other documents those go that break a soft rule as well: a
     clean document isn't dropped for its neighbours. Null text: no words, so base_failed. Null hosts are one host; empty tables give
-    no rows; repeated rows count each. Texts are read once: their measures are written and the rest works on those."""
+    no rows; repeated rows count each; a carried column that is named like a measure takes its place. Texts are read once: their measures are written and the rest works on those."""
     host = F.col("source") if host is None else host
     scratch = Scratch(docs.sparkSession, "quality")
-    base = docs.select(*carry, host.alias("host"), F.col(text_col).alias("_text"))
+    own = [F.col(c).alias(f"_d_{c}") for c in carry]
+    base = docs.select(*own, host.alias("host"), F.col(text_col).alias("_text"))
     measured = measure(base, "_text").drop("_text")
     measured = measured.withColumn("base_failed", F.expr(" or ".join(f"({r})" for r in BASE_RULES.values())))
     measured = measured.withColumn("soft_failed", F.expr(" or ".join(f"({r})" for r in SOFT_RULES.values())))
-    measured = scratch.write(measured.withColumn("failed", F.col("base_failed") | F.col("soft_failed")), "measured")
+    measured = measured.withColumn("failed", F.col("base_failed") | F.col("soft_failed"))
+    measured = measured.select(*(F.col(f"_d_{c}").alias(c) for c in carry), *(c for c in measured.columns if not c.startswith("_d_") and c not in carry))
+    measured = scratch.write(measured, "measured")
     verdicts = scratch.write(host_verdicts(measured, max_rate_pct), "hosts")
     out = measured.alias("d").join(verdicts.alias("h"), F.col("d.host").eqNullSafe(F.col("h.host")))
     return out.select("d.*", "h.host_ok", (~F.col("base_failed") & (F.col("host_ok") | ~F.col("soft_failed"))).alias("kept"))
