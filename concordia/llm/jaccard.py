@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .bpe import gather
 from .common import Scratch, power_of_two, table
 
-GROUPS = 64
+GROUPS = 256
 _rng = np.random.default_rng(20240607)
 _ODD = _rng.integers(1, 2**63, 8, dtype=np.uint64) | np.uint64(1)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -347,7 +347,7 @@ def hub_pairs(postings: DataFrame, lists: DataFrame, labels: DataFrame, hubs: in
     return out.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
-def cell_links(probe, node, n, label, point, bounds, tokens, percent):
+def cell_links(key, probe, node, n, label, point, bounds, tokens, percent):
     """(a, b): links that join components inside one cell. Each query's partners in other components come out of the tree;
     the best bounds are verified first, and what has become one component needs no further look."""
     at, ask = np.flatnonzero(~probe), np.flatnonzero(probe)
@@ -389,50 +389,88 @@ def cell_links(probe, node, n, label, point, bounds, tokens, percent):
                         b.append(node[j])
                 own = find(comp[me])
                 rest = rest[[find(c) != own for c in comp[rest].tolist()]]
-    return np.array(a, np.int64), np.array(b, np.int64)
+    a, b = np.array(a, np.int64), np.array(b, np.int64)
+    return {"a": np.minimum(a, b), "b": np.maximum(a, b)}
 
 
-def tree_links(postings: DataFrame, lists: DataFrame, labels: DataFrame, found: DataFrame, percent: int, cell: int = 1024) -> DataFrame:
-    """(a, b), verified: links between components that an R-tree over each open list's points finds, as many as join what they link. The
-    queries are the nodes outside the list's largest component; a long list is dealt into cells of about `cell` nodes and as many queries."""
-    at = postings.join(lists, "token").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    at = at.withColumns({"icuts": F.ceil(F.col("nodes") / cell).cast("int"), "pcuts": F.ceil(F.col("probes") / cell).cast("int")})
-    mine = lambda salt, cuts: F.pmod(F.xxhash64(F.lit(salt), "node"), F.col(cuts)).cast("int")
-    index = at.select("token", mine(1, "icuts").alias("i"), F.explode(F.sequence(F.lit(0), F.col("pcuts") - 1)).alias("p"), F.lit(False).alias("probe"), "node", "label")
-    probes = at.where("label <> top").select("token", F.explode(F.sequence(F.lit(0), F.col("icuts") - 1)).alias("i"), mine(2, "pcuts").alias("p"), F.lit(True).alias("probe"), "node", "label")
-    key = ["token", "i", "p"]
-    dealt = index.union(probes).join(found.select("node", "n", "point", "tokens"), "node")
-    dealt = dealt.select(*key, "probe", "node", "n", "label", "point", "tokens").repartition(*key).sortWithinPartitions(*key)
+def cell_survivors(key, probe, node, n, label, point, bounds, tokens, percent):
+    """The rows of a cell that have a partner in another component which the bound allows."""
+    at, ask = np.flatnonzero(~probe), np.flatnonzero(probe)
+    tree = RTree(n[at], point[at])
+    keep = np.zeros(len(node), bool)
+    for start in range(0, len(ask), 64):
+        part = ask[start : start + 64]
+        q, x = tree.search(n[part], point[part], percent)
+        q, x = part[q], at[x]
+        new = label[q] != label[x]
+        keep[q[new]] = keep[x[new]] = True
+    m = int(keep.sum())
+    return {**{k: np.full(m, v) for k, v in zip(("token", "i", "p"), key, strict=True)}, "probe": probe[keep], "node": node[keep], "n": n[keep], "label": label[keep]}
+
+
+def cells(work, percent: int):
+    """For mapInArrow over rows sorted by cell (token, i, p): work's columns for each cell, whose rows may span batches."""
+    types = {"token": "int64", "i": "int32", "p": "int32", "probe": "bool_", "node": "int64", "n": "int64", "label": "int64", "a": "int64", "b": "int64"}
 
     def run(batches):
         import pyarrow as pa
 
-        def of(parts):
+        def of(key, parts):
             probe, node, n, label, point, sizes, tokens = (np.concatenate(x) for x in zip(*parts, strict=True))
             if probe.all() or not probe.any():
-                return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names=["a", "b"])
-            a, b = cell_links(probe, node, n, label, point, np.concatenate(([0], np.cumsum(sizes))), tokens, percent)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                return {}
+            return work(key, probe, node, n, label, point, np.concatenate(([0], np.cumsum(sizes))), tokens, percent)
 
-        held, last = [], None
+        def sent(out):
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[c] for x in out]), getattr(pa, types[c])()) for c in out[0]], names=list(out[0]))
+
+        held, last, out, size = [], None, [], 0
         for batch in batches:
             keys = np.stack([batch.column(k).to_numpy() for k in range(3)], 1)
             points = batch.column("point").flatten().to_numpy().reshape(len(batch), -1)
-            lists_ = batch.column("tokens")
-            sizes = lists_.value_lengths().to_numpy().astype(np.int64)
-            flat, starts = lists_.flatten().to_numpy(), np.concatenate(([0], np.cumsum(sizes)))
+            if "tokens" in batch.schema.names:
+                sizes, flat = batch.column("tokens").value_lengths().to_numpy().astype(np.int64), batch.column("tokens").flatten().to_numpy()
+            else:
+                sizes, flat = np.zeros(len(batch), np.int64), np.zeros(0, np.int64)
+            starts = np.concatenate(([0], np.cumsum(sizes)))
             columns = (batch.column("probe").to_numpy(zero_copy_only=False), *(batch.column(c).to_numpy() for c in ("node", "n", "label")), points, sizes)
             edges = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(1), [True])))
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                if last is not None and tuple(keys[a]) != last:
-                    yield of(held)
+                now = tuple(keys[a].tolist())
+                if last is not None and now != last:
+                    if found := of(last, held):
+                        out.append(found)
+                        size += len(found[next(iter(found))])
                     held = []
-                last = tuple(keys[a])
+                    if size > 50_000:
+                        yield sent(out)
+                        out, size = [], 0
+                last = now
                 held.append((*(c[a:b] for c in columns), flat[starts[a] : starts[b]]))
-        if held:
-            yield of(held)
+        if held and (found := of(last, held)):
+            out.append(found)
+        if out:
+            yield sent(out)
+
+    return run
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+def tree_links(postings: DataFrame, lists: DataFrame, labels: DataFrame, found: DataFrame, scratch: Scratch, percent: int, cell: int = 1024) -> DataFrame:
+    """(a, b), verified: links between components that an R-tree over each open list's points finds, as many as join what they link. The
+    queries are the nodes outside the list's largest component; a long list is dealt into cells of about `cell` nodes and as many queries."""
+    at = postings.join(lists, "token").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    at = at.withColumns({"icuts": F.ceil(F.col("nodes") / cell).cast("int"), "pcuts": F.ceil(F.col("probes") / cell).cast("int")})
+    mine = lambda salt, cuts: F.pmod(F.xxhash64(F.lit(salt), "node"), F.col(cuts)).cast("int")
+    index = at.select("token", mine(1, "icuts").alias("i"), F.explode(F.sequence(F.lit(0), F.col("pcuts") - 1)).alias("p"), F.lit(False).alias("probe"), "node", "label")
+    probes = at.where("label <> top").select("token", F.explode(F.sequence(F.lit(0), F.col("icuts") - 1)).alias("i"), mine(2, "pcuts").alias("p"), F.lit(True).alias("probe"), "node", "label")
+    key = ["token", "i", "p"]
+    dealt = index.union(probes).join(found.select("node", "n", "point"), "node")
+    dealt = dealt.select(*key, "probe", "node", "n", "label", "point").repartition(*key).sortWithinPartitions(*key)
+    # first on points alone: only what has a partner that the bound allows brings its shingles
+    left = scratch.write(dealt.mapInArrow(cells(cell_survivors, percent), "token long, i int, p int, probe boolean, node long, n long, label long"), "cells")
+    full = left.join(found.select("node", "point", "tokens"), "node")
+    full = full.select(*key, "probe", "node", "n", "label", "point", "tokens").repartition(*key).sortWithinPartitions(*key)
+    return full.mapInArrow(cells(cell_links, percent), "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, groups: int = GROUPS, tokens_a_range: int = 2_000_000) -> DataFrame:
@@ -461,9 +499,9 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     links = links.union(scratch.write(verified(hubs, found, percent), "hub-links"))
     labels = components(links, scratch, "twice")
     lists = open_lists(postings, labels, scratch, "still-open")
-    more = scratch.write(tree_links(postings, lists, labels, found, percent), "more")
+    more = scratch.write(tree_links(postings, lists, labels, found, scratch, percent), "more")
     labels = components(links.union(more), scratch, "labels")
-    scratch.drop("found", "stars", "hubs", "firsts", "open", "still-open")
+    scratch.drop("found", "cells", "stars", "hubs", "firsts", "open", "still-open")
     scratch.free_shuffles()
 
     nodes = scratch.write(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label")), "nodes")
