@@ -1,4 +1,505 @@
+"""The engine's queries over the test tables, and the same in SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import address, city, text
+from .functions.vectors import dot, maxsim, slices, widened
+from .operators import blocking, evaluate, mining, ranking, sweep
+from .plans import match
+
+K = 10
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def _sql_values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join("NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'" for v in r) + ")" for r in rows)
+
+
+# --- dense retrieval: queries are the vectors whose id is divisible by 10, blocks the id modulo 7, truth is the label
+
+
+def _roles(spark, d):
+    e = _t(spark, d, "embeddings").select("vec_id", "label", (F.col("vec_id") % 7).cast("int").alias("city"), widened(F.col("embedding")).alias("v"))
+    q = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("q_id"), "city", F.col("label").alias("q_label"), F.col("v").alias("qv"))
+    c = e.where("vec_id % 10 <> 0").select(F.col("vec_id").alias("c_id"), "city", F.col("label").alias("c_label"), F.col("v").alias("cv"))
+    return q, c
+
+
+
+def _same():
+    return F.col("q_label") == F.col("c_label")
+
+
+def _dense(spark, d, k, **options):
+    q, c = _roles(spark, d)
+    return match.dense_match(q, c, k, verified=_same(), **options)
+
+
+def dense_topk_blocked(spark, d):
+    return _dense(spark, d, 5)
+
+
+def dense_topk_flat(spark, d):
+    return _dense(spark, d, 5, mode="flat")
+
+
+def dense_topk_fallback(spark, d):
+    q, c = _roles(spark, d)
+    return match.dense_match(q, c.where("city <> 3"), 5, on_missing="global", verified=_same())
+
+
+def dense_topk_small_pool(spark, d):
+    q, c = _roles(spark, d)
+    return match.dense_match(q, c.where("c_id < 70"), 50, verified=_same())
+
+
+def placeholder_rows(spark, d):
+    q, c = _roles(spark, d)
+    return match.dense_match(q, c.where("city <> 3"), 3, on_missing="placeholder", verified=_same())
+
+
+def match_verified(spark, d):
+    return _dense(spark, d, K).agg(F.count_if((F.col("rank") == 1) & F.col("verified")).alias("correct"), F.count_if(F.col("rank") == 1).alias("n"), F.round(F.avg(F.when(F.col("rank") == 1, F.col("verified").cast("double"))), 6).alias("top1"))
+
+
+def _hits(spark, d, k=K):
+    q, _ = _roles(spark, d)
+    return evaluate.hit_ranks(_dense(spark, d, k), q)
+
+
+def hit_at_k(spark, d):
+    return evaluate.hit_at(_hits(spark, d), (1, 3, 10))
+
+
+def hit_at_k_wide(spark, d):
+    return evaluate.hit_at(_hits(spark, d, 100), (1, 5, 10, 25, 50, 100))
+
+
+def accuracy_by_city(spark, d):
+    return evaluate.hit_at(_hits(spark, d), (1, 3, 10), ("city",)).orderBy(F.desc("n_queries"), "city")
+
+
+def weighted_accuracy(spark, d):
+    return evaluate.weighted(evaluate.hit_at(_hits(spark, d), (1, 3, 10), ("city",)), ("hit_1", "hit_3", "hit_10"))
+
+
+def coverage_ceiling(spark, d):
+    q, c = _roles(spark, d)
+    answerable = q.join(c.select("city", F.col("c_label").alias("q_label")).distinct(), ["city", "q_label"], "left_semi")
+    return q.agg(F.count(F.lit(1)).alias("n")).crossJoin(answerable.agg(F.count(F.lit(1)).alias("covered"))).withColumn("coverage", F.round(F.col("covered") / F.col("n"), 6))
+
+
+def answerable_queries(spark, d):
+    return _dense(spark, d, K).where("verified").agg(F.countDistinct("q_id").alias("n"))
+
+
+def baseline_compare(spark, d):
+    base = evaluate.hit_at(_hits(spark, d, 1), (1,), ("city",))
+    new = evaluate.hit_at(_hits(spark, d, 3), (3,), ("city",)).withColumnRenamed("hit_3", "hit_1")
+    return evaluate.compare(base, new, "hit_1")
+
+
+def result_projection(spark, d):
+    q, c = _roles(spark, d)
+    names = {"query_id": "q_id", "city": "city", "matched_id": "c_id", "rank": "rank", "similarity": "sim4", "query_name": "missing"}
+    ranked = ranking.top_k(blocking.block_join(q, c).withColumn("sim", dot(F.col("qv"), F.col("cv"))), 3)
+    return match.canonical(ranked.withColumn("sim4", F.round("sim", 4)), names)
+
+
+_PAIRS = """
+WITH e AS (SELECT vec_id, label, CAST(vec_id % 7 AS INTEGER) AS city, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+q AS (SELECT vec_id AS q_id, city, label AS q_label, v AS qv FROM e WHERE vec_id % 10 = 0),
+c AS (SELECT vec_id AS c_id, city, label AS c_label, v AS cv FROM e WHERE vec_id % 10 <> 0),
+p AS (SELECT q_id, c_id, q.city, q_label = c_label AS verified, list_dot_product(qv, cv) AS sim, qv, cv FROM q JOIN c USING (city)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, c_id) AS INTEGER) AS rank FROM p)
+"""
+_HITS = _PAIRS + ", h AS (SELECT q.q_id, q.city, min(rank) FILTER (WHERE verified AND rank <= {k}) AS hit_rank FROM q LEFT JOIN r ON q.q_id = r.q_id GROUP BY q.q_id, q.city)"
+_RESULT = "q_id, c_id, rank, round(sim, 6) AS similarity, verified"
+
+
+def _share(k, name=None):
+    return f"round(avg(CASE WHEN hit_rank <= {k} THEN 1.0 ELSE 0.0 END), 6) AS {name or f'hit_{k}'}"
+
+
+def _shares(ks):
+    return ", ".join(_share(k) for k in ks)
+
+
+_BY_CITY = _HITS.format(k=10) + f", b AS (SELECT city, count(*) AS n_queries, {_shares((1, 3, 10))} FROM h GROUP BY city)"
+
+
+# --- sparse, multi-vector and fused scores: the positive components are tokens, slices of 16 are the vectors of an entity
+
+
+def _tokens(df, id_, v):
+    return df.select(id_, "city", F.posexplode(v).alias("token", "weight")).where("weight > 0")
+
+
+def _sparse(spark, d):
+    q, c = _roles(spark, d)
+    return ranking.sparse_scores(_tokens(q, "q_id", "qv"), _tokens(c, "c_id", "cv"))
+
+
+def sparse_dot(spark, d):
+    return _sparse(spark, d).select("q_id", "c_id", F.round("sparse", 6).alias("sparse"))
+
+
+def sparse_topk(spark, d):
+    words = F.explode(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != "")).alias("token")
+    freq = _t(spark, d, "documents").select("doc_id", F.col("lang").alias("city"), words).groupBy("doc_id", "city", "token").agg(F.count(F.lit(1)).alias("weight"))
+    q = freq.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "q_id")
+    c = freq.where("doc_id % 50 <> 0").withColumnRenamed("doc_id", "c_id")
+    return ranking.top_k(ranking.sparse_scores(q, c), 5, "sparse").select("q_id", "c_id", "rank", "sparse")
+
+
+def _multi(spark, d):
+    q, c = _roles(spark, d)
+    pairs = blocking.block_join(q.withColumn("qm", slices(F.col("qv"), 4, 16)), c.withColumn("cm", slices(F.col("cv"), 4, 16)))
+    return pairs.withColumn("multi", maxsim(F.col("qm"), F.col("cm")))
+
+
+def maxsim_scores(spark, d):
+    return _multi(spark, d).where("q_id % 50 = 0").select("q_id", "c_id", F.round("multi", 6).alias("multi"))
+
+
+def maxsim_topk(spark, d):
+    return ranking.top_k(_multi(spark, d), 5, "multi").select("q_id", "c_id", "rank", F.round("multi", 6).alias("multi"))
+
+
+def fused_two_pass(spark, d):
+    q, c = _roles(spark, d)
+    q, c = q.withColumn("qm", slices(F.col("qv"), 4, 16)), c.withColumn("cm", slices(F.col("cv"), 4, 16))
+    out = match.fused_match(q, c, _sparse(spark, d), weights=(2, 1, 1), k=20, keep=5)
+    return out.select("q_id", "c_id", "rank", *[F.round(x, 6).alias(x) for x in ("dense", "sparse", "multi", "fused")])
+
+
+_MULTI = "list_sum(list_transform(range(0, 4), lambda i: list_max(list_transform(range(0, 4), lambda j: list_dot_product(qv[i*16+1:i*16+16], cv[j*16+1:j*16+16])))))"
+_SPARSE = """,
+qt AS (SELECT q_id, city, t, qv[t] AS w FROM (SELECT q_id, city, qv, unnest(range(1, 65)) AS t FROM q) WHERE qv[t] > 0),
+ct AS (SELECT c_id, city, t, cv[t] AS w FROM (SELECT c_id, city, cv, unnest(range(1, 65)) AS t FROM c) WHERE cv[t] > 0),
+sp AS (SELECT q_id, c_id, sum(qt.w * ct.w) AS sparse FROM qt JOIN ct USING (city, t) GROUP BY q_id, c_id)"""
+_SCORED = _PAIRS + _SPARSE + f""",
+a AS (SELECT p.q_id, p.c_id, city, verified, sim AS d, coalesce(sparse, 0) AS s, qv, cv FROM p LEFT JOIN sp USING (q_id, c_id)),
+x AS (SELECT *, {_MULTI} AS c FROM a)"""
+
+
+def _scored(spark, d):
+    x = _multi(spark, d).withColumn("d", dot(F.col("qv"), F.col("cv"))).join(_sparse(spark, d), ["q_id", "c_id"], "left")
+    return x.select("q_id", "c_id", "city", "d", F.coalesce("sparse", F.lit(0.0)).alias("s"), F.col("multi").alias("c"), _same().alias("correct"))
+
+
+def score_stats(spark, d):
+    first = ranking.top_k(_scored(spark, d), 1, "d")
+    r = lambda x, n: F.round(x, 6).alias(n)
+    stats = [r(f(c), f"{n}_{c}") for c in ("d", "s", "c") for n, f in (("min", F.min), ("max", F.max), ("avg", F.avg), ("std", F.stddev_pop))]
+    return first.agg(*stats, r(F.avg("c") / F.greatest(F.avg("d"), F.lit(1e-9)), "ratio"))
+
+
+WEIGHTS = [(1, 1, 1), (20, 5, 1), (10, 3, 1), (30, 0, 1), (20, 5, 0), (0, 5, 1), (1, 0, 0), (0, 1, 0), (0, 0, 1), (1, 1, 5)]
+
+
+def _frozen(spark, d, k=20):
+    scored = _scored(spark, d)
+    return ranking.top_k(scored.withColumn("base", F.col("d") + F.col("s")), k, "base", rank="base_rank")
+
+
+def weight_sweep_frozen(spark, d):
+    return sweep.sweep_frozen(_frozen(spark, d), sweep.weight_grid(spark, WEIGHTS))
+
+
+def weight_sweep_reselect(spark, d):
+    return sweep.sweep_reselect(_scored(spark, d), sweep.weight_grid(spark, WEIGHTS), 20)
+
+
+def weight_fine_grid(spark, d):
+    return sweep.sweep_frozen(_frozen(spark, d), sweep.weight_grid(spark, sweep.fine_grid((20, 5, 1), {(20, 5, 1)})))
+
+
+def best_weights(spark, d):
+    return sweep.best_config(weight_sweep_frozen(spark, d))
+
+
+def _sweep_sql(weights, frozen):
+    w = f"w(config, wd, ws, wc) AS (VALUES {_sql_values([(i, *x) for i, x in enumerate(weights)])})"
+    if frozen:
+        held = "k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY d + s DESC, c_id) AS n FROM x) WHERE n <= 20), z AS (SELECT w.*, k.q_id, k.c_id, k.verified, wd * d + ws * s + wc * c AS score FROM k, w)"
+    else:
+        held = "f AS (SELECT w.*, x.q_id, x.c_id, x.verified, wd * d + ws * s AS first, c FROM x, w), z AS (SELECT *, first + wc * c AS score FROM (SELECT *, row_number() OVER (PARTITION BY config, q_id ORDER BY first DESC, c_id) AS n FROM f) WHERE n <= 20)"
+    top = "y AS (SELECT *, row_number() OVER (PARTITION BY config, q_id ORDER BY score DESC, c_id) AS m FROM z)"
+    return f"{_SCORED}, {w}, {held}, {top} SELECT config, wd, ws, wc, round(avg(CASE WHEN verified THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM y WHERE m = 1 GROUP BY config, wd, ws, wc"
+
+
+def config_grid(spark, d):
+    """hit@1 and hit@10 for lists of 10, 20 and 50, with blocks and without: each mode's list is computed once, at the greatest k."""
+    q, _ = _roles(spark, d)
+    out = None
+    for mode in ("block", "flat"):
+        ranked = _dense(spark, d, 50, mode=mode)
+        sized = ranked.crossJoin(F.broadcast(_values(spark, [(10,), (20,), (50,)], "k int"))).where("rank <= k")
+        hits = sized.where("verified").groupBy("k", "q_id").agg(F.min("rank").alias("hit_rank"))
+        everyone = q.select("q_id").crossJoin(F.broadcast(_values(spark, [(10,), (20,), (50,)], "k int")))
+        per = everyone.join(hits, ["k", "q_id"], "left").groupBy("k").agg(F.round(evaluate.share(1), 6).alias("top1"), F.round(F.avg(F.col("hit_rank").isNotNull().cast("double")), 6).alias("top_k"))
+        per = per.withColumn("mode", F.lit(mode))
+        out = per if out is None else out.unionByName(per)
+    return out
+
+
+# --- reranking of names
+
+
+def _names(spark, d):
+    q = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("q_id"), F.col("s_nationkey").alias("city"), F.col("s_name").alias("q_name"))
+    c = _t(spark, d, "customer").select(F.col("c_custkey").alias("c_id"), F.col("c_nationkey").alias("city"), F.col("c_name").alias("c_name"), "c_acctbal")
+    return q, c
+
+
+def _base_rank(spark, d):
+    q, c = _names(spark, d)
+    return ranking.top_k(blocking.block_join(q, c), 10, "c_acctbal")
+
+
+def rerank_truncate(spark, d):
+    out = ranking.rerank(_base_rank(spark, d), text.edit_similarity(F.col("q_name"), F.col("c_name")), 5)
+    return out.select("q_id", "c_id", "rank", "rerank", F.round("rerank_score", 6).alias("rerank_score"))
+
+
+def ab_by_city(spark, d):
+    """Share of queries by city whose first candidate's key is even, before and after reranking."""
+    out = ranking.rerank(_base_rank(spark, d), text.edit_similarity(F.col("q_name"), F.col("c_name")), 10).withColumn("even", (F.col("c_id") % 2 == 0).cast("double"))
+    base = out.where("rank = 1").groupBy("city").agg(F.round(F.avg("even"), 6).alias("top1"))
+    new = out.where("rerank = 1").groupBy("city").agg(F.round(F.avg("even"), 6).alias("top1"))
+    return evaluate.compare(base, new, "top1")
+
+
+_RERANK = """
+WITH p AS (SELECT s_suppkey AS q_id, c_custkey AS c_id, s_nationkey AS city, s_name, c_name, CAST(row_number() OVER (PARTITION BY s_suppkey ORDER BY c_acctbal DESC, c_custkey) AS INTEGER) AS rank
+  FROM supplier JOIN customer ON s_nationkey = c_nationkey),
+k AS (SELECT *, CASE WHEN greatest(length(s_name), length(c_name)) = 0 THEN 1.0 ELSE 1 - levenshtein(s_name, c_name) / greatest(length(s_name), length(c_name)) END AS rerank_score FROM p WHERE rank <= {k}),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY q_id ORDER BY rerank_score DESC, c_id) AS INTEGER) AS rerank FROM k)
+"""
+
+
+def edit_distance_filter(spark, d):
+    p = _t(spark, d, "part").select("p_partkey", "p_size", text.squeezed(F.col("p_name")).alias("name")).where("p_partkey <= 2000")
+    x = p.alias("a").join(p.alias("b"), (F.col("a.p_size") == F.col("b.p_size")) & (F.col("a.p_partkey") < F.col("b.p_partkey")))
+    return x.where(text.near_duplicate(F.col("a.name"), F.col("b.name"))).select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"))
+
+
+# --- cities and blocks by nation
+
+
+def common_cities(spark, d):
+    c, s = _t(spark, d, "customer").select(F.col("c_nationkey").alias("city")), _t(spark, d, "supplier").select(F.col("s_nationkey").alias("city"))
+    return blocking.common_blocks(c, s)
+
+
+def top_cities(spark, d):
+    sizes = blocking.block_sizes(_t(spark, d, "customer").select(F.col("c_nationkey").alias("city")))
+    return sizes.orderBy(F.desc("n"), "city").limit(5)
+
+
+def truth_join(spark, d):
+    """The true block of each query: orders that have a customer, and the customer's nation."""
+    o = _t(spark, d, "orders").select(F.col("o_orderkey").alias("q_id"), F.col("o_custkey").alias("truth")).where(F.col("truth").isNotNull())
+    c = _t(spark, d, "customer").select(F.col("c_custkey").alias("truth"), F.col("c_nationkey").alias("city"))
+    return o.join(c, "truth").groupBy("city").agg(F.count(F.lit(1)).alias("n"))
+
+
+def dedup_candidates(spark, d):
+    o = _t(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
+    return blocking.keep_first(o, "o_custkey", ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+# --- text rules over literal cases, joined to customers by nation
+
+NAMES = ["品牌-中山路(东)店", "甲股份有限公司", "　１２ 号　　楼 ", "北京市朝阳区眼镜城", None, "A-B-C店", "上海市静安 路", "乙（集团）有限责任公司", "", "丙工作室 (甲)", "  x　y  "]
+ADDRESSES = ["浙江省杭州市西湖区文三路", "浙江省台州市路桥区", "广东省深圳市南山区", "内蒙古自治区呼和浩特市新城区", "no", None, "  ", "上海市浦东新区世纪大道", "成都高新区天府"]
+#: name, province, city, district by reading the rules; the gazetteer below fills the last one.
+EXTRACTED = [("浙江省", "杭州市", "西湖区", "high"), ("浙江省", "台州市", "路桥区", "high"), ("广东省", "深圳市", "南山区", "high"), ("内蒙古自治区", "治区呼和浩特市", "", "high"), ("", "", "", "none"), ("", "", "", "none"), ("", "", "", "none"), ("上海市", "上海市", "浦东新区", "high"), ("四川省", "成都市", "成都高新区", "mid")]
+GAZETTEER = [("成都", "四川省", "成都市", "")]
+CITIES = ["崇州市", "广东广州市", "青岛市市", "广州市番禺区市", "温州市乐清市", "白塔区辽阳市", "治区呼和浩特市", "藏族自治州", "崇州", "阆中", "上海", "吉林市", "吉林省长春市", "镇江市", "号西安市", "永辉超市", "县", "易试验区金华市", None, "  "]
+COUNTIES = [("崇州市", "成都市"), ("阆中市", "南充市"), ("长春市", "长春市"), ("镇江市", "镇江市")]
+FIXES = [("治区呼和浩特市", "呼和浩特市"), ("藏族自治州", ""), ("号西安市", "西安市")]
+NORMAL = ["成都市", "广州市", "青岛市", "广州市", "温州市", "辽阳市", "呼和浩特市", "", "崇州", "南充市", "上海", "吉林市", "长春市", "镇江市", "西安市", "", "", "金华市", "", ""]
+NORMAL_STRICT = ["成都市", "广州市", "青岛市", "广州市", "温州市", "辽阳市", "呼和浩特市", "", "崇州", "南充市", "上海", "吉林市", "省长春市", "", "", "", "", "金华市", "", ""]
+
+
+def _literals(spark, d, values, name):
+    rows = _values(spark, list(enumerate(values)), f"i int, {name} string")
+    return _t(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % len(values)).cast("int").alias("i")).join(F.broadcast(rows), "i")
+
+
+def _literal_sql(columns, values, select):
+    return f"WITH v(i, {columns}) AS (VALUES {_sql_values([(i, *x) for i, x in enumerate(values)])}) SELECT c_custkey, {select} FROM customer JOIN v ON c_custkey % {len(values)} = v.i"
+
+
+def clean_names(spark, d):
+    x = _literals(spark, d, NAMES, "name")
+    f = {"clean": text.clean_text, "store": text.clean_store_name, "addr": text.clean_address, "company": text.clean_company}
+    return x.select("c_custkey", *[g(F.col("name")).alias(k) for k, g in f.items()])
+
+
+CLEANED = [("品牌-中山路(东)店", "中山路", "品牌-中山路(东)店", "品牌-中山路店"), ("甲股份有限公司", "甲股份有限公司", "甲股份有限公司", "甲股份"), ("12 号 楼", "１２ 号 楼", "1２ 号 楼", "１２ 号 楼"), ("北京市朝阳区眼镜城", "北京市朝阳区眼镜城", "市朝阳区", "北京市朝阳区眼镜城"), ("", "", "", ""), ("A-B-C店", "B C", "A-B-C店", "A-B-C店"), ("上海市静安 路", "上海市静安 路", "静安 路", "上海市静安 路"), ("乙(集团)有限责任公司".replace("(", "（").replace(")", "）"), "乙有限责任公司", "乙（集团）有限责任公司", "乙"), ("", "", "", ""), ("丙工作室 (甲)", "丙工作室", "丙工作室 (甲)", "丙"), ("x y", "x y", "x y", "x y")]
+
+
+def entity_text(spark, d):
+    x = _literals(spark, d, NAMES, "name").join(_t(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey")
+    return x.select("c_custkey", text.entity_text(F.col("c_name"), F.when(F.col("i") % 2 == 0, F.lit("addr 1"))).alias("entity"), text.entity_text_nullsafe(F.col("c_name"), F.when(F.col("i") % 2 == 0, F.lit("addr 1"))).alias("entity_nullsafe"))
+
+
+def extract_address(spark, d):
+    x = _literals(spark, d, ADDRESSES, "addr")
+    out = address.extract_address(x, "addr", _values(spark, GAZETTEER, "name string, province string, city string, district string"))
+    return out.select("c_custkey", "province", "city", "district", "confidence")
+
+
+def address_stats(spark, d):
+    return address.address_stats(extract_address(spark, d))
+
+
+def _normal(spark, d, strict):
+    x = _literals(spark, d, CITIES, "name")
+    return city.normalize_city(x, "name", _values(spark, COUNTIES, "name string, target string"), _values(spark, FIXES, "name string, target string"), strict=strict)
+
+
+def normalize_city(spark, d):
+    return _normal(spark, d, False).select("c_custkey", "city_norm")
+
+
+def normalize_city_strict(spark, d):
+    return _normal(spark, d, True).select("c_custkey", "city_norm")
+
+
+def normalize_stats(spark, d):
+    x = _normal(spark, d, False)
+    before, after = F.coalesce("name", F.lit("")), F.col("city_norm")
+    return x.agg(F.count_if(before != after).alias("changed"), F.count_if(before == "").alias("empty_before"), F.count_if(after == "").alias("empty_after"))
+
+
+def _known_cities(spark, d):
+    return city.valid_cities(_literals(spark, d, CITIES, "name"), "name")
+
+
+def valid_cities(spark, d):
+    return _known_cities(spark, d).orderBy(F.desc(F.length("city")), "city")
+
+
+def align_city(spark, d):
+    x = _literals(spark, d, ["崇州", "吉林市", "青岛市市", "nowhere", None], "name")
+    known = _values(spark, [("崇州市",), ("吉林",), ("青岛市",)], "city string")
+    return city.align_city(x, "name", known).select("c_custkey", "city")
+
+
+def city_from_address(spark, d):
+    known = _values(spark, [("杭州市",), ("州市",), ("深圳市",), ("台州市",)], "city string")
+    return city.city_from_address(_literals(spark, d, ADDRESSES, "addr"), "addr", known, "c_custkey").select("c_custkey", "city")
+
+
+GEOCODED = [("", "成都市", "四川省", "成都市"), ("nan", "", "上海市", "上海市"), (None, "[]", "北京市", ""), ("广州市", "深圳市", "广东省", "广州市"), (" ", "", "四川省", "")]
+
+
+def geocode_fill(spark, d):
+    rows = _values(spark, [(i, a, b, c) for i, (a, b, c, _) in enumerate(GEOCODED)], "i int, city string, found_city string, found_province string")
+    x = _t(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % len(GEOCODED)).cast("int").alias("i")).join(F.broadcast(rows), "i")
+    return x.select("c_custkey", city.geocode_fill(F.col("city"), F.col("found_city"), F.col("found_province")).alias("city"))
+
+
+# --- mining
+
+
+def _ranked_texts(spark, d):
+    r = _base_rank(spark, d)
+    return r.select("q_id", "city", F.col("q_name").alias("query"), "c_id", F.col("c_name").alias("text"), "rank", (F.col("c_id") % 3 == 0).alias("verified"))
+
+
+def mine_training_pairs(spark, d):
+    return mining.mine_pairs(_ranked_texts(spark, d), 2, (0, 1)).select("q_id", "query", "positive", F.array_join("negatives", "|").alias("negatives"))
+
+
+def val_split(spark, d):
+    return mining.split(_t(spark, d, "supplier").select("s_suppkey"), "s_suppkey")
+
+
+def ir_corpus(spark, d):
+    _, documents, relevance = mining.ir_corpus(mining.mine_pairs(_ranked_texts(spark, d), 2, (0, 1)))
+    return relevance.join(documents, "doc_key").select("q_id", "doc_key", "text")
+
+
+_MINED = _RERANK.format(k=10).rsplit(",\nk AS", 1)[0] + """,
+t AS (SELECT q_id, s_name AS query, c_name AS text, rank, c_id % 3 = 0 AS verified FROM p WHERE rank <= 10 AND city NOT IN (0, 1)),
+pos AS (SELECT q_id, query, arg_min(text, rank) AS positive FROM t WHERE verified GROUP BY q_id, query),
+neg AS (SELECT t.q_id, pos.query, positive, text, n, (length(positive) > 2 AND length(text) > 2 AND levenshtein(left(positive, 20), left(text, 20)) < 3) AS near
+  FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY rank) AS n FROM t WHERE NOT verified) t JOIN pos USING (q_id) WHERE n <= 4),
+own AS (SELECT *, count(*) FILTER (WHERE NOT near) OVER (PARTITION BY q_id) AS good FROM neg),
+ch AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY n) AS m FROM own WHERE good = 0 OR NOT near),
+mined AS (SELECT q_id, query, positive, string_agg(text, '|' ORDER BY n) AS negatives FROM ch WHERE m <= 2 GROUP BY q_id, query, positive)
+"""
+
+_QUERIES = {
+    "dense_topk_blocked": (dense_topk_blocked, f"{_PAIRS} SELECT {_RESULT} FROM r WHERE rank <= 5"),
+    "dense_topk_flat": (dense_topk_flat, _PAIRS.replace("FROM q JOIN c USING (city)", "FROM q, c") + f"SELECT {_RESULT} FROM r WHERE rank <= 5"),
+    "dense_topk_fallback": (dense_topk_fallback, _PAIRS.replace("FROM q JOIN c USING (city)", "FROM q JOIN c ON (q.city = c.city OR q.city = 3) AND c.city <> 3") + f"SELECT {_RESULT} FROM r WHERE rank <= 5"),
+    "dense_topk_small_pool": (dense_topk_small_pool, _PAIRS.replace("WHERE vec_id % 10 <> 0", "WHERE vec_id % 10 <> 0 AND vec_id < 70") + f"SELECT {_RESULT} FROM r WHERE rank <= 50"),
+    "placeholder_rows": (placeholder_rows, _PAIRS.replace("WHERE vec_id % 10 <> 0", "WHERE vec_id % 10 <> 0 AND city <> 3") + f"SELECT {_RESULT} FROM r WHERE rank <= 3 UNION ALL SELECT q_id, NULL, 0, 0.0, FALSE FROM q WHERE city = 3"),
+    "match_verified": (match_verified, f"{_PAIRS} SELECT count(*) FILTER (WHERE verified) AS correct, count(*) AS n, round(avg(CASE WHEN verified THEN 1.0 ELSE 0.0 END), 6) AS top1 FROM r WHERE rank = 1"),
+    "hit_at_k": (hit_at_k, f"{_HITS.format(k=10)} SELECT count(*) AS n_queries, {_shares((1, 3, 10))} FROM h"),
+    "hit_at_k_wide": (hit_at_k_wide, f"{_HITS.format(k=100)} SELECT count(*) AS n_queries, {_shares((1, 5, 10, 25, 50, 100))} FROM h"),
+    "accuracy_by_city": (accuracy_by_city, f"{_BY_CITY} SELECT * FROM b"),
+    "weighted_accuracy": (weighted_accuracy, f"{_BY_CITY} SELECT " + ", ".join(f"round(sum({f} * n_queries) / sum(n_queries), 6) AS {f}" for f in ("hit_1", "hit_3", "hit_10")) + " FROM b WHERE n_queries >= 5"),
+    "coverage_ceiling": (coverage_ceiling, f"{_PAIRS} SELECT count(*) AS n, count(*) FILTER (WHERE x) AS covered, round(count(*) FILTER (WHERE x) / count(*), 6) AS coverage FROM (SELECT EXISTS (SELECT 1 FROM c WHERE c.city = q.city AND c_label = q_label) AS x FROM q)"),
+    "answerable_queries": (answerable_queries, f"{_PAIRS} SELECT count(DISTINCT q_id) AS n FROM r WHERE verified AND rank <= 10"),
+    "baseline_compare": (baseline_compare, f"{_HITS.format(k=3)}, b AS (SELECT city, {_share(1, 'base')}, {_share(3, 'new')} FROM h GROUP BY city) SELECT city, base, new, round((new - base) * 100, 6) AS delta_pp FROM b"),
+    "result_projection": (result_projection, f"{_PAIRS} SELECT q_id AS query_id, city, c_id AS matched_id, rank, round(sim, 4) AS similarity, CAST(NULL AS VARCHAR) AS query_name FROM r WHERE rank <= 3"),
+    "sparse_dot": (sparse_dot, f"{_PAIRS}{_SPARSE} SELECT q_id, c_id, round(sparse, 6) AS sparse FROM sp"),
+    "sparse_topk": (sparse_topk, """WITH f AS (SELECT doc_id, lang, token, count(*) AS w FROM (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS token FROM documents) GROUP BY ALL),
+p AS (SELECT q.doc_id AS q_id, c.doc_id AS c_id, CAST(sum(q.w * c.w) AS BIGINT) AS sparse FROM f q JOIN f c ON q.lang = c.lang AND q.token = c.token WHERE q.doc_id % 50 = 0 AND c.doc_id % 50 <> 0 GROUP BY ALL),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY q_id ORDER BY sparse DESC, c_id) AS INTEGER) AS rank FROM p) SELECT q_id, c_id, rank, sparse FROM r WHERE rank <= 5"""),
+    "maxsim_scores": (maxsim_scores, f"{_PAIRS} SELECT q_id, c_id, round({_MULTI}, 6) AS multi FROM p WHERE q_id % 50 = 0"),
+    "maxsim_topk": (maxsim_topk, f"{_PAIRS}, m AS (SELECT q_id, c_id, {_MULTI} AS multi FROM p), n AS (SELECT *, CAST(row_number() OVER (PARTITION BY q_id ORDER BY multi DESC, c_id) AS INTEGER) AS rank FROM m) SELECT q_id, c_id, rank, round(multi, 6) AS multi FROM n WHERE rank <= 5"),
+    "fused_two_pass": (fused_two_pass, f"{_SCORED}, f AS (SELECT *, 2 * d + s AS first FROM x), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY first DESC, c_id) AS n FROM f) WHERE n <= 20), g AS (SELECT *, first + c AS fused, CAST(row_number() OVER (PARTITION BY q_id ORDER BY first + c DESC, c_id) AS INTEGER) AS rank FROM k) SELECT q_id, c_id, rank, round(d, 6) AS dense, round(s, 6) AS sparse, round(c, 6) AS multi, round(fused, 6) AS fused FROM g WHERE rank <= 5"),
+    "score_stats": (score_stats, f"{_SCORED}, k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY d DESC, c_id) AS n FROM x) WHERE n = 1) SELECT " + ", ".join(f"round({f}({c}), 6) AS {n}_{c}" for c in ("d", "s", "c") for n, f in (("min", "min"), ("max", "max"), ("avg", "avg"), ("std", "stddev_pop"))) + ", round(avg(c) / greatest(avg(d), 1e-9), 6) AS ratio FROM k"),
+    "weight_sweep_frozen": (weight_sweep_frozen, _sweep_sql(WEIGHTS, True)),
+    "weight_sweep_reselect": (weight_sweep_reselect, _sweep_sql(WEIGHTS, False)),
+    "weight_fine_grid": (weight_fine_grid, _sweep_sql(sweep.fine_grid((20, 5, 1), {(20, 5, 1)}), True)),
+    "best_weights": (best_weights, f"SELECT * FROM ({_sweep_sql(WEIGHTS, True)}) ORDER BY accuracy DESC, config LIMIT 1"),
+    "config_grid": (config_grid, f"{_PAIRS}, fp AS (SELECT q_id, c_id, q_label = c_label AS verified, list_dot_product(qv, cv) AS sim FROM q, c), fr AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, c_id) AS rank FROM fp), a AS (SELECT 'block' AS mode, q_id, rank, verified FROM r UNION ALL SELECT 'flat', q_id, rank, verified FROM fr), k(k) AS (VALUES (10), (20), (50)), m(mode) AS (VALUES ('block'), ('flat')), h AS (SELECT m.mode, k.k, q.q_id, (SELECT min(rank) FROM a WHERE a.mode = m.mode AND a.q_id = q.q_id AND verified AND rank <= k.k) AS hit_rank FROM m, k, q) SELECT mode, k, {_share(1, 'top1')}, round(avg(CASE WHEN hit_rank IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS top_k FROM h GROUP BY mode, k"),
+    "rerank_truncate": (rerank_truncate, f"{_RERANK.format(k=5)} SELECT q_id, c_id, rank, rerank, round(rerank_score, 6) AS rerank_score FROM r"),
+    "ab_by_city": (ab_by_city, f"{_RERANK.format(k=10)}, b AS (SELECT city, round(avg(CASE WHEN c_id % 2 = 0 THEN 1.0 ELSE 0.0 END) FILTER (WHERE rank = 1), 6) AS base, round(avg(CASE WHEN c_id % 2 = 0 THEN 1.0 ELSE 0.0 END) FILTER (WHERE rerank = 1), 6) AS new FROM r GROUP BY city) SELECT city, base, new, round((new - base) * 100, 6) AS delta_pp FROM b"),
+    "edit_distance_filter": (edit_distance_filter, "WITH p AS (SELECT p_partkey, p_size, replace(trim(p_name), ' ', '') AS name FROM part WHERE p_partkey <= 2000) SELECT a.p_partkey AS a, b.p_partkey AS b FROM p a JOIN p b ON a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE length(a.name) > 2 AND length(b.name) > 2 AND levenshtein(left(a.name, 20), left(b.name, 20)) < 3"),
+    "common_cities": (common_cities, "SELECT c_nationkey AS city FROM customer INTERSECT SELECT s_nationkey FROM supplier"),
+    "top_cities": (top_cities, "SELECT c_nationkey AS city, count(*) AS n FROM customer GROUP BY 1 ORDER BY n DESC, city LIMIT 5"),
+    "truth_join": (truth_join, "SELECT c_nationkey AS city, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1"),
+    "dedup_candidates": (dedup_candidates, "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders) WHERE n = 1"),
+    "clean_names": (clean_names, _literal_sql("clean, store, addr, company", CLEANED, "clean, store, addr, company")),
+    "entity_text": (entity_text, f"SELECT c_custkey, c_name || CASE WHEN c_custkey % {len(NAMES)} % 2 = 0 THEN ' addr 1' ELSE '' END AS entity, c_name || CASE WHEN c_custkey % {len(NAMES)} % 2 = 0 THEN ' addr 1' ELSE '' END AS entity_nullsafe FROM customer"),
+    "extract_address": (extract_address, _literal_sql("province, city, district, confidence", EXTRACTED, "province, city, district, confidence")),
+    "address_stats": (address_stats, "SELECT count(*) AS rows, count(*) FILTER (WHERE province <> '') AS with_province, count(*) FILTER (WHERE city <> '') AS with_city, count(*) FILTER (WHERE district <> '') AS with_district, " + ", ".join(f"count(*) FILTER (WHERE confidence = '{v}') AS confidence_{v}" for v in ("high", "mid", "none")) + f" FROM ({_literal_sql('province, city, district, confidence', EXTRACTED, 'province, city, district, confidence')})"),
+    "normalize_city": (normalize_city, _literal_sql("city_norm", [(x,) for x in NORMAL], "city_norm")),
+    "normalize_city_strict": (normalize_city_strict, _literal_sql("city_norm", [(x,) for x in NORMAL_STRICT], "city_norm")),
+    "normalize_stats": (normalize_stats, f"SELECT count(*) FILTER (WHERE b <> a) AS changed, count(*) FILTER (WHERE b = '') AS empty_before, count(*) FILTER (WHERE a = '') AS empty_after FROM ({_literal_sql('b, a', [(x or '', y) for x, y in zip(CITIES, NORMAL, strict=True)], 'b, a')})"),
+    "valid_cities": (valid_cities, f"SELECT city, count(*) AS n FROM ({_literal_sql('city', [(x,) for x in CITIES], 'city')}) WHERE city LIKE '%市' GROUP BY city"),
+    "align_city": (align_city, _literal_sql("city", [("崇州市",), ("吉林",), ("青岛市",), ("nowhere",), ("",)], "city")),
+    "city_from_address": (city_from_address, _literal_sql("city", [("杭州市",), ("台州市",), ("深圳市",), *[("",)] * 6], "city")),
+    "geocode_fill": (geocode_fill, _literal_sql("city", [(x[3],) for x in GEOCODED], "city")),
+    "mine_training_pairs": (mine_training_pairs, f"{_MINED} SELECT * FROM mined"),
+    "val_split": (val_split, "SELECT s_suppkey, CASE WHEN CAST('0x' || substr(md5('42:' || s_suppkey), 1, 7) AS BIGINT) % 100 < 10 THEN 'val' ELSE 'train' END AS part FROM supplier"),
+    "ir_corpus": (ir_corpus, f"{_MINED} SELECT q_id, md5(positive) AS doc_key, positive AS text FROM mined"),
+}
+
+
 def queries():
-    return {}
+    return {k: q for k, (q, _) in _QUERIES.items()}
+
+
 def oracle_sql():
-    return {}
+    return {k: s for k, (_, s) in _QUERIES.items() if s}
