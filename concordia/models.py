@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +20,6 @@ class Geocoder(Protocol):
 
 def encode(df: DataFrame, text: str, load: Callable[[], Callable[[list[str]], list[list[float]]]], out: str = "vector") -> DataFrame:
     """df with a vector for each text. load() is called once in each Python worker and returns a function from texts to unit vectors."""
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
@@ -49,8 +48,6 @@ def hashing_encoder(width: int = 64):
 
 def udf_scorer(load: Callable[[], Callable[[list[tuple[str, str]]], list[float]]]) -> PairScorer:
     """A pair scorer that calls a model on Arrow batches; put it above the top-k filter."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         model = load()
