@@ -40,7 +40,7 @@ def fingerprint(paths) -> str:
 
 _PAIR = "filter(array({}), x -> x.text is not null)"
 LAYOUTS = (
-    Layout("turn rows", ("conv_id", "role", "text", "turn"), None),
+    Layout("turn rows", ("role", "text", "turn"), None),
     Layout("messages", ("messages", "messages[]", "messages[].content", "messages[].role"), "transform(messages, m -> struct(m.role as role, m.content as text))"),
     Layout("conversations", ("conversations", "conversations[]", "conversations[].from", "conversations[].value"), "transform(conversations, m -> struct(case m.from when 'human' then 'user' when 'gpt' then 'assistant' else m.from end as role, m.value as text))"),
     Layout("instruction", ("instruction", "output"), _PAIR.format("struct('user' as role, instruction as text), struct('assistant' as role, output as text)")),
