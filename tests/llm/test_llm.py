@@ -200,6 +200,16 @@ def test_media_finds_edited_copies(spark, sf):
     assert media.descriptors(odd).count() == 0
 
 
+def test_media_common_words_get_longer_keys(spark, sf):
+    """Whatever words count as common, edited copies are found, and nothing that plain words don't find."""
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id < 60").select("vec_id", "embedding")
+    base = media.descriptors(media.rendered(vectors)).cache()
+    asked = media.descriptors(media.rendered(vectors.where("vec_id % 20 = 0"), edit=True), low=True).cache()
+    plain, mixed, all_common = ({(r.query, r.found) for r in media.copies(asked, base, hot=hot).collect()} for hot in (10**9, 2, 1))
+    assert {(q, q) for q in (0, 20, 40)} <= all_common <= plain and all_common <= mixed <= plain
+    assert media.copies(asked, base.where("id < 0")).count() == 0
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]
