@@ -290,9 +290,13 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY q_id ORDER BY rerank_score
 
 
 def edit_distance_filter(spark, d):
-    p = _t(spark, d, "part").select("p_partkey", "p_size", text.squeezed(F.col("p_name")).alias("name")).where("p_partkey <= 2000")
-    x = p.alias("a").join(p.alias("b"), (F.col("a.p_size") == F.col("b.p_size")) & (F.col("a.p_partkey") < F.col("b.p_partkey")))
-    return x.where(text.near_duplicate(F.col("a.name"), F.col("b.name"))).select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"))
+    """Only prefixes count, and each is compared once a size: with those that share a text of up to two deletions, which no near pair lacks."""
+    p = _t(spark, d, "part").select("p_partkey", "p_size", F.substring(text.squeezed(F.col("p_name")), 1, 20).alias("name")).where(F.length("name") > 2)
+    keyed = p.select("p_size", "name").distinct().select("p_size", "name", F.explode(text.deletions(F.col("name"))).alias("key"))
+    met = keyed.withColumnRenamed("name", "left").join(keyed.withColumnRenamed("name", "right"), ["p_size", "key"]).select("p_size", "left", "right").distinct()
+    near = met.where(text.near_duplicate(F.col("left"), F.col("right")))
+    a, b = (p.select("p_size", F.col("p_partkey").alias(x), F.col("name").alias(side)) for x, side in (("a", "left"), ("b", "right")))
+    return near.join(a, ["p_size", "left"]).join(b, ["p_size", "right"]).where("a < b").select("a", "b")
 
 
 # --- cities and blocks by nation

@@ -73,6 +73,12 @@ def near_duplicate(a: Column, b: Column, prefix: int = 20, distance: int = 3) ->
     return (F.length(a) > 2) & (F.length(b) > 2) & near
 
 
+def deletions(c: Column) -> Column:
+    """c with none, one and two characters left out, each once; c: three characters or more. Texts two edits apart or fewer share one of them."""
+    without = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
+    return F.array_distinct(F.flatten(F.transform(F.concat(F.array(c), without(c)), lambda x: F.concat(F.array(x), without(x)))))
+
+
 def edit_similarity(a: Column, b: Column) -> Column:
     """1 less the edit distance by the longer length: the default pair scorer."""
     longest = F.greatest(F.length(a), F.length(b))

@@ -191,3 +191,22 @@ def test_stream(spark, tmp_path):
 def test_grids():
     assert (20, 5, 1) not in sweep.fine_grid((20, 5, 1), {(20, 5, 1)}) and len(sweep.fine_grid((20, 5, 1))) == 45
     assert sweep.scaled_grid((1, 1, 1)) == [] and (10, 0, 0) in sweep.scaled_grid((20, 5, 1))
+
+
+def test_edit_distance_filter_takes_every_part(spark, tmp_path):
+    def edits(x, y):
+        row = list(range(len(y) + 1))
+        for i, a in enumerate(x, 1):
+            last, row[0] = row[0], i
+            for j, b in enumerate(y, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (a != b))
+        return row[-1]
+
+    stems = ["large ring", "cold plate", "abc", "ab", "a", "", "aaaa", "a rather long name of a part", None, "日本語の部品"]
+    changed = lambda s, i: s if s is None else [s, s[1:], s + "xy", s[:2] + "q" + s[2:], s[::-1], s[:1] + s[3:] + "z", "w" + s[:-1], s[:-2]][i]
+    parts = [(1990 + 7 * n, changed(s, i), n % 3) for n, (s, i) in enumerate((s, i) for s in stems for i in range(8))]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    own = [(k, (s or "").strip().replace(" ", ""), z) for k, s, z in parts]
+    want = {(a, b) for a, x, s in own for b, y, t in own if s == t and a < b and len(x) > 2 and len(y) > 2 and edits(x[:20], y[:20]) < 3}
+    out = [tuple(r) for r in catalogue.edit_distance_filter(spark, str(tmp_path)).collect()]
+    assert len(out) == len(set(out)) and set(out) == want and any(a > 2000 for a, _ in want)
