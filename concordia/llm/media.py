@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, table
 
-TURNS, RADIUS, SCALES, CORNERS = 32, 7, (1.0, 1.5), (18, 6)
+TURNS, RADIUS, SCALES, RESPONSE = 32, 7, (1.0, 1.5), 1.0
+#: Pixels of images and corners that are described at once: bounds of a task's memory.
+PIXELS, AT_ONCE = 1 << 19, 1 << 13
 TABLES, LOW, LIMIT, VOTES, BIN, HOT, BANDS = 4, 6, 48, 4, 8, 8, 4
 
 
@@ -70,11 +72,11 @@ def shrink(a: np.ndarray, scale: float) -> np.ndarray:
 
 
 def describe_images(images: np.ndarray):
-    """(image, x, y, turn, scale, corner, bits, low) of the corners of images of one size; corner: number within the image; bits: (n, 4) int64;
-    low: (n, 4 * LOW) int64, masks of the LOW bits of each word whose comparison was closest. Places are in full-size pixels."""
+    """(image, x, y, turn, scale, bits, low) of all corners above RESPONSE of images of one size; bits: (n, 4) int64; low: (n, 4 * LOW) int64,
+    masks of the LOW bits of each word whose comparison was closest. Places are in full-size pixels."""
     pairs, dy, dx = tests()
-    out, before = [], 0
-    for level, (scale, most) in enumerate(zip(SCALES, CORNERS, strict=True)):
+    out = []
+    for level, scale in enumerate(SCALES):
         a = box(shrink(images.astype(np.float64), scale), 1)
         n, h, w = a.shape
         edge = RADIUS + 1
@@ -84,44 +86,37 @@ def describe_images(images: np.ndarray):
         xx, yy, xy = box(gx * gx, 2), box(gy * gy, 2), box(gx * gy, 2)
         score = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
         inner = score[:, edge : h - edge, edge : w - edge]
-        best = inner > 1.0
+        best = inner > RESPONSE
         for i in (-1, 0, 1):
             for j in (-1, 0, 1):
                 if i or j:
                     best &= inner >= score[:, edge + i : h - edge + i, edge + j : w - edge + j]
-        ranked = np.where(best, inner, -1).reshape(n, -1)
-        most = min(most, ranked.shape[1])
-        top = np.argpartition(-ranked, most - 1, 1)[:, :most]
-        image = np.repeat(np.arange(n), most)
-        top = top.ravel()
-        real = ranked[image, top] > 0
-        corner = (before + np.tile(np.arange(most), n))[real]
-        before += most
-        image, top = image[real], top[real]
-        y, x = top // inner.shape[2] + edge, top % inner.shape[2] + edge
-        patch = a[image[:, None], y[:, None] + dy, x[:, None] + dx]
-        angle = np.arctan2((patch * dy).sum(1), (patch * dx).sum(1))
-        turn = np.rint(angle / (2 * np.pi) * TURNS).astype(int) % TURNS
-        p = pairs[turn]
-        # pairs hold (x, y) of either place, turned
-        gap = a[image[:, None], y[:, None] + p[:, :, 3], x[:, None] + p[:, :, 2]] - a[image[:, None], y[:, None] + p[:, :, 1], x[:, None] + p[:, :, 0]]
-        bits = np.packbits(gap > 0, axis=1).view(np.int64)
-        low = np.argsort(np.abs(gap).reshape(-1, TABLES, 64), axis=2, kind="stable")[:, :, :LOW]
-        # packed bits are big-endian within bytes, words little-endian
-        low = (np.uint64(1) << (low // 8 * 8 + 7 - low % 8).astype(np.uint64)).view(np.int64).reshape(-1, TABLES * LOW)
-        out.append((image, np.rint(x * scale).astype(int), np.rint(y * scale).astype(int), turn, np.full(len(image), level), corner, bits, low))
+        images_of, ys, xs = np.nonzero(best)
+        for i in range(0, len(ys), AT_ONCE):
+            image, y, x = images_of[i : i + AT_ONCE], ys[i : i + AT_ONCE] + edge, xs[i : i + AT_ONCE] + edge
+            patch = a[image[:, None], y[:, None] + dy, x[:, None] + dx]
+            angle = np.arctan2((patch * dy).sum(1), (patch * dx).sum(1))
+            turn = np.rint(angle / (2 * np.pi) * TURNS).astype(int) % TURNS
+            p = pairs[turn]
+            # pairs hold (x, y) of either place, turned
+            gap = a[image[:, None], y[:, None] + p[:, :, 3], x[:, None] + p[:, :, 2]] - a[image[:, None], y[:, None] + p[:, :, 1], x[:, None] + p[:, :, 0]]
+            bits = np.packbits(gap > 0, axis=1).view(np.int64)
+            low = np.argsort(np.abs(gap).reshape(-1, TABLES, 64), axis=2, kind="stable")[:, :, :LOW]
+            # packed bits are big-endian within bytes, words little-endian
+            low = (np.uint64(1) << (low // 8 * 8 + 7 - low % 8).astype(np.uint64)).view(np.int64).reshape(-1, TABLES * LOW)
+            out.append((image, np.rint(x * scale).astype(int), np.rint(y * scale).astype(int), turn, np.full(len(image), level), bits, low))
     if not out:
-        return tuple(np.zeros(0, int) for _ in range(6)) + (np.zeros((0, TABLES), np.int64), np.zeros((0, TABLES * LOW), np.int64))
+        return tuple(np.zeros(0, int) for _ in range(5)) + (np.zeros((0, TABLES), np.int64), np.zeros((0, TABLES * LOW), np.int64))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def descriptors(images: DataFrame, id_col: str = "id", image_col: str = "image", *, low: bool = False) -> DataFrame:
-    """(id, x, y, turn, level, corner, b0..b3), one row a corner; with `low`, the masks of each word's least certain bits, for queries. Null or unreadable images, and those too small or too smooth, have none."""
+    """(id, x, y, turn, level, b0..b3), one row a corner; with `low`, the masks of each word's least certain bits, for queries. Null or unreadable images, and those too small or too smooth, have none."""
 
     def run(batches):
         import pyarrow as pa
 
-        names = ["id", "x", "y", "turn", "level", "corner", "b0", "b1", "b2", "b3", *["low"] * low]
+        names = ["id", "x", "y", "turn", "level", "b0", "b1", "b2", "b3", *["low"] * low]
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             by_size: dict = {}
@@ -130,17 +125,18 @@ def descriptors(images: DataFrame, id_col: str = "id", image_col: str = "image",
                 if image is not None:
                     by_size.setdefault(image.shape, []).append((i, image))
             for same in by_size.values():
-                for a in range(0, len(same), 128):
-                    part = same[a : a + 128]
-                    image, x, y, turn, level, corner, bits, unsure = describe_images(np.stack([p for _, p in part]))
+                step = max(1, PIXELS // same[0][1].size)
+                for a in range(0, len(same), step):
+                    part = same[a : a + step]
+                    image, x, y, turn, level, bits, unsure = describe_images(np.stack([p for _, p in part]))
                     where = ids[np.array([i for i, _ in part])][image]
-                    columns = [pa.array(where, pa.int64()), *(pa.array(c, pa.int32()) for c in (x, y, turn, level, corner)), *(pa.array(bits[:, k], pa.int64()) for k in range(TABLES))]
+                    columns = [pa.array(where, pa.int64()), *(pa.array(c, pa.int32()) for c in (x, y, turn, level)), *(pa.array(bits[:, k], pa.int64()) for k in range(TABLES))]
                     if low:
                         columns.append(pa.array(list(unsure), pa.list_(pa.int64())))
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
     own = images.where(F.col(image_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(image_col).alias("image"))
-    return own.mapInArrow(run, "id long, x int, y int, turn int, level int, corner int, b0 long, b1 long, b2 long, b3 long" + ", low array<long>" * low)
+    return own.mapInArrow(run, "id long, x int, y int, turn int, level int, b0 long, b1 long, b2 long, b3 long" + ", low array<long>" * low)
 
 
 def copies(queries: DataFrame, base: DataFrame, *, limit: int = LIMIT, votes: int = VOTES, hot: int = HOT) -> DataFrame:
@@ -152,10 +148,9 @@ def copies(queries: DataFrame, base: DataFrame, *, limit: int = LIMIT, votes: in
     word meets fewer than `hot` corners at any size of base. Such corners must also agree in one of the 12 bands. Votes count different corners of the query,
     over bins of turn, scale and shift that overlap by half, so that no motion is split by a bin's edge. The join is by key and all counts are by
     (query, found), in one exchange of single matches: no image and no bucket is gathered in one task."""
-    assert sum(CORNERS) < 64, "corners are counted as bits of a long"
     words = [f"b{k}" for k in range(TABLES)]
 
-    place = "shiftleft(cast(x as long), 40) | shiftleft(cast(y as long), 16) | shiftleft(cast(turn as long), 10) | shiftleft(cast(level as long), 6) | corner"
+    place = "shiftleft(cast(x as long), 40) | shiftleft(cast(y as long), 16) | shiftleft(cast(turn as long), 10) | shiftleft(cast(level as long), 6)"
 
     def probes(k):
         low = f"slice(low, {k * LOW + 1}, {LOW})"
@@ -186,7 +181,7 @@ def copies(queries: DataFrame, base: DataFrame, *, limit: int = LIMIT, votes: in
     x = x.unionByName(again.hint("merge").join(crowded, keys).where(close).drop(*keys))
     part = lambda name, shift, bits: F.expr(f"cast(shiftright({name}place, {shift}) & {(1 << bits) - 1} as int)")
     for name in ("q_", ""):
-        x = x.withColumns({f"{name}{c}": part(name, *at) for c, at in {"x": (40, 23), "y": (16, 24), "turn": (10, 6), "level": (6, 4), "corner": (0, 6)}.items()})
+        x = x.withColumns({f"{name}{c}": part(name, *at) for c, at in {"x": (40, 23), "y": (16, 24), "turn": (10, 6), "level": (6, 4)}.items()})
     turn = F.pmod(F.col("turn") - F.col("q_turn"), F.lit(TURNS))
     angle = turn * (2 * np.pi / TURNS)
     ratio = F.pow(F.lit(SCALES[1]), F.col("level") - F.col("q_level"))
@@ -195,16 +190,17 @@ def copies(queries: DataFrame, base: DataFrame, *, limit: int = LIMIT, votes: in
         F.col("id").alias("found"),
         (F.col("level") - F.col("q_level")).alias("step"),
         turn.alias("turned"),
-        F.expr("shiftleft(1L, q_corner)").alias("corner"),
+        F.col("q_place").alias("corner"),
         (F.col("x") - ratio * (F.cos(angle) * F.col("q_x") - F.sin(angle) * F.col("q_y"))).alias("sx"),
         (F.col("y") - ratio * (F.sin(angle) * F.col("q_x") + F.cos(angle) * F.col("q_y"))).alias("sy"),
     )
-    # a pair has few matches (corners by corners); what has too few of them isn't dealt into bins
-    x = x.withColumn("corners", F.bit_count(F.bit_or("corner").over(Window.partitionBy("query", "found")))).where(F.col("corners") >= votes)
+    # what has too few of them isn't dealt into bins
+    pair = Window.partitionBy("query", "found")
+    x = x.withColumn("corners", F.dense_rank().over(pair.orderBy("corner"))).withColumn("corners", F.max("corners").over(pair)).where(F.col("corners") >= votes).drop("corners")
     x = x.withColumn("around", F.explode(F.expr(f"array(named_struct('h', 0, 't', turned div 4), named_struct('h', 1, 't', (turned + 2) % {TURNS} div 4))")))
     shifts = F.expr(f"explode(flatten(transform(array(0, {BIN // 2}), i -> transform(array(0, {BIN // 2}), j -> struct(i, j, cast(floor((sx + i) / {BIN}) as int) as u, cast(floor((sy + j) / {BIN}) as int) as v)))))")
     x = x.select("query", "found", "step", "around", "corner", shifts.alias("shift"))
-    bins = x.groupBy("query", "found", "step", "around", "shift").agg(F.bit_count(F.bit_or("corner")).cast("long").alias("votes")).where(F.col("votes") >= votes)
+    bins = x.groupBy("query", "found", "step", "around", "shift").agg(F.count_distinct("corner").alias("votes")).where(F.col("votes") >= votes)
     return bins.groupBy("query", "found").agg(F.max("votes").alias("votes"))
 
 

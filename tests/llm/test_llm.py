@@ -210,6 +210,20 @@ def test_media_common_words_get_longer_keys(spark, sf):
     assert media.copies(asked, base.where("id < 0")).count() == 0
 
 
+def media_copies(spark, images, edit):
+    """(query, found) of edited copies of images among them."""
+    rows = lambda xs: spark.createDataFrame([(i, bytearray(media.pgm(x))) for i, x in enumerate(xs)], "id long, image binary").repartition(8)
+    base, asked = media.descriptors(rows(images)).cache(), media.descriptors(rows([edit(x) for x in images]), low=True).cache()
+    return {(r.query, r.found) for r in media.copies(asked, base).collect()}
+
+
+def test_media_small_crops_of_large_images(spark):
+    import numpy as np
+
+    images = media.render(np.arange(8 * 4, dtype=np.float32).reshape(8, 4), 400)
+    assert media_copies(spark, images, lambda x: x[150:250, 210:310]) == {(i, i) for i in range(8)}
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]
