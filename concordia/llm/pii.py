@@ -15,13 +15,23 @@ from .common import table
 ROUNDS = 8
 #: Years 1800 to 2199: 146,097 days, which is 189 times 773.
 FIRST_DAY, DAYS_A, DAYS_B = "1800-01-01", 189, 773
+#: Dates after a month's 12th, which alone tell month/day/year from day/month/year: 88,497 of them, 9 times 9,833.
+LATE_A, LATE_B = 9, 9833
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[ .-]\d{4}(?![\w-])|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){3,4}(?![\w-])"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
-DATE = r"(?<![\w-])\d{4}-\d{2}-\d{2}(?![\w-])"
+MONTH = r"(?i:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:t(?:ember)?)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
+DAY = r"\d{1,2}(?:st|nd|rd|th)?"
+DATE = (
+    r"(?<![\w-])\d{4}-\d{2}-\d{2}(?![\w-])"
+    r"|(?<![\w/.-])(?:\d{4}/\d{1,2}/\d{1,2}|\d{4}[.]\d{1,2}[.]\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}[.]\d{1,2}[.]\d{4}|\d{1,2}-\d{1,2}-\d{4})(?![\w-]|[/.]\w)"
+    rf"|(?<![\w-]){DAY} {MONTH}[.]?,? \d{{4}}(?![\w-])|(?<!\w){MONTH}[.]? {DAY},? \d{{4}}(?![\w-])"
+)
 IP = r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\w)"
-CARD = r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])"
+#: A whole run of groups, however long: what stands beside a card is told from it by the check digit. A group that begins another kind ends the run.
+GROUPS = r"\d++(?:-\d++)*+(?![\w-])"
+CARD = rf"(?<![\w-])(?=\d(?:[ -]?\d){{12}}){GROUPS}(?: (?!{EMAIL}|{DATE}|{SSN}|{PHONE}|{IP}){GROUPS})*+"
 SECRET = r"(?<=[\"'=: ])[0-9a-f]{32,64}(?=[\"'\s,;]|\Z)"
 KINDS = {"email": EMAIL, "date": DATE, "ssn": SSN, "phone": PHONE, "ip": IP, "card": CARD, "secret": SECRET}
 PATTERN = "|".join(KINDS.values())
@@ -57,12 +67,51 @@ def luhn_sum(d: str) -> str:
     return f"aggregate(transform(split(reverse({d}), ''), (c, i) -> if(i % 2 = 1, cast(substr('0246813579', cast(c as int) + 1, 1) as int), cast(c as int))), 0, (s, x) -> s + x)"
 
 
+def month_first(m: str) -> str:
+    """SQL: m is month/day/year, as it can't be day/month/year."""
+    return f"({m} rlike '^[0-9]{{1,2}}[-/.][0-9]' and cast(split({m}, '[-/.]')[1] as int) > 12)"
+
+
+def date_of(m: str) -> str:
+    """SQL for the date that m, a match of DATE, writes, or null. What can be day/month/year is."""
+    n = f"regexp_replace({m}, '[/.]', '-')"
+    month = f"(instr('janfebmaraprmayjunjulaugsepoctnovdec', lower(left(regexp_extract({m}, '[A-Za-z]{{3,}}', 0), 3))) + 2) div 3"
+    named = f"try_to_date(concat_ws('-', regexp_extract({m}, '[0-9]{{4}}', 0), {month}, regexp_extract({m}, {_sql(r'(?<![0-9])[0-9]{1,2}(?![0-9])')}, 0)), 'yyyy-M-d')"
+    return f"case when {m} rlike '[A-Za-z]{{3}}' then {named} when {m} rlike '^[0-9]{{4}}' then try_to_date({n}, 'yyyy-M-d') when {month_first(m)} then try_to_date({n}, 'M-d-yyyy') else try_to_date({n}, 'd-M-yyyy') end"
+
+
+def dated(m: str, d: str) -> str:
+    """SQL for date d in the layout of m."""
+    lone = _sql(r"(?<![0-9])[0-9](?![0-9])")
+    sep, two = f"regexp_extract({m}, '[-/.]', 0)", f"if({m} rlike {lone}, 1, 2)"
+    year, month, day = f"date_format({d}, 'yyyy')", f"lpad(month({d}), greatest({two}, length(month({d}))), '0')", f"lpad(day({d}), greatest({two}, length(day({d}))), '0')"
+    word = f"regexp_extract({m}, '[A-Za-z]{{3,}}', 0)"
+    name = f"if(length({word}) > 4 or lower({word}) in ('june', 'july'), date_format({d}, 'MMMM'), date_format({d}, 'MMM'))"
+    name = f"case when {word} = upper({word}) then upper({name}) when {word} = lower({word}) then lower({name}) else {name} end"
+    ending = f"if({m} rlike '[0-9](st|nd|rd|th)', case when day({d}) in (11, 12, 13) then 'th' when day({d}) % 10 = 1 then 'st' when day({d}) % 10 = 2 then 'nd' when day({d}) % 10 = 3 then 'rd' else 'th' end, '')"
+    number = _sql(r"(?<![0-9])[0-9]{1,2}(?![0-9])(?:st|nd|rd|th)?")
+    named = f"regexp_replace(regexp_replace(regexp_replace({m}, {number}, concat(if({m} rlike {lone}, cast(day({d}) as string), lpad(day({d}), 2, '0')), {ending})), '[0-9]{{4}}', {year}), '[A-Za-z]{{3,}}', {name})"
+    return f"case when {m} rlike '[A-Za-z]{{3}}' then {named} when {m} rlike '^[0-9]{{4}}' then concat_ws({sep}, {year}, {month}, {day}) when {month_first(m)} then concat_ws({sep}, {month}, {day}, {year}) else concat_ws({sep}, {day}, {month}, {year}) end"
+
+
+def card_pieces(m: str) -> str:
+    """SQL for the pieces of a run of digit groups that as a whole is of no kind: its valid cards, longest first from the left, and what is between them."""
+    after = "array_join(slice(g, i, k), '')"
+    piece = f"regexp_replace({after}, '^[^0-9]+', '')"
+    card = f"{piece} rlike '^[0-9]([ -]?[0-9]){{12,18}}$' and {valid('card', piece)}"
+    longest = f"coalesce(get(filter(sequence(19, 1, -1), k -> i + k - 1 <= size(g) and {card}), 0), 0)"
+    put = f"if(k = 0, named_struct('next', i + 1, 'out', array_append(s.out, g[i - 1])), named_struct('next', i + k, 'out', concat(s.out, filter(array(regexp_extract(g[i - 1], '^[^0-9]*', 0), {piece}), y -> y <> ''))))"
+    step = f"if(i < s.next, s, element_at(transform(array({longest}), k -> {put}), 1))"
+    greedy = f"aggregate(sequence(1, size(g)), named_struct('next', 1, 'out', cast(array() as array<string>)), (s, i) -> {step}, s -> s.out)"
+    return f"element_at(transform(array(regexp_extract_all({m}, '[^0-9]*[0-9]+', 0)), g -> {greedy}), 1)"
+
+
 def valid(kind: str, m: str) -> str:
     digits = f"regexp_replace({m}, '[^0-9]', '')"
     return {
         "email": "true",
         "secret": f"{m} rlike '[0-9]' and {m} rlike '[a-f]'",
-        "date": f"try_to_date({m}, 'yyyy-MM-dd') between date'{FIRST_DAY}' and date'2199-12-31'",
+        "date": f"{date_of(m)} between date'{FIRST_DAY}' and date'2199-12-31'",
         "ssn": f"substr({m}, 1, 3) not in ('000', '666') and substr({m}, 1, 1) <> '9' and substr({m}, 5, 2) <> '00' and substr({m}, 8) <> '0000'",
         "phone": f"length({digits}) between 10 and 15",
         "ip": f"forall(split({m}, '[.]'), x -> cast(x as int) <= 255)",
@@ -77,9 +126,16 @@ def pseudonym(kind: str, m: str, key: str) -> str:
     if kind == "secret":
         return f"substr(concat(sha2(concat({_sql(key)}, '|secret|', {m}), 256)), 1, length({m}))"
     if kind == "date":
-        day = f"datediff(to_date({m}), date'{FIRST_DAY}')"
+        day = f"datediff(d, date'{FIRST_DAY}')"
         p = permuted(f"{day} div {DAYS_B}", f"{day} % {DAYS_B}", str(DAYS_A), str(DAYS_B), key, kind)
-        return f"element_at(transform(array({p}), x -> date_format(date_add(date'{FIRST_DAY}', cast(x.a * {DAYS_B} + x.b as int)), 'yyyy-MM-dd')), 1)"
+        usual = f"element_at(transform(array({p}), x -> date_add(date'{FIRST_DAY}', cast(x.a * {DAYS_B} + x.b as int))), 1)"
+        # by months: place among the dates after the 12th; a month has 18.44 of them on average
+        place = f"({day} - 12 * ((year(d) - 1800) * 12 + month(d)))"
+        p = permuted(f"{place} div {LATE_B}", f"{place} % {LATE_B}", str(LATE_A), str(LATE_B), key, "late date")
+        begin = f"(datediff(add_months(date'{FIRST_DAY}', k), date'{FIRST_DAY}') - 12 * k)"
+        near = f"sequence(greatest(0, cast(j / 18.436875 as int) - 2), least(4799, cast(j / 18.436875 as int) + 2))"
+        late = f"element_at(transform(transform(array({p}), x -> cast(x.a * {LATE_B} + x.b as int)), j -> array_max(transform(filter({near}, k -> {begin} <= j), k -> date_add(add_months(date'{FIRST_DAY}', k), j - {begin} + 12)))), 1)"
+        return f"element_at(transform(transform(array({date_of(m)}), d -> if({month_first(m)}, {late}, {usual})), n -> {dated(m, 'n')}), 1)"
     if kind == "ssn":
         area = f"cast(substr({m}, 1, 3) as int)"
         rest = f"((cast(substr({m}, 5, 2) as int) - 1) * 9999 + cast(substr({m}, 8) as int) - 1)"
@@ -113,16 +169,20 @@ def pseudonymize(docs: DataFrame, *, key: str = "key of this release", text_col:
     text = F.coalesce(F.col(text_col), F.lit(""))
     pattern = F.lit(PATTERN)
     out = docs.withColumn("_found", F.when(text.rlike(r"@|\d\d|[0-9a-f]{32}"), F.regexp_extract_all(text, pattern, F.lit(0))))
+    run = "length(regexp_replace(m, '[^0-9]', '')) >= 13 and m rlike '^[+(]?[0-9][0-9 ().-]*$'"
+    out = out.withColumn("_pieces", F.expr(f"transform(_found, m -> if({run} and {kind_of('m')} is null, {card_pieces('m')}, array(m)))")).withColumn("_found", F.flatten("_pieces"))
     out = out.withColumn("_kinds", F.expr(f"transform(_found, m -> {kind_of('m')})"))
     new = "case element_at(_kinds, i + 1) " + " ".join(f"when '{k}' then {pseudonym(k, 'm', key)}" for k in KINDS) + " else m end"
     out = out.withColumn("_new", F.expr(f"transform(_found, (m, i) -> {new})"))
     gaps = F.when(F.size("_found") > 0, F.split(text, PATTERN, -1))
+    # no gap between the pieces of one match
+    gaps = F.concat(F.flatten(F.transform("_pieces", lambda p, i: F.concat(F.array(F.get(gaps, i)), F.array_repeat(F.lit(""), F.size(p) - 1)))), F.array(F.element_at(gaps, -1)))
     joined: Column = F.array_join(F.zip_with(gaps, F.concat("_new", F.array(F.lit(""))), lambda g, n: F.concat(g, n)), "")
     out = out.withColumn(text_col, F.when(F.size("_found") > 0, joined).otherwise(F.col(text_col)))
     for k in KINDS:
         out = out.withColumn(f"n_{k}", F.expr(f"cast(coalesce(nullif(size(filter(_kinds, x -> x = '{k}')), -1), 0) as bigint)"))
     out = out.withColumn("n_pii", F.size(F.filter(F.coalesce("_kinds", F.array().cast("array<string>")), lambda x: x.isNotNull())).cast("long"))
-    return out.drop("_found", "_kinds", "_new")
+    return out.drop("_found", "_pieces", "_kinds", "_new")
 
 
 def op6_pii(spark, sf_dir):

@@ -190,6 +190,32 @@ def test_pii_keeps_formats_and_links(spark):
     assert out[2].text.split()[0].replace("-", "") == card and out[2].text.split()[1] in out[1].text and out[3].text is None
 
 
+def test_pii_cards_beside_other_numbers(spark):
+    card = "4111 1111 1111 1111"
+    texts = [f"{card} 05/27", f"{card} 123", f"12 {card}", "1234 " + card, f"{card} {card} 7", "4111111111111111-05", "4111111111111111 123-45-6789", "4111111111111111 10.0.0.1", "+1 " + card, "12345678901234567890 " * 4000 + "4111111111111111 99", "4111 1111 1111 1112 05/27"]
+    out = {r.i: r for r in pii.pseudonymize(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).collect()}
+    bare = {i: re.sub("[ -]", "", r.text) for i, r in out.items()}
+    new = re.sub(" ", "", pii.pseudonymize(spark.createDataFrame([(card,)], "text string")).first().text)
+    assert [out[i].n_card for i in range(11)] == [1, 1, 1, 1, 2, 1, 1, 1, 1, 1, 0] and out[10].text == texts[10]
+    assert out[6].n_ssn == out[7].n_ip == 1 and not any("4111111111111111" in bare[i] for i in range(10))
+    assert (bare[0], bare[1], bare[2], bare[3], bare[4], bare[5], bare[8]) == (new + "05/27", new + "123", "12" + new, "1234" + new, new * 2 + "7", new + "05", "+1" + new)
+
+
+def test_pii_date_layouts(spark):
+    from datetime import date, timedelta
+
+    texts = ["14/03/1985", "1985-03-14", "14.03.1985", "1985/03/14", "14 March 1985", "Mar 14, 1985", "March 14th, 1985", "3/14/1985", "03/14/1985", "30/02/1985", "1.2.3.1985", "31 June 1985", "4/3/1985"]
+    out = {r.i: r for r in pii.pseudonymize(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).collect()}
+    assert [out[i].n_date for i in range(13)] == [1] * 9 + [0] * 3 + [1] and all(out[i].text == texts[i] for i in (9, 10, 11))
+    y, m, d = out[1].text.split("-")
+    name = date(int(y), int(m), int(d)).strftime("%B")
+    assert [out[i].text for i in (0, 2, 3)] == [f"{d}/{m}/{y}", f"{d}.{m}.{y}", f"{y}/{m}/{d}"] and out[1].text != texts[1]
+    assert out[4].text == f"{d} {name} {y}" and out[5].text == f"{name[:3]} {d}, {y}" and re.fullmatch(rf"{name} {d}(st|nd|rd|th), {y}", out[6].text)
+    days = [x for i in range(2000) if (x := date(1799, 12, 31) + timedelta(1 + i * 73)).day > 12]
+    changed = [r.text for r in pii.pseudonymize(spark.createDataFrame([(x.strftime("%m/%d/") + f"{x.year}",) for x in days], "text string")).collect()]
+    assert len(set(changed)) == len(days) and all(date(int(y), int(m), int(d)).day > 12 and 1800 <= int(y) < 2200 for m, d, y in (x.split("/") for x in changed))
+
+
 def test_media_finds_edited_copies(spark, sf):
     out = media.op10_media(spark, sf).collect()
     asked = {r.class_id for r in out if r.kind == "member" and r.vec_id % 20 == 0}
