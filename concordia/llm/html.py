@@ -2,8 +2,8 @@
 
 A page is a sequence of tokens: start tags and text nodes, each told apart by its path. Over a host's pages a token's occurrence vector is
 how often each page has it; a fingerprint of the vector adds up in any order, so that it is aggregated in each task first. Tokens with one
-vector are an equivalence class; large classes that most pages of the host have are its template. On a page a class is valid if its
-tokens nest; the text nodes of valid classes are template, and what remains between them are slots. Slots inside
+vector are an equivalence class; large classes that most pages of the host have are its template. Equal pages count as one. On a page a
+class is valid if its tokens come in the class's order, as often as they come, and nest with the other classes; the text nodes of valid classes are template, and what remains between them are slots. Slots inside
 navigation, forms, notices and the like are left out, and the rest is the article.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect
 from functools import lru_cache
 
 import numpy as np
@@ -60,7 +61,7 @@ def is_boilerplate(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
 
 
 def parse(page: str):
-    """(tags, blocks). tags: (path of the tag). blocks: lists of (text, path, in_article, boilerplate), one for each text node."""
+    """(tags, blocks). tags: (path of the tag, place). blocks: lists of (text, path, in_article, boilerplate, place), one for each text node."""
     stack: list[list] = []  # [tag, name in the path, boilerplate, in an article]
     path, boiler, article = "", False, False
     tags, blocks, block = [], [], []
@@ -72,7 +73,7 @@ def parse(page: str):
 
     def text(s):
         if s:
-            block.append((entities.unescape(s), path, article, boiler))
+            block.append((entities.unescape(s), path, article, boiler, at))
 
     def cut():
         nonlocal block
@@ -128,7 +129,7 @@ def parse(page: str):
         opens = tag in ("article", "main") and not own
         # an article begins outside of what was left open before it
         state = [tag, label[-400:], own or (boiler and not (opens and not article)), article or opens]
-        tags.append(state[1])
+        tags.append((state[1], m.start()))
         if not m.group(4):
             stack.append(state)
             settle()
@@ -145,27 +146,53 @@ def token_hash(s: str) -> int:
     return xxhash.xxh64_intdigest(s) - (1 << 63)
 
 
-def page_tokens(page: str) -> dict[int, int]:
-    """How often the page has each token."""
-    tags, blocks = parse(page)
-    out: dict[int, int] = {}
-    for t in tags:
-        h = token_hash(t)
-        out[h] = out.get(h, 0) + 1
+def token_places(tags, blocks) -> dict[int, list[int]]:
+    """Where the page has each token, in order."""
+    out: dict[int, list[int]] = {}
+    for label, place in tags:
+        out.setdefault(token_hash(label), []).append(place)
     for block in blocks:
-        for text, path, _, _ in block:
+        for text, path, _, _, place in block:
             if text := " ".join(text.split()):
-                h = token_hash(f"{path}\n{text}")
-                out[h] = out.get(h, 0) + 1
+                out.setdefault(token_hash(f"{path}\n{text}"), []).append(place)
     return out
 
 
-def article_text(page: str, template: frozenset[int] = frozenset(), whole: bool = True) -> str:
-    """The page's slots outside of boilerplate: those of its articles, if it has any. template: hashes of the host's template tokens."""
-    _, blocks = parse(page)
+def inside(own: list[int], size: int, other: list[int]) -> bool:
+    """Each run of `size` places of own is between two neighbours of other."""
+    return all(bisect(other, own[i]) == bisect(other, own[i + size - 1]) for i in range(0, len(own), size))
+
+
+def valid_tokens(places: dict[int, list[int]], classes: list[list[int]]) -> set[int]:
+    """Tokens of the classes that are valid on a page. What doesn't nest in a larger class is split at that class's tokens, and pieces of two tokens or more are classes again."""
+    valid: list[tuple[list[int], int]] = []
+    found: set[int] = set()
+    left = sorted(classes, key=lambda c: (len(c), c))
+    while left:
+        c = left.pop()
+        at = [places.get(t, []) for t in c]
+        own = [p for turn in zip(*at, strict=False) for p in turn]
+        if not own or any(len(x) != len(at[0]) for x in at) or any(p >= q for p, q in zip(own, own[1:], strict=False)):
+            continue
+        crossed = next((other for other, size in valid if not inside(own, len(c), other) and not inside(other, size, own)), None)
+        if crossed is None:
+            valid.append((own, len(c)))
+            found.update(c)
+        else:
+            pieces: dict[tuple[int, ...], list[int]] = {}
+            for t, x in zip(c, at, strict=True):
+                pieces.setdefault(tuple(bisect(crossed, p) for p in x), []).append(t)
+            left += [x for x in pieces.values() if 1 < len(x) < len(c)]
+    return found
+
+
+def article_text(page: str, template: list[list[int]] = (), whole: bool = True) -> str:
+    """The page's slots outside of boilerplate: those of its articles, if it has any. template: the host's classes, their tokens' hashes in order."""
+    tags, blocks = parse(page)
+    drop = valid_tokens(token_places(tags, blocks), template) if template else ()
     found = []
     for block in blocks:
-        parts = [(t, a) for t, path, a, b in block if not b and not (template and token_hash(f"{path}\n{' '.join(t.split())}") in template)]
+        parts = [(t, a) for t, path, a, b, _ in block if not b and not (drop and token_hash(f"{path}\n{' '.join(t.split())}") in drop)]
         text = " ".join("".join(t for t, _ in parts).split())
         if text:
             found.append((text, any(a for _, a in parts)))
@@ -174,35 +201,51 @@ def article_text(page: str, template: frozenset[int] = frozenset(), whole: bool
     return "\n\n".join(t for t, _ in found)
 
 
+def unpacked(template: list[int]) -> list[list[int]]:
+    """The classes of a template."""
+    out, i = [], 0
+    while i < len(template):
+        out.append(template[i + 1 : i + 1 + template[i]])
+        i += 1 + template[i]
+    return out
+
+
 def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][\w+.-]*://([^/?#:]*)", 1))
 
 
 def templates(pages: DataFrame, scratch: Scratch, min_pages: int = 4, min_share: float = 0.8) -> DataFrame:
-    """(host, template array<long>): the tokens of classes of two tokens or more that at least min_share of a host's pages have, once each.
-    Hosts with fewer than min_pages pages have none: too little is known of them."""
+    """(host, template array<long>): classes of two tokens or more that at least min_share of a host's pages have, each as its size and its tokens in order.
+    Equal pages of a host are one page: text that only copies share is no template. Hosts with fewer than min_pages pages have none: too little is known of them."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            hosts, ids, tokens, counts = [], [], [], []
-            for host, i, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                own = page_tokens(page) | {0: 1}  # 0 stands for the page
+            hosts, ids, copies, tokens, counts, places = [], [], [], [], [], []
+            for host, i, n, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = token_places(*parse(page)) | {0: [0]}  # 0 stands for the page
                 hosts += [host] * len(own)
                 ids += [i] * len(own)
                 tokens += own.keys()
-                counts += own.values()
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(ids, pa.int64()), pa.array(tokens, pa.int64()), pa.array(counts, pa.int64())], names=["host", "page", "token", "n"])
-
-    named = pages.select("host", F.xxhash64("page_id", "html").alias("page"), "html")
-    seen = named.mapInArrow(run, "host string, page long, token long, n long")
+                copies += [n] * len(own)
+                counts += map(len, own.values())
+                places += [x[0] for x in own.values()]
+            columns = [pa.array(hosts, pa.string()), *(pa.array(x, pa.int64()) for x in (ids, copies, tokens, counts, places))]
+            yield pa.RecordBatch.from_arrays(columns, names=["host", "page", "copies", "token", "n", "place"])
+
+    named = pages.select("host", F.xxhash64("html").alias("page"), F.xxhash64(F.lit(9), "html").alias("again"), "html")
+    copied = scratch.write(named.groupBy("host", "page", "again").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "copied")
+    named = named.join(copied, ["host", "page", "again"], "left").select("host", "page", F.coalesce("copies", F.lit(1).cast("long")).alias("copies"), "html")
+    seen = named.mapInArrow(run, "host string, page long, copies long, token long, n long, place long")
     vector = F.sum(F.xxhash64("page", "n").cast("decimal(38,0)")).alias("vector")
-    tokens = scratch.write(seen.groupBy("host", "token").agg(F.count(F.lit(1)).alias("pages"), F.max("n").alias("most"), vector), "tokens")
+    # the copies of a page add up to one; a token that is always before another has the smaller sum of places
+    counted = F.round(F.sum(1 / F.col("copies"))).cast("long").alias("pages")
+    tokens = scratch.write(seen.groupBy("host", "token").agg(counted, F.sum(F.col("place").cast("decimal(38,0)")).alias("place"), vector), "tokens")
     sizes = tokens.where("token = 0").select("host", F.col("pages").alias("of")).where(F.col("of") >= min_pages)
-    usual = tokens.where((F.col("most") == 1) & (F.col("pages") >= min_pages * min_share)).join(sizes, "host").where(F.col("pages") >= min_share * F.col("of"))
-    classes = usual.groupBy("host", "vector").agg(F.collect_list("token").alias("tokens")).where(F.size("tokens") > 1)
-    return scratch.write(classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template")), "templates")
+    usual = tokens.where((F.col("token") != 0) & (F.col("pages") >= min_pages * min_share)).join(sizes, "host").where(F.col("pages") >= min_share * F.col("of"))
+    classes = usual.groupBy("host", "vector").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "token"))), lambda x: x["token"]).alias("tokens")).where(F.size("tokens") > 1)
+    return scratch.write(classes.groupBy("host").agg(F.flatten(F.collect_list(F.concat(F.array(F.size("tokens").cast("long")), "tokens"))).alias("template")), "templates")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -222,15 +265,15 @@ def extract(pages: DataFrame) -> DataFrame:
         for batch in batches:
             texts = []
             for page, template in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
-                tokens = frozenset()
+                classes = []
                 if template.is_valid:
                     values = template.values.to_numpy()
                     key = (len(values), int(np.bitwise_xor.reduce(values)) if len(values) else 0)
-                    tokens = known.get(key)
-                    if tokens is None:
+                    classes = known.get(key)
+                    if classes is None:
                         known.clear()
-                        tokens = known[key] = frozenset(values.tolist())
-                texts.append(article_text(page, tokens))
+                        classes = known[key] = unpacked(values.tolist())
+                texts.append(article_text(page, classes))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     kind = pages.schema["page_id"].dataType.simpleString()

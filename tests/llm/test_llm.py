@@ -179,6 +179,36 @@ def test_html_articles(spark):
     assert "Two three four" in html.article_text(pages[0][2])
 
 
+def extracted(spark, bodies):
+    """Texts by number of one host's pages."""
+    pages = [(i, f"http://h.example/{i}", f"<html><body>{b}</body></html>") for i, b in enumerate(bodies)]
+    return {r.page_id: r.text for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+
+
+def test_html_copies_make_no_template(spark):
+    page = "<article><h1>Title {0}</h1><p>First {0}</p><p>Second {0}</p></article>"
+    out = extracted(spark, [page.format(i if i > 16 else "x") for i in range(21)])
+    assert out == {i: "Title {0}\n\nFirst {0}\n\nSecond {0}".format(i if i > 16 else "x") for i in range(21)}
+
+
+def test_html_template_text_that_comes_twice(spark):
+    again = "<div class='x'><b>Our offers</b></div>"
+    assert extracted(spark, [f"{again}<p>own {i}</p>{again}" for i in range(6)]) == {i: f"own {i}" for i in range(6)}
+
+
+def test_html_classes_keep_their_order(spark):
+    lead, tail = "<h2>Lead</h2>", "<h3>Tail</h3>"
+    out = extracted(spark, [f"{lead}<p>own {i}</p>{tail}" if i else f"{tail}<p>own 0</p>{lead}" for i in range(8)])
+    assert out[0] == "Tail\n\nown 0\n\nLead" and all(out[i] == f"own {i}" for i in range(1, 8))
+
+
+def test_html_classes_nest():
+    places = {1: [10], 2: [50], 3: [20], 4: [30], 5: [60], 6: [40, 70], 7: [45, 75], 8: [5]}
+    assert html.valid_tokens(places, [[1, 2, 8]]) == set() and html.valid_tokens(places, [[8, 1, 2], [6, 7]]) == {8, 1, 2, 6, 7}
+    assert html.valid_tokens(places, [[8, 1, 2], [3, 5]]) == {8, 1, 2} and html.valid_tokens(places, [[8, 1, 2, 9], [3, 4]]) == {3, 4}
+    assert html.valid_tokens({**places, 9: [80]}, [[8, 1, 2, 9], [3, 4, 5]]) == {8, 1, 2, 9, 3, 4}
+
+
 def test_pii_keeps_formats_and_links(spark):
     text = "card 4111 1111 1111 1111 or 4111111111111112, +1 (743) 555-3824 on 2024-02-29 not 2023-02-30, ip 227.5.221.1 not 999.1.1.1, 123-45-6789, a.b@x.example"
     df = spark.createDataFrame([(1, text), (2, "4111-1111-1111-1111 2024-02-29"), (3, None)], "doc_id long, text string")
