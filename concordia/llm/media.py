@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, table
 
-TURNS, RADIUS, SCALES, RESPONSE = 32, 7, (1.0, 1.5), 1.0
+TURNS, RADIUS, STEP, RESPONSE = 32, 7, 2**0.5, 1.0
 #: Pixels of images and corners that are described at once: bounds of a task's memory.
 PIXELS, AT_ONCE = 1 << 19, 1 << 13
-TABLES, LOW, LIMIT, VOTES, BIN, HOT, BANDS = 4, 6, 48, 4, 8, 8, 4
+TABLES, LOW, LIMIT, VOTES, HOT, BANDS = 4, 6, 48, 4, 8, 4
+#: Shares of the query's size in the found image: width of a bin of its middle, and how far matches may be from the motion fitted in each round.
+BIN, FITS = 0.4, (0.2, 0.08, 0.03, 0.01)
 
 
 def pgm(image: np.ndarray) -> bytes:
@@ -76,7 +78,9 @@ def describe_images(images: np.ndarray):
     masks of the LOW bits of each word whose comparison was closest. Places are in full-size pixels."""
     pairs, dy, dx = tests()
     out = []
-    for level, scale in enumerate(SCALES):
+    # levels go on as long as a patch fits
+    for level in range(1 + int(np.log(min(images.shape[1:])) / np.log(STEP))):
+        scale = STEP**level
         a = box(shrink(images.astype(np.float64), scale), 1)
         n, h, w = a.shape
         edge = RADIUS + 1
@@ -111,12 +115,12 @@ def describe_images(images: np.ndarray):
 
 
 def descriptors(images: DataFrame, id_col: str = "id", image_col: str = "image", *, low: bool = False) -> DataFrame:
-    """(id, x, y, turn, level, b0..b3), one row a corner; with `low`, the masks of each word's least certain bits, for queries. Null or unreadable images, and those too small or too smooth, have none."""
+    """(id, x, y, turn, level, width, height, b0..b3), one row a corner; with `low`, the masks of each word's least certain bits, for queries. Null or unreadable images, and those too small or too smooth, have none."""
 
     def run(batches):
         import pyarrow as pa
 
-        names = ["id", "x", "y", "turn", "level", "b0", "b1", "b2", "b3", *["low"] * low]
+        names = ["id", "x", "y", "turn", "level", "width", "height", "b0", "b1", "b2", "b3", *["low"] * low]
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             by_size: dict = {}
@@ -130,13 +134,13 @@ def descriptors(images: DataFrame, id_col: str = "id", image_col: str = "image",
                     part = same[a : a + step]
                     image, x, y, turn, level, bits, unsure = describe_images(np.stack([p for _, p in part]))
                     where = ids[np.array([i for i, _ in part])][image]
-                    columns = [pa.array(where, pa.int64()), *(pa.array(c, pa.int32()) for c in (x, y, turn, level)), *(pa.array(bits[:, k], pa.int64()) for k in range(TABLES))]
+                    columns = [pa.array(where, pa.int64()), *(pa.array(c, pa.int32()) for c in (x, y, turn, level, *(np.full(len(x), n) for n in part[0][1].shape[::-1]))), *(pa.array(bits[:, k], pa.int64()) for k in range(TABLES))]
                     if low:
                         columns.append(pa.array(list(unsure), pa.list_(pa.int64())))
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
     own = images.where(F.col(image_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(image_col).alias("image"))
-    return own.mapInArrow(run, "id long, x int, y int, turn int, level int, b0 long, b1 long, b2 long, b3 long" + ", low array<long>" * low)
+    return own.mapInArrow(run, "id long, x int, y int, turn int, level int, width int, height int, b0 long, b1 long, b2 long, b3 long" + ", low array<long>" * low)
 
 
 def copies(queries: DataFrame, base: DataFrame, *, limit: int = LIMIT, votes: int = VOTES, hot: int = HOT) -> DataFrame:
@@ -145,12 +149,13 @@ def copies(queries: DataFrame, base: DataFrame, *, limit: int = LIMIT, votes: in
     Each 64-bit word of a descriptor is a key. A query's corner probes its words and the words with one or two of their LOW least certain bits
     flipped: long keys keep chance matches rare, probes on the small side find what noise has changed. A word that `hot` corners of base or more
     have (plain edges look alike) isn't a key alone: each band of 16 bits of the corner's other words makes a longer key with it, so that a probe of one
-    word meets fewer than `hot` corners at any size of base. Such corners must also agree in one of the 12 bands. Votes count different corners of the query,
-    over bins of turn, scale and shift that overlap by half, so that no motion is split by a bin's edge. The join is by key and all counts are by
+    word meets fewer than `hot` corners at any size of base. Such corners must also agree in one of the 12 bands. Matches are dealt into coarse bins of turn, scale and
+    the place of the query's middle, relative to its size, that overlap by half, so that no motion is split by a bin's edge. In each bin a turn, scale and shift are fitted to
+    the matches and again to those near it; votes count different corners of the query that it brings to their match. The join is by key and all counts are by
     (query, found), in one exchange of single matches: no image and no bucket is gathered in one task."""
     words = [f"b{k}" for k in range(TABLES)]
 
-    place = "shiftleft(cast(x as long), 40) | shiftleft(cast(y as long), 16) | shiftleft(cast(turn as long), 10) | shiftleft(cast(level as long), 6)"
+    place = "shiftleft(cast(x as long), 40) | shiftleft(cast(y as long), 16) | shiftleft(cast(turn as long), 10) | shiftleft(cast(level as long), 4)"
 
     def probes(k):
         low = f"slice(low, {k * LOW + 1}, {LOW})"
@@ -162,7 +167,7 @@ def copies(queries: DataFrame, base: DataFrame, *, limit: int = LIMIT, votes: in
         return "concat(" + ", ".join(f"transform({a}, w -> named_struct('n', {k}, 'word', w))" for k, a in enumerate(arrays)) + ")"
 
     def keyed(df, arrays, prefix):
-        x = df.selectExpr(f"id as {prefix}id", f"{place} as {prefix}place", *(f"{b} as {prefix}{b}" for b in words), f"inline({numbered(arrays)})")
+        x = df.selectExpr(f"id as {prefix}id", *["width", "height"] * (prefix != ""), f"{place} as {prefix}place", *(f"{b} as {prefix}{b}" for b in words), f"inline({numbered(arrays)})")
         return x.withColumnsRenamed({"n": "k", "word": "key"})
 
     def longer(df, prefix):
@@ -181,26 +186,44 @@ def copies(queries: DataFrame, base: DataFrame, *, limit: int = LIMIT, votes: in
     x = x.unionByName(again.hint("merge").join(crowded, keys).where(close).drop(*keys))
     part = lambda name, shift, bits: F.expr(f"cast(shiftright({name}place, {shift}) & {(1 << bits) - 1} as int)")
     for name in ("q_", ""):
-        x = x.withColumns({f"{name}{c}": part(name, *at) for c, at in {"x": (40, 23), "y": (16, 24), "turn": (10, 6), "level": (6, 4)}.items()})
+        x = x.withColumns({f"{name}{c}": part(name, *at) for c, at in {"x": (40, 23), "y": (16, 24), "turn": (10, 6), "level": (4, 6)}.items()})
     turn = F.pmod(F.col("turn") - F.col("q_turn"), F.lit(TURNS))
     angle = turn * (2 * np.pi / TURNS)
-    ratio = F.pow(F.lit(SCALES[1]), F.col("level") - F.col("q_level"))
+    ratio = F.pow(F.lit(STEP), F.col("level") - F.col("q_level"))
+    dx, dy = F.col("width") / 2 - F.col("q_x"), F.col("height") / 2 - F.col("q_y")
     x = x.select(
         F.col("q_id").alias("query"),
         F.col("id").alias("found"),
         (F.col("level") - F.col("q_level")).alias("step"),
         turn.alias("turned"),
         F.col("q_place").alias("corner"),
-        (F.col("x") - ratio * (F.cos(angle) * F.col("q_x") - F.sin(angle) * F.col("q_y"))).alias("sx"),
-        (F.col("y") - ratio * (F.sin(angle) * F.col("q_x") + F.cos(angle) * F.col("q_y"))).alias("sy"),
-    )
+        "q_x", "q_y", "x", "y", F.greatest("width", "height").alias("size"),
+        (F.col("x") + ratio * (F.cos(angle) * dx - F.sin(angle) * dy)).alias("mx"),
+        (F.col("y") + ratio * (F.sin(angle) * dx + F.cos(angle) * dy)).alias("my"),
+    )
     # what has too few of them isn't dealt into bins
     pair = Window.partitionBy("query", "found")
     x = x.withColumn("corners", F.dense_rank().over(pair.orderBy("corner"))).withColumn("corners", F.max("corners").over(pair)).where(F.col("corners") >= votes).drop("corners")
     x = x.withColumn("around", F.explode(F.expr(f"array(named_struct('h', 0, 't', turned div 4), named_struct('h', 1, 't', (turned + 2) % {TURNS} div 4))")))
-    shifts = F.expr(f"explode(flatten(transform(array(0, {BIN // 2}), i -> transform(array(0, {BIN // 2}), j -> struct(i, j, cast(floor((sx + i) / {BIN}) as int) as u, cast(floor((sy + j) / {BIN}) as int) as v)))))")
-    x = x.select("query", "found", "step", "around", "corner", shifts.alias("shift"))
-    bins = x.groupBy("query", "found", "step", "around", "shift").agg(F.count_distinct("corner").alias("votes")).where(F.col("votes") >= votes)
+    # two neighbouring steps share a bin, whose scale is between them
+    x = x.withColumn("step", F.explode(F.array("step", F.col("step") - 1))).withColumn("size", F.col("size") * F.pow(F.lit(STEP), F.col("step") + 0.5)).withColumn("scale", F.pow(F.lit(STEP), F.col("step") + 0.5))
+    at = lambda c, h: f"cast(floor({c} / (size * {BIN}) + {h} / 2) as int)"
+    shifts = F.expr(f"explode(flatten(transform(array(0, 1), i -> transform(array(0, 1), j -> struct(i, j, {at('mx', 'i')} as u, {at('my', 'j')} as v)))))")
+    x = x.select("query", "found", "step", "around", "corner", "q_x", "q_y", "x", "y", "size", "scale", shifts.alias("shift")).withColumn("off", F.lit(0.0))
+    group = ["query", "found", "step", "around", "shift"]
+    w = Window.partitionBy(*group)
+    # least squares over those near the motion before: x = a q_x - b q_y + .., y = b q_x + a q_y + ..
+    for k, share in enumerate(FITS):
+        near = F.col("off") <= (F.greatest(F.lit(3.0), F.col("size") * FITS[k - 1]) if k else 0.0)
+        mean = lambda e: F.avg(F.when(near, e.cast("double"))).over(w)  # noqa: B023, E731
+        q_x, q_y, f_x, f_y = (F.col(c) for c in ("q_x", "q_y", "x", "y"))
+        x = x.withColumns({"m1": mean(q_x), "m2": mean(q_y), "m3": mean(f_x), "m4": mean(f_y), "m5": mean(q_x * f_x + q_y * f_y), "m6": mean(q_x * f_y - q_y * f_x), "m7": mean(q_x * q_x + q_y * q_y)})
+        spread = F.expr("m7 - m1 * m1 - m2 * m2")
+        spread = F.when(spread > 1e-6, spread)
+        x = x.withColumn("a", F.expr("m5 - m1 * m3 - m2 * m4") / spread).withColumn("b", F.expr("m6 - m1 * m4 + m2 * m3") / spread)
+        x = x.withColumn("off", F.expr("sqrt(pow(x - m3 - a * (q_x - m1) + b * (q_y - m2), 2) + pow(y - m4 - b * (q_x - m1) - a * (q_y - m2), 2))")).withColumn("off", F.coalesce("off", F.lit(float("inf"))))
+    kept = x.where((F.col("off") <= F.greatest(F.lit(3.0), F.col("size") * FITS[-1])) & F.expr("sqrt(a * a + b * b) between scale / 1.6 and scale * 1.6"))
+    bins = kept.groupBy(*group).agg(F.count_distinct("corner").alias("votes")).where(F.col("votes") >= votes)
     return bins.groupBy("query", "found").agg(F.max("votes").alias("votes"))
 
 

@@ -280,6 +280,30 @@ def test_media_small_crops_of_large_images(spark):
     assert media_copies(spark, images, lambda x: x[150:250, 210:310]) == {(i, i) for i in range(8)}
 
 
+def moved(image, degrees, scale):
+    """The image turned about its middle and scaled, by the nearest mean of four pixels; what is outside is grey."""
+    import numpy as np
+
+    h, w = (round(n * scale) for n in image.shape)
+    y, x = np.mgrid[:h, :w].astype(float)
+    y, x = (y - h / 2 + 0.5) / scale, (x - w / 2 + 0.5) / scale
+    c, s = np.cos(np.radians(degrees)), np.sin(np.radians(degrees))
+    v, u = s * x + c * y + image.shape[0] / 2 - 0.5, c * x - s * y + image.shape[1] / 2 - 0.5
+    soft = media.box(image[None].astype(float), 1)[0] if scale < 0.8 else image.astype(float)
+    i, j = np.clip(np.floor(v).astype(int), 0, image.shape[0] - 2), np.clip(np.floor(u).astype(int), 0, image.shape[1] - 2)
+    p, q = v - i, u - j
+    out = soft[i, j] * (1 - p) * (1 - q) + soft[i + 1, j] * p * (1 - q) + soft[i, j + 1] * (1 - p) * q + soft[i + 1, j + 1] * p * q
+    return np.where((p >= 0) & (p <= 1) & (q >= 0) & (q <= 1), out, 128).astype(np.uint8)
+
+
+@pytest.mark.parametrize(("degrees", "scale"), [(5, 1), (37, 1), (0, 0.5), (12, 0.7)])
+def test_media_free_turns_and_scales(spark, degrees, scale):
+    import numpy as np
+
+    images = media.render(np.arange(6 * 4, dtype=np.float32).reshape(6, 4), 320)
+    assert media_copies(spark, images, lambda x: moved(x, degrees, scale)) == {(i, i) for i in range(6)}
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]
