@@ -28,6 +28,7 @@ class Layout:
     name: str
     paths: tuple[str, ...]
     turns: str | None
+    json: str | None = None  # the same over JSON_SCHEMA, where that differs
 
     @property
     def fingerprint(self) -> str:
@@ -38,13 +39,20 @@ def fingerprint(paths) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
 
 
+_IS_LIST = "startswith(schema_of_variant(m.content), 'ARRAY')"
+_PARTS = "try_cast(m.content as array<struct<text string>>)"
+#: A list of parts is the texts of its parts.
+_MESSAGES = f"transform(messages, m -> struct(m.role as role, if({_IS_LIST}, array_join({_PARTS}.text, ''), try_variant_get(m.content, '$', 'string')) as text))"
 _PAIR = "filter(array({}), x -> x.text is not null)"
 LAYOUTS = (
     Layout("turn rows", ("role", "text", "turn"), None),
-    Layout("messages", ("messages", "messages[]", "messages[].content", "messages[].role"), "transform(messages, m -> struct(m.role as role, m.content as text))"),
+    Layout("messages", ("messages", "messages[]", "messages[].content", "messages[].role"), "transform(messages, m -> struct(m.role as role, m.content as text))", _MESSAGES),
+    Layout("messages of parts", ("messages", "messages[]", "messages[].content", "messages[].content[]", "messages[].content[].text", "messages[].role"), "transform(messages, m -> struct(m.role as role, array_join(m.content.text, '') as text))", _MESSAGES),
     Layout("conversations", ("conversations", "conversations[]", "conversations[].from", "conversations[].value"), "transform(conversations, m -> struct(case m.from when 'human' then 'user' when 'gpt' then 'assistant' else m.from end as role, m.value as text))"),
     Layout("instruction", ("instruction", "output"), _PAIR.format("struct('user' as role, instruction as text), struct('assistant' as role, output as text)")),
     Layout("instruction with input", ("input", "instruction", "output"), _PAIR.format("struct('user' as role, concat_ws('\\n\\n', instruction, nullif(input, '')) as text), struct('assistant' as role, output as text)")),
+    Layout("instruction with system", ("instruction", "output", "system"), _PAIR.format("struct('system' as role, system as text), struct('user' as role, instruction as text), struct('assistant' as role, output as text)")),
+    Layout("instruction with system and input", ("input", "instruction", "output", "system"), _PAIR.format("struct('system' as role, system as text), struct('user' as role, concat_ws('\\n\\n', instruction, nullif(input, '')) as text), struct('assistant' as role, output as text)")),
     Layout("prompt", ("completion", "prompt"), _PAIR.format("struct('user' as role, prompt as text), struct('assistant' as role, completion as text)")),
     Layout("prompt with system", ("completion", "prompt", "system"), _PAIR.format("struct('system' as role, system as text), struct('user' as role, prompt as text), struct('assistant' as role, completion as text)")),
 )
@@ -77,48 +85,32 @@ def canonical_turns(df: DataFrame, conv_id: str = "conv_id") -> DataFrame:
     return out.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("t.role").alias("role"), F.col("t.text").alias("text"))
 
 
-#: The same layouts over a JSON record: the schema to parse it by.
-JSON_SCHEMAS = {
-    "messages": "messages array<struct<role string, content string>>",
-    "conversations": "conversations array<struct<`from` string, value string>>",
-    "instruction": "instruction string, output string",
-    "instruction with input": "input string, instruction string, output string",
-    "prompt": "prompt string, completion string",
-    "prompt with system": "system string, prompt string, completion string",
-}
+#: All fields of the layouts in one schema to parse JSON records by; a message's content may be a text or a list of parts.
+JSON_SCHEMA = "messages array<struct<role string, content variant>>, conversations array<struct<`from` string, value string>>, " + ", ".join(f"{f} string" for f in ("instruction", "input", "output", "system", "prompt", "completion"))
 
 
-def json_skeleton(raw: Column) -> Column:
-    """A JSON record's nested field names without their types, as one string; null for what isn't JSON."""
-    kinds = "(?<=[<:] ?)(STRING|BIGINT|DOUBLE|BOOLEAN|VOID|FLOAT|VARIANT|DECIMAL\\(\\d+,\\d+\\))"
-    return F.regexp_replace(F.schema_of_variant(F.try_parse_json(raw)), kinds, "_")
+def json_paths() -> str:
+    """SQL for the known field paths that a parsed record has, as an array; what is null is absent."""
+    has = lambda array, field, path: f"if(exists({array}, m -> m.`{field}` is not null), '{path}', null)"
+    paths = [f"if({f} is not null, '{f}', null)" for f in ("instruction", "input", "output", "system", "prompt", "completion")]
+    for array, fields in (("messages", ("role", "content")), ("conversations", ("from", "value"))):
+        paths += [f"if({array} is not null, '{array}', null)", f"if(size({array}) > 0, '{array}[]', null)", *(has(array, f, f"{array}[].{f}") for f in fields)]
+    parts = f"if(exists(messages, m -> {_IS_LIST}), '{{}}', null)"
+    return f"array({', '.join(paths + [parts.format(p) for p in ('messages[].content[]', 'messages[].content[].text')])})"
 
 
 def json_turns(df: DataFrame, raw_col: str = "record", conv_id: str = "conv_id") -> DataFrame:
-    """(conv_id, turn, role, text, layout) of JSON records in mixed layouts; each record's own field paths pick its mapping. Records
-    of no known layout give one row with turn, role, text and layout null, so that none goes unnoticed."""
-    keys = {
-        "messages": "OBJECT<messages: ARRAY<OBJECT<content: _, role: _>>>",
-        "conversations": "OBJECT<conversations: ARRAY<OBJECT<from: _, value: _>>>",
-        "instruction": "OBJECT<instruction: _, output: _>",
-        "instruction with input": "OBJECT<input: _, instruction: _, output: _>",
-        "prompt": "OBJECT<completion: _, prompt: _>",
-        "prompt with system": "OBJECT<completion: _, prompt: _, system: _>",
-    }
-    by_name = {x.name: x for x in LAYOUTS}
-    out = df.withColumn("_print", F.xxhash64(json_skeleton(F.col(raw_col))))
-    turns, layout = F.lit(None).cast("array<struct<role:string,text:string>>"), F.lit(None).cast("string")
-    for name, skeleton in keys.items():
-        record = F.from_json(F.col(raw_col), JSON_SCHEMAS[name])
-        hit = F.col("_print") == F.xxhash64(F.lit(skeleton))
-        fields = [f.split()[0].strip("`") for f in JSON_SCHEMAS[name].split(", ") if not f.startswith("content")]
-        fields = {"messages": ["messages"], "conversations": ["conversations"]}.get(name, fields)
-        out = out.withColumns({f"_{name}_{f}".replace(" ", "_"): F.when(hit, record[f]) for f in fields})
-        expr = by_name[name].turns
-        renamed = out.select("*", *[F.col(f"_{name}_{f}".replace(" ", "_")).alias(f) for f in fields if f not in out.columns])
-        out = renamed.withColumn("_turns_" + name.replace(" ", "_"), F.when(hit, F.expr(expr))).drop(*[f for f in fields if f not in df.columns])
-        turns, layout = F.coalesce(F.col("_turns_" + name.replace(" ", "_")), turns), F.when(hit, F.lit(name)).otherwise(layout)
-    out = out.select(F.col(conv_id).alias("conv_id"), layout.alias("layout"), F.posexplode_outer(turns).alias("turn", "t"))
+    """(conv_id, turn, role, text, layout) of JSON records in mixed layouts. A record's own field paths, less those that no layout has, hash to its mapping. Records of
+    no known layout, null ones and what isn't JSON give one row with turn, role, text and layout null, so that none goes unnoticed; so does a list of no messages, with its
+    layout. Repeated records and ids of any type, null ones too, are taken as they are; other columns are ignored."""
+    options = {"maxStringLen": str(2**31 - 1)}
+    out = df.select(F.col(conv_id).alias("_conv"), F.from_json(F.col(raw_col).cast("string"), JSON_SCHEMA, options).alias("r")).select("_conv", "r.*")
+    known = f"substr(sha2(array_join(array_sort(filter({json_paths()}, p -> p is not null)), '\n'), 256), 1, 16)"
+    out = out.withColumn("_print", F.expr(known))
+    named = [x for x in LAYOUTS if x.turns]
+    turns = F.expr("case _print " + " ".join(f"when '{x.fingerprint}' then {x.json or x.turns}" for x in named) + " end")
+    layout = F.expr("case _print " + " ".join(f"when '{x.fingerprint}' then '{x.name}'" for x in named) + " end")
+    out = out.select(F.col("_conv").alias("conv_id"), layout.alias("layout"), F.posexplode_outer(turns).alias("turn", "t"))
     return out.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("t.role").alias("role"), F.col("t.text").alias("text"), "layout")
 
 
@@ -160,7 +152,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
     """Adds turns (array<struct<role, text>>) and loss_text to the rows of format_chat, from formatted and spans alone."""
     out = formatted.withColumn("_parts", F.split("formatted", r"<\|im_start\|>", -1))
     out = out.withColumn("_parts", F.transform(F.slice("_parts", F.lit(2), F.size("_parts") - 1), lambda s: F.concat(F.lit(START), s)))
-    head = r"(?s)\A<\|im_start\|>((?:[^\\\n]|\\.)*)\n"
+    head = r"(?s)\A<\|im_start\|>([^\\\n]*+(?:\\.[^\\\n]*+)*+)\n"
 
     def turn(s):
         role = F.regexp_extract(s, head, 1)
@@ -176,8 +168,22 @@ def probe_conversation(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT -1L AS conv_id, t AS turn, r AS role, '{says}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(t, r)")
 
 
+def through_layouts(turns: DataFrame) -> DataFrame:
+    """Turn rows, of which two thirds of the conversations come as JSON records of two layouts with a field that no layout has: one record a turn, which keeps its place."""
+    role, text, third = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")), F.pmod(F.xxhash64("conv_id"), F.lit(3))
+    # names that the layout gives another meaning stay as rows
+    plain = third.isin(0) | (third.isin(2) & role.isin("human", "gpt"))
+    speaker = F.when(role == "user", "human").when(role == "assistant", "gpt").otherwise(role)
+    messages = F.to_json(F.struct(F.array(F.struct(role.alias("role"), text.alias("content"), F.lit("x").alias("name"))).alias("messages")))
+    conversations = F.to_json(F.struct(F.lit("x").alias("id"), F.array(F.struct(speaker.alias("from"), text.alias("value"))).alias("conversations")))
+    records = turns.where(~plain).select(F.struct("conv_id", "turn").alias("conv_id"), F.when(third == 1, messages).otherwise(conversations).alias("record"))
+    read = json_turns(records).select("conv_id.conv_id", "conv_id.turn", "role", "text")
+    return canonical_turns(turns.where(plain)).unionByName(read)
+
+
 def op2_chat(spark, sf_dir):
-    turns = canonical_turns(table(spark, sf_dir, "conversations"))
+    """Whole conversations, as rows and as records of two layouts; the result is what it is from rows alone."""
+    turns = through_layouts(table(spark, sf_dir, "conversations"))
     out = read_back(format_chat(turns.unionByName(probe_conversation(spark))))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 
@@ -17,9 +18,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir. Only where that is unset and Spark runs in one process, a temporary one: on a cluster
+    the driver's folder isn't the executors', so that is an error there."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="concordia-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -78,5 +82,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(taken, *names: str) -> tuple[str, ...]:
+    """The names, with underscores behind those that a table has already (in any case): for working columns that must not clash with a caller's."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return tuple(out)
+
+
 def power_of_two(n: float) -> int:
     return 1 << max(0, int(n - 1).bit_length()) if n > 1 else 1
