@@ -10,15 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
-ROUNDS = 8
+ROUNDS, BLOCK = 8, 256
 #: Years 1800 to 2199: 146,097 days, which is 189 times 773.
 FIRST_DAY, DAYS_A, DAYS_B = "1800-01-01", 189, 773
 #: Dates after a month's 12th, which alone tell month/day/year from day/month/year: 88,497 of them, 9 times 9,833.
 LATE_A, LATE_B = 9, 9833
 
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+#: Bounds of the standards (64 for the name, 63 for a label), possessive, and tried once a run: time is linear in the text, and no match recurses by its length.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,126}[A-Za-z]{2,63}"
 PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[ .-]\d{4}(?![\w-])|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){3,4}(?![\w-])"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 MONTH = r"(?i:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:t(?:ember)?)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
@@ -98,11 +99,13 @@ def card_pieces(m: str) -> str:
     """SQL for the pieces of a run of digit groups that as a whole is of no kind: its valid cards, longest first from the left, and what is between them."""
     after = "array_join(slice(g, i, k), '')"
     piece = f"regexp_replace({after}, '^[^0-9]+', '')"
-    card = f"{piece} rlike '^[0-9]([ -]?[0-9]){{12,18}}$' and {valid('card', piece)}"
+    card = f"length(regexp_replace({after}, '[^0-9]', '')) between 13 and 19 and {piece} rlike '^[0-9]([ -]?[0-9]){{12,18}}$' and {valid('card', piece)}"
     longest = f"coalesce(get(filter(sequence(19, 1, -1), k -> i + k - 1 <= size(g) and {card}), 0), 0)"
     put = f"if(k = 0, named_struct('next', i + 1, 'out', array_append(s.out, g[i - 1])), named_struct('next', i + k, 'out', concat(s.out, filter(array(regexp_extract(g[i - 1], '^[^0-9]*', 0), {piece}), y -> y <> ''))))"
     step = f"if(i < s.next, s, element_at(transform(array({longest}), k -> {put}), 1))"
-    greedy = f"aggregate(sequence(1, size(g)), named_struct('next', 1, 'out', cast(array() as array<string>)), (s, i) -> {step}, s -> s.out)"
+    # in blocks of groups, so that long runs aren't copied for each of their pieces
+    block = f"aggregate(sequence(b * {BLOCK} + 1, least(size(g), (b + 1) * {BLOCK})), named_struct('next', o.next, 'out', cast(array() as array<string>)), (s, i) -> {step})"
+    greedy = f"aggregate(sequence(0, cast((size(g) - 1) div {BLOCK} as int)), named_struct('next', 1, 'out', cast(array() as array<array<string>>)), (o, b) -> element_at(transform(array({block}), t -> named_struct('next', t.next, 'out', array_append(o.out, t.out))), 1), o -> flatten(o.out))"
     return f"element_at(transform(array(regexp_extract_all({m}, '[^0-9]*[0-9]+', 0)), g -> {greedy}), 1)"
 
 
@@ -161,30 +164,36 @@ def kind_of(m: str) -> str:
     return f"case {whens} when {m} rlike '^[0-9a-f]{{32,64}}$' and {valid('secret', m)} then 'secret' end"
 
 
-def pseudonymize(docs: DataFrame, *, key: str = "key of this release", text_col: str = "text") -> DataFrame:
+def pseudonymize(docs: DataFrame, *, key: str, text_col: str = "text") -> DataFrame:
     """docs with its text's personal data replaced, and n_<kind> for each kind and n_pii (long).
 
     Null text stays null, with no findings. Numbers that fail validation stay as they are. A value across a line break isn't found. Repeated
-    rows, null ids and empty tables are fine; a column that is named like an added one is replaced. No shuffle."""
+    rows, null ids and empty tables are fine; columns of any other name stay, one that is named like an added one is replaced. Time is linear in a text's length. No shuffle.
+    Whoever has the key can turn pseudonyms back; it is a literal of the plan, which spark.redaction.string.regex can hide."""
+    found, pieces, kinds, new_, gaps_ = fresh(docs.columns, "_found", "_pieces", "_kinds", "_new", "_gaps")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    pattern = F.lit(PATTERN)
-    out = docs.withColumn("_found", F.when(text.rlike(r"@|\d\d|[0-9a-f]{32}"), F.regexp_extract_all(text, pattern, F.lit(0))))
+    # what every kind has somewhere: @, two digits or a digit and a point, or a long hex string
+    out = docs.withColumn(found, F.when(text.rlike(r"@|\d[\d.]|[0-9a-f]{32}"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))))
     run = "length(regexp_replace(m, '[^0-9]', '')) >= 13 and m rlike '^[+(]?[0-9][0-9 ().-]*$'"
-    out = out.withColumn("_pieces", F.expr(f"transform(_found, m -> if({run} and {kind_of('m')} is null, {card_pieces('m')}, array(m)))")).withColumn("_found", F.flatten("_pieces"))
-    out = out.withColumn("_kinds", F.expr(f"transform(_found, m -> {kind_of('m')})"))
-    new = "case element_at(_kinds, i + 1) " + " ".join(f"when '{k}' then {pseudonym(k, 'm', key)}" for k in KINDS) + " else m end"
-    out = out.withColumn("_new", F.expr(f"transform(_found, (m, i) -> {new})"))
-    gaps = F.when(F.size("_found") > 0, F.split(text, PATTERN, -1))
+    out = out.withColumn(pieces, F.expr(f"transform({found}, m -> if({run} and {kind_of('m')} is null, {card_pieces('m')}, array(m)))")).withColumn(found, F.flatten(pieces))
+    out = out.withColumn(kinds, F.expr(f"transform({found}, m -> {kind_of('m')})"))
+    new = f"case element_at({kinds}, i + 1) " + " ".join(f"when '{k}' then {pseudonym(k, 'm', key)}" for k in KINDS) + " else m end"
+    out = out.withColumn(new_, F.expr(f"transform({found}, (m, i) -> {new})"))
+    out = out.withColumn(gaps_, F.when(F.size(found) > 0, F.split(text, PATTERN, -1)))
     # no gap between the pieces of one match
-    gaps = F.concat(F.flatten(F.transform("_pieces", lambda p, i: F.concat(F.array(F.get(gaps, i)), F.array_repeat(F.lit(""), F.size(p) - 1)))), F.array(F.element_at(gaps, -1)))
-    joined: Column = F.array_join(F.zip_with(gaps, F.concat("_new", F.array(F.lit(""))), lambda g, n: F.concat(g, n)), "")
-    out = out.withColumn(text_col, F.when(F.size("_found") > 0, joined).otherwise(F.col(text_col)))
+    gaps = F.concat(F.flatten(F.transform(pieces, lambda p, i: F.concat(F.array(F.get(F.col(gaps_), i)), F.array_repeat(F.lit(""), F.size(p) - 1)))), F.array(F.element_at(gaps_, -1)))
+    joined: Column = F.array_join(F.zip_with(gaps, F.concat(new_, F.array(F.lit(""))), lambda g, n: F.concat(g, n)), "")
+    out = out.withColumn(text_col, F.when(F.size(found) > 0, joined).otherwise(F.col(text_col)))
     for k in KINDS:
-        out = out.withColumn(f"n_{k}", F.expr(f"cast(coalesce(nullif(size(filter(_kinds, x -> x = '{k}')), -1), 0) as bigint)"))
-    out = out.withColumn("n_pii", F.size(F.filter(F.coalesce("_kinds", F.array().cast("array<string>")), lambda x: x.isNotNull())).cast("long"))
-    return out.drop("_found", "_pieces", "_kinds", "_new")
+        out = out.withColumn(f"n_{k}", F.expr(f"cast(coalesce(nullif(size(filter({kinds}, x -> x = '{k}')), -1), 0) as bigint)"))
+    out = out.withColumn("n_pii", F.size(F.filter(F.coalesce(kinds, F.array().cast("array<string>")), lambda x: x.isNotNull())).cast("long"))
+    return out.drop(found, pieces, kinds, new_, gaps_)
+
+
+#: The key of the registered query, whose results are compared between runs; a release takes a key of its own, from a secret store.
+QUERY_KEY = "key of the op6_pii query"
 
 
 def op6_pii(spark, sf_dir):
-    out = pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), key=QUERY_KEY)
     return out.select("doc_id", "n_pii", *(f"n_{k}" for k in KINDS), "text")

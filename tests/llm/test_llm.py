@@ -135,9 +135,9 @@ def test_odd_rows_pass_every_operator(spark):
     kept = linededup.dedup_lines(df)
     assert kept.count() == n and kept.where("doc_id = 7").first().text == "kept" and kept.where("doc_id = 1").first().n_lines == 1
     assert quality.judge(df).count() == n and quality.judge(df).where("doc_id = 1").first().kept is False
-    assert pii.pseudonymize(df).count() == n and jaccard.jaccard_components(df).count() == n
+    assert pii_(df).count() == n and jaccard.jaccard_components(df).count() == n
     empty = df.limit(0)
-    for out in (mixing.mix_sources(empty), linededup.dedup_lines(empty), quality.judge(empty), pii.pseudonymize(empty), jaccard.jaccard_components(empty)):
+    for out in (mixing.mix_sources(empty), linededup.dedup_lines(empty), quality.judge(empty), pii_(empty), jaccard.jaccard_components(empty)):
         assert out.count() == 0
 
 
@@ -161,10 +161,30 @@ def test_chat_layouts(spark):
     df = spark.createDataFrame([(1, "q", "", "a"), (2, "q", "in", "a")], "conv_id long, instruction string, input string, output string")
     assert chat.layout_of(df.schema).name == "instruction with input"
     assert [r.text for r in chat.canonical_turns(df).orderBy("conv_id", "turn").collect()] == ["q", "a", "q\n\nin", "a"]
-    raw = [{"messages": [{"role": "user", "content": "u"}]}, {"prompt": "p", "completion": "c"}, {"conversations": [{"from": "gpt", "value": "v"}]}, {"what": 1}]
-    out = chat.json_turns(spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(raw)], "conv_id long, record string"))
-    assert sorted((r.conv_id, r.turn, r.role, r.text) for r in out.where("layout is not null").collect()) == [(0, 0, "user", "u"), (1, 0, "user", "p"), (1, 1, "assistant", "c"), (2, 0, "assistant", "v")]
-    assert out.where("layout is null").count() == 1
+
+
+def test_chat_json_records_with_extra_fields(spark):
+    raw = [
+        {"id": 7, "messages": [{"role": "user", "content": "u", "name": "x"}, {"role": "assistant", "content": [{"type": "text", "text": "a"}, {"type": "image", "url": "z"}, {"type": "text", "text": "b"}]}]},
+        {"prompt": "p", "completion": "c", "meta": {"a": [1]}}, {"conversations": [{"from": "gpt", "value": "v", "weight": 1}]},
+        {"instruction": "i", "input": "n", "output": "o", "source": "s"}, {"instruction": "i", "input": None, "output": "o"}, {"system": "s", "instruction": "i", "output": "o"}, {"what": 1}, {"messages": []},
+    ]
+    texts = [json.dumps(r) for r in raw] + [None, "no json", json.dumps({"messages": [{"role": "user", "content": "[1]"}, {"role": "tool", "content": {"a": 1}}]})]
+    df = spark.createDataFrame([(str(i), t, "x") for i, t in enumerate(texts)] + [("2", texts[2], "y")], "conv_id string, record string, messages string")
+    out = chat.json_turns(df)
+    got = sorted((int(r.conv_id), r.turn, r.role, r.text) for r in out.where("turn is not null").collect())
+    two = [(2, 0, "assistant", "v")] * 2
+    assert got == [(0, 0, "user", "u"), (0, 1, "assistant", "ab"), (1, 0, "user", "p"), (1, 1, "assistant", "c"), *two, (3, 0, "user", "i\n\nn"), (3, 1, "assistant", "o"), (4, 0, "user", "i"), (4, 1, "assistant", "o"), (5, 0, "system", "s"), (5, 1, "user", "i"), (5, 2, "assistant", "o"), (10, 0, "user", "[1]"), (10, 1, "tool", '{"a":1}')]
+    assert sorted(int(r.conv_id) for r in out.where("layout is null").collect()) == [6, 7, 8, 9] and chat.json_turns(df.limit(0)).count() == 0
+    nested = spark.createDataFrame([(1, [("user", [("p", "t")])])], "conv_id long, messages array<struct<role string, content array<struct<text string, type string>>>>")
+    assert [r.text for r in chat.canonical_turns(nested).collect()] == ["p"]
+
+
+def test_chat_odd_turns(spark):
+    said = [(1, 0, "r" * 5000 + "\n\\", "t" * 1_000_000), (1, 0, "user", "same"), (1, 0, "user", "same"), (2, None, None, None)]
+    df = spark.createDataFrame([(*x, "extra", "head") for x in said], "conv_id long, turn long, role string, text string, formatted string, head string")
+    out = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in chat.read_back(chat.format_chat(df)).collect()}
+    assert out == {1: [said[0][2:], ("user", "same"), ("user", "same")], 2: [("", "")]} and chat.read_back(chat.format_chat(df.limit(0))).count() == 0
 
 
 PAGE = "<html><head><title>t</title></head><body><header>Site</header><nav><a>Home</a></nav>{}<aside>side</aside><form>f<input></form><footer>foot {}</footer></body></html>"
@@ -209,10 +229,14 @@ def test_html_classes_nest():
     assert html.valid_tokens({**places, 9: [80]}, [[8, 1, 2, 9], [3, 4, 5]]) == {8, 1, 2, 9, 3, 4}
 
 
+def pii_(df):
+    return pii.pseudonymize(df, key="k")
+
+
 def test_pii_keeps_formats_and_links(spark):
     text = "card 4111 1111 1111 1111 or 4111111111111112, +1 (743) 555-3824 on 2024-02-29 not 2023-02-30, ip 227.5.221.1 not 999.1.1.1, 123-45-6789, a.b@x.example"
     df = spark.createDataFrame([(1, text), (2, "4111-1111-1111-1111 2024-02-29"), (3, None)], "doc_id long, text string")
-    out = {r.doc_id: r for r in pii.pseudonymize(df).collect()}
+    out = {r.doc_id: r for r in pii_(df).collect()}
     assert [out[1][f"n_{k}"] for k in ("card", "phone", "date", "ip", "ssn", "email")] == [1] * 6
     assert "4111111111111112" in out[1].text and "2023-02-30" in out[1].text and "999.1.1.1" in out[1].text and "4111 1111" not in out[1].text
     card = re.search(r"card ([\d ]{19})", out[1].text)[1].replace(" ", "")
@@ -220,12 +244,174 @@ def test_pii_keeps_formats_and_links(spark):
     assert out[2].text.split()[0].replace("-", "") == card and out[2].text.split()[1] in out[1].text and out[3].text is None
 
 
+def test_pii_each_kind_alone(spark):
+    alone = {"email": "a@b.cd", "date": "1.2.2003", "ssn": "123-45-6789", "phone": "(743) 555-3824", "ip": "8.8.8.8", "card": "4111111111111111", "secret": "key=" + "0123456789abcdef" * 2}
+    out = [r for r in pii_(spark.createDataFrame([(k, f"see {v} ok") for k, v in alone.items()], "kind string, text string")).collect()]
+    assert all(r[f"n_{r.kind}"] == r.n_pii == 1 and alone[r.kind] not in r.text for r in out)
+
+
+def test_pii_long_texts_take_seconds(spark):
+    import time
+
+    n = 1_000_000
+    texts = ["a" * n, "1" * n, "a@" + "b.c" * (n // 3), "@" * n, "a.b" * (n // 3), "1.2." * (n // 4), "1 2 " * (n // 8), "1-2-" * (n // 4), "8.8.8.8 " * 20_000, "a@b" + ".c" * 4000]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(8)
+    start = time.time()
+    out = {r.i: r for r in pii_(df).select("i", "n_pii", "n_ip", F.length("text").alias("n")).collect()}
+    assert out[8].n_ip == 20_000 and all(out[i].n == len(texts[i]) for i in (0, 1, 3)) and time.time() - start < 120
+
+
+def test_pii_keeps_other_columns(spark):
+    df = spark.createDataFrame([("a@b.cd", "x", "y", "z", "g")], "text string, _found string, _Kinds string, _new string, _gaps string")
+    r = pii_(df).first()
+    assert (r._found, r._Kinds, r._new, r._gaps, r.n_email) == ("x", "y", "z", "g", 1)
+
+
+class Twin:
+    """The same pseudonyms by plain Python: patterns over one text at a time, checks by datetime and loops, hashlib for the Feistel network."""
+
+    import datetime
+
+    MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+    FIRST = datetime.date(1800, 1, 1)
+
+    def __init__(self, key):
+        import regex
+
+        self.key = key
+        self.patterns = {k: regex.compile(p, regex.ASCII) for k, p in pii.KINDS.items()}
+        self.all = regex.compile("|".join(pii.KINDS.values()), regex.ASCII)
+
+    def permuted(self, a, b, m, n, kind):
+        for r in range(1, 9):
+            h = int(hashlib.sha256(f"{self.key}|{kind}|{r}|{b if r % 2 else a}".encode()).hexdigest()[:12], 16)
+            a, b = ((a + h) % m, b) if r % 2 else (a, (b + h) % n)
+        return a, b
+
+    def digits(self, d, kind):
+        k = len(d) // 2
+        a, b = self.permuted(int(d[:k]), int(d[k:]), 10**k, 10 ** (len(d) - k), f"{kind}{len(d)}")
+        return f"{a:0{k}d}{b:0{len(d) - k}d}"
+
+    def luhn(self, d):
+        return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10
+
+    def date(self, m):
+        """(date, day/month/year order) or None."""
+        n = [int(x) for x in re.findall(r"\d+", m)]
+        if word := re.search("[A-Za-z]{3,}", m):
+            year, day, month, order = max(n), min(n), self.MONTHS.index(word[0][:3].lower()) + 1, "named"
+        elif len(re.match(r"\d+", m)[0]) == 4:
+            (year, month, day), order = n, "ymd"
+        else:
+            (day, month, year), order = n, "dmy"
+            if month > 12:
+                day, month, order = month, day, "mdy"
+        try:
+            d = self.datetime.date(year, month, day)
+        except ValueError:
+            return None
+        return (d, order) if 1800 <= d.year <= 2199 else None
+
+    def kind(self, m):
+        for k, p in self.patterns.items():
+            if k == "secret" and re.fullmatch("[0-9a-f]{32,64}", m) or k != "secret" and p.fullmatch(m):
+                d = re.sub("[^0-9]", "", m)
+                ok = {
+                    "email": lambda: True, "secret": lambda: re.search("[0-9]", m) and re.search("[a-f]", m), "date": lambda: self.date(m),
+                    "ssn": lambda: d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000", "phone": lambda: 10 <= len(d) <= 15,
+                    "ip": lambda: all(int(x) < 256 for x in m.split(".")), "card": lambda: 13 <= len(d) <= 19 and d.strip("0") and not self.luhn(d),
+                }[k]()
+                if ok:
+                    return k
+        return None
+
+    def pieces(self, m):
+        groups, out, i = re.findall("[^0-9]*[0-9]+", m), [], 0
+        while i < len(groups):
+            for k in range(min(19, len(groups) - i), 0, -1):
+                piece = re.sub("^[^0-9]+", "", "".join(groups[i : i + k]))
+                d = re.sub("[^0-9]", "", piece)
+                if re.fullmatch("[0-9](?:[ -]?[0-9]){12,18}", piece) and d.strip("0") and not self.luhn(d):
+                    out += [x for x in (re.match("[^0-9]*", groups[i])[0], piece) if x]
+                    i += k
+                    break
+            else:
+                out.append(groups[i])
+                i += 1
+        return out
+
+    def new(self, k, m):
+        d = re.sub("[^0-9]", "", m)
+        fill = lambda new: "".join(c if not c.isdigit() else new.pop(0) for c in m)
+        if k in ("email", "secret"):
+            h = hashlib.sha256(f"{self.key}|{k}|{m.lower() if k == 'email' else m}".encode()).hexdigest()
+            return h[: len(m)] if k == "secret" else f"u{h[:16]}@{m.rsplit('@', 1)[1]}"
+        if k == "ssn":
+            area = int(d[:3])
+            a, b = self.permuted(area - 2 if area > 666 else area - 1, (int(d[3:5]) - 1) * 9999 + int(d[5:]) - 1, 898, 989901, k)
+            return f"{a + 2 if a + 1 > 665 else a + 1:03d}-{b // 9999 + 1:02d}-{b % 9999 + 1:04d}"
+        if k == "ip":
+            o = [int(x) for x in m.split(".")]
+            a, b = self.permuted(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, k)
+            return f"{a // 256}.{a % 256}.{b // 256}.{b % 256}"
+        if k == "phone":
+            return fill(list(d[:-10] + self.digits(d[-10:], k)))
+        if k == "card":
+            body = d[0] + self.digits(d[1:-1], k)
+            return fill(list(body + str(-self.luhn(body + "0") % 10)))
+        day, order = self.date(m)
+        n = (day - self.FIRST).days
+        if order == "mdy":
+            late = [x for i in range(146_097) if (x := self.FIRST + self.datetime.timedelta(i)).day > 12] if not hasattr(self, "late") else self.late
+            self.late = late
+            place = n - 12 * ((day.year - 1800) * 12 + day.month)
+            a, b = self.permuted(place // 9833, place % 9833, 9, 9833, "late date")
+            to = late[a * 9833 + b]
+        else:
+            a, b = self.permuted(n // 773, n % 773, 189, 773, k)
+            to = self.FIRST + self.datetime.timedelta(a * 773 + b)
+        if order == "named":
+            return None  # their layouts are held by test_pii_date_layouts
+        two = "" if re.search("(?<![0-9])[0-9](?![0-9])", m) else "02"
+        parts = {"y": f"{to.year:04d}", "m": format(to.month, two + "d" if two else "d"), "d": format(to.day, two + "d" if two else "d")}
+        return re.search("[-/.]", m)[0].join(parts[c] for c in order)
+
+    def __call__(self, text):
+        counts, out, at = dict.fromkeys(pii.KINDS, 0), [], 0
+        for x in self.all.finditer(text):
+            out.append(text[at : x.start()])
+            at, m = x.end(), x[0]
+            long = len(re.sub("[^0-9]", "", m)) >= 13 and re.fullmatch("[+(]?[0-9][0-9 ().-]*", m)
+            for piece in self.pieces(m) if long and not self.kind(m) else [m]:
+                k = self.kind(piece)
+                if k:
+                    counts[k] += 1
+                out.append(self.new(k, piece) if k else piece)
+        named = None in out
+        return counts, None if named else "".join([*out, text[at:]])
+
+
+def test_pii_agrees_with_a_twin_in_python(spark, sf):
+    twin = Twin(pii.QUERY_KEY)
+    made = ["dns 8.8.8.8 ok", "12/31/1999 and 31/12/1999, 1999-12-31", "4111 1111 1111 1111 12 4111-1111-1111-1111 7", "+1 (743) 555-3824", None, ""]
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()} | {-1 - i: t for i, t in enumerate(made)}
+    out = pii.op6_pii(spark, sf).unionByName(pii.pseudonymize(spark.createDataFrame([(-1 - i, t) for i, t in enumerate(made)], "doc_id long, text string"), key=pii.QUERY_KEY)).collect()
+    changed = 0
+    for r in out:
+        counts, text = twin(texts[r.doc_id] or "")
+        assert {k: r[f"n_{k}"] for k in counts} == counts
+        assert text is None or text == (r.text or "")
+        changed += r.n_pii > 0
+    assert len(out) == len(texts) and changed > 10
+
+
 def test_pii_cards_beside_other_numbers(spark):
     card = "4111 1111 1111 1111"
     texts = [f"{card} 05/27", f"{card} 123", f"12 {card}", "1234 " + card, f"{card} {card} 7", "4111111111111111-05", "4111111111111111 123-45-6789", "4111111111111111 10.0.0.1", "+1 " + card, "12345678901234567890 " * 4000 + "4111111111111111 99", "4111 1111 1111 1112 05/27"]
-    out = {r.i: r for r in pii.pseudonymize(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).collect()}
+    out = {r.i: r for r in pii_(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).collect()}
     bare = {i: re.sub("[ -]", "", r.text) for i, r in out.items()}
-    new = re.sub(" ", "", pii.pseudonymize(spark.createDataFrame([(card,)], "text string")).first().text)
+    new = re.sub(" ", "", pii_(spark.createDataFrame([(card,)], "text string")).first().text)
     assert [out[i].n_card for i in range(11)] == [1, 1, 1, 1, 2, 1, 1, 1, 1, 1, 0] and out[10].text == texts[10]
     assert out[6].n_ssn == out[7].n_ip == 1 and not any("4111111111111111" in bare[i] for i in range(10))
     assert (bare[0], bare[1], bare[2], bare[3], bare[4], bare[5], bare[8]) == (new + "05/27", new + "123", "12" + new, "1234" + new, new * 2 + "7", new + "05", "+1" + new)
@@ -235,14 +421,14 @@ def test_pii_date_layouts(spark):
     from datetime import date, timedelta
 
     texts = ["14/03/1985", "1985-03-14", "14.03.1985", "1985/03/14", "14 March 1985", "Mar 14, 1985", "March 14th, 1985", "3/14/1985", "03/14/1985", "30/02/1985", "1.2.3.1985", "31 June 1985", "4/3/1985"]
-    out = {r.i: r for r in pii.pseudonymize(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).collect()}
+    out = {r.i: r for r in pii_(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).collect()}
     assert [out[i].n_date for i in range(13)] == [1] * 9 + [0] * 3 + [1] and all(out[i].text == texts[i] for i in (9, 10, 11))
     y, m, d = out[1].text.split("-")
     name = date(int(y), int(m), int(d)).strftime("%B")
     assert [out[i].text for i in (0, 2, 3)] == [f"{d}/{m}/{y}", f"{d}.{m}.{y}", f"{y}/{m}/{d}"] and out[1].text != texts[1]
     assert out[4].text == f"{d} {name} {y}" and out[5].text == f"{name[:3]} {d}, {y}" and re.fullmatch(rf"{name} {d}(st|nd|rd|th), {y}", out[6].text)
     days = [x for i in range(2000) if (x := date(1799, 12, 31) + timedelta(1 + i * 73)).day > 12]
-    changed = [r.text for r in pii.pseudonymize(spark.createDataFrame([(x.strftime("%m/%d/") + f"{x.year}",) for x in days], "text string")).collect()]
+    changed = [r.text for r in pii_(spark.createDataFrame([(x.strftime("%m/%d/") + f"{x.year}",) for x in days], "text string")).collect()]
     assert len(set(changed)) == len(days) and all(date(int(y), int(m), int(d)).day > 12 and 1800 <= int(y) < 2200 for m, d, y in (x.split("/") for x in changed))
 
 
