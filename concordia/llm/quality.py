@@ -1,8 +1,9 @@
 """Quality rules with verdicts by host.
 
-Each document is measured against rules. Rule failures are counted by host (pre-aggregated in each task); the host's rate of
-failing documents is shrunk towards the mean of all hosts by a beta prior fitted to the hosts' rates by moments, so that a host with
-few documents isn't judged by them alone; hosts above the limit are rejected and their verdict is joined back to their documents.
+Each document is measured against rules. Failures of each rule are counted by host (pre-aggregated in each task); the host's rate is shrunk towards the mean of all hosts by a
+beta prior fitted to the hosts' rates by moments, so that a host with few documents isn't judged by them alone. Verdicts come from the posterior: a host whose rate is surely above what
+hosts have on average is suspect for that rule, and a host of which surely most documents break a base rule is rejected. They are joined back to the host's documents: a rejected host loses
+all of them, a suspect one those that break its rule. Elsewhere a soft rule alone rejects nothing: a clean document isn't dropped for its neighbours.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ def measures(text: Column) -> dict[str, Column]:
 
 
 def measure(docs: DataFrame, text_col: str = "text", window: int = 5) -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) to docs; null texts have none of any.
+    """Adds n_words, word_chars, n_symbols, n_text_lines, n_dup_lines, n_repeat_words (long) to docs; null texts have none of any.
 
     n_repeat_words: words inside some window of five words that the text has twice or more, the first included. Windows are hashed, sorted
     with their places, and neighbours compared; the words that the places found cover are then a sum over the gaps between them."""
@@ -34,6 +35,7 @@ def measure(docs: DataFrame, text_col: str = "text", window: int = 5) -> DataFra
     out = out.withColumns({
         "n_words": F.size("_words").cast("long"),
         "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+        "n_text_lines": F.size("_lines").cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "_hashes": F.transform("_words", lambda w: F.xxhash64(w)),
     })
@@ -54,45 +56,55 @@ def measure(docs: DataFrame, text_col: str = "text", window: int = 5) -> DataFra
     return out.withColumn("n_repeat_words", F.when(F.size(places) > 0, covered).otherwise(0).cast("long")).drop("_found")
 
 
-#: A document breaks a rule where its expression is true. base rules reject by themselves; all of them count for the host.
+#: A document breaks a rule where its expression is true. Base rules reject by themselves, soft ones where their host is suspect.
 BASE_RULES = {"too_short": "n_words < 10", "repetitive": "100 * n_repeat_words > 20 * n_words"}
-SOFT_RULES = {"symbols": "10 * n_symbols > n_words", "duplicate_lines": "10 * n_dup_lines > 3 * n_words", "word_length": "word_chars < 2 * n_words or word_chars > 15 * n_words"}
+SOFT_RULES = {"symbols": "10 * n_symbols > n_words", "duplicate_lines": "10 * n_dup_lines > 3 * n_text_lines", "word_length": "word_chars < 2 * n_words or word_chars > 15 * n_words"}
+#: Deviations of the posterior that make a verdict sure; the share of failing documents above which a host is rejected.
+SURE, MOST = 2, 0.5
 
 
-def host_verdicts(measured: DataFrame, max_rate_pct: int = 50) -> DataFrame:
-    """(host, n_docs, n_failed, host_ok), one row a host. measured: host, failed.
+def host_verdicts(measured: DataFrame) -> DataFrame:
+    """(host, n_docs, host_ok, suspect_<rule>), one row a host. measured: host, base_failed, and fails_<rule> for each soft rule.
 
-    With m and v the mean and variance of the hosts' rates (each host once), the prior's strength is m (1 - m) / v - 1, kept within 1 and
-    1000; it is 1000 where all rates agree. A host is rejected if (n_failed + strength * m) / (n_docs + strength) exceeds the limit. A host
-    that is null is one host."""
-    hosts = measured.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("failed").cast("long")).alias("n_failed"))
-    prior = hosts.select((F.col("n_failed") / F.col("n_docs")).alias("r")).agg(F.avg("r").alias("m"), F.var_pop("r").alias("v"))
-    m, v = prior.first() or (None, None)  # two numbers, however many hosts there are
-    m = m or 0.0
-    strength = min(1000.0, max(1.0, m * (1 - m) / v - 1)) if v and v > 1e-12 else 1000.0
-    rate = (F.col("n_failed") + F.lit(strength * m)) / (F.col("n_docs") + F.lit(strength))
-    return hosts.select("host", "n_docs", "n_failed", (rate * 100 <= max_rate_pct).alias("host_ok"))
+    For each count, with m and v the mean and variance of the hosts' rates (each host once), the prior's strength is m (1 - m) / v - 1, kept within 1 and 1000; it is 1000
+    where all rates agree. With p = (failed + strength * m) / (docs + strength) and d its posterior deviation, a host is suspect for a rule where p - SURE * d > m, and rejected where
+    that of its base failures exceeds MOST. A host that is null is one host."""
+    rules = ["base", *SOFT_RULES]
+    failed = {"base": F.col("base_failed")} | {r: F.col(f"fails_{r}") for r in SOFT_RULES}
+    hosts = measured.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), *(F.sum(c.cast("long")).alias(f"k_{r}") for r, c in failed.items()))
+    rate = lambda r: F.col(f"k_{r}") / F.col("n_docs")
+    prior = hosts.agg(*(f(rate(r)).alias(f"{n}_{r}") for r in rules for n, f in (("m", F.avg), ("v", F.var_pop)))).first()  # a few numbers, however many hosts there are
 
+    def least(r):
+        """The rate that the host surely has, and the mean."""
+        m, v = prior[f"m_{r}"] or 0.0, prior[f"v_{r}"]
+        strength = min(1000.0, max(1.0, m * (1 - m) / v - 1)) if v and v > 1e-12 else 1000.0
+        p = (F.col(f"k_{r}") + F.lit(strength * m)) / (F.col("n_docs") + F.lit(strength))
+        return p - SURE * F.sqrt(p * (1 - p) / (F.col("n_docs") + F.lit(strength + 1))), m
 
-def judge(docs: DataFrame, *, text_col: str = "text", host: Column | None = None, carry: tuple[str, ...] = ("doc_id",), max_rate_pct: int = 50) -> DataFrame:
-    """One row a document: carry, the measures, base_failed, host_ok, kept.
+    suspect = [(least(r)[0] > F.lit(least(r)[1])).alias(f"suspect_{r}") for r in SOFT_RULES]
+    return hosts.select("host", "n_docs", (least("base")[0] <= MOST).alias("host_ok"), *suspect)
 
-    A document that breaks a base rule goes. Of a rejected host's other documents those go that break a soft rule as well: a
-    clean document isn't dropped for its neighbours. Null text: no words, so base_failed. Null hosts are one host; empty tables give
-    no rows; repeated rows count each; a carried column that is named like a measure takes its place. Texts are read once: their measures are written and the rest works on those."""
+
+def judge(docs: DataFrame, *, text_col: str = "text", host: Column | None = None, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One row a document: carry, the measures, base_failed, fails_<rule>, host_ok, kept.
+
+    A document goes if it breaks a base rule, if its host is rejected, or if it breaks a soft rule that its host is suspect for. Null text: no words, so base_failed. Null hosts are one
+    host; empty tables give no rows; repeated rows count each; a carried column that is named like a measure takes its place. Texts are read once: their measures are written and the rest works on those."""
     host = F.col("source") if host is None else host
     scratch = Scratch(docs.sparkSession, "quality")
-    own = [F.col(c).alias(f"_d_{c}") for c in carry]
-    base = docs.select(*own, host.alias("host"), F.col(text_col).alias("_text"))
+    # the caller's columns travel in one, whatever their names
+    base = docs.select(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("_own"), host.alias("host"), F.col(text_col).alias("_text"))
     measured = measure(base, "_text").drop("_text")
     measured = measured.withColumn("base_failed", F.expr(" or ".join(f"({r})" for r in BASE_RULES.values())))
-    measured = measured.withColumn("soft_failed", F.expr(" or ".join(f"({r})" for r in SOFT_RULES.values())))
-    measured = measured.withColumn("failed", F.col("base_failed") | F.col("soft_failed"))
-    measured = measured.select(*(F.col(f"_d_{c}").alias(c) for c in carry), *(c for c in measured.columns if not c.startswith("_d_") and c not in carry))
+    measured = measured.withColumns({f"fails_{k}": F.expr(r) for k, r in SOFT_RULES.items()})
     measured = scratch.write(measured, "measured")
-    verdicts = scratch.write(host_verdicts(measured, max_rate_pct), "hosts")
+    verdicts = scratch.write(host_verdicts(measured), "hosts")
     out = measured.alias("d").join(verdicts.alias("h"), F.col("d.host").eqNullSafe(F.col("h.host")))
-    return out.select("d.*", "h.host_ok", (~F.col("base_failed") & (F.col("host_ok") | ~F.col("soft_failed"))).alias("kept"))
+    breaks = F.expr(" or ".join(f"(fails_{r} and suspect_{r})" for r in SOFT_RULES))
+    found = out.select("_own", *(F.col(f"d.{c}") for c in measured.columns if c not in ("_own", "host")), F.col("d.host").alias("host"), "host_ok", (~F.col("base_failed") & F.col("host_ok") & ~breaks).alias("kept"))
+    clash = {c.lower() for c in carry}
+    return found.select(*(F.col("_own").getField(c).alias(c) for c in carry), *(c for c in found.columns if c != "_own" and c.lower() not in clash))
 
 
 def op9_quality(spark, sf_dir):
@@ -110,14 +122,18 @@ covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(ra
 m AS (SELECT w.doc_id, source, CAST(len(ws) AS BIGINT) AS n_words,
    CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
    CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
-   CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
+   CAST(len(ls) AS BIGINT) AS n_text_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
    FROM w LEFT JOIN covered c ON w.doc_id = c.doc_id),
-f AS (SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
-   (10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS soft_failed FROM m),
-h AS (SELECT source, count(*) AS n, sum(CASE WHEN base_failed OR soft_failed THEN 1 ELSE 0 END) AS k FROM f GROUP BY source),
-p AS (SELECT avg(k / n) AS m, var_pop(k / n) AS v FROM h),
-s AS (SELECT m, CASE WHEN v > 1e-12 THEN least(1000.0, greatest(1.0, m * (1 - m) / v - 1)) ELSE 1000.0 END AS strength FROM p),
-ok AS (SELECT source, (k + strength * m) / (n + strength) * 100 <= 50 AS host_ok FROM h, s)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND (host_ok OR NOT soft_failed)) AS kept
+f AS (SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed, 10 * n_symbols > n_words AS f1, 10 * n_dup_lines > 3 * n_text_lines AS f2,
+   (word_chars < 2 * n_words OR word_chars > 15 * n_words) AS f3 FROM m),
+h AS (SELECT source, count(*) AS n, sum(base_failed::INT) AS k0, sum(f1::INT) AS k1, sum(f2::INT) AS k2, sum(f3::INT) AS k3 FROM f GROUP BY source),
+r AS (SELECT source, n, unnest([0, 1, 2, 3]) AS rule, unnest([k0, k1, k2, k3]) AS k FROM h),
+p AS (SELECT rule, avg(k / n) AS m, var_pop(k / n) AS v FROM r GROUP BY rule),
+s AS (SELECT rule, m, CASE WHEN v > 1e-12 THEN least(1000.0, greatest(1.0, m * (1 - m) / v - 1)) ELSE 1000.0 END AS strength FROM p),
+q AS (SELECT source, rule, n, m, strength, (k + strength * m) / (n + strength) AS p FROM r JOIN s USING (rule)),
+b AS (SELECT source, rule, p - 2 * sqrt(p * (1 - p) / (n + strength + 1)) > CASE WHEN rule = 0 THEN 0.5 ELSE m END AS bad FROM q),
+ok AS (SELECT source, max(bad::INT) FILTER (WHERE rule = 0) = 1 AS r0, max(bad::INT) FILTER (WHERE rule = 1) = 1 AS r1, max(bad::INT) FILTER (WHERE rule = 2) = 1 AS r2, max(bad::INT) FILTER (WHERE rule = 3) = 1 AS r3
+   FROM b GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR r0 OR (f1 AND r1) OR (f2 AND r2) OR (f3 AND r3)) AS kept
 FROM f JOIN ok ON f.source IS NOT DISTINCT FROM ok.source
 """
