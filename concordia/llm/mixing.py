@@ -49,7 +49,7 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_
 
 
 def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None, weights: tuple[int, ...] = WEIGHTS, seed: str = "mix", whole_documents: bool = False) -> DataFrame:
-    """One row a document: doc_id, source, size, source_size, target, taken.
+    """One row a document: doc_id, source, size, source_size, target, taken. The windows over all sources see one row a source: tens of thousands of sources, such as hosts, are fine there.
 
     size: defaults to the number of words of `text` (null: 0). With whole_documents a document at the cut is taken whole if at
     least half of it lies below the cut; else the cut is at the word, so that a source's taken words are its target
@@ -85,15 +85,19 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "s
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix as documents: each as often as whole documents of the mix take it, with the columns of docs. Rows that share a
-    doc_id are told apart by their text."""
-    name = "_mix_row"
-    keyed = docs.withColumn(name, F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64("source", "text").cast("string")))
-    mix = mix_sources(keyed, id_col=name, whole_documents=True, **options)
-    # repeated rows are equal in the key, and so in the number of their copies
-    copies = mix.where("size > 0 and taken > 0").groupBy(F.col("doc_id").alias(name)).agg(F.max(F.expr("taken div size")).cast("int").alias("_copies"))
-    out = keyed.join(copies, name).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return out.select(*docs.columns)
+    """The mix as documents: each as often as whole documents of the mix take it, with the columns of docs, whatever their names. Rows that are equal in all columns are told apart by nothing:
+    they come as often as the mix takes them together. Documents without words, and null or empty texts, have no place in a mix of words and don't come. An empty table gives no rows."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64(whole).cast("string"), F.xxhash64(F.lit(7), whole).cast("string"))
+    keyed = docs.select(key.alias("key"), whole.alias("own"))
+    mix = mix_sources(keyed.select(F.col("key").alias("doc_id"), F.col("own.source").alias("source"), F.col("own.text").alias("text")), whole_documents=True, **options)
+    scratch = Scratch(docs.sparkSession, "mixed")
+    copies = mix.where("size > 0").groupBy(F.col("doc_id").alias("key")).agg(F.sum(F.expr("taken div size")).cast("int").alias("copies"), F.count(F.lit(1)).alias("rows")).where("copies > 0")
+    copies = scratch.write(copies, "copies")
+    # of repeated rows one stands for all; only those are aggregated
+    alone = keyed.join(copies.where("rows = 1"), "key").select("own", "copies")
+    again = keyed.join(copies.where("rows > 1"), "key").groupBy("key").agg(F.any_value("own").alias("own"), F.max("copies").alias("copies")).select("own", "copies")
+    return alone.unionByName(again).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("own.*")
 
 
 def op1_mixing(spark, sf_dir):
