@@ -13,6 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import SPACE, Scratch, hash128, lower_ascii, table
 
@@ -25,21 +26,27 @@ class LineRuns:
     def __init__(self, spark: SparkSession, buckets: int, fan_out: int = 3):
         self.spark, self.buckets, self.fan_out = spark, buckets, fan_out
         self.levels: list[list[str]] = []
+        self.batches: dict[str, int] = {}  # numbers of the batches by name: a hash keeps that of the batch which had it first
         self.name = f"line_runs_{uuid.uuid4().hex}"
         self.made = 0
 
     def tables(self) -> list[DataFrame]:
         return [self.spark.table(t) for level in self.levels for t in level]
 
-    def _save(self, hashes: DataFrame) -> str:
+    def _save(self, hashes: DataFrame, dealt: bool = False) -> str:
+        """dealt: the rows come by bucket already, and stay in their tasks."""
         self.made += 1
         name = f"{self.name}_{self.made}"
-        hashes.select(*HASH).repartition(self.buckets, *HASH).write.bucketBy(self.buckets, *HASH).sortBy(*HASH).saveAsTable(name, format="parquet")
+        rows = hashes.select(*HASH, "batch")
+        (rows if dealt else rows.repartition(self.buckets, *HASH)).write.bucketBy(self.buckets, *HASH).sortBy(*HASH).saveAsTable(name, format="parquet")
         return name
 
-    def add(self, hashes: DataFrame) -> None:
-        """Adds hashes that no run has; compacts the levels that are full."""
-        self._put(self._save(hashes), 0)
+    def number(self, batch: str) -> int:
+        return self.batches.setdefault(batch, len(self.batches))
+
+    def add(self, hashes: DataFrame, batch: str) -> None:
+        """Adds a batch's hashes that no run has; compacts the levels that are full."""
+        self._put(self._save(hashes.withColumn("batch", F.lit(self.number(batch)))), 0)
 
     def _put(self, name: str, level: int) -> None:
         if len(self.levels) == level:
@@ -47,7 +54,7 @@ class LineRuns:
         self.levels[level].append(name)
         if len(self.levels[level]) >= self.fan_out:
             runs = self.levels[level]
-            merged = self._save(reduce(DataFrame.unionByName, [self.spark.table(t) for t in runs]))
+            merged = self._save(reduce(DataFrame.unionByName, [self.spark.table(t) for t in runs]), dealt=True)
             self.levels[level] = []
             for t in runs:
                 self.spark.sql(f"DROP TABLE IF EXISTS {t}")
@@ -68,58 +75,63 @@ def line_key(line: Column) -> Column:
     return lower_ascii(F.btrim(line, F.lit(SPACE)))
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_key: int = 10, batches: int = 4, fan_out: int = 3, runs: LineRuns | None = None, rows_a_bucket: int = 200_000) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_key: int = 10, batches: int = 4, fan_out: int = 3, runs: LineRuns | None = None, batch: str | None = None, rows_a_bucket: int = 200_000) -> DataFrame:
     """docs with text cut down to its kept lines, and n_lines, n_dropped (long).
 
-    The table comes in batches of ids in ascending order, or as one batch on top of `runs` that earlier calls have filled. A line whose key
+    The table comes in batches of ids in ascending order (of ids that aren't whole numbers, in one), or as one batch on top of `runs` that earlier calls have filled. A line whose key
     (ASCII white space stripped, A-Z lower-cased) has at least min_key code points goes if a document with a smaller id, or an earlier
-    batch, has the key; lines of the first document that has a key all stay. Null or empty texts are one empty line. Rows that share an id
-    are one document. A null id comes after all others. Empty tables give no rows. Extra columns stay; one that is named like
+    batch, has the key; lines of the first document that has a key all stay. `batch` names the batch: one that comes again after a failure loses nothing to itself, and gives what it gave
+    or would have given. Without a name each call is a batch of its own. Null or empty texts are one empty line. Rows that share an id
+    are one document. Ids are of any type that has an order; a null id comes after all others. Empty tables give no rows. Extra columns stay, whatever their names; one that is named like
     an added column is replaced. Only ids, hashes and places of lines are shuffled to find what goes; texts move once, by their row."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
-    last = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
-    row = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    batches = batches if runs is None else 1
-    cuts = docs.select(F.percentile_approx(last, [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else []
-    batch = reduce(lambda x, c: x + F.when(F.col("id") > c, 1).otherwise(0), sorted(set(cuts or [])), F.lit(0))
-    lines = docs.select(last.alias("id"), row.alias("row"), F.posexplode(text_lines(F.col(text_col))).alias("pos", "line"))
+    own = runs is None
+    # the caller's columns travel in one; null ids come last. Whole numbers are aggregated as such, other ids behind a flag
+    numbers = isinstance(docs.schema[id_col].dataType, IntegralType)
+    place = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)) if numbers else F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"))
+    rows = docs.select(place.alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("row"), F.col(text_col).alias("text"), F.struct("*").alias("own"))
+    steps = batches if own and numbers else 1
+    cuts = sorted(set(rows.select(F.percentile_approx("id", [i / steps for i in range(1, steps)], 1000)).first()[0] or [])) if steps > 1 else []
+    part = reduce(lambda x, c: x + F.when(F.col("id") > c, 1).otherwise(0), cuts, F.lit(0))
+    lines = rows.select("id", "row", F.posexplode(text_lines(F.col("text"))).alias("pos", "line"))
     lines = lines.withColumn("key", line_key(F.col("line"))).where(F.length("key") >= min_key)
     h1, h2 = hash128(F.col("key"))
-    lines = scratch.write(lines.select("id", "row", "pos", h1.alias("h1"), h2.alias("h2"), batch.alias("batch")), "lines", partition_by="batch")
-    own = runs is None
+    lines = scratch.write(lines.select("id", "row", "pos", h1.alias("h1"), h2.alias("h2"), part.alias("part")), "lines", partition_by="part")
     if own:
-        n = lines.count()
-        runs = LineRuns(spark, max(4, -(-n // rows_a_bucket)), fan_out)
+        runs = LineRuns(spark, max(4, -(-lines.count() // rows_a_bucket)), fan_out)
     gone = []
-    steps = len(set(cuts or [])) + 1
-    for b in range(steps):
-        part = lines.where(F.col("batch") == b)
-        firsts = part.groupBy(*HASH).agg(F.min("id").alias("first"), F.max("id").alias("last"))
-        seen = F.lit(False)
-        for i, run in enumerate(runs.tables()):
-            firsts = firsts.join(run.withColumn(f"_r{i}", F.lit(True)), HASH, "left")
-            seen = seen | F.col(f"_r{i}").isNotNull()
-        firsts = scratch.write(firsts.select(*HASH, "first", "last", seen.alias("seen")), f"firsts{b}")
-        # what goes of this batch: all lines that a run has, and those after the first document
-        shared = firsts.where("seen or last > first").select(*HASH, F.when(F.col("seen"), F.lit(-(2**63))).otherwise(F.col("first")).alias("keep"))
-        dropped = part.join(shared, HASH).where("id > keep").select("id", "row", "pos")
-        gone.append(scratch.write(dropped, f"gone{b}"))
-        if b + 1 < steps or not own:
-            runs.add(firsts.where("not seen"))
-        scratch.drop(f"firsts{b}")
-    if own:
-        runs.drop()
-    places = reduce(DataFrame.unionByName, gone).groupBy("id", "row").agg(F.array_sort(F.collect_set("pos")).alias("_gone"))
-    out = docs.withColumn("_id", last).withColumn("_row", row).join(places.withColumnsRenamed({"id": "_id", "row": "_row"}), ["_id", "_row"], "left")
-    out = out.withColumn("_lines", text_lines(F.col(text_col))).withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>")))
+    try:
+        for b in range(len(cuts) + 1):
+            name = batch or f"{uuid.uuid4().hex}"
+            number = runs.number(name)
+            mine = lines.where(F.col("part") == b)
+            firsts = mine.groupBy(*HASH).agg(F.min("id").alias("first"), F.max("id").alias("last"))
+            seen = there = F.lit(False)
+            for i, run in enumerate(runs.tables()):
+                firsts = firsts.join(run.select(*HASH, F.col("batch").alias(f"_r{i}")), HASH, "left")
+                # what a batch had when it came before is no reason for it to go, nor for a second entry
+                seen, there = seen | F.coalesce(F.col(f"_r{i}") < number, F.lit(False)), there | F.col(f"_r{i}").isNotNull()
+            firsts = scratch.write(firsts.select(*HASH, "first", "last", seen.alias("seen"), there.alias("there")), f"firsts{b}")
+            # what goes of this batch: all lines that a run has, and those after the first document
+            shared = firsts.where("seen or last > first").select(*HASH, F.when(~F.col("seen"), F.col("first")).alias("keep"))
+            dropped = mine.join(shared, HASH).where("keep is null or id > keep").select("id", "row", "pos")
+            gone.append(scratch.write(dropped, f"gone{b}"))
+            if b < len(cuts) or not own:
+                runs.add(firsts.where("not there"), name)
+            scratch.drop(f"firsts{b}")
+    finally:
+        if own:
+            runs.drop()
+    places = reduce(DataFrame.unionByName, gone).groupBy("id", "row").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+    out = rows.join(places, ["id", "row"], "left").withColumn("lines", text_lines(F.col("text"))).withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
     # slices between the places that go: linear in the lines, where a lookup per line would not be
-    starts = F.concat(F.array(F.lit(0)), F.transform("_gone", lambda p: p + 1))
-    ends = F.concat(F.col("_gone"), F.array(F.size("_lines")))
-    kept = F.flatten(F.zip_with(starts, ends, lambda s, e: F.slice(F.col("_lines"), s + 1, e - s)))
-    text = F.when(F.size("_gone") == 0, F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(kept, "\n"))
-    others = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
-    return out.select(*others, text.alias(text_col), F.size("_lines").cast("long").alias("n_lines"), F.size("_gone").cast("long").alias("n_dropped"))
+    starts = F.concat(F.array(F.lit(0)), F.transform("gone", lambda p: p + 1))
+    ends = F.concat(F.col("gone"), F.array(F.size("lines")))
+    kept = F.flatten(F.zip_with(starts, ends, lambda s, e: F.slice(F.col("lines"), s + 1, e - s)))
+    text = F.when(F.size("gone") == 0, F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n"))
+    others = [c for c in docs.columns if c.lower() not in (text_col.lower(), "n_lines", "n_dropped")]
+    return out.select(*(F.col("own").getField(c).alias(c) for c in others), text.alias(text_col), F.size("lines").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_dropped"))
 
 
 def op3_line_dedup(spark, sf_dir):
