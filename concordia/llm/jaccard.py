@@ -7,10 +7,9 @@
    A shingle's nodes are its posting list. A node whose own shingles fill its prefix has no partner.
 4. A node's shared shingles are hashed into groups; the counts by group are its point. The sum of coordinate minima
    bounds the overlap of two points, and that of a point with the upper corner of a box bounds its overlap with all points in it.
-5. Each list's first node, and then a few of its largest component, are bounded and verified against the others. Where a list
-   still holds several components, the nodes outside its largest one search an R-tree over the list's points for
-   partners in other components; pairs that survive the bound are verified on their shingles. Pairs inside a component need no look,
-   and large lists are cut into cells.
+5. Of lists that hold the same nodes one stands for all. The nodes of a list search an R-tree over its points; pairs that survive the bound are verified on their
+   shingles, best bounds first, and what has become one component needs no further look. A list of more than a cell's nodes is first cut down: each node is
+   verified against a few of the list's largest component, and only the nodes outside that component search the tree, which is dealt into cells.
 6. Components of all verified links, by alternating stars.
 """
 
@@ -24,6 +23,8 @@ from .bpe import gather
 from .common import Scratch, power_of_two, table
 
 GROUPS = 256
+#: Nodes of a posting list that are searched in one task.
+CELL = 1024
 _rng = np.random.default_rng(20240607)
 _ODD = _rng.integers(1, 2**63, 8, dtype=np.uint64) | np.uint64(1)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -329,12 +330,18 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return scratch.write(labels.select(F.col("v").alias("node"), "label").union(labels.select(F.col("label").alias("node"), "label").distinct()), name)
 
 
-def open_lists(postings: DataFrame, labels: DataFrame, scratch: Scratch, name: str = "open") -> DataFrame:
-    """(token, nodes, top): the posting lists with several components, one of those that hold the same nodes, and their largest component."""
-    named = postings.join(labels, "node", "left").select("token", "node", F.coalesce("label", "node").alias("label"))
-    own = named.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s1"), F.sum(F.xxhash64(F.lit(7), "node").cast("decimal(38,0)")).alias("s2"))
-    lists = own.groupBy("token").agg(F.sum("k").alias("nodes"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("k", "label")).alias("top"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))
-    lists = lists.where("parts > 1").groupBy("nodes", "s1", "s2").agg(F.min("token").alias("token"), F.min("top").alias("top"))
+def open_lists(postings: DataFrame, labels: DataFrame | None, scratch: Scratch, name: str = "open") -> DataFrame:
+    """(token, nodes, top, probes): the posting lists with several components, one of those that hold the same nodes, their largest component, and how many nodes are outside of it.
+    Without labels each node is a component."""
+    named = postings.select("token", "node", F.col("node").alias("label")) if labels is None else postings.join(labels, "node", "left").select("token", "node", F.coalesce("label", "node").alias("label"))
+    sums = [F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s1"), F.sum(F.xxhash64(F.lit(7), "node").cast("decimal(38,0)")).alias("s2")]
+    if labels is None:
+        lists = named.groupBy("token").agg(F.count(F.lit(1)).alias("nodes"), F.count(F.lit(1)).alias("parts"), F.lit(1).cast("long").alias("k"), F.max("label").alias("label"), *sums)
+    else:
+        own = named.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"), *sums)
+        lists = own.groupBy("token").agg(F.sum("k").alias("nodes"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("k", "label")).alias("top"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))
+        lists = lists.select("token", "nodes", "parts", "top.k", "top.label", "s1", "s2")
+    lists = lists.where("parts > 1").groupBy("nodes", "s1", "s2").agg(F.min("token").alias("token"), F.min(F.struct("k", "label")).alias("top"))
     return scratch.write(lists.select("token", "nodes", F.col("top.label").alias("top"), (F.col("nodes") - F.col("top.k")).alias("probes")), name)
 
 
@@ -455,10 +462,11 @@ def cells(work, percent: int):
     return run
 
 
-def tree_links(postings: DataFrame, lists: DataFrame, labels: DataFrame, found: DataFrame, scratch: Scratch, percent: int, cell: int = 1024) -> DataFrame:
+def tree_links(postings: DataFrame, lists: DataFrame, labels: DataFrame | None, found: DataFrame, scratch: Scratch, percent: int, name: str, cell: int = CELL) -> DataFrame:
     """(a, b), verified: links between components that an R-tree over each open list's points finds, as many as join what they link. The
     queries are the nodes outside the list's largest component; a long list is dealt into cells of about `cell` nodes and as many queries."""
-    at = postings.join(lists, "token").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    at = postings.join(lists, "token")
+    at = at.withColumn("label", F.col("node")) if labels is None else at.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     at = at.withColumns({"icuts": F.ceil(F.col("nodes") / cell).cast("int"), "pcuts": F.ceil(F.col("probes") / cell).cast("int")})
     mine = lambda salt, cuts: F.pmod(F.xxhash64(F.lit(salt), "node"), F.col(cuts)).cast("int")
     index = at.select("token", mine(1, "icuts").alias("i"), F.explode(F.sequence(F.lit(0), F.col("pcuts") - 1)).alias("p"), F.lit(False).alias("probe"), "node", "label")
@@ -467,7 +475,7 @@ def tree_links(postings: DataFrame, lists: DataFrame, labels: DataFrame, found:
     dealt = index.union(probes).join(found.select("node", "n", "point"), "node")
     dealt = dealt.select(*key, "probe", "node", "n", "label", "point").repartition(*key).sortWithinPartitions(*key)
     # first on points alone: only what has a partner that the bound allows brings its shingles
-    left = scratch.write(dealt.mapInArrow(cells(cell_survivors, percent), "token long, i int, p int, probe boolean, node long, n long, label long"), "cells")
+    left = scratch.write(dealt.mapInArrow(cells(cell_survivors, percent), "token long, i int, p int, probe boolean, node long, n long, label long"), name)
     full = left.join(found.select("node", "point", "tokens"), "node")
     full = full.select(*key, "probe", "node", "n", "label", "point", "tokens").repartition(*key).sortWithinPartitions(*key)
     return full.mapInArrow(cells(cell_links, percent), "a long, b long").distinct()
@@ -488,20 +496,17 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     found = scratch.write(candidates(shared_shingles(docs, text_col, width, ranges, ranges), percent, groups), "found")
     scratch.free_shuffles()
     postings = found.select("node", F.explode("prefix").alias("token"))
-    firsts = postings.groupBy("token").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("last > first")
-    firsts = scratch.write(firsts.select("token", "first"), "firsts")
-    stars = postings.join(firsts, "token").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    stars = scratch.write(stars, "stars")
-    links = scratch.write(verified(stars, found, percent), "links")
+    lists = open_lists(postings, None, scratch, "lists")
+    links = scratch.write(tree_links(postings, lists.where(F.col("nodes") <= CELL), None, found, scratch, percent, "cells"), "links")
     labels = components(links, scratch, "once")
-    lists = open_lists(postings, labels, scratch)
-    hubs = scratch.write(hub_pairs(postings, lists, labels, 3), "hubs")
-    links = links.union(scratch.write(verified(hubs, found, percent), "hub-links"))
-    labels = components(links, scratch, "twice")
-    lists = open_lists(postings, labels, scratch, "still-open")
-    more = scratch.write(tree_links(postings, lists, labels, found, scratch, percent), "more")
-    labels = components(links.union(more), scratch, "labels")
-    scratch.drop("found", "cells", "stars", "hubs", "firsts", "open", "still-open")
+    if lists.where(F.col("nodes") > CELL).first() is not None:
+        long = scratch.write(postings.join(lists.where(F.col("nodes") > CELL).select("token"), "token", "left_semi"), "long")
+        hubs = scratch.write(hub_pairs(long, open_lists(long, labels, scratch), labels, 3), "hubs")
+        links = links.union(scratch.write(verified(hubs, found, percent), "hub-links"))
+        labels = components(links, scratch, "twice")
+        more = tree_links(long, open_lists(long, labels, scratch, "still-open"), labels, found, scratch, percent, "more-cells")
+        labels = components(links.union(scratch.write(more, "more")), scratch, "labels")
+    scratch.drop("found", "lists", "cells", "long", "hubs", "open", "still-open", "more-cells")
     scratch.free_shuffles()
 
     nodes = scratch.write(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label")), "nodes")
@@ -512,11 +517,12 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose doc_id is its component's smallest; of rows that share a doc_id, those of its component. Rows with a null
-    doc_id stay, since nothing tells them apart."""
+    """The rows of docs whose id is its component's smallest; of rows that share an id, those of its component. Rows with a null
+    id stay, since nothing tells them apart."""
+    id_col = options.get("id_col", "doc_id")
     named = jaccard_components(docs, **options)
-    keep = named.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id is null").unionByName(docs.join(keep, "doc_id", "left_semi").select(*docs.columns))
+    keep = named.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    return docs.where(F.col(id_col).isNull()).unionByName(docs.join(keep, id_col, "left_semi").select(*docs.columns))
 
 
 def op8_jaccard(spark, sf_dir):
