@@ -7,9 +7,10 @@
    A shingle's nodes are its posting list. A node whose own shingles fill its prefix has no partner.
 4. A node's shared shingles are hashed into groups; the counts by group are its point. The sum of coordinate minima
    bounds the overlap of two points, and that of a point with the upper corner of a box bounds its overlap with all points in it.
-5. Of lists that hold the same nodes one stands for all. The nodes of a list search an R-tree over its points; pairs that survive the bound are verified on their
-   shingles, best bounds first, and what has become one component needs no further look. A list of more than a cell's nodes is first cut down: each node is
-   verified against a few of the list's largest component, and only the nodes outside that component search the tree, which is dealt into cells.
+5. Of lists that hold the same nodes one stands for all. In the longest list of each node, of those that fit a cell, the nodes search an R-tree over the list's points; of the pairs that
+   survive the bound, those with the best bounds that join what they can join (a forest) are verified on their shingles. Then in every list that still holds several components the
+   nodes outside the largest one search its tree for partners in other components, and pairs are verified in the order of their bounds until none is left that would join two. Longer
+   lists are first cut down, each node verified against a few of the list's largest component, and are dealt into cells.
 6. Components of all verified links, by alternating stars.
 """
 
@@ -345,9 +346,10 @@ def open_lists(postings: DataFrame, labels: DataFrame | None, scratch: Scratch,
     return scratch.write(lists.select("token", "nodes", F.col("top.label").alias("top"), (F.col("nodes") - F.col("top.k")).alias("probes")), name)
 
 
-def hub_pairs(postings: DataFrame, lists: DataFrame, labels: DataFrame, hubs: int) -> DataFrame:
+def hub_pairs(postings: DataFrame, lists: DataFrame, labels: DataFrame | None, hubs: int) -> DataFrame:
     """(a, b): each node outside a list's largest component with a few nodes of that component, by seeded hashes."""
-    named = postings.join(lists.select("token", "top"), "token").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = postings.join(lists.select("token", "top"), "token")
+    named = named.withColumn("label", F.col("node")) if labels is None else named.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     inside = named.where("label = top").groupBy("token").agg(F.array(*[F.min(F.struct(F.xxhash64(F.lit(i), "node").alias("h"), F.col("node").alias("x"))) for i in range(hubs)]).alias("hubs"))
     inside = inside.select("token", F.col("hubs.x").alias("hubs"))
     out = named.where("label <> top").select("token", "node").join(inside, "token").select("node", F.explode("hubs").alias("hub"))
@@ -400,6 +402,51 @@ def cell_links(key, probe, node, n, label, point, bounds, tokens, percent):
     return {"a": np.minimum(a, b), "b": np.maximum(a, b)}
 
 
+def cell_forest(key, probe, node, n, label, point, bounds, tokens, percent):
+    """(a, b): pairs that the bound allows, as many as join what such pairs join, the best bounds first: each component takes its best pair to another, and again."""
+    at, ask = np.flatnonzero(~probe), np.flatnonzero(probe)
+    tree = RTree(n[at], point[at])
+    found = []
+    names, comp = np.unique(label, return_inverse=True)
+    for start in range(0, len(ask), 64):
+        part = ask[start : start + 64]
+        q, x = tree.search(n[part], point[part], percent)
+        q, x = part[q], at[x]
+        new = comp[q] != comp[x]
+        q, x = q[new], x[new]
+        if len(q):
+            score = np.minimum(point[q], point[x]).sum(1) / (n[q] + n[x])
+            found.append((q, x, score))
+    if not found:
+        return {}
+    q, x, score = (np.concatenate(c) for c in zip(*found, strict=True))
+    a, b = [], []
+    while len(q):
+        order = np.argsort(-score, kind="stable")
+        q, x, score = q[order], x[order], score[order]
+        ends, edge = np.concatenate((comp[q], comp[x])), np.tile(np.arange(len(q)), 2)
+        order = np.argsort(edge, kind="stable")
+        _, first = np.unique(ends[order], return_index=True)
+        root = np.arange(len(names))
+        for i in np.unique(edge[order][first]).tolist():  # the best pair of each component
+            u, v = comp[q[i]], comp[x[i]]
+            while root[u] != u:
+                u = root[u]
+            while root[v] != v:
+                v = root[v]
+            if u != v:
+                root[max(u, v)] = min(u, v)
+                a.append(node[q[i]])
+                b.append(node[x[i]])
+        while (root[root] != root).any():
+            root = root[root]
+        comp = root[comp]
+        new = comp[q] != comp[x]
+        q, x, score = q[new], x[new], score[new]
+    a, b = np.array(a, np.int64), np.array(b, np.int64)
+    return {"a": np.minimum(a, b), "b": np.maximum(a, b)}
+
+
 def cell_survivors(key, probe, node, n, label, point, bounds, tokens, percent):
     """The rows of a cell that have a partner in another component which the bound allows."""
     at, ask = np.flatnonzero(~probe), np.flatnonzero(probe)
@@ -462,23 +509,36 @@ def cells(work, percent: int):
     return run
 
 
-def tree_links(postings: DataFrame, lists: DataFrame, labels: DataFrame | None, found: DataFrame, scratch: Scratch, percent: int, name: str, cell: int = CELL) -> DataFrame:
-    """(a, b), verified: links between components that an R-tree over each open list's points finds, as many as join what they link. The
-    queries are the nodes outside the list's largest component; a long list is dealt into cells of about `cell` nodes and as many queries."""
+def dealt_cells(postings: DataFrame, lists: DataFrame, labels: DataFrame | None, cell: int = CELL) -> DataFrame:
+    """(token, i, p, probe, node, label): each list's nodes as points of a tree, and those outside its largest component as queries; a long list is dealt into cells of
+    about `cell` nodes and as many queries."""
     at = postings.join(lists, "token")
     at = at.withColumn("label", F.col("node")) if labels is None else at.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     at = at.withColumns({"icuts": F.ceil(F.col("nodes") / cell).cast("int"), "pcuts": F.ceil(F.col("probes") / cell).cast("int")})
     mine = lambda salt, cuts: F.pmod(F.xxhash64(F.lit(salt), "node"), F.col(cuts)).cast("int")
     index = at.select("token", mine(1, "icuts").alias("i"), F.explode(F.sequence(F.lit(0), F.col("pcuts") - 1)).alias("p"), F.lit(False).alias("probe"), "node", "label")
     probes = at.where("label <> top").select("token", F.explode(F.sequence(F.lit(0), F.col("icuts") - 1)).alias("i"), mine(2, "pcuts").alias("p"), F.lit(True).alias("probe"), "node", "label")
+    return index.union(probes)
+
+
+def searched(dealt: DataFrame, found: DataFrame, work, schema: str, percent: int, *columns: str) -> DataFrame:
+    """What `work` finds in each cell, whose rows come with the given columns of found."""
     key = ["token", "i", "p"]
-    dealt = index.union(probes).join(found.select("node", "n", "point"), "node")
-    dealt = dealt.select(*key, "probe", "node", "n", "label", "point").repartition(*key).sortWithinPartitions(*key)
+    rows = dealt.join(found.select("node", *columns), "node")
+    rows = rows.select(*key, "probe", "node", "n", "label", "point", *[c for c in columns if c == "tokens"]).repartition(*key).sortWithinPartitions(*key)
+    return rows.mapInArrow(cells(work, percent), schema)
+
+
+def forest_pairs(postings: DataFrame, lists: DataFrame, labels: DataFrame | None, found: DataFrame, percent: int) -> DataFrame:
+    """(a, b), not verified: for each list the pairs that an R-tree over its points allows, as many as join what they can join."""
+    return searched(dealt_cells(postings, lists, labels), found, cell_forest, "a long, b long", percent, "n", "point")
+
+
+def tree_links(postings: DataFrame, lists: DataFrame, labels: DataFrame, found: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """(a, b), verified: all links between components that there are in the lists, as many as join what they link."""
     # first on points alone: only what has a partner that the bound allows brings its shingles
-    left = scratch.write(dealt.mapInArrow(cells(cell_survivors, percent), "token long, i int, p int, probe boolean, node long, n long, label long"), name)
-    full = left.join(found.select("node", "point", "tokens"), "node")
-    full = full.select(*key, "probe", "node", "n", "label", "point", "tokens").repartition(*key).sortWithinPartitions(*key)
-    return full.mapInArrow(cells(cell_links, percent), "a long, b long").distinct()
+    left = scratch.write(searched(dealt_cells(postings, lists, labels), found, cell_survivors, "token long, i int, p int, probe boolean, node long, n long, label long", percent, "n", "point"), "cells")
+    return searched(left, found, cell_links, "a long, b long", percent, "point", "tokens").distinct()
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, groups: int = GROUPS, tokens_a_range: int = 2_000_000) -> DataFrame:
@@ -497,16 +557,26 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     scratch.free_shuffles()
     postings = found.select("node", F.explode("prefix").alias("token"))
     lists = open_lists(postings, None, scratch, "lists")
-    links = scratch.write(tree_links(postings, lists.where(F.col("nodes") <= CELL), None, found, scratch, percent, "cells"), "links")
-    labels = components(links, scratch, "once")
+    links = labels = None
     if lists.where(F.col("nodes") > CELL).first() is not None:
         long = scratch.write(postings.join(lists.where(F.col("nodes") > CELL).select("token"), "token", "left_semi"), "long")
-        hubs = scratch.write(hub_pairs(long, open_lists(long, labels, scratch), labels, 3), "hubs")
-        links = links.union(scratch.write(verified(hubs, found, percent), "hub-links"))
-        labels = components(links, scratch, "twice")
-        more = tree_links(long, open_lists(long, labels, scratch, "still-open"), labels, found, scratch, percent, "more-cells")
-        labels = components(links.union(scratch.write(more, "more")), scratch, "labels")
-    scratch.drop("found", "lists", "cells", "long", "hubs", "open", "still-open", "more-cells")
+        for step in range(2):
+            hubs = scratch.write(hub_pairs(long, open_lists(long, labels, scratch, f"open-{step}"), labels, 3), f"hubs-{step}")
+            own = scratch.write(verified(hubs, found, percent), f"hub-links-{step}")
+            links = own if links is None else links.union(own)
+            labels = components(links, scratch, f"long-{step}")
+        lists = open_lists(postings, labels, scratch, "less")
+    # first the longest list of each node: a group of copies becomes one component there, which its other lists need not search again
+    sized = postings.join(lists.where(F.col("nodes") <= CELL).select("token", "nodes"), "token")
+    cover = sized.groupBy("node").agg(F.max(F.struct("nodes", "token")).alias("m")).select("m.token").distinct()
+    covered = scratch.write(lists.join(cover, "token", "left_semi"), "cover")
+    forest = scratch.write(forest_pairs(postings, covered, labels, found, percent).distinct(), "forest")
+    own = scratch.write(verified(forest, found, percent), "links")
+    links = own if links is None else links.union(own)
+    labels = components(links, scratch, "once")
+    more = scratch.write(tree_links(postings, open_lists(postings, labels, scratch, "still-open"), labels, found, scratch, percent), "more")
+    labels = components(links.union(more), scratch, "labels")
+    scratch.drop("found", "lists", "less", "cells", "long", "hubs-0", "hubs-1", "open-0", "open-1", "cover", "forest", "still-open")
     scratch.free_shuffles()
 
     nodes = scratch.write(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label")), "nodes")
