@@ -157,9 +157,8 @@ def sparse_dot(spark, d):
 def sparse_topk(spark, d):
     words = F.explode(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != "")).alias("token")
     freq = _t(spark, d, "documents").select("doc_id", F.col("lang").alias("city"), words).groupBy("doc_id", "city", "token").agg(F.count(F.lit(1)).alias("weight"))
-    q = freq.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "q_id")
-    c = freq.where("doc_id % 50 <> 0").withColumnRenamed("doc_id", "c_id")
-    return ranking.top_k(ranking.sparse_scores(q, c), 5, "sparse").select("q_id", "c_id", "rank", "sparse")
+    q, c = freq.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "q_id"), freq.withColumnRenamed("doc_id", "c_id")
+    return ranking.top_k(ranking.sparse_scores(q, c).where("q_id <> c_id"), 5, "sparse").select("q_id", "c_id", "rank", "sparse")
 
 
 def _multi(spark, d):
@@ -169,7 +168,7 @@ def _multi(spark, d):
 
 
 def maxsim_scores(spark, d):
-    return _multi(spark, d).where("q_id % 50 = 0").select("q_id", "c_id", F.round("multi", 6).alias("multi"))
+    return _multi(spark, d).select("q_id", "c_id", F.round("multi", 6).alias("multi"))
 
 
 def maxsim_topk(spark, d):
@@ -225,6 +224,19 @@ def weight_fine_grid(spark, d):
     return sweep.sweep_frozen(_frozen(spark, d), sweep.weight_grid(spark, sweep.fine_grid((20, 5, 1), {(20, 5, 1)})))
 
 
+def weight_scaled_grid(spark, d):
+    return sweep.sweep_frozen(_frozen(spark, d), sweep.weight_grid(spark, sweep.scaled_grid((10, 3, 1))))
+
+
+def weight_by_city(spark, d):
+    cities = _values(spark, [(i,) for i in range(8)], "city int")  # the last one has no vector
+    return sweep.by_city(_frozen(spark, d), sweep.weight_grid(spark, WEIGHTS), cities)
+
+
+def score_stats_by_city(spark, d):
+    return evaluate.score_stats(ranking.top_k(_scored(spark, d), 1, "d"), ("d", "s", "c"))
+
+
 def best_weights(spark, d):
     return sweep.best_config(weight_sweep_frozen(spark, d))
 
@@ -327,10 +339,10 @@ def dedup_candidates(spark, d):
 # --- text rules over literal cases, joined to customers by nation
 
 NAMES = ["品牌-中山路(东)店", "甲股份有限公司", "　１２ 号　　楼 ", "北京市朝阳区眼镜城", None, "A-B-C店", "上海市静安 路", "乙（集团）有限责任公司", "", "丙工作室 (甲)", "  x　y  "]
-ADDRESSES = ["浙江省杭州市西湖区文三路", "浙江省台州市路桥区", "广东省深圳市南山区", "内蒙古自治区呼和浩特市新城区", "no", None, "  ", "上海市浦东新区世纪大道", "成都高新区天府"]
+ADDRESSES = ["浙江省杭州市西湖区文三路", "浙江省台州市路桥区", "广东省深圳市南山区", "内蒙古自治区呼和浩特市新城区", "no", None, "  ", "上海市浦东新区世纪大道", "成都高新区天府", "石家庄长安区"]
 #: name, province, city, district by reading the rules; the gazetteer below fills the last one.
-EXTRACTED = [("浙江省", "杭州市", "西湖区", "high"), ("浙江省", "台州市", "路桥区", "high"), ("广东省", "深圳市", "南山区", "high"), ("内蒙古自治区", "治区呼和浩特市", "", "high"), ("", "", "", "none"), ("", "", "", "none"), ("", "", "", "none"), ("上海市", "上海市", "浦东新区", "high"), ("四川省", "成都市", "成都高新区", "mid")]
-GAZETTEER = [("成都", "四川省", "成都市", "")]
+EXTRACTED = [("浙江省", "杭州市", "西湖区", "high"), ("浙江省", "台州市", "路桥区", "high"), ("广东省", "深圳市", "南山区", "high"), ("内蒙古自治区", "治区呼和浩特市", "", "high"), ("", "", "", "none"), ("", "", "", "none"), ("", "", "", "none"), ("上海市", "上海市", "浦东新区", "high"), ("四川省", "成都市", "高新区", "mid"), ("河北省", "石家庄市", "长安区", "mid")]
+GAZETTEER = [("成都", "四川省", "成都市", ""), ("石家庄", "河北省", "石家庄市", "")]
 CITIES = ["崇州市", "广东广州市", "青岛市市", "广州市番禺区市", "温州市乐清市", "白塔区辽阳市", "治区呼和浩特市", "藏族自治州", "崇州", "阆中", "上海", "吉林市", "吉林省长春市", "镇江市", "号西安市", "永辉超市", "县", "易试验区金华市", None, "  "]
 COUNTIES = [("崇州市", "成都市"), ("阆中市", "南充市"), ("长春市", "长春市"), ("镇江市", "镇江市")]
 FIXES = [("治区呼和浩特市", "呼和浩特市"), ("藏族自治州", ""), ("号西安市", "西安市")]
@@ -347,6 +359,31 @@ def _literal_sql(columns, values, select):
     return f"WITH v(i, {columns}) AS (VALUES {_sql_values([(i, *x) for i, x in enumerate(values)])}) SELECT c_custkey, {select} FROM customer JOIN v ON c_custkey % {len(values)} = v.i"
 
 
+BLANKS = [("甲", "杭州市"), ("", "杭州市"), (None, "杭州市"), (" 　", "nan"), ("乙", ""), ("丙", None), ("丁", "nan"), ("戊", "上海市")]
+
+
+def blank_guards(spark, d):
+    """Queries without text are left out, and blank cities or 'nan' are no block: with candidates of every city among the cases."""
+    rows = _values(spark, [(i, *x) for i, x in enumerate(BLANKS)], "i int, q_name string, city string")
+    q = _t(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % len(BLANKS)).cast("int").alias("i")).join(F.broadcast(rows), "i").where(text.has_text(F.col("q_name")))
+    return blocking.block_join(q, rows.select("city").distinct()).select("c_custkey", "q_name", "city")
+
+
+def id_text_lookup(spark, d):
+    """The text of an order's customer, by the customer's last order of each key; a key without text stands for itself."""
+    known = _t(spark, d, "orders").select((F.col("o_custkey") % 50).alias("id"), F.when(F.col("o_custkey") % 7 > 0, F.col("o_orderpriority")).otherwise(" ").alias("text"), "o_orderdate", "o_orderkey")
+    asked = _t(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % 60).alias("key"))
+    return blocking.look_up(asked, "key", known, "text", ["o_orderdate", "o_orderkey"]).select("c_custkey", "text")
+
+
+def experiment_slug(spark, d):
+    return _t(spark, d, "part").select("p_partkey", text.slug(F.col("p_brand"), F.col("p_type"), F.when(F.col("p_size") > 25, F.col("p_size"))).alias("slug"))
+
+
+def head_sample(spark, d):
+    return blocking.head(_t(spark, d, "supplier").select("s_suppkey", "s_name"), 7, ["s_name", "s_suppkey"])
+
+
 def clean_names(spark, d):
     x = _literals(spark, d, NAMES, "name")
     f = {"clean": text.clean_text, "store": text.clean_store_name, "addr": text.clean_address, "company": text.clean_company}
@@ -466,20 +503,27 @@ _QUERIES = {
     "result_projection": (result_projection, f"{_PAIRS} SELECT q_id AS query_id, city, c_id AS matched_id, rank, round(sim, 4) AS similarity, CAST(NULL AS VARCHAR) AS query_name FROM r WHERE rank <= 3"),
     "sparse_dot": (sparse_dot, f"{_PAIRS}{_SPARSE} SELECT q_id, c_id, round(sparse, 6) AS sparse FROM sp"),
     "sparse_topk": (sparse_topk, """WITH f AS (SELECT doc_id, lang, token, count(*) AS w FROM (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS token FROM documents) GROUP BY ALL),
-p AS (SELECT q.doc_id AS q_id, c.doc_id AS c_id, CAST(sum(q.w * c.w) AS BIGINT) AS sparse FROM f q JOIN f c ON q.lang = c.lang AND q.token = c.token WHERE q.doc_id % 50 = 0 AND c.doc_id % 50 <> 0 GROUP BY ALL),
+p AS (SELECT q.doc_id AS q_id, c.doc_id AS c_id, CAST(sum(q.w * c.w) AS BIGINT) AS sparse FROM f q JOIN f c ON q.lang = c.lang AND q.token = c.token WHERE q.doc_id % 20 = 0 AND q.doc_id <> c.doc_id GROUP BY ALL),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY q_id ORDER BY sparse DESC, c_id) AS INTEGER) AS rank FROM p) SELECT q_id, c_id, rank, sparse FROM r WHERE rank <= 5"""),
-    "maxsim_scores": (maxsim_scores, f"{_PAIRS} SELECT q_id, c_id, round({_MULTI}, 6) AS multi FROM p WHERE q_id % 50 = 0"),
+    "maxsim_scores": (maxsim_scores, f"{_PAIRS} SELECT q_id, c_id, round({_MULTI}, 6) AS multi FROM p"),
     "maxsim_topk": (maxsim_topk, f"{_PAIRS}, m AS (SELECT q_id, c_id, {_MULTI} AS multi FROM p), n AS (SELECT *, CAST(row_number() OVER (PARTITION BY q_id ORDER BY multi DESC, c_id) AS INTEGER) AS rank FROM m) SELECT q_id, c_id, rank, round(multi, 6) AS multi FROM n WHERE rank <= 5"),
     "fused_two_pass": (fused_two_pass, f"{_SCORED}, f AS (SELECT *, 2 * d + s AS first FROM x), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY first DESC, c_id) AS n FROM f) WHERE n <= 20), g AS (SELECT *, first + c AS fused, CAST(row_number() OVER (PARTITION BY q_id ORDER BY first + c DESC, c_id) AS INTEGER) AS rank FROM k) SELECT q_id, c_id, rank, round(d, 6) AS dense, round(s, 6) AS sparse, round(c, 6) AS multi, round(fused, 6) AS fused FROM g WHERE rank <= 5"),
     "score_stats": (score_stats, f"{_SCORED}, k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY d DESC, c_id) AS n FROM x) WHERE n = 1) SELECT " + ", ".join(f"round({f}({c}), 6) AS {n}_{c}" for c in ("d", "s", "c") for n, f in (("min", "min"), ("max", "max"), ("avg", "avg"), ("std", "stddev_pop"))) + ", round(avg(c) / greatest(avg(d), 1e-9), 6) AS ratio FROM k"),
     "weight_sweep_frozen": (weight_sweep_frozen, _sweep_sql(WEIGHTS, True)),
     "weight_sweep_reselect": (weight_sweep_reselect, _sweep_sql(WEIGHTS, False)),
     "weight_fine_grid": (weight_fine_grid, _sweep_sql(sweep.fine_grid((20, 5, 1), {(20, 5, 1)}), True)),
+    "weight_scaled_grid": (weight_scaled_grid, _sweep_sql(sweep.scaled_grid((10, 3, 1)), True)),
+    "weight_by_city": (weight_by_city, _sweep_sql(WEIGHTS, True).rsplit(" SELECT config", 1)[0] + ", t AS (SELECT config, city, round(avg(CASE WHEN verified THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM (SELECT y.*, CAST(q_id % 7 AS INTEGER) AS city FROM y) WHERE m = 1 GROUP BY ALL) SELECT w.config, CAST(n.city AS INTEGER) AS city, coalesce(accuracy, 0.0) AS accuracy FROM w CROSS JOIN range(8) n(city) LEFT JOIN t ON t.config = w.config AND t.city = n.city"),
+    "score_stats_by_city": (score_stats_by_city, f"{_SCORED}, k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY d DESC, c_id) AS n FROM x) WHERE n = 1) SELECT city, " + ", ".join(f"round({n}({c}), 6) AS {n}_{c}" for c in ("d", "s", "c") for n in ("min", "max", "avg")) + " FROM k GROUP BY city"),
+    "blank_guards": (blank_guards, f"WITH v(i, q_name, city) AS (VALUES {_sql_values([(i, *x) for i, x in enumerate(BLANKS)])}) SELECT c_custkey, q_name, city FROM customer JOIN v ON c_custkey % {len(BLANKS)} = v.i WHERE trim(replace(coalesce(q_name, ''), '　', '')) <> '' AND trim(coalesce(city, '')) NOT IN ('', 'nan')"),
+    "id_text_lookup": (id_text_lookup, "WITH k AS (SELECT o_custkey % 50 AS id, arg_max(CASE WHEN o_custkey % 7 > 0 THEN o_orderpriority ELSE ' ' END, (o_orderdate, o_orderkey)) AS text FROM orders GROUP BY 1) SELECT c_custkey, coalesce(nullif(trim(text), ''), CAST(c_custkey % 60 AS VARCHAR)) AS text FROM customer LEFT JOIN k ON id = c_custkey % 60"),
+    "experiment_slug": (experiment_slug, "SELECT p_partkey, regexp_replace(regexp_replace(lower(p_brand || '-' || p_type || CASE WHEN p_size > 25 THEN '-' || p_size ELSE '' END), '[^\\p{L}\\p{N}]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM part"),
+    "head_sample": (head_sample, "SELECT s_suppkey, s_name FROM supplier ORDER BY s_name, s_suppkey LIMIT 7"),
     "best_weights": (best_weights, f"SELECT * FROM ({_sweep_sql(WEIGHTS, True)}) ORDER BY accuracy DESC, config LIMIT 1"),
     "config_grid": (config_grid, f"{_PAIRS}, fp AS (SELECT q_id, c_id, q_label = c_label AS verified, list_dot_product(qv, cv) AS sim FROM q, c), fr AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, c_id) AS rank FROM fp), a AS (SELECT 'block' AS mode, q_id, rank, verified FROM r UNION ALL SELECT 'flat', q_id, rank, verified FROM fr), k(k) AS (VALUES (10), (20), (50)), m(mode) AS (VALUES ('block'), ('flat')), h AS (SELECT m.mode, k.k, q.q_id, (SELECT min(rank) FROM a WHERE a.mode = m.mode AND a.q_id = q.q_id AND verified AND rank <= k.k) AS hit_rank FROM m, k, q) SELECT mode, k, {_share(1, 'top1')}, round(avg(CASE WHEN hit_rank IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS top_k FROM h GROUP BY mode, k"),
     "rerank_truncate": (rerank_truncate, f"{_RERANK.format(k=5)} SELECT q_id, c_id, rank, rerank, round(rerank_score, 6) AS rerank_score FROM r"),
     "ab_by_city": (ab_by_city, f"{_RERANK.format(k=10)}, b AS (SELECT city, round(avg(CASE WHEN c_id % 2 = 0 THEN 1.0 ELSE 0.0 END) FILTER (WHERE rank = 1), 6) AS base, round(avg(CASE WHEN c_id % 2 = 0 THEN 1.0 ELSE 0.0 END) FILTER (WHERE rerank = 1), 6) AS new FROM r GROUP BY city) SELECT city, base, new, round((new - base) * 100, 6) AS delta_pp FROM b"),
-    "edit_distance_filter": (edit_distance_filter, "WITH p AS (SELECT p_partkey, p_size, replace(trim(p_name), ' ', '') AS name FROM part WHERE p_partkey <= 2000) SELECT a.p_partkey AS a, b.p_partkey AS b FROM p a JOIN p b ON a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE length(a.name) > 2 AND length(b.name) > 2 AND levenshtein(left(a.name, 20), left(b.name, 20)) < 3"),
+    "edit_distance_filter": (edit_distance_filter, "WITH p AS (SELECT p_partkey, p_size, replace(trim(p_name), ' ', '') AS name FROM part) SELECT a.p_partkey AS a, b.p_partkey AS b FROM p a JOIN p b ON a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE length(a.name) > 2 AND length(b.name) > 2 AND levenshtein(left(a.name, 20), left(b.name, 20)) < 3"),
     "common_cities": (common_cities, "SELECT c_nationkey AS city FROM customer INTERSECT SELECT s_nationkey FROM supplier"),
     "top_cities": (top_cities, "SELECT c_nationkey AS city, count(*) AS n FROM customer GROUP BY 1 ORDER BY n DESC, city LIMIT 5"),
     "truth_join": (truth_join, "SELECT c_nationkey AS city, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1"),
@@ -493,7 +537,7 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY q_id ORDER BY sparse DESC,
     "normalize_stats": (normalize_stats, f"SELECT count(*) FILTER (WHERE b <> a) AS changed, count(*) FILTER (WHERE b = '') AS empty_before, count(*) FILTER (WHERE a = '') AS empty_after FROM ({_literal_sql('b, a', [(x or '', y) for x, y in zip(CITIES, NORMAL, strict=True)], 'b, a')})"),
     "valid_cities": (valid_cities, f"SELECT city, count(*) AS n FROM ({_literal_sql('city', [(x,) for x in CITIES], 'city')}) WHERE city LIKE '%市' GROUP BY city"),
     "align_city": (align_city, _literal_sql("city", [("崇州市",), ("吉林",), ("青岛市",), ("nowhere",), ("",)], "city")),
-    "city_from_address": (city_from_address, _literal_sql("city", [("杭州市",), ("台州市",), ("深圳市",), *[("",)] * 6], "city")),
+    "city_from_address": (city_from_address, _literal_sql("city", [("杭州市",), ("台州市",), ("深圳市",), *[("",)] * 7], "city")),
     "geocode_fill": (geocode_fill, _literal_sql("city", [(x[3],) for x in GEOCODED], "city")),
     "mine_training_pairs": (mine_training_pairs, f"{_MINED} SELECT * FROM mined"),
     "val_split": (val_split, "SELECT s_suppkey, CASE WHEN CAST('0x' || substr(md5('42:' || s_suppkey), 1, 7) AS BIGINT) % 100 < 10 THEN 'val' ELSE 'train' END AS part FROM supplier"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .text import clean_text
 
+#: Municipalities and the endings of provinces, cities and districts.
 MUNICIPALITIES = ("北京市", "上海市", "天津市", "重庆市")
 HAN = "[一-龥]"
 PROVINCE = f"({HAN}{{2,8}}(?:省|自治区|特别行政区))"
@@ -22,11 +23,24 @@ def by_pattern(addr: Column) -> tuple[Column, Column, Column]:
     province = F.coalesce(own, F.regexp_extract(addr, PROVINCE, 1))
     city = F.coalesce(own, F.regexp_replace(F.regexp_extract(addr, CITY, 1), AFTER_PROVINCE, ""))
     district = F.regexp_replace(F.regexp_replace(F.regexp_extract(addr, DISTRICT, 1), AFTER_CITY, ""), AFTER_PROVINCE, "")
-    core = F.regexp_replace(city, "市+$", "")
-    district = F.when((core != "") & district.startswith(core), F.substr(district, F.length(core) + 1)).otherwise(district)
     return province, city, district
 
 
+def without_city(district: Column, city: Column) -> Column:
+    """A district that begins with its city's name, without it."""
+    core = F.regexp_replace(city, "市+$", "")
+    return F.when((core != "") & district.startswith(core), F.substr(district, F.length(core) + 1)).otherwise(district)
+
+
+def contained(texts: DataFrame, text: str, names: DataFrame, name: str) -> DataFrame:
+    """The rows of texts and names where the text contains the name: an equi-join of the texts' parts, of the lengths that names have, with the names. Empty names are in no text."""
+    lengths = names.where(F.length(name) > 0).agg(F.collect_set(F.length(name)).alias("lengths"))  # a name has some tens of characters at most, so has this list
+    sizes = sorted(lengths.first()["lengths"])
+    parts = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(n))) for n in sizes]  # noqa: B023  called at once
+    cut = F.array_distinct(F.concat(*parts)) if parts else F.array().cast("array<string>")
+    return texts.withColumn("_part", F.explode(cut)).join(names.withColumn("_part", F.col(name)), "_part").drop("_part")
+
+
 def extract_address(df: DataFrame, addr: str, gazetteer: DataFrame | None = None) -> DataFrame:
     """df with province, city, district, confidence and the source of each field.
 
@@ -40,7 +54,7 @@ def extract_address(df: DataFrame, addr: str, gazetteer: DataFrame | None = None
         gap = (F.col("_text") != "") & ((F.col("_p") == "") | (F.col("_c") == "") | (F.col("_d") == ""))
         asked = out.where(gap).select("_text").distinct()
         best = F.max_by(F.struct("province", "city", "district"), F.struct(F.length("name"), F.col("name")))
-        hits = asked.join(gazetteer, F.contains(F.col("_text"), F.col("name"))).groupBy("_text").agg(best.alias("_g"))
+        hits = contained(asked, "_text", gazetteer, "name").groupBy("_text").agg(best.alias("_g"))
         out = out.join(hits, "_text", "left")
     else:
         out = out.withColumn("_g", F.lit(None).cast("struct<province:string,city:string,district:string>"))
@@ -50,6 +64,7 @@ def extract_address(df: DataFrame, addr: str, gazetteer: DataFrame | None = None
         fields[name] = F.when(F.col(own) != "", F.col(own)).otherwise(fallback)
         fields[f"{name}_source"] = F.when(F.col(own) != "", "regex").when(fallback != "", "gazetteer").otherwise("none")
     out = out.withColumns(fields)
+    out = out.withColumn("district", without_city(F.col("district"), F.col("city")))
     sources = F.array(*[F.col(f"{n}_source") for n in ("province", "city", "district")])
     confidence = F.when(F.array_contains(sources, "gazetteer"), "mid").when(F.array_contains(sources, "regex"), "high").otherwise("none")
     return out.withColumn("confidence", confidence).drop("_text", "_p", "_c", "_d", "_g")

@@ -7,12 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .address import contained
 from .text import strip
 
 #: Words that a city's name doesn't contain; provinces by their bare names.
 JUNK_WORDS = "超市 市场 广场 大厦 商城 中心 综合 门市 城市 农贸 菜市 集市 商贸 装饰 眼镜 生鲜 配件 负一 一楼 小区 茶叶 副食 钟表 华联 大润发 永辉 佳惠 宝龙 光彩 收件 地址 帮忙 号".split()
 JUNK_NAMES = "永辉超市 邻你超市 爱家超市 百姓超市 玖多超市 生鲜超市 汇工眼镜 佳惠超市 生鲜市 层超市 号门市 间门市".split()
 JUNK_PARTS = "街道 镇 路 乡 村 小区 一楼 负一 铺 院 苑 楼".split()
+#: Zones whose name stands before a city's.
 ZONES = "试验区 开发区 自贸区 高新区 经济区 合作区".split()
 PROVINCES = "北京 天津 上海 重庆 河北 山西 辽宁 吉林 黑龙江 江苏 浙江 安徽 福建 江西 山东 河南 湖北 湖南 广东 广西 海南 四川 贵州 云南 西藏 陕西 甘肃 青海 宁夏 新疆 内蒙古".split()
 
@@ -81,7 +83,7 @@ def city_from_address(df: DataFrame, addr: str, cities: DataFrame, key: str, out
     """df with `out`: the longest of cities (city) that the address contains (ties: the greatest), '' if none. Each distinct address is looked up once."""
     asked = df.select(F.col(addr).alias("_addr")).distinct()
     best = F.max_by("city", F.struct(F.length("city"), F.col("city")))
-    hits = asked.join(cities.select("city"), F.contains(F.col("_addr"), F.col("city"))).groupBy("_addr").agg(best.alias(out))
+    hits = contained(asked, "_addr", cities.select("city"), "city").groupBy("_addr").agg(best.alias(out))
     return df.join(hits, df[addr] == hits["_addr"], "left").drop("_addr").withColumn(out, F.coalesce(out, F.lit("")))
 
 

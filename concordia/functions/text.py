@@ -62,6 +62,17 @@ def canonical_id(c: Column) -> Column:
     return F.upper(strip(_text(c)))
 
 
+def slug(*parts: Column) -> Column:
+    """A name for an experiment: its parts in lower case, what isn't a letter or digit as one hyphen."""
+    joined = F.lower(F.concat_ws("-", *[F.nullif(_text(p), F.lit("")) for p in parts]))
+    return F.regexp_replace(F.regexp_replace(joined, r"[^\p{L}\p{N}]+", "-"), "^-|-$", "")
+
+
+def has_text(*parts: Column) -> Column:
+    """At least one of the parts isn't blank: queries without any are left out before they are compared."""
+    return entity_text(*parts) != ""
+
+
 def squeezed(c: Column) -> Column:
     """Stripped, without spaces and ideographic spaces."""
     return F.translate(strip(_text(c)), " 　", "")

@@ -46,6 +46,38 @@ def hashing_encoder(width: int = 64):
     return lambda: model
 
 
+def tri_encode(df: DataFrame, text: str, load: Callable[[], Callable[[list[str]], tuple[list, list, list]]]) -> DataFrame:
+    """df with three encodings of each text by one pass of a model: dense (a unit vector), sparse (token to weight) and multi (a vector a token)."""
+    @F.pandas_udf("struct<dense array<float>, sparse map<string,float>, multi array<array<float>>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = load()
+        for texts in batches:
+            dense, sparse, multi = model(texts.fillna("").tolist())
+            yield pd.DataFrame({"dense": dense, "sparse": sparse, "multi": multi})
+
+    return df.withColumn("_encoded", run(F.col(text))).select(*df.columns, "_encoded.dense", "_encoded.sparse", "_encoded.multi")
+
+
+def yes_token_scorer(load: Callable[[], Callable[[list[str]], list[tuple[float, float]]]], prompt: str = "Query: {query}\nCandidate: {candidate}\nSame? ") -> PairScorer:
+    """A pair scorer that asks a language model: its chance of 'yes' against 'no', from the two tokens' logits after the prompt."""
+    import math
+
+    def scores():
+        model = load()
+
+        def score(pairs: list[tuple[str, str]]) -> list[float]:
+            return [1 / (1 + math.exp(min(700.0, no - yes))) for yes, no in model([prompt.format(query=a, candidate=b) for a, b in pairs])]
+
+        return score
+
+    return udf_scorer(scores)
+
+
+def geocode_dry_run(df: DataFrame, address: str, n: int = 5) -> tuple[int, list[str]]:
+    """How many calls geocode() would make, and the first addresses in order; no call is made."""
+    return df.count(), [r[0] for r in df.select(address).orderBy(address).limit(n).collect()]
+
+
 def udf_scorer(load: Callable[[], Callable[[list[tuple[str, str]]], list[float]]]) -> PairScorer:
     """A pair scorer that calls a model on Arrow batches; put it above the top-k filter."""
     @F.pandas_udf("double")
@@ -100,6 +132,9 @@ def http_geocoder(key: str, url: str, timeout: float = 10.0) -> Geocoder:
     return ask
 
 
-def finetune(*_args, **_kwargs):
-    """Fine-tuning of an encoder needs torch and a GPU; run it with TorchDistributor on the result of mining.mine_pairs."""
-    raise RuntimeError("fine-tuning needs torch, which isn't part of this environment")
+def finetune(pairs_path: str, train: Callable[..., object], *, processes: int = 1, gpu: bool = True, local: bool = False, **options):
+    """Runs train(pairs_path, **options), which tunes an encoder on the mined pairs written to pairs_path, in `processes` processes by TorchDistributor. An ImportError where torch isn't there."""
+    import torch  # noqa: F401
+    from pyspark.ml.torch.distributor import TorchDistributor
+
+    return TorchDistributor(num_processes=processes, local_mode=local, use_gpu=gpu).run(train, pairs_path, **options)

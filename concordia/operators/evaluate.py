@@ -26,6 +26,17 @@ def weighted(per_city: DataFrame, fields: tuple[str, ...], n: str = "n_queries",
     return own.agg(*[F.round(F.coalesce(F.sum(F.col(f) * F.col(n)) / F.sum(n), F.lit(0.0)), 6).alias(f) for f in fields])
 
 
+def score_stats(df: DataFrame, fields: tuple[str, ...], by: str = "city") -> DataFrame:
+    """Least, greatest and mean of each field by city."""
+    return df.groupBy(by).agg(*[F.round(f(c), 6).alias(f"{n}_{c}") for c in fields for n, f in (("min", F.min), ("max", F.max), ("avg", F.avg))])
+
+
+def compare_with_file(spark, path: str, new: DataFrame, field: str, on: str = "city") -> DataFrame:
+    """(city, base, new, delta_pp) against the results that an earlier run has written to path (JSON lines or Parquet)."""
+    base = spark.read.json(path) if path.lower().endswith((".json", ".jsonl")) else spark.read.parquet(path)
+    return compare(base, new, field, on)
+
+
 def compare(base: DataFrame, new: DataFrame, field: str, on: str = "city") -> DataFrame:
     """(city, base, new, delta_pp)."""
     x = base.select(on, F.col(field).alias("base")).join(new.select(on, F.col(field).alias("new")), on)

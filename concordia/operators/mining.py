@@ -16,7 +16,7 @@ def mine_pairs(ranked: DataFrame, negatives: int = 3, exclude: tuple = ()) -> Da
     rows = ranked.where("rank > 0")
     if exclude:
         rows = rows.where(~F.col("city").isin(*exclude))
-    positive = rows.where("verified").groupBy("q_id").agg(F.min_by("text", "rank").alias("positive"), F.first("query").alias("query"))
+    positive = rows.where("verified").groupBy("q_id").agg(F.min_by("text", "rank").alias("positive"), F.min_by("query", "rank").alias("query"))
     order = Window.partitionBy("q_id").orderBy("rank")
     scan = rows.where("not verified").withColumn("n", F.row_number().over(order)).where(F.col("n") <= 2 * negatives).drop("query").join(positive, "q_id")
     scan = scan.withColumn("near", near_duplicate(F.col("positive"), F.col("text")))

@@ -32,6 +32,38 @@ def sparse_scores(q: DataFrame, c: DataFrame, on: str = "city") -> DataFrame:
     return x.groupBy("q_id", "c_id").agg(F.sum(F.col("wq") * F.col("wc")).alias("sparse"))
 
 
+def tiled_top_k(q: DataFrame, c: DataFrame, k: int, tile: int = 50_000, part: int = 10_000) -> DataFrame:
+    """(q_id, c_id, sim, rank) of every query with every candidate: candidates are dealt into tiles, queries into parts, and each pair of those is one matrix product that gives k rows a
+    query; the tiles' rows are ranked again. A task holds one tile and one part, whatever the sizes. Similarities are rounded to 12 places, so that equal vectors tie."""
+    import numpy as np
+    import pandas as pd
+
+    schema = f"q_id {q.schema['q_id'].dataType.simpleString()}, c_id {c.schema['c_id'].dataType.simpleString()}, sim double"
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"q_id": left["q_id"][:0], "c_id": right["c_id"][:0], "sim": np.zeros(0)})
+        right = right.sort_values("c_id", kind="stable")
+        ids, base, asked = right["c_id"].to_numpy(), np.stack(right["cv"].to_numpy()).T, np.stack(left["qv"].to_numpy())
+        n, out = min(k, len(ids)), []
+        for a in range(0, len(left), 256):
+            sims = np.round(asked[a : a + 256] @ base, 12)
+            # what ties with the last one held competes by id, so that all of it is looked at
+            least = np.partition(sims, len(ids) - n, axis=1)[:, len(ids) - n]
+            for i, row in enumerate(sims):
+                held = np.flatnonzero(row >= least[i])
+                held = held[np.argsort(-row[held], kind="stable")[:n]]
+                out.append((np.full(len(held), a + i), held, row[held]))
+        at, held, sim = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pd.DataFrame({"q_id": left["q_id"].to_numpy()[at], "c_id": ids[held], "sim": sim})
+
+    tiles, parts = (max(1, -(-df.count() // n)) for df, n in ((c, tile), (q, part)))
+    deal = lambda df, name, own, mine, other, others: df.select(name, "qv" if name == "q_id" else "cv", F.pmod(F.xxhash64(name), F.lit(mine)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
+    q, c = deal(q, "q_id", "_part", parts, "_tile", tiles), deal(c, "c_id", "_tile", tiles, "_part", parts)
+    found = q.groupBy("_tile", "_part").cogroup(c.groupBy("_tile", "_part")).applyInPandas(run, schema)
+    return top_k(found, k)
+
+
 def blas_top_k(q: DataFrame, c: DataFrame, k: int, on: str = "city", salts: int = 1) -> DataFrame:
     """(q_id, c_id, sim, rank) by one matrix product a block. The queries of a block are dealt over `salts` tasks; candidates go to each."""
     import numpy as np

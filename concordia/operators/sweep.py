@@ -46,6 +46,15 @@ def sweep_reselect(scored: DataFrame, weights: DataFrame, k: int) -> DataFrame:
     return best.groupBy("config", "wd", "ws", "wc").agg(F.round(F.avg(F.col("correct").cast("double")), 6).alias("accuracy"))
 
 
+def by_city(scored: DataFrame, weights: DataFrame, cities: DataFrame) -> DataFrame:
+    """Accuracy by configuration and city over one frozen list of candidates; 0 for a city (city) that has none. scored: q_id, c_id, city, d, s, c, correct."""
+    x = scored.crossJoin(F.broadcast(weights)).withColumn("score", fused(F.col("d"), F.col("s"), F.col("c"), F.col("wd"), F.col("ws"), F.col("wc")))
+    best = x.groupBy("config", "city", "q_id").agg(F.max_by("correct", F.struct("score", -F.col("c_id"))).alias("correct"))
+    own = best.groupBy("config", "city").agg(F.round(F.avg(F.col("correct").cast("double")), 6).alias("accuracy"))
+    every = cities.select("city").distinct().crossJoin(F.broadcast(weights.select("config")))
+    return every.join(own, ["config", "city"], "left").select("config", "city", F.coalesce("accuracy", F.lit(0.0)).alias("accuracy"))
+
+
 def best_config(results: DataFrame) -> DataFrame:
     """The first configuration with the highest accuracy."""
     return results.orderBy(F.desc_nulls_last("accuracy"), "config").limit(1)

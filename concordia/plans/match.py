@@ -17,9 +17,18 @@ def canonical(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 def dense_match(q: DataFrame, c: DataFrame, k: int, *, mode: str = "block", on_missing: str = "drop", verified: Column | None = None) -> DataFrame:
     """q_id, city, c_id, rank, similarity, verified. mode: block or flat. on_missing: drop, global (compare with all) or placeholder (a row of rank 0)."""
-    join = blocking.flat_join if mode == "flat" else blocking.with_fallback if on_missing == "global" else blocking.block_join
-    pairs = join(q, c).withColumn("sim", dot(F.col("qv"), F.col("cv")))
-    ranked = ranking.top_k(pairs, k)
+    shown = c.drop("cv", "city")
+
+    def whole(asked: DataFrame) -> DataFrame:
+        """Compared with all candidates, by tiles; a join of every pair would send each candidate to each query's task."""
+        return ranking.tiled_top_k(asked, c, k).join(asked.drop("qv"), "q_id").join(shown, "c_id")
+
+    if mode == "flat":
+        ranked = whole(q)
+    else:
+        ranked = ranking.top_k(blocking.block_join(q, c).withColumn("sim", dot(F.col("qv"), F.col("cv"))), k).drop("qv", "cv")
+        if on_missing == "global":
+            ranked = ranked.unionByName(whole(blocking.without_block(q, c)))
     truth = F.coalesce(verified if verified is not None else canonical_id(F.col("truth")) == canonical_id(F.col("c_id")), F.lit(False))
     out = ranked.select("q_id", "c_id", "rank", F.round("sim", 6).alias("similarity"), truth.alias("verified"))
     return out.unionByName(blocking.placeholders(q, c)) if on_missing == "placeholder" else out

@@ -104,21 +104,26 @@ def find_column(columns: list[str], parts: tuple[str, ...] = ("地址", "addr"))
     raise ValueError(f"no column like {parts} among {columns}")
 
 
-def json_report(metrics: DataFrame, path: str, limit: int = 10_000) -> list[dict]:
-    rows = [r.asDict(recursive=True) for r in metrics.limit(limit).collect()]
+def json_report(metrics: DataFrame, path: str) -> int:
+    """All rows as one JSON array, written row by row; how many."""
+    n = 0
     with open(path, "w", encoding="utf-8") as f:
-        json.dump(rows, f, ensure_ascii=False, indent=2, default=str)
-    return rows
-
-
-def markdown_report(metrics: DataFrame, path: str, sort: str, limit: int = 10_000) -> str:
-    """A table of the metrics, the best first, and a line that names the best."""
-    rows = metrics.orderBy(F.desc_nulls_last(sort)).limit(limit).collect()
-    head = metrics.columns
-    lines = ["| " + " | ".join(head) + " |", "|" + "---|" * len(head)] + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows]
-    if rows:
-        lines += ["", f"Best {sort}: {rows[0][sort]} ({head[0]}: {rows[0][0]})"]
-    text = "\n".join(lines) + "\n"
+        f.write("[")
+        for row in metrics.toLocalIterator():
+            f.write((",\n" if n else "\n") + json.dumps(row.asDict(recursive=True), ensure_ascii=False, default=str))
+            n += 1
+        f.write("\n]\n")
+    return n
+
+
+def markdown_report(metrics: DataFrame, path: str, sort: str) -> int:
+    """A table of all metrics, the best first, and a line that names the best; written row by row. How many rows it has."""
+    head, best, n = metrics.columns, None, 0
     with open(path, "w", encoding="utf-8") as f:
-        f.write(text)
-    return text
+        f.write("| " + " | ".join(head) + " |\n|" + "---|" * len(head) + "\n")
+        for r in metrics.orderBy(F.desc_nulls_last(sort)).toLocalIterator():
+            best, n = best or r, n + 1
+            f.write("| " + " | ".join("" if v is None else str(v) for v in r) + " |\n")
+        if best:
+            f.write(f"\nBest {sort}: {best[sort]} ({head[0]}: {best[0]})\n")
+    return n

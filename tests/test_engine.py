@@ -85,6 +85,18 @@ def test_q25_both_tables_have_their_own_columns(spark):
     assert match.canonical(df, {"q_id": "Door\nCode", "q_addr": "missing"}).columns == ["q_id", "q_addr"]
 
 
+def test_flat_and_fallback_plans_have_no_nested_loop(spark, sf):
+    for name in ("dense_topk_flat", "dense_topk_fallback", "extract_address", "city_from_address"):
+        p = plan(catalogue.queries()[name](spark, sf))
+        assert "NestedLoop" not in p and "Cartesian" not in p
+
+
+def test_tiles_give_the_same(spark, sf):
+    q, c = roles(spark, sf)
+    rows = lambda df: sorted(tuple(r) for r in df.select("q_id", "c_id", "rank").collect())
+    assert rows(ranking.tiled_top_k(q, c, 5)) == rows(ranking.tiled_top_k(q, c, 5, tile=70, part=20)) and ranking.tiled_top_k(q.limit(0), c, 5).count() == 0
+
+
 # --- properties
 
 
@@ -149,8 +161,8 @@ def test_cache_is_built_once(spark, tmp_path):
 
 def test_reports(spark, tmp_path):
     df = spark.createDataFrame([("a", 0.5), ("b", None), ("c", 0.7)], "config string, top1 double")
-    assert io.markdown_report(df, str(tmp_path / "r.md"), "top1").endswith("Best top1: 0.7 (config: c)\n")
-    io.json_report(df, str(tmp_path / "r.json"))
+    assert io.markdown_report(df, str(tmp_path / "r.md"), "top1") == 3 and (tmp_path / "r.md").read_text().endswith("Best top1: 0.7 (config: c)\n")
+    assert io.json_report(df, str(tmp_path / "r.json")) == 3
     assert len(json.load(open(tmp_path / "r.json"))) == 3
 
 
@@ -170,6 +182,31 @@ def test_encoder_and_scorer(spark):
     assert df.limit(1).select(score(F.col("t"), F.col("t")).alias("s")).first().s == 22.0
 
 
+def test_more_models(spark):
+    df = spark.createDataFrame([("hello",), (None,)], "t string")
+    out = models.tri_encode(df, "t", lambda: lambda ts: ([[1.0]] * len(ts), [{t: 1.0} for t in ts], [[[1.0, 0.0]]] * len(ts))).collect()
+    assert out[0].sparse == {"hello": 1.0} and out[1].multi == [[1.0, 0.0]]
+    score = models.yes_token_scorer(lambda: lambda prompts: [(2.0, 2.0) if "hello" in p else (0.0, 900.0) for p in prompts])
+    assert [r.s for r in df.fillna("").select(score(F.col("t"), F.col("t")).alias("s")).collect()] == [0.5, pytest.approx(0)]
+    assert models.geocode_dry_run(df, "t") == (2, [None, "hello"])
+    with pytest.raises(ImportError):
+        models.finetune("pairs", lambda path: None)
+
+
+def test_masked_mean(spark):
+    from concordia.functions.vectors import masked_mean
+
+    df = spark.createDataFrame([([[3.0, 0.0], [0.0, 4.0], [9.0, 9.0]], [True, True, False]), ([[1.0, 1.0]], [False])], "v array<array<double>>, m array<boolean>")
+    assert [[round(x, 6) for x in r.e] for r in df.select(masked_mean(F.col("v"), F.col("m")).alias("e")).collect()] == [[0.6, 0.8], [0.0, 0.0]]
+
+
+def test_prior_results_from_a_file(spark, tmp_path):
+    from concordia.operators import evaluate
+
+    spark.createDataFrame([("a", 0.5)], "city string, top1 double").write.json(str(tmp_path / "prior.json"))
+    assert evaluate.compare_with_file(spark, str(tmp_path / "prior.json"), spark.createDataFrame([("a", 0.75)], "city string, top1 double"), "top1").first().delta_pp == 25.0
+
+
 def test_geocoder(spark):
     df = spark.createDataFrame([(1, "x"), (2, "boom")], "id int, addr string")
     known = {"x": {"city": "上海市", "adcode": 31}}
