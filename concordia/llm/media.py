@@ -20,7 +20,7 @@ from .common import Scratch, table
 
 TURNS, RADIUS, STEP, RESPONSE = 32, 7, 2**0.5, 1.0
 #: Pixels of images and corners that are described at once: bounds of a task's memory.
-PIXELS, AT_ONCE = 1 << 19, 1 << 13
+PIXELS, AT_ONCE = 1 << 18, 1 << 12
 #: Words of a descriptor that keys are made of, each of the first BITS of 32 tests; least certain bits of each that a query flips; nearest corners that a corner is paired with,
 #: and how far they are at least; pixels of a level within which a corner in a pair is the strongest.
 WORDS, BITS, LOW, NEAR, LEAST, ALONE = 4, 28, 4, 3, 7, 3
