@@ -108,24 +108,6 @@ def test_jaccard_agrees_with_brute_force(spark):
     assert out == brute_components(docs)
 
 
-def test_jaccard_long_lists(spark, monkeypatch):
-    """Lists of more nodes than a cell, with several components and passages that link nothing."""
-    import random
-
-    monkeypatch.setattr(jaccard, "CELL", 8)
-    monkeypatch.setattr(jaccard.dealt_cells, "__defaults__", (8,))
-    r = random.Random(5)
-    passage = " ".join(f"common{i}" for i in range(30))
-    texts = []
-    for _ in range(5):
-        base = [f"{r.choice('abcdef')}{r.randrange(900)}" for _ in range(70)]
-        texts += [" ".join([*base[:k], f"edit{r.random()}", *base[k:], passage]) for k in [r.randrange(70) for _ in range(9)]]
-        texts += [passage + " " + " ".join(f"own{r.random()}" for _ in range(9 + r.randrange(4))) for _ in range(6)]
-    docs = list(enumerate(texts))
-    out = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), tokens_a_range=500).collect()}
-    assert out == brute_components(docs)
-
-
 def test_rtree_loses_no_pair():
     import numpy as np
 
