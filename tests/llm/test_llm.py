@@ -565,3 +565,105 @@ def test_pipeline(spark, sf):
     assert names == ["quality", "line_dedup", "near_duplicates", "mixing", "bpe"] and corpus_pipeline.ORACLE_SQL is None
     out = corpus_pipeline.run(spark, sf)
     assert 0 < out.select("doc_id").distinct().count() <= docs.count() and out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def slow_quality(docs):
+    """The rows that the quality rules keep, by lists and loops."""
+    found = []
+    for d in docs:
+        text = d["text"] or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        lines = [x for x in text.split("\n") if x.strip(" \t\n\x0b\f\r")]
+        at = defaultdict(list)
+        for i in range(len(words) - 4):
+            at[tuple(words[i : i + 5])].append(i)
+        repeats = len({i + k for places in at.values() if len(places) > 1 for i in places for k in range(5)})
+        symbols, chars, n = sum(text.count(c) for c in "#*$%&|<>"), sum(map(len, words)), len(words)
+        found.append((n < 10 or 100 * repeats > 20 * n, 10 * symbols > n, 10 * (len(lines) - len(set(lines))) > 3 * len(lines), chars < 2 * n or chars > 15 * n))
+    hosts = defaultdict(list)
+    for d, fails in zip(docs, found, strict=True):
+        hosts[d["source"]].append(fails)
+    bad = {}
+    for rule in range(4):
+        rates = {h: sum(f[rule] for f in all_) / len(all_) for h, all_ in hosts.items()}
+        m = sum(rates.values()) / len(rates)
+        v = sum((r - m) ** 2 for r in rates.values()) / len(rates)
+        strength = min(1000.0, max(1.0, m * (1 - m) / v - 1)) if v > 1e-12 else 1000.0
+        for h, all_ in hosts.items():
+            p = (rates[h] * len(all_) + strength * m) / (len(all_) + strength)
+            bad[h, rule] = p - 2 * (p * (1 - p) / (len(all_) + strength + 1)) ** 0.5 > (m if rule else 0.5)
+    return [d for d, f in zip(docs, found, strict=True) if not (f[0] or bad[d["source"], 0] or any(f[r] and bad[d["source"], r] for r in (1, 2, 3)))]
+
+
+def slow_line_dedup(docs):
+    holders = defaultdict(set)
+    key = lambda line: line.strip(" \t\n\x0b\f\r").translate(LOWER)
+    for d in docs:
+        for line in (d["text"] or "").split("\n"):
+            holders[key(line)].add(d["doc_id"])
+    goes = lambda k, i: len(k) >= 10 and min(holders[k]) != i
+    texts = ["\n".join(x for x in (d["text"] or "").split("\n") if not goes(key(x), d["doc_id"])) for d in docs]
+    return [d | {"text": t, "n_chars": len(t)} for d, t in zip(docs, texts, strict=True)]
+
+
+def slow_mix(docs, keys):
+    """keys: the hash-random key of each document. Targets by resharing until none is above its limit; each source's documents in the order of their keys."""
+    size = {d["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", d["text"])) for d in docs}
+    sources = sorted({d["source"] for d in docs}, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sources)}
+    total = {s: sum(size[d["doc_id"]] for d in docs if d["source"] == s) for s in sources}
+    share, full = 1.5 * sum(total.values()), set()
+    while True:
+        open_ = [s for s in sources if s not in full]
+        rate = (share - sum(2 * total[s] for s in full)) / max(1, sum(weight[s] for s in open_))
+        above = {s for s in open_ if weight[s] * rate > 2 * total[s]}
+        if not above:
+            break
+        full |= above
+    out = []
+    for s in sources:
+        budget, start = int(2 * total[s] if s in full else weight[s] * rate + 1e-6), 0
+        for d in sorted((d for d in docs if d["source"] == s), key=lambda d: keys[d["doc_id"]]):
+            n = size[d["doc_id"]]
+            if n:
+                epochs, rest = divmod(budget, total[s])
+                out += [d] * (epochs + (2 * start + n <= 2 * rest))
+            start += n
+    return out
+
+
+def test_pipeline_agrees_with_brute_force(spark, sf, tmp_path, vocab_path):
+    """All rows of run() on real documents with planted copies, shared lines, odd texts, a bad host and repeated epochs, against a plain twin of the five stages."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    real = [r.asDict() for r in docs.collect()]
+    clean = [d for d in slow_quality(real) if len((d["text"] or "").split()) > 60][:12]
+    last = max(d["doc_id"] for d in real)
+    made = []
+    for i, d in enumerate(clean):
+        words = d["text"].split()
+        made.append(d | {"text": d["text"]})
+        made.append(d | {"text": " ".join([*words[:-1], f"edit{i}"]), "source": None})
+        made.append(d | {"text": f"A shared notice of many documents\nown{i} " + " ".join(reversed(words))})
+        made.append(d | {"text": " ".join(f"tail{i}x{k}" for k in range(40)), "source": "a-small-source"})
+        made.append(d | {"text": "short", "source": "z-bad-host"})
+        made.append(d | {"text": " ".join(f"bad{i}x{k}" for k in range(30)) + " # # # # #", "source": "z-bad-host"})
+    made += [clean[0] | {"text": t, "source": "odd"} for t in (None, "", " \n ", "one two three", "A SHARED notice of many documents ")]
+    planted = real + [d | {"doc_id": last + 1 + i} for i, d in enumerate(made)]
+    spark.createDataFrame([[d[c] for c in docs.columns] for d in planted], docs.schema).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+
+    judged = slow_quality(planted)
+    assert len(judged) < len(planted) and not any(d["text"] == "short" for d in judged)
+    lines = slow_line_dedup(judged)
+    assert sum(a["text"] != b["text"] for a, b in zip(judged, lines, strict=True)) > 5
+    groups = brute_components([(d["doc_id"], d["text"]) for d in lines])
+    single = [d for d in lines if groups[d["doc_id"]][1] == d["doc_id"]]
+    assert len(single) <= len(lines) - 12
+    df = spark.createDataFrame([[d[c] for c in docs.columns] for d in single], docs.schema)
+    own = F.struct(*docs.columns)
+    keys = df.select("doc_id", F.md5(F.concat_ws(":", F.lit("mix"), F.col("doc_id"), F.xxhash64(own), F.xxhash64(F.lit(7), own)))).collect()
+    mixed = slow_mix(single, dict(map(tuple, keys)))
+    lib = library(vocab_path)
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    ids = [(d["doc_id"], lib.encode(d["text"], add_special_tokens=False).ids) for d in mixed]
+    want = sorted((i, len(x), digest(",".join(map(str, x))), digest(lib.decode(x, skip_special_tokens=False))) for i, x in ids)
+    assert want == sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect()))
