@@ -40,7 +40,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality_rules), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("mixing", mixture), ("bpe", tokens)]
 
-#: Components of near copies and BPE are beyond SQL. tests/llm holds each stage's operator against SQL, the library or brute force; of the whole it checks stages, columns and ids only.
+#: Components of near copies and BPE are beyond SQL. tests/llm holds all rows of run() against a plain twin of the five stages, and each stage's operator against SQL, the library or brute force.
 ORACLE_SQL = None
 
 
