@@ -87,10 +87,11 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
     own = runs is None
-    # the caller's columns travel in one; null ids come last. Whole numbers are aggregated as such, other ids behind a flag
+    # the caller's other columns travel in one, the text by itself and once; null ids come last. Whole numbers are aggregated as such, other ids behind a flag
+    others = [c for c in docs.columns if c.lower() not in (text_col.lower(), "n_lines", "n_dropped")]
     numbers = isinstance(docs.schema[id_col].dataType, IntegralType)
     place = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)) if numbers else F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"))
-    rows = docs.select(place.alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("row"), F.col(text_col).alias("text"), F.struct("*").alias("own"))
+    rows = docs.select(place.alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("row"), F.col(text_col).alias("text"), F.struct(*(F.col(f"`{c}`") for c in others)).alias("own"))
     steps = batches if own and numbers else 1
     cuts = sorted(set(rows.select(F.percentile_approx("id", [i / steps for i in range(1, steps)], 1000)).first()[0] or [])) if steps > 1 else []
     part = reduce(lambda x, c: x + F.when(F.col("id") > c, 1).otherwise(0), cuts, F.lit(0))
@@ -130,7 +131,6 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     ends = F.concat(F.col("gone"), F.array(F.size("lines")))
     kept = F.flatten(F.zip_with(starts, ends, lambda s, e: F.slice(F.col("lines"), s + 1, e - s)))
     text = F.when(F.size("gone") == 0, F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n"))
-    others = [c for c in docs.columns if c.lower() not in (text_col.lower(), "n_lines", "n_dropped")]
     return out.select(*(F.col("own").getField(c).alias(c) for c in others), text.alias(text_col), F.size("lines").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_dropped"))
 
 

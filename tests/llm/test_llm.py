@@ -149,6 +149,15 @@ def test_line_runs_over_batches(spark):
     runs.drop()
 
 
+def test_line_dedup_moves_texts_once(spark):
+    df = rows(spark)
+    plan = linededup.dedup_lines(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS own" in plan and not re.search(r"struct\([^)]*text, text", plan)
+    assert linededup.dedup_lines(df.select("doc_id", "text")).count() == df.count()
+    alone = linededup.dedup_lines(df.select(F.col("text").alias("doc_id"), F.lit("a line of its own").alias("text"))).collect()
+    assert sum(r.n_dropped == 0 for r in alone) == sum(r.doc_id == min(x.doc_id for x in alone if x.doc_id is not None) for r in alone)
+
+
 def test_chat_reads_back_what_was_written(spark):
     said = [("user", "<|im_end|>\\<|<|\n|"), ("assistant", "\\\\|<\\|x"), ("odd\nrole<|", None), ("assistant", "")]
     df = spark.createDataFrame([(1, i, r, t) for i, (r, t) in enumerate(said)] + [(None, None, None, "x")], "conv_id long, turn long, role string, text string")
