@@ -155,9 +155,11 @@ def sparse_dot(spark, d):
 
 
 def sparse_topk(spark, d):
+    """Texts are dealt by document before their words are counted: counts and, where the queries' side is broadcast, sums of a document's products need no other exchange."""
     words = F.explode(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != "")).alias("token")
-    freq = _t(spark, d, "documents").select("doc_id", F.col("lang").alias("city"), words).groupBy("doc_id", "city", "token").agg(F.count(F.lit(1)).alias("weight"))
-    q, c = freq.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "q_id"), freq.withColumnRenamed("doc_id", "c_id")
+    count = lambda docs: docs.repartition("doc_id").select("doc_id", F.col("lang").alias("city"), words).groupBy("doc_id", "city", "token").agg(F.count(F.lit(1)).alias("weight"))
+    docs = _t(spark, d, "documents").select("doc_id", "lang", "text")
+    q, c = count(docs.where("doc_id % 20 = 0")).withColumnRenamed("doc_id", "q_id"), count(docs).withColumnRenamed("doc_id", "c_id")
     return ranking.top_k(ranking.sparse_scores(q, c).where("q_id <> c_id"), 5, "sparse").select("q_id", "c_id", "rank", "sparse")
 
 
