@@ -342,14 +342,10 @@ def dedup_candidates(spark, d):
 
 NAMES = ["品牌-中山路(东)店", "甲股份有限公司", "　１２ 号　　楼 ", "北京市朝阳区眼镜城", None, "A-B-C店", "上海市静安 路", "乙（集团）有限责任公司", "", "丙工作室 (甲)", "  x　y  "]
 ADDRESSES = ["浙江省杭州市西湖区文三路", "浙江省台州市路桥区", "广东省深圳市南山区", "内蒙古自治区呼和浩特市新城区", "no", None, "  ", "上海市浦东新区世纪大道", "成都高新区天府", "石家庄长安区"]
-#: name, province, city, district by reading the rules; the gazetteer below fills the last one.
-EXTRACTED = [("浙江省", "杭州市", "西湖区", "high"), ("浙江省", "台州市", "路桥区", "high"), ("广东省", "深圳市", "南山区", "high"), ("内蒙古自治区", "治区呼和浩特市", "", "high"), ("", "", "", "none"), ("", "", "", "none"), ("", "", "", "none"), ("上海市", "上海市", "浦东新区", "high"), ("四川省", "成都市", "高新区", "mid"), ("河北省", "石家庄市", "长安区", "mid")]
 GAZETTEER = [("成都", "四川省", "成都市", ""), ("石家庄", "河北省", "石家庄市", "")]
 CITIES = ["崇州市", "广东广州市", "青岛市市", "广州市番禺区市", "温州市乐清市", "白塔区辽阳市", "治区呼和浩特市", "藏族自治州", "崇州", "阆中", "上海", "吉林市", "吉林省长春市", "镇江市", "号西安市", "永辉超市", "县", "易试验区金华市", None, "  "]
 COUNTIES = [("崇州市", "成都市"), ("阆中市", "南充市"), ("长春市", "长春市"), ("镇江市", "镇江市")]
 FIXES = [("治区呼和浩特市", "呼和浩特市"), ("藏族自治州", ""), ("号西安市", "西安市")]
-NORMAL = ["成都市", "广州市", "青岛市", "广州市", "温州市", "辽阳市", "呼和浩特市", "", "崇州", "南充市", "上海", "吉林市", "长春市", "镇江市", "西安市", "", "", "金华市", "", ""]
-NORMAL_STRICT = ["成都市", "广州市", "青岛市", "广州市", "温州市", "辽阳市", "呼和浩特市", "", "崇州", "南充市", "上海", "吉林市", "省长春市", "", "", "", "", "金华市", "", ""]
 
 
 def _literals(spark, d, values, name):
@@ -357,10 +353,6 @@ def _literals(spark, d, values, name):
     return _t(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % len(values)).cast("int").alias("i")).join(F.broadcast(rows), "i")
 
 
-def _literal_sql(columns, values, select):
-    return f"WITH v(i, {columns}) AS (VALUES {_sql_values([(i, *x) for i, x in enumerate(values)])}) SELECT c_custkey, {select} FROM customer JOIN v ON c_custkey % {len(values)} = v.i"
-
-
 BLANKS = [("甲", "杭州市"), ("", "杭州市"), (None, "杭州市"), (" 　", "nan"), ("乙", ""), ("丙", None), ("丁", "nan"), ("戊", "上海市")]
 
 
@@ -392,9 +384,6 @@ def clean_names(spark, d):
     return x.select("c_custkey", *[g(F.col("name")).alias(k) for k, g in f.items()])
 
 
-CLEANED = [("品牌-中山路(东)店", "中山路", "品牌-中山路(东)店", "品牌-中山路店"), ("甲股份有限公司", "甲股份有限公司", "甲股份有限公司", "甲股份"), ("12 号 楼", "１２ 号 楼", "1２ 号 楼", "１２ 号 楼"), ("北京市朝阳区眼镜城", "北京市朝阳区眼镜城", "市朝阳区", "北京市朝阳区眼镜城"), ("", "", "", ""), ("A-B-C店", "B C", "A-B-C店", "A-B-C店"), ("上海市静安 路", "上海市静安 路", "静安 路", "上海市静安 路"), ("乙(集团)有限责任公司".replace("(", "（").replace(")", "）"), "乙有限责任公司", "乙（集团）有限责任公司", "乙"), ("", "", "", ""), ("丙工作室 (甲)", "丙工作室", "丙工作室 (甲)", "丙"), ("x y", "x y", "x y", "x y")]
-
-
 def entity_text(spark, d):
     x = _literals(spark, d, NAMES, "name").join(_t(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey")
     return x.select("c_custkey", text.entity_text(F.col("c_name"), F.when(F.col("i") % 2 == 0, F.lit("addr 1"))).alias("entity"), text.entity_text_nullsafe(F.col("c_name"), F.when(F.col("i") % 2 == 0, F.lit("addr 1"))).alias("entity_nullsafe"))
@@ -438,13 +427,13 @@ def valid_cities(spark, d):
 
 
 def align_city(spark, d):
-    x = _literals(spark, d, ["崇州", "吉林市", "青岛市市", "nowhere", None], "name")
-    known = _values(spark, [("崇州市",), ("吉林",), ("青岛市",)], "city string")
+    x = _literals(spark, d, ALIGNED, "name")
+    known = _values(spark, [(x,) for x in KNOWN], "city string")
     return city.align_city(x, "name", known).select("c_custkey", "city")
 
 
 def city_from_address(spark, d):
-    known = _values(spark, [("杭州市",), ("州市",), ("深圳市",), ("台州市",)], "city string")
+    known = _values(spark, [(x,) for x in WITHIN], "city string")
     return city.city_from_address(_literals(spark, d, ADDRESSES, "addr"), "addr", known, "c_custkey").select("c_custkey", "city")
 
 
@@ -457,6 +446,85 @@ def geocode_fill(spark, d):
     return x.select("c_custkey", city.geocode_fill(F.col("city"), F.col("found_city"), F.col("found_province")).alias("city"))
 
 
+# The text rules in SQL: computed from the cases, as the expressions compute them from columns. W: what is white space to the rules.
+_W = "[\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+
+
+def _strip_sql(x):
+    return f"regexp_replace({x}, '^{_W}+|{_W}+$', '', 'g')"
+
+
+def _collapse_sql(x):
+    return _strip_sql(f"regexp_replace({x}, '{_W}+', ' ', 'g')")
+
+
+def _clean_sql(x):
+    return _collapse_sql(f"translate(coalesce({x}, ''), '{text.WIDE_DIGITS}', '{text.DIGITS}')")
+
+
+def _company_sql(x):
+    x = f"coalesce({x}, '')"
+    for form in text.COMPANY_FORMS:
+        x = f"replace({x}, '{form}', '')"
+    return _collapse_sql(f"regexp_replace({x}, '[（(][^）)]*[）)]', '', 'g')")
+
+
+def _cases(columns, values, key="i"):
+    """v: the cases, one of which each customer has."""
+    return f"v({key}, {columns}) AS (VALUES {_sql_values([(i, *x) for i, x in enumerate(values)])})"
+
+
+_STORE = "regexp_replace(regexp_replace(regexp_replace(coalesce(name, ''), '^[^-]*-', ''), '店$', ''), '[（(][^）)]*[）)]', '', 'g')"
+_ADDR = "regexp_replace(regexp_replace(coalesce(name, ''), '^(上海市?|北京|天津|重庆)', ''), '眼镜店|眼镜城|眼镜', '', 'g')"
+_CLEAN_SQL = (
+    f"WITH {_cases('name', [(x,) for x in NAMES])} SELECT c_custkey, {_clean_sql('name')} AS clean, {_strip_sql(f"regexp_replace({_STORE}, '[·\\-{_W[1:]}+', ' ', 'g')")} AS store, "
+    f"{_collapse_sql(f"translate({_ADDR}, '０１', '01')")} AS addr, {_company_sql('name')} AS company FROM customer JOIN v ON c_custkey % {len(NAMES)} = v.i"
+)
+_OWN = "CASE " + " ".join(f"WHEN contains(t, '{m}') THEN '{m}'" for m in address.MUNICIPALITIES) + " END"
+_EXTRACT_SQL = f"""WITH {_cases("addr", [(x,) for x in ADDRESSES])}, gz(name, province, city, district) AS (VALUES {_sql_values(GAZETTEER)}),
+t AS (SELECT i, {_clean_sql("addr")} AS t FROM v),
+m AS (SELECT *, {_OWN} AS own FROM t),
+p AS (SELECT i, t, coalesce(own, regexp_extract(t, '{address.PROVINCE}', 1)) AS p, coalesce(own, regexp_replace(regexp_extract(t, '{address.CITY}', 1), '{address.AFTER_PROVINCE}', '')) AS c,
+  regexp_replace(regexp_replace(regexp_extract(t, '{address.DISTRICT}', 1), '{address.AFTER_CITY}', ''), '{address.AFTER_PROVINCE}', '') AS d FROM m),
+g AS (SELECT i, arg_max(gz, (length(name), name)) AS g FROM p JOIN gz ON contains(t, name) WHERE p = '' OR c = '' OR d = '' GROUP BY i),
+f AS (SELECT i, p, c, d, coalesce(g.province, '') AS gp, coalesce(g.city, '') AS gc, coalesce(g.district, '') AS gd FROM p LEFT JOIN g USING (i)),
+x AS (SELECT i, CASE WHEN p <> '' THEN p ELSE gp END AS province, CASE WHEN c <> '' THEN c ELSE gc END AS city, CASE WHEN d <> '' THEN d ELSE gd END AS district,
+  CASE WHEN (p = '' AND gp <> '') OR (c = '' AND gc <> '') OR (d = '' AND gd <> '') THEN 'mid' WHEN p <> '' OR c <> '' OR d <> '' THEN 'high' ELSE 'none' END AS confidence FROM f),
+k AS (SELECT *, regexp_replace(city, '市+$', '') AS core FROM x)
+SELECT c_custkey, province, city, CASE WHEN core <> '' AND starts_with(district, core) THEN substr(district, length(core) + 1) ELSE district END AS district, confidence
+FROM customer JOIN k ON c_custkey % {len(ADDRESSES)} = k.i"""
+
+
+def _normal_sql(strict, select="c_custkey, city_norm"):
+    """The rules for cities by stages, each a projection on the one before."""
+    known = "FALSE" if strict else "_c IN (SELECT name FROM county UNION SELECT target FROM county UNION SELECT name FROM fix UNION SELECT target FROM fix)"
+    zone = lambda z: f"CASE WHEN contains(c1, '{z}') THEN nullif(substr(c1, strpos(c1, '{z}') + {len(z)}), '') END"
+    bare, tail = f"^(?:{'|'.join(city.PROVINCES)})", "" if strict else "(?:省|自治区|壮族自治区|回族自治区|维吾尔自治区)"
+    rest = lambda x: f"CASE WHEN regexp_matches(c2, '{x}') AND regexp_replace(c2, '{x}', '') NOT IN ('', '市') THEN regexp_replace(c2, '{x}', '') END"
+    named = lambda names: ", ".join(f"'{n}'" for n in names)
+    return f"""WITH {_cases("name", [(x,) for x in CITIES])}, county(name, target) AS (VALUES {_sql_values(COUNTIES)}), fix(name, target) AS (VALUES {_sql_values(FIXES)}),
+a AS (SELECT i, name, {_strip_sql("coalesce(name, '')")} AS _c FROM v),
+b AS (SELECT i, name, CASE WHEN NOT ({known}) AND ((_c LIKE '%市' AND length(_c) > 4 AND regexp_matches(_c, '{"|".join(city.JUNK_WORDS)}')) OR _c = '县' OR (starts_with(_c, '号') AND length(_c) <= 6)
+  OR _c IN ({named(city.JUNK_NAMES)}) OR regexp_matches(_c, '{"|".join(city.JUNK_PARTS)}')) THEN '' ELSE _c END AS c1 FROM a),
+c AS (SELECT i, name, coalesce({", ".join(map(zone, city.ZONES))}, c1) AS c2 FROM b),
+d AS (SELECT i, c.name, fix.target AS fixed, regexp_replace(coalesce({rest(bare + tail) + ", " if tail else ""}{rest(bare)}, c2), '市市+$', '市') AS s1 FROM c LEFT JOIN fix ON fix.name = c2),
+e AS (SELECT *, CASE WHEN length(regexp_extract(s1, '^.+?区(.+市)$', 1)) >= 3 THEN regexp_extract(s1, '^.+?区(.+市)$', 1) ELSE s1 END AS s2 FROM d),
+f AS (SELECT *, CASE WHEN length(regexp_extract(s2, '^(.+?市)(.+?[区县市].*)$', 1)) BETWEEN 1 AND 5 THEN regexp_extract(s2, '^(.+?市)(.+?[区县市].*)$', 1) ELSE s2 END AS s FROM e),
+n AS (SELECT f.i, f.name, coalesce(fixed, k.target, l.target, s) AS city_norm FROM f LEFT JOIN county k ON k.name = s LEFT JOIN county l ON l.name = s || '市' AND NOT regexp_matches(s, '(市|地区|州|盟)$'))
+SELECT {select} FROM customer JOIN n ON c_custkey % {len(CITIES)} = n.i"""
+
+
+ALIGNED, KNOWN, WITHIN = ["崇州", "吉林市", "青岛市市", "nowhere", None], ["崇州市", "吉林", "青岛市"], ["杭州市", "州市", "深圳市", "台州市"]
+_ALIGN_SQL = f"""WITH {_cases("name", [(x,) for x in ALIGNED])}, k(city) AS (VALUES {_sql_values([(x,) for x in KNOWN])}), a AS (SELECT i, {_strip_sql("coalesce(name, '')")} AS n FROM v)
+SELECT c_custkey, CASE WHEN n IN (SELECT city FROM k) THEN n WHEN n || '市' IN (SELECT city FROM k) THEN n || '市' WHEN regexp_replace(n, '市$', '') IN (SELECT city FROM k) THEN regexp_replace(n, '市$', '') ELSE n END AS city
+FROM customer JOIN a ON c_custkey % {len(ALIGNED)} = a.i"""
+_WITHIN_SQL = f"""WITH {_cases("addr", [(x,) for x in ADDRESSES])}, k(city) AS (VALUES {_sql_values([(x,) for x in WITHIN])}),
+a AS (SELECT i, coalesce(arg_max(city, (length(city), city)), '') AS city FROM v LEFT JOIN k ON contains(addr, city) GROUP BY i) SELECT c_custkey, city FROM customer JOIN a ON c_custkey % {len(ADDRESSES)} = a.i"""
+_GEOCODE_SQL = f"""WITH {_cases("city, found, province", [x[:3] for x in GEOCODED])}
+SELECT c_custkey, CASE WHEN trim(coalesce(city, '')) NOT IN ('', 'nan') THEN city WHEN coalesce(found, '') NOT IN ('', '[]') THEN found WHEN coalesce(found, '') = '' AND regexp_matches(province, '北京|上海|天津|重庆') THEN province ELSE '' END AS city
+FROM customer JOIN v ON c_custkey % {len(GEOCODED)} = v.i"""
+
+
 # --- mining
 
 
@@ -530,17 +598,17 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY q_id ORDER BY sparse DESC,
     "top_cities": (top_cities, "SELECT c_nationkey AS city, count(*) AS n FROM customer GROUP BY 1 ORDER BY n DESC, city LIMIT 5"),
     "truth_join": (truth_join, "SELECT c_nationkey AS city, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1"),
     "dedup_candidates": (dedup_candidates, "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders) WHERE n = 1"),
-    "clean_names": (clean_names, _literal_sql("clean, store, addr, company", CLEANED, "clean, store, addr, company")),
+    "clean_names": (clean_names, _CLEAN_SQL),
     "entity_text": (entity_text, f"SELECT c_custkey, c_name || CASE WHEN c_custkey % {len(NAMES)} % 2 = 0 THEN ' addr 1' ELSE '' END AS entity, c_name || CASE WHEN c_custkey % {len(NAMES)} % 2 = 0 THEN ' addr 1' ELSE '' END AS entity_nullsafe FROM customer"),
-    "extract_address": (extract_address, _literal_sql("province, city, district, confidence", EXTRACTED, "province, city, district, confidence")),
-    "address_stats": (address_stats, "SELECT count(*) AS rows, count(*) FILTER (WHERE province <> '') AS with_province, count(*) FILTER (WHERE city <> '') AS with_city, count(*) FILTER (WHERE district <> '') AS with_district, " + ", ".join(f"count(*) FILTER (WHERE confidence = '{v}') AS confidence_{v}" for v in ("high", "mid", "none")) + f" FROM ({_literal_sql('province, city, district, confidence', EXTRACTED, 'province, city, district, confidence')})"),
-    "normalize_city": (normalize_city, _literal_sql("city_norm", [(x,) for x in NORMAL], "city_norm")),
-    "normalize_city_strict": (normalize_city_strict, _literal_sql("city_norm", [(x,) for x in NORMAL_STRICT], "city_norm")),
-    "normalize_stats": (normalize_stats, f"SELECT count(*) FILTER (WHERE b <> a) AS changed, count(*) FILTER (WHERE b = '') AS empty_before, count(*) FILTER (WHERE a = '') AS empty_after FROM ({_literal_sql('b, a', [(x or '', y) for x, y in zip(CITIES, NORMAL, strict=True)], 'b, a')})"),
-    "valid_cities": (valid_cities, f"SELECT city, count(*) AS n FROM ({_literal_sql('city', [(x,) for x in CITIES], 'city')}) WHERE city LIKE '%市' GROUP BY city"),
-    "align_city": (align_city, _literal_sql("city", [("崇州市",), ("吉林",), ("青岛市",), ("nowhere",), ("",)], "city")),
-    "city_from_address": (city_from_address, _literal_sql("city", [("杭州市",), ("台州市",), ("深圳市",), *[("",)] * 7], "city")),
-    "geocode_fill": (geocode_fill, _literal_sql("city", [(x[3],) for x in GEOCODED], "city")),
+    "extract_address": (extract_address, _EXTRACT_SQL),
+    "address_stats": (address_stats, "SELECT count(*) AS rows, count(*) FILTER (WHERE province <> '') AS with_province, count(*) FILTER (WHERE city <> '') AS with_city, count(*) FILTER (WHERE district <> '') AS with_district, " + ", ".join(f"count(*) FILTER (WHERE confidence = '{v}') AS confidence_{v}" for v in ("high", "mid", "none")) + f" FROM ({_EXTRACT_SQL})"),
+    "normalize_city": (normalize_city, _normal_sql(False)),
+    "normalize_city_strict": (normalize_city_strict, _normal_sql(True)),
+    "normalize_stats": (normalize_stats, f"SELECT count(*) FILTER (WHERE b <> a) AS changed, count(*) FILTER (WHERE b = '') AS empty_before, count(*) FILTER (WHERE a = '') AS empty_after FROM ({_normal_sql(False, "coalesce(name, '') AS b, city_norm AS a")})"),
+    "valid_cities": (valid_cities, f"WITH {_cases('name', [(x,) for x in CITIES])} SELECT city, count(*) AS n FROM (SELECT {_strip_sql('name')} AS city FROM customer JOIN v ON c_custkey % {len(CITIES)} = v.i) WHERE city LIKE '%市' GROUP BY city"),
+    "align_city": (align_city, _ALIGN_SQL),
+    "city_from_address": (city_from_address, _WITHIN_SQL),
+    "geocode_fill": (geocode_fill, _GEOCODE_SQL),
     "mine_training_pairs": (mine_training_pairs, f"{_MINED} SELECT * FROM mined"),
     "val_split": (val_split, "SELECT s_suppkey, CASE WHEN CAST('0x' || substr(md5('42:' || s_suppkey), 1, 7) AS BIGINT) % 100 < 10 THEN 'val' ELSE 'train' END AS part FROM supplier"),
     "ir_corpus": (ir_corpus, f"{_MINED} SELECT q_id, md5(positive) AS doc_key, positive AS text FROM mined"),

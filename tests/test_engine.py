@@ -247,3 +247,22 @@ def test_edit_distance_filter_takes_every_part(spark, tmp_path):
     want = {(a, b) for a, x, s in own for b, y, t in own if s == t and a < b and len(x) > 2 and len(y) > 2 and edits(x[:20], y[:20]) < 3}
     out = [tuple(r) for r in catalogue.edit_distance_filter(spark, str(tmp_path)).collect()]
     assert len(out) == len(set(out)) and set(out) == want and any(a > 2000 for a, _ in want)
+
+
+# --- text rules: the cases' answers by reading the rules; test_catalogue holds the queries against SQL that computes them
+
+EXTRACTED = [("浙江省", "杭州市", "西湖区", "high"), ("浙江省", "台州市", "路桥区", "high"), ("广东省", "深圳市", "南山区", "high"), ("内蒙古自治区", "治区呼和浩特市", "", "high"), ("", "", "", "none"), ("", "", "", "none"), ("", "", "", "none"), ("上海市", "上海市", "浦东新区", "high"), ("四川省", "成都市", "高新区", "mid"), ("河北省", "石家庄市", "长安区", "mid")]
+NORMAL = ["成都市", "广州市", "青岛市", "广州市", "温州市", "辽阳市", "呼和浩特市", "", "崇州", "南充市", "上海", "吉林市", "长春市", "镇江市", "西安市", "", "", "金华市", "", ""]
+NORMAL_STRICT = ["成都市", "广州市", "青岛市", "广州市", "温州市", "辽阳市", "呼和浩特市", "", "崇州", "南充市", "上海", "吉林市", "省长春市", "", "", "", "", "金华市", "", ""]
+CLEANED = [("品牌-中山路(东)店", "中山路", "品牌-中山路(东)店", "品牌-中山路店"), ("甲股份有限公司", "甲股份有限公司", "甲股份有限公司", "甲股份"), ("12 号 楼", "１２ 号 楼", "1２ 号 楼", "１２ 号 楼"), ("北京市朝阳区眼镜城", "北京市朝阳区眼镜城", "市朝阳区", "北京市朝阳区眼镜城"), ("", "", "", ""), ("A-B-C店", "B C", "A-B-C店", "A-B-C店"), ("上海市静安 路", "上海市静安 路", "静安 路", "上海市静安 路"), ("乙(集团)有限责任公司".replace("(", "（").replace(")", "）"), "乙有限责任公司", "乙（集团）有限责任公司", "乙"), ("", "", "", ""), ("丙工作室 (甲)", "丙工作室", "丙工作室 (甲)", "丙"), ("x y", "x y", "x y", "x y")]
+
+
+@pytest.mark.parametrize(("name", "cases", "columns", "answers"), [
+    ("extract_address", catalogue.ADDRESSES, ("province", "city", "district", "confidence"), EXTRACTED),
+    ("clean_names", catalogue.NAMES, ("clean", "store", "addr", "company"), CLEANED),
+    ("normalize_city", catalogue.CITIES, ("city_norm",), [(x,) for x in NORMAL]),
+    ("normalize_city_strict", catalogue.CITIES, ("city_norm",), [(x,) for x in NORMAL_STRICT]),
+])
+def test_text_rules_give_the_answers_by_hand(spark, sf, name, cases, columns, answers):
+    rows = catalogue.queries()[name](spark, sf).collect()
+    assert rows and all(tuple(r[c] for c in columns) == answers[r["c_custkey"] % len(cases)] for r in rows)
