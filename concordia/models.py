@@ -89,8 +89,9 @@ def udf_scorer(load: Callable[[], Callable[[list[tuple[str, str]]], list[float]]
     return lambda query, candidate: run(query, candidate)
 
 
-def geocode(df: DataFrame, address: str, geocoder: Geocoder, pause: float = 0.05) -> DataFrame:
-    """Adds found_province, found_city, found_district, found_adcode by one task that waits between calls. Pass rows that need it alone."""
+def geocode(df: DataFrame, address: str, geocoder: Geocoder, pause: float = 0.05, callers: int = 1) -> DataFrame:
+    """Adds found_province, found_city, found_district, found_adcode by `callers` tasks, each of which waits between its calls: a service's rate limit, not the data, sets their number.
+    The rows are dealt to them, so that what makes the rows keeps its own tasks. Pass rows that need it alone."""
 
     fields = ("province", "city", "district", "adcode")
     names = df.columns
@@ -111,7 +112,7 @@ def geocode(df: DataFrame, address: str, geocoder: Geocoder, pause: float = 0.05
             yield pdf[[*names, *(f"found_{f}" for f in fields)]]
 
     schema = ", ".join([f"`{n}` {t}" for n, t in df.dtypes] + [f"found_{f} string" for f in fields])
-    return df.coalesce(1).mapInPandas(run, schema)
+    return df.repartition(callers).mapInPandas(run, schema)
 
 
 def http_geocoder(key: str, url: str, timeout: float = 10.0) -> Geocoder:
