@@ -16,7 +16,6 @@ import re
 from bisect import bisect
 from functools import lru_cache
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -306,7 +305,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 classes = []
                 if template.is_valid:
                     values = template.values.to_numpy()
-                    key = (len(values), int(np.bitwise_xor.reduce(values)) if len(values) else 0)
+                    key = values.tobytes()  # the whole template, order and classes too: two hosts may share all tokens
                     classes = known.get(key)
                     if classes is None:
                         known.clear()
