@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, html, jaccard, linededup, media, mixing, pii, quality, tokencount
+from . import bpe, chat, html, importance, jaccard, kmeans, linededup, media, mixing, packing, pii, quality, tokencount
 
 _QUERIES = {
     "op1_mixing": (mixing.op1_mixing, mixing.OP1_SQL),
@@ -15,6 +15,9 @@ _QUERIES = {
     "op8_jaccard": (jaccard.op8_jaccard, None),
     "op9_quality": (quality.op9_quality, quality.OP9_SQL),
     "op10_media": (media.op10_media, None),
+    "op11_importance": (importance.op11_importance, None),
+    "op12_kmeans": (kmeans.op12_kmeans, kmeans.OP12_SQL),
+    "op13_packing": (packing.op13_packing, None),
 }
 
 
