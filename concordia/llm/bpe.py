@@ -87,11 +87,15 @@ class Vocabulary:
             out[hit] = r[slot[hit]]
         return out
 
+    def symbols(self, data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The ids that the words' bytes begin with."""
+        return self.first[data]
+
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Exact BPE of many words at once: (offsets, ids). In each round every word does its merge of lowest rank, from left to
         right where it occurs more than once, until no word has any."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        sym = self.first[np.frombuffer(b"".join(words), np.uint8)]
+        sym = self.symbols(np.frombuffer(b"".join(words), np.uint8), sizes)
         word = np.repeat(np.arange(len(words)), sizes)
         done_sym, done_word = [], []
         while len(sym):

@@ -7,17 +7,24 @@ a task has of the windows at its two ends are boundary records, which meet by th
 
 from __future__ import annotations
 
+import gc
+import json
 import os
 import zlib
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import bpe
 from .common import Scratch, table
+from .tokencount import byte_letters
 
-#: The longest text between white space that is remembered, and how many of them a task remembers.
-REMEMBERED, WORDS = 64, 1 << 18
+#: The longest text between white space that is remembered, how many of them a task remembers, and the characters of texts that it takes at once.
+REMEMBERED, WORDS, STRETCH = 64, 1 << 19, 1 << 21
+#: ASCII signs that are of no contraction: behind letters they are a piece.
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 END_ID = 1
 
 
@@ -31,44 +38,93 @@ def library(path: str):
     return lib
 
 
-class WordIds:
-    """Ids of texts as little-endian bytes. The vocabularies drop white space and no token spans it, so that what stands between spaces, line feeds and tabs is encoded by itself, by the
-    library, and remembered if it is short. The memory is emptied when it is full, so that it is bounded."""
+class WordVocabulary(bpe.Vocabulary):
+    """A vocabulary whose words end in an id of their own kind."""
 
     def __init__(self, path: str):
-        import numpy as np
+        spec = json.load(open(path, encoding="utf-8"))
+        vocab, ending = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
+        letters = [c for c, _ in sorted(byte_letters().items(), key=lambda x: x[1])]
+        self.first, self.last = (np.array([vocab[c + e] for c in letters], np.int32) for e in ("", ending))
+        pairs = [p if isinstance(p, list) else p.split(" ") for p in spec["model"]["merges"]]
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.int32)
+        self._hash(np.array([(vocab[a] << 32) | vocab[b] for a, b in pairs], np.uint64))
+
+    def symbols(self, data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        out, ends = self.first[data], np.cumsum(sizes) - 1
+        out[ends] = self.last[data[ends]]
+        return out
 
-        self.lib = library(path)
+
+@lru_cache(maxsize=2)
+def vocabulary(path: str) -> WordVocabulary:
+    return WordVocabulary(path)
+
+
+class WordIds:
+    """Ids of texts as little-endian bytes. The vocabularies drop white space and no token spans it, so that what stands between spaces, line feeds and tabs is encoded by itself and remembered
+    if it is short. Words of Latin letters, with or without signs behind them, are one or two pieces whose merges are done many at once; all others go to the library. The memory is
+    emptied when it is full, so that it is bounded."""
+
+    def __init__(self, path: str):
+        self.lib, self.vocab = library(path), vocabulary(path)
         self.kind = np.dtype("<u2" if self.lib.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {"": b""}
 
-    def _encoded(self, words: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.lib.encode_batch_fast(words, add_special_tokens=False)]
-
-    def __call__(self, text: str) -> bytes:
-        words = text.replace("\n", " ").replace("\t", " ").split(" ")
-        known = self.known
-        if len(known) > WORDS:
-            known.clear()
-            known[""] = b""
-        own: dict[str, bytes] = {}
-        if unseen := [w for w in set(words) if w not in known]:
-            for w, ids in zip(unseen, self._encoded(unseen), strict=True):
-                if len(w) <= REMEMBERED:
-                    known[w] = ids
-                else:
-                    own[w] = ids
-        if own:
-            return b"".join([known[w] if w in known else own[w] for w in words])
-        return b"".join(map(known.__getitem__, words))
+    def learn(self, words: set[str]) -> None:
+        """Puts the ids of words to what is known."""
+        known, own, heads, tails, other = self.known, [], [], [], []
+        for w in words:
+            letters = w.rstrip(SIGNS)
+            if not letters or (letters.isalpha() and (letters.isascii() or max(letters) < "\u0100")):
+                own.append(w)
+                heads.append(letters.lower())
+                tails.append(w[len(letters) :])
+            else:
+                other.append(w)
+        new = list({*heads, *tails}.difference(known))
+        offsets, ids = self.vocab.merge([p.encode() for p in new])
+        data, bounds = ids.astype(self.kind).tobytes(), (offsets * self.kind.itemsize).tolist()
+        known.update(zip(new, map(data.__getitem__, map(slice, bounds, bounds[1:])), strict=True))
+        get = known.__getitem__
+        known.update(zip(own, map(bytes.__add__, map(get, heads), map(get, tails)), strict=True))
+        if other:
+            found = self.lib.encode_batch_fast(other, add_special_tokens=False)
+            known.update((w, np.array(e.ids, dtype=self.kind).tobytes()) for w, e in zip(other, found, strict=True))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of some megabytes of texts; what they need stays known until all have theirs."""
+        if len(self.known) > WORDS:
+            self.known = {"": b""}
+        get, lists, unseen = self.known.get, [], set()
+        for text in texts:
+            words = text.replace("\n", " ").replace("\t", " ").split(" ")
+            found = list(map(get, words))
+            if None in found:
+                unseen.update(w for w in words if w not in self.known)
+                found = None
+            lists.append((words, found))
+        if unseen:
+            self.learn(unseen)
+        out = [b"".join(map(get, words) if found is None else found) for words, found in lists]
+        for w in unseen:
+            if len(w) > REMEMBERED:
+                self.known.pop(w, None)
+        return out
+
+    def long(self, text: str) -> bytes:
+        """The ids of a text of any length, read in stretches that end at a space."""
+        out, at = [], 0
+        while at < len(text):
+            end = text.find(" ", at + STRETCH)
+            end = len(text) if end < 0 else end
+            out += self([text[at:end]])
+            at = end
+        return b"".join(out)
 
 
 def drops_white_space(path: str) -> bool:
     """The vocabulary's file splits at white space and drops it, so that texts may be encoded word by word."""
-    import json
-
     spec = json.load(open(path, encoding="utf-8"))
     pre = spec.get("pre_tokenizer") or {}
     parts = pre.get("pretokenizers", [pre])
@@ -77,7 +133,8 @@ def drops_white_space(path: str) -> bool:
     split = parts[0]
     removes = split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") and split["pattern"].get("Regex", "").endswith("[^\\s\\p{L}\\p{N}]+")
     whole = all(x["type"] == "ByteLevel" and not x["use_regex"] and not x["add_prefix_space"] for x in parts[1:])
-    return bool(simple and removes and whole and not spec.get("post_processor") and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"]))
+    ending = spec["model"].get("end_of_word_suffix") and not spec["model"].get("continuing_subword_prefix") and not spec["model"].get("dropout") and not spec["model"].get("ignore_merges")
+    return bool(simple and removes and whole and ending and not spec.get("post_processor") and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"]))
 
 
 def tokenized(docs: DataFrame, path: str, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -87,7 +144,6 @@ def tokenized(docs: DataFrame, path: str, scratch: Scratch, *, id_col: str = "do
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        import numpy as np
         import public_tokenizers
         import pyarrow as pa
         from pyspark import TaskContext
@@ -98,15 +154,20 @@ def tokenized(docs: DataFrame, path: str, scratch: Scratch, *, id_col: str = "do
             raise ValueError(f"{name} keeps white space: its texts can't be encoded word by word")
         ids_of, part, before = WordIds(here), TaskContext.get().partitionId(), 0
         end = np.array([END_ID], dtype=ids_of.kind).tobytes()
+        gc.disable()  # strings and numbers alone are kept, and many: looking through them for cycles is half of the time
+
+        def rows(some, texts):
+            nonlocal before
+            ids = [x + end for x in ([ids_of.long(texts[0])] if len(texts) == 1 else ids_of(texts))]
+            n = np.array([len(x) // ids_of.kind.itemsize for x in ids], dtype=np.int64)
+            places = before + np.concatenate([[0], np.cumsum(n)])
+            before = int(places[-1])
+            return pa.RecordBatch.from_arrays([pa.array([part] * len(ids), pa.int32()), pa.array(places[:-1]), pa.array(n), some, pa.array(ids, pa.binary())], names=["part", "before", "n", "id", "ids"])
+
         for batch in batches:
-            # a few megabytes of texts at once, whatever a batch holds
-            for start in range(0, len(batch), 256):
-                some = batch.slice(start, 256)
-                ids = [ids_of(t) + end for t in some.column(1).to_pylist()]
-                n = np.array([len(x) // ids_of.kind.itemsize for x in ids], dtype=np.int64)
-                places = before + np.concatenate([[0], np.cumsum(n)])
-                before = int(places[-1])
-                yield pa.RecordBatch.from_arrays([pa.array([part] * len(ids), pa.int32()), pa.array(places[:-1]), pa.array(n), some.column(0), pa.array(ids, pa.binary())], names=["part", "before", "n", "id", "ids"])
+            texts = batch.column(1).to_pylist()
+            for start, stop in bpe.byte_batches(texts, STRETCH):
+                yield rows(batch.column(0).slice(start, stop - start), texts[start:stop])
 
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return scratch.write(own.mapInArrow(run, f"part int, before long, n long, id {kind}, ids binary"), "tokens")
@@ -135,7 +196,6 @@ def pack(docs: DataFrame, path: str, *, size: int = 2048, id_col: str = "doc_id"
     kind, width = docs.schema[id_col].dataType.simpleString(), _width(path)
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
@@ -170,8 +230,6 @@ def sequences(docs: DataFrame, path: str, *, size: int = 2048, text_col: str = "
     width = _width(path)
 
     def run(batches):
-        import numpy as np
-
         held: list = []  # pieces of the open window, one after the other
         window, begun, filled = None, 0, 0
 

@@ -183,15 +183,26 @@ def test_packing_of_documents(spark, sf, vocab):
     check_packing(spark, spark.read.parquet(f"{sf}/documents.parquet").repartition(5), vocab, 2048)
 
 
-def test_words_by_themselves_are_encoded_as_in_their_text(vocab):
+def test_long_texts_are_read_in_stretches(vocab, monkeypatch):
+    monkeypatch.setattr(packing, "STRETCH", 50)
+    text = "Some words, éÀ and " + "x" * 120 + " more of them\n\n" + "thé end. " * 40
+    own = packing.WordIds(vocab)
+    assert np.frombuffer(own.long(text), own.kind).tolist() == library_ids(vocab, text)[:-1]
+
+
+def test_words_by_themselves_are_encoded_as_in_their_text(vocab, sf):
     from tokenizers import Tokenizer
 
     lib, own = Tokenizer.from_file(vocab), packing.WordIds(vocab)
     rng = np.random.default_rng(2)
     letters = list("aAbȩ́́ͅ \n\t\r\x0b\x0c\x1c\x85\xa0 　'sΣΑςİſ1２½-_.<|>日本각👍🏽‍") + ["<|endoftext|>", "'ll", " the ", "ing"]
+    import pyarrow.parquet as pq
+
+    for text in pq.read_table(f"{sf}/documents.parquet").column("text").to_pylist():
+        assert np.frombuffer(own([text or ""])[0], own.kind).tolist() == lib.encode(text or "", add_special_tokens=False).ids
     for _ in range(3000):
         text = "".join(rng.choice(letters) for _ in range(int(rng.integers(1, 30))))
-        assert np.frombuffer(own(text), own.kind).tolist() == lib.encode(text, add_special_tokens=False).ids, repr(text)
+        assert np.frombuffer(own([text])[0], own.kind).tolist() == lib.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 def test_templates_of_hosts_with_the_same_tokens(spark):
