@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import address, city, text
+from .functions import address, city, divisions, text
 from .functions.vectors import dot, maxsim, slices, widened
-from .operators import blocking, evaluate, mining, ranking, sweep
+from .operators import blocking, evaluate, mining, partitions, ranking, sweep
 from .plans import match
 
 K = 10
@@ -53,6 +53,10 @@ def dense_topk_flat(spark, d):
     return _dense(spark, d, 5, mode="flat")
 
 
+def dense_topk_metric(spark, d):
+    return _dense(spark, d, 5, mode="metric")
+
+
 def dense_topk_fallback(spark, d):
     q, c = _roles(spark, d)
     return match.dense_match(q, c.where("city <> 3"), 5, on_missing="global", verified=_same())
@@ -163,6 +167,20 @@ def sparse_topk(spark, d):
     return ranking.top_k(ranking.sparse_scores(q, c).where("q_id <> c_id"), 5, "sparse").select("q_id", "c_id", "rank", "sparse")
 
 
+def sparse_topk_bounded(spark, d):
+    """As sparse_topk, by bands of documents that can reach a query's threshold: some twentieth of the products. Texts are dealt by document and counted once: queries are among what is counted."""
+    words = F.explode(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != "")).alias("token")
+    docs = _t(spark, d, "documents").select("doc_id", "lang", "text").repartition("doc_id")
+    counts = docs.select("doc_id", F.col("lang").alias("city"), words).groupBy("doc_id", "city", "token").agg(F.count(F.lit(1)).alias("weight"))
+    found = partitions.sparse_top_k(F.col("c_id") % 20 == 0, counts.withColumnRenamed("doc_id", "c_id"), 5, other_than_itself=True)
+    return found.select("q_id", "c_id", "rank", F.col("sparse").cast("long").alias("sparse"))
+
+
+_SPARSE_TOPK_SQL = """WITH f AS (SELECT doc_id, lang, token, count(*) AS w FROM (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS token FROM documents) GROUP BY ALL),
+p AS (SELECT q.doc_id AS q_id, c.doc_id AS c_id, CAST(sum(q.w * c.w) AS BIGINT) AS sparse FROM f q JOIN f c ON q.lang = c.lang AND q.token = c.token WHERE q.doc_id % 20 = 0 AND q.doc_id <> c.doc_id GROUP BY ALL),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY q_id ORDER BY sparse DESC, c_id) AS INTEGER) AS rank FROM p) SELECT q_id, c_id, rank, sparse FROM r WHERE rank <= 5"""
+
+
 def _multi(spark, d):
     q, c = _roles(spark, d)
     pairs = blocking.block_join(q.withColumn("qm", slices(F.col("qv"), 4, 16)), c.withColumn("cm", slices(F.col("cv"), 4, 16)))
@@ -174,7 +192,9 @@ def maxsim_scores(spark, d):
 
 
 def maxsim_topk(spark, d):
-    return ranking.top_k(_multi(spark, d), 5, "multi").select("q_id", "c_id", "rank", F.round("multi", 6).alias("multi"))
+    q, c = _roles(spark, d)
+    out = partitions.late_top_k(q.withColumn("qm", slices(F.col("qv"), 4, 16)), c.withColumn("cm", slices(F.col("cv"), 4, 16)), 5)
+    return out.select("q_id", "c_id", "rank", F.round("multi", 6).alias("multi"))
 
 
 def fused_two_pass(spark, d):
@@ -194,13 +214,27 @@ a AS (SELECT p.q_id, p.c_id, city, verified, sim AS d, coalesce(sparse, 0) AS s,
 x AS (SELECT *, {_MULTI} AS c FROM a)"""
 
 
-def _scored(spark, d):
-    x = _multi(spark, d).withColumn("d", dot(F.col("qv"), F.col("cv"))).join(_sparse(spark, d), ["q_id", "c_id"], "left")
-    return x.select("q_id", "c_id", "city", "d", F.coalesce("sparse", F.lit(0.0)).alias("s"), F.col("multi").alias("c"), _same().alias("correct"))
+def _paired(spark, d):
+    """Each pair of a block with its two first scores, and what is joined to the pairs that are left."""
+    q, c = _roles(spark, d)
+    q, c = q.withColumn("qm", slices(F.col("qv"), 4, 16)), c.withColumn("cm", slices(F.col("cv"), 4, 16))
+    pairs = match.pair_scores(q, c, _sparse(spark, d)).withColumnsRenamed({"dense": "d", "sparse": "s"})
+    return pairs, q, c
+
+
+def _whole(held, q, c):
+    """The pairs that are left with their third score, city and truth."""
+    out = match.with_multi(held, q, c).withColumnRenamed("multi", "c")
+    return out.join(q.select("q_id", "city", "q_label"), "q_id").join(c.select("c_id", "c_label"), "c_id").withColumn("correct", _same()).drop("q_label", "c_label")
+
+
+def _best_dense(spark, d):
+    pairs, q, c = _paired(spark, d)
+    return _whole(ranking.top_k(pairs, 1, "d"), q, c)
 
 
 def score_stats(spark, d):
-    first = ranking.top_k(_scored(spark, d), 1, "d")
+    first = _best_dense(spark, d)
     r = lambda x, n: F.round(x, 6).alias(n)
     stats = [r(f(c), f"{n}_{c}") for c in ("d", "s", "c") for n, f in (("min", F.min), ("max", F.max), ("avg", F.avg), ("std", F.stddev_pop))]
     return first.agg(*stats, r(F.avg("c") / F.greatest(F.avg("d"), F.lit(1e-9)), "ratio"))
@@ -210,8 +244,8 @@ WEIGHTS = [(1, 1, 1), (20, 5, 1), (10, 3, 1), (30, 0, 1), (20, 5, 0), (0, 5, 1),
 
 
 def _frozen(spark, d, k=20):
-    scored = _scored(spark, d)
-    return ranking.top_k(scored.withColumn("base", F.col("d") + F.col("s")), k, "base", rank="base_rank")
+    pairs, q, c = _paired(spark, d)
+    return _whole(ranking.top_k(pairs.withColumn("base", F.col("d") + F.col("s")), k, "base", rank="base_rank"), q, c)
 
 
 def weight_sweep_frozen(spark, d):
@@ -219,7 +253,8 @@ def weight_sweep_frozen(spark, d):
 
 
 def weight_sweep_reselect(spark, d):
-    return sweep.sweep_reselect(_scored(spark, d), sweep.weight_grid(spark, WEIGHTS), 20)
+    pairs, q, c = _paired(spark, d)
+    return sweep.sweep_reselect(pairs, sweep.weight_grid(spark, WEIGHTS), 20, refine=lambda held: _whole(held, q, c))
 
 
 def weight_fine_grid(spark, d):
@@ -236,7 +271,7 @@ def weight_by_city(spark, d):
 
 
 def score_stats_by_city(spark, d):
-    return evaluate.score_stats(ranking.top_k(_scored(spark, d), 1, "d"), ("d", "s", "c"))
+    return evaluate.score_stats(_best_dense(spark, d), ("d", "s", "c"))
 
 
 def best_weights(spark, d):
@@ -253,21 +288,41 @@ def _sweep_sql(weights, frozen):
     return f"{_SCORED}, {w}, {held}, {top} SELECT config, wd, ws, wc, round(avg(CASE WHEN verified THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM y WHERE m = 1 GROUP BY config, wd, ws, wc"
 
 
+GRID = (10, 50, 100)
+
+
 def config_grid(spark, d):
-    """hit@1 and hit@10 for lists of 10, 20 and 50, with blocks and without: each mode's list is computed once, at the greatest k."""
-    q, _ = _roles(spark, d)
+    """hit@1, hit@3 and hit@10 of twelve configurations: lists of 10, 50 and 100, with blocks and without, as they are and reranked. Each mode's list is computed and scored once, at the greatest
+    k: a shorter list is its beginning, and is reranked by the same scores."""
+    q, c = _roles(spark, d)
+    sizes = _values(spark, [(k,) for k in GRID], "k int")
+    multi = q.withColumn("qm", slices(F.col("qv"), 4, 16)), c.withColumn("cm", slices(F.col("cv"), 4, 16))
+    every = q.select("q_id").crossJoin(F.broadcast(sizes))
     out = None
     for mode in ("block", "flat"):
-        ranked = _dense(spark, d, 50, mode=mode)
-        sized = ranked.crossJoin(F.broadcast(_values(spark, [(10,), (20,), (50,)], "k int"))).where("rank <= k")
-        hits = sized.where("verified").groupBy("k", "q_id").agg(F.min("rank").alias("hit_rank"))
-        everyone = q.select("q_id").crossJoin(F.broadcast(_values(spark, [(10,), (20,), (50,)], "k int")))
-        per = everyone.join(hits, ["k", "q_id"], "left").groupBy("k").agg(F.round(evaluate.share(1), 6).alias("top1"), F.round(F.avg(F.col("hit_rank").isNotNull().cast("double")), 6).alias("top_k"))
-        per = per.withColumn("mode", F.lit(mode))
+        scored = match.with_multi(_dense(spark, d, max(GRID), mode=mode), *multi)
+        listed = scored.crossJoin(F.broadcast(sizes)).where("rank <= k")
+        by_score = Window.partitionBy("k", "q_id").orderBy(F.desc("multi"), "c_id")
+        listed = listed.withColumn("again", F.row_number().over(by_score))
+        hits = listed.where("verified").groupBy("k", "q_id").agg(F.min("rank").alias("off"), F.min("again").alias("on"))
+        met = every.join(hits, ["k", "q_id"], "left").select("k", F.explode(F.create_map(F.lit("off"), F.col("off"), F.lit("on"), F.col("on"))).alias("rerank", "hit_rank"))
+        per = met.groupBy("k", "rerank").agg(*(F.round(evaluate.share(n), 6).alias(f"top{n}") for n in (1, 3, 10))).withColumn("mode", F.lit(mode))
         out = per if out is None else out.unionByName(per)
     return out
 
 
+_GRID_SQL = f"""{_PAIRS}, fp AS (SELECT q_id, c_id, q_label = c_label AS verified, list_dot_product(qv, cv) AS sim, qv, cv FROM q, c),
+both_modes AS (SELECT 'block' AS mode, q_id, c_id, rank, verified, qv, cv FROM r UNION ALL
+  SELECT 'flat', q_id, c_id, row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, c_id), verified, qv, cv FROM fp),
+held AS (SELECT mode, q_id, c_id, rank, verified, {_MULTI} AS multi FROM both_modes WHERE rank <= {max(GRID)}),
+k(k) AS (VALUES {", ".join(f"({x})" for x in GRID)}),
+listed AS (SELECT mode, k, q_id, verified, rank, row_number() OVER (PARTITION BY mode, k, q_id ORDER BY multi DESC, c_id) AS again FROM held, k WHERE rank <= k),
+best AS (SELECT mode, k, q_id, min(rank) FILTER (WHERE verified) AS off_rank, min(again) FILTER (WHERE verified) AS on_rank FROM listed GROUP BY ALL),
+met AS (SELECT m.mode, k.k, x.rerank, CASE WHEN x.rerank = 'on' THEN on_rank ELSE off_rank END AS hit_rank
+  FROM q CROSS JOIN (VALUES ('block'), ('flat')) m(mode) CROSS JOIN k CROSS JOIN (VALUES ('on'), ('off')) x(rerank) LEFT JOIN best b ON b.q_id = q.q_id AND b.mode = m.mode AND b.k = k.k)
+SELECT mode, k, rerank, {", ".join(_share(n, f"top{n}") for n in (1, 3, 10))} FROM met GROUP BY mode, k, rerank"""
+
+
 # --- reranking of names
 
 
@@ -371,7 +426,8 @@ def id_text_lookup(spark, d):
 
 
 def experiment_slug(spark, d):
-    return _t(spark, d, "part").select("p_partkey", text.slug(F.col("p_brand"), F.col("p_type"), F.when(F.col("p_size") > 25, F.col("p_size"))).alias("slug"))
+    at = F.make_timestamp(F.lit(2025), F.lit(1), F.lit(2), F.lit(3), F.lit(4), F.col("p_size") % 60)
+    return _t(spark, d, "part").select("p_partkey", text.slug(F.col("p_brand"), F.col("p_type"), F.when(F.col("p_size") > 25, F.col("p_size")), at=at).alias("slug"))
 
 
 def head_sample(spark, d):
@@ -418,6 +474,52 @@ def normalize_stats(spark, d):
     return x.agg(F.count_if(before != after).alias("changed"), F.count_if(before == "").alias("empty_before"), F.count_if(after == "").alias("empty_after"))
 
 
+def _addresses(spark, d):
+    """An address of every customer: a division's path, whole or in part, a street and the customer's key as its number."""
+    t = divisions.tree(divisions.divisions(spark))
+    paths = t.groupBy("code", "name").agg(*(F.coalesce(F.max(F.when((F.col("ancestor_level") == i) & (F.col("ancestor") != F.col("code")), F.col("ancestor_name"))), F.lit("")).alias(f"l{i}") for i in (1, 2)))
+    placed = paths.withColumn("i", (F.row_number().over(Window.orderBy("code")) - 1).cast("long"))  # some two hundred divisions
+    n = len(divisions.DIVISIONS.split()) // 2
+    key, form = F.col("c_custkey"), F.floor(F.col("c_custkey") / n) % 5
+    x = _t(spark, d, "customer").select("c_custkey", (key % n).alias("i"), form.alias("form")).join(placed, "i")
+    before = F.when(F.col("form") == 0, F.concat("l1", "l2")).when(F.col("form") == 1, F.col("l2")).when(F.col("form") == 2, F.lit("")).when(F.col("form") == 3, F.regexp_replace("l1", "[省市]$", "")).otherwise(F.concat(F.regexp_replace("l2", "市$", ""), F.lit("的")))
+    return x.select("c_custkey", "code", "name", F.concat(before, "name", F.lit("中山路"), F.col("c_custkey").cast("string"), F.lit("号")).alias("addr"))
+
+
+def segment_address(spark, d):
+    """Addresses of all customers, segmented along the tree of division codes."""
+    return divisions.segment(_addresses(spark, d), "addr", divisions.divisions(spark)).select("c_custkey", "addr", "seg_province", "seg_city", "seg_district")
+
+
+def normalize_division(spark, d):
+    """The city of each customer's division, by its name alone and the lookup that the codes give."""
+    return city.normalize_city(_addresses(spark, d), "name", strict=True).select("c_custkey", "name", "city_norm")
+
+
+def _divisions_sql():
+    parts = divisions.DIVISIONS.split()
+    n = len(parts) // 2
+    return f"""WITH dv(code, name) AS (VALUES {_sql_values(list(zip(parts[::2], parts[1::2], strict=True)))}),
+lv AS (SELECT code, name, CASE WHEN code LIKE '%0000' THEN 1 WHEN code LIKE '%00' THEN 2 ELSE 3 END AS level FROM dv),
+up AS (SELECT a.code, a.name, a.level, b.code AS above, b.name AS above_name, b.level AS above_level FROM lv a JOIN lv b ON b.code = a.code OR b.code = left(a.code, 4) || '00' OR b.code = left(a.code, 2) || '0000'),
+pt AS (SELECT code, name, coalesce(max(above_name) FILTER (WHERE above_level = 1 AND above <> code), '') AS l1, coalesce(max(above_name) FILTER (WHERE above_level = 2 AND above <> code), '') AS l2,
+  coalesce(max(above_name) FILTER (WHERE above_level = 1), '') AS w1, coalesce(max(above_name) FILTER (WHERE above_level = 2), '') AS w2, coalesce(max(above_name) FILTER (WHERE above_level = 3), '') AS w3,
+  row_number() OVER (ORDER BY code) - 1 AS i FROM up GROUP BY code, name),
+ad AS (SELECT c_custkey, code, name, CASE c_custkey // {n} % 5 WHEN 0 THEN l1 || l2 WHEN 1 THEN l2 WHEN 2 THEN '' WHEN 3 THEN regexp_replace(l1, '[省市]$', '') ELSE regexp_replace(l2, '市$', '') || '的' END
+  || name || '中山路' || c_custkey || '号' AS addr FROM customer JOIN pt ON c_custkey % {n} = i)"""
+
+
+_SEGMENT_SQL = f"""{_divisions_sql()},
+nm AS (SELECT code, name AS part FROM lv UNION SELECT code, regexp_replace(name, '(特别行政区|维吾尔自治区|壮族自治区|回族自治区|自治区|自治州|地区|省|市|盟)$', '') FROM lv WHERE level < 3),
+mt AS (SELECT c_custkey, code, strpos(addr, part) AS place, length(part) AS n FROM (SELECT c_custkey, addr FROM ad) JOIN nm ON length(part) > 1 AND contains(addr, part)),
+fd AS (SELECT c_custkey, code, min(place) AS place, arg_min(n, (place, -n)) AS n FROM mt GROUP BY ALL),
+ph AS (SELECT fd.c_custkey, fd.code, level, fd.place, a.place AS a_place, a.n AS a_n FROM fd JOIN up USING (code) JOIN fd a ON a.c_custkey = fd.c_custkey AND a.code = up.above WHERE up.above = fd.code OR a.place + a.n <= fd.place),
+bs AS (SELECT c_custkey, code, count(*) AS levels, max(level) AS level, sum(a_n) AS size, min(a_place) AS begin_at FROM ph GROUP BY ALL),
+ch AS (SELECT c_custkey, arg_min(code, (-levels, -level, -size, begin_at, code)) AS code FROM bs GROUP BY c_custkey)
+SELECT ad.c_custkey, addr, coalesce(w1, '') AS seg_province, coalesce(nullif(w2, ''), CASE WHEN w1 LIKE '%市' THEN w1 ELSE '' END, '') AS seg_city, coalesce(w3, '') AS seg_district
+FROM ad LEFT JOIN ch USING (c_custkey) LEFT JOIN pt ON pt.code = ch.code"""
+
+
 def _known_cities(spark, d):
     return city.valid_cities(_literals(spark, d, CITIES, "name"), "name")
 
@@ -514,6 +616,15 @@ n AS (SELECT f.i, f.name, coalesce(fixed, k.target, l.target, s) AS city_norm FR
 SELECT {select} FROM customer JOIN n ON c_custkey % {len(CITIES)} = n.i"""
 
 
+def _normal_division_sql():
+    """The same stages over the divisions' names, with the lookup computed from the codes."""
+    stages = _normal_sql(True).split("a AS (SELECT i, name,", 1)[1].rsplit("SELECT c_custkey, city_norm FROM", 1)[0]
+    county = """ct AS (SELECT code, name, arg_max(above_name, above_level) AS target FROM up WHERE (above_level = 2 OR (above_level = 1 AND above_name LIKE '%市')) AND ((level = 3 AND name LIKE '%市') OR (level < 3 AND code = above)) GROUP BY code, name),
+county(name, target) AS (SELECT name, min(target) FROM ct GROUP BY name HAVING count(DISTINCT target) = 1), fix(name, target) AS (SELECT '', '' WHERE FALSE), v AS (SELECT c_custkey AS i, name FROM ad)"""
+    return f"{_divisions_sql()}, {county}, a AS (SELECT i, name,{stages} SELECT i AS c_custkey, name, city_norm FROM n"
+
+
+_NORMAL_DIVISION_SQL = _normal_division_sql()
 ALIGNED, KNOWN, WITHIN = ["崇州", "吉林市", "青岛市市", "nowhere", None], ["崇州市", "吉林", "青岛市"], ["杭州市", "州市", "深圳市", "台州市"]
 _ALIGN_SQL = f"""WITH {_cases("name", [(x,) for x in ALIGNED])}, k(city) AS (VALUES {_sql_values([(x,) for x in KNOWN])}), a AS (SELECT i, {_strip_sql("coalesce(name, '')")} AS n FROM v)
 SELECT c_custkey, CASE WHEN n IN (SELECT city FROM k) THEN n WHEN n || '市' IN (SELECT city FROM k) THEN n || '市' WHEN regexp_replace(n, '市$', '') IN (SELECT city FROM k) THEN regexp_replace(n, '市$', '') ELSE n END AS city
@@ -559,6 +670,7 @@ mined AS (SELECT q_id, query, positive, string_agg(text, '|' ORDER BY n) AS nega
 _QUERIES = {
     "dense_topk_blocked": (dense_topk_blocked, f"{_PAIRS} SELECT {_RESULT} FROM r WHERE rank <= 5"),
     "dense_topk_flat": (dense_topk_flat, _PAIRS.replace("FROM q JOIN c USING (city)", "FROM q, c") + f"SELECT {_RESULT} FROM r WHERE rank <= 5"),
+    "dense_topk_metric": (dense_topk_metric, _PAIRS.replace("FROM q JOIN c USING (city)", "FROM q, c") + f"SELECT {_RESULT} FROM r WHERE rank <= 5"),
     "dense_topk_fallback": (dense_topk_fallback, _PAIRS.replace("FROM q JOIN c USING (city)", "FROM q JOIN c ON (q.city = c.city OR q.city = 3) AND c.city <> 3") + f"SELECT {_RESULT} FROM r WHERE rank <= 5"),
     "dense_topk_small_pool": (dense_topk_small_pool, _PAIRS.replace("WHERE vec_id % 10 <> 0", "WHERE vec_id % 10 <> 0 AND vec_id < 70") + f"SELECT {_RESULT} FROM r WHERE rank <= 50"),
     "placeholder_rows": (placeholder_rows, _PAIRS.replace("WHERE vec_id % 10 <> 0", "WHERE vec_id % 10 <> 0 AND city <> 3") + f"SELECT {_RESULT} FROM r WHERE rank <= 3 UNION ALL SELECT q_id, NULL, 0, 0.0, FALSE FROM q WHERE city = 3"),
@@ -572,9 +684,8 @@ _QUERIES = {
     "baseline_compare": (baseline_compare, f"{_HITS.format(k=3)}, b AS (SELECT city, {_share(1, 'base')}, {_share(3, 'new')} FROM h GROUP BY city) SELECT city, base, new, round((new - base) * 100, 6) AS delta_pp FROM b"),
     "result_projection": (result_projection, f"{_PAIRS} SELECT q_id AS query_id, city, c_id AS matched_id, rank, round(sim, 4) AS similarity, CAST(NULL AS VARCHAR) AS query_name FROM r WHERE rank <= 3"),
     "sparse_dot": (sparse_dot, f"{_PAIRS}{_SPARSE} SELECT q_id, c_id, round(sparse, 6) AS sparse FROM sp"),
-    "sparse_topk": (sparse_topk, """WITH f AS (SELECT doc_id, lang, token, count(*) AS w FROM (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS token FROM documents) GROUP BY ALL),
-p AS (SELECT q.doc_id AS q_id, c.doc_id AS c_id, CAST(sum(q.w * c.w) AS BIGINT) AS sparse FROM f q JOIN f c ON q.lang = c.lang AND q.token = c.token WHERE q.doc_id % 20 = 0 AND q.doc_id <> c.doc_id GROUP BY ALL),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY q_id ORDER BY sparse DESC, c_id) AS INTEGER) AS rank FROM p) SELECT q_id, c_id, rank, sparse FROM r WHERE rank <= 5"""),
+    "sparse_topk": (sparse_topk, _SPARSE_TOPK_SQL),
+    "sparse_topk_bounded": (sparse_topk_bounded, _SPARSE_TOPK_SQL),
     "maxsim_scores": (maxsim_scores, f"{_PAIRS} SELECT q_id, c_id, round({_MULTI}, 6) AS multi FROM p"),
     "maxsim_topk": (maxsim_topk, f"{_PAIRS}, m AS (SELECT q_id, c_id, {_MULTI} AS multi FROM p), n AS (SELECT *, CAST(row_number() OVER (PARTITION BY q_id ORDER BY multi DESC, c_id) AS INTEGER) AS rank FROM m) SELECT q_id, c_id, rank, round(multi, 6) AS multi FROM n WHERE rank <= 5"),
     "fused_two_pass": (fused_two_pass, f"{_SCORED}, f AS (SELECT *, 2 * d + s AS first FROM x), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY first DESC, c_id) AS n FROM f) WHERE n <= 20), g AS (SELECT *, first + c AS fused, CAST(row_number() OVER (PARTITION BY q_id ORDER BY first + c DESC, c_id) AS INTEGER) AS rank FROM k) SELECT q_id, c_id, rank, round(d, 6) AS dense, round(s, 6) AS sparse, round(c, 6) AS multi, round(fused, 6) AS fused FROM g WHERE rank <= 5"),
@@ -587,10 +698,10 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY q_id ORDER BY sparse DESC,
     "score_stats_by_city": (score_stats_by_city, f"{_SCORED}, k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY d DESC, c_id) AS n FROM x) WHERE n = 1) SELECT city, " + ", ".join(f"round({n}({c}), 6) AS {n}_{c}" for c in ("d", "s", "c") for n in ("min", "max", "avg")) + " FROM k GROUP BY city"),
     "blank_guards": (blank_guards, f"WITH v(i, q_name, city) AS (VALUES {_sql_values([(i, *x) for i, x in enumerate(BLANKS)])}) SELECT c_custkey, q_name, city FROM customer JOIN v ON c_custkey % {len(BLANKS)} = v.i WHERE trim(replace(coalesce(q_name, ''), '　', '')) <> '' AND trim(coalesce(city, '')) NOT IN ('', 'nan')"),
     "id_text_lookup": (id_text_lookup, "WITH k AS (SELECT o_custkey % 50 AS id, arg_max(CASE WHEN o_custkey % 7 > 0 THEN o_orderpriority ELSE ' ' END, (o_orderdate, o_orderkey)) AS text FROM orders GROUP BY 1) SELECT c_custkey, coalesce(nullif(trim(text), ''), CAST(c_custkey % 60 AS VARCHAR)) AS text FROM customer LEFT JOIN k ON id = c_custkey % 60"),
-    "experiment_slug": (experiment_slug, "SELECT p_partkey, regexp_replace(regexp_replace(lower(p_brand || '-' || p_type || CASE WHEN p_size > 25 THEN '-' || p_size ELSE '' END), '[^\\p{L}\\p{N}]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM part"),
+    "experiment_slug": (experiment_slug, "SELECT p_partkey, regexp_replace(p_brand || '_' || p_type || CASE WHEN p_size > 25 THEN '_' || p_size ELSE '' END, '[^a-zA-Z0-9]', '_', 'g') || '_20250102_0304' || lpad(CAST(p_size % 60 AS VARCHAR), 2, '0') AS slug FROM part"),
     "head_sample": (head_sample, "SELECT s_suppkey, s_name FROM supplier ORDER BY s_name, s_suppkey LIMIT 7"),
     "best_weights": (best_weights, f"SELECT * FROM ({_sweep_sql(WEIGHTS, True)}) ORDER BY accuracy DESC, config LIMIT 1"),
-    "config_grid": (config_grid, f"{_PAIRS}, fp AS (SELECT q_id, c_id, q_label = c_label AS verified, list_dot_product(qv, cv) AS sim FROM q, c), fr AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, c_id) AS rank FROM fp), a AS (SELECT 'block' AS mode, q_id, rank, verified FROM r UNION ALL SELECT 'flat', q_id, rank, verified FROM fr), k(k) AS (VALUES (10), (20), (50)), m(mode) AS (VALUES ('block'), ('flat')), h AS (SELECT m.mode, k.k, q.q_id, (SELECT min(rank) FROM a WHERE a.mode = m.mode AND a.q_id = q.q_id AND verified AND rank <= k.k) AS hit_rank FROM m, k, q) SELECT mode, k, {_share(1, 'top1')}, round(avg(CASE WHEN hit_rank IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS top_k FROM h GROUP BY mode, k"),
+    "config_grid": (config_grid, _GRID_SQL),
     "rerank_truncate": (rerank_truncate, f"{_RERANK.format(k=5)} SELECT q_id, c_id, rank, rerank, round(rerank_score, 6) AS rerank_score FROM r"),
     "ab_by_city": (ab_by_city, f"{_RERANK.format(k=10)}, b AS (SELECT city, round(avg(CASE WHEN c_id % 2 = 0 THEN 1.0 ELSE 0.0 END) FILTER (WHERE rank = 1), 6) AS base, round(avg(CASE WHEN c_id % 2 = 0 THEN 1.0 ELSE 0.0 END) FILTER (WHERE rerank = 1), 6) AS new FROM r GROUP BY city) SELECT city, base, new, round((new - base) * 100, 6) AS delta_pp FROM b"),
     "edit_distance_filter": (edit_distance_filter, "WITH p AS (SELECT p_partkey, p_size, replace(trim(p_name), ' ', '') AS name FROM part) SELECT a.p_partkey AS a, b.p_partkey AS b FROM p a JOIN p b ON a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE length(a.name) > 2 AND length(b.name) > 2 AND levenshtein(left(a.name, 20), left(b.name, 20)) < 3"),
@@ -603,6 +714,8 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY q_id ORDER BY sparse DESC,
     "extract_address": (extract_address, _EXTRACT_SQL),
     "address_stats": (address_stats, "SELECT count(*) AS rows, count(*) FILTER (WHERE province <> '') AS with_province, count(*) FILTER (WHERE city <> '') AS with_city, count(*) FILTER (WHERE district <> '') AS with_district, " + ", ".join(f"count(*) FILTER (WHERE confidence = '{v}') AS confidence_{v}" for v in ("high", "mid", "none")) + f" FROM ({_EXTRACT_SQL})"),
     "normalize_city": (normalize_city, _normal_sql(False)),
+    "segment_address": (segment_address, _SEGMENT_SQL),
+    "normalize_division": (normalize_division, _NORMAL_DIVISION_SQL),
     "normalize_city_strict": (normalize_city_strict, _normal_sql(True)),
     "normalize_stats": (normalize_stats, f"SELECT count(*) FILTER (WHERE b <> a) AS changed, count(*) FILTER (WHERE b = '') AS empty_before, count(*) FILTER (WHERE a = '') AS empty_after FROM ({_normal_sql(False, "coalesce(name, '') AS b, city_norm AS a")})"),
     "valid_cities": (valid_cities, f"WITH {_cases('name', [(x,) for x in CITIES])} SELECT city, count(*) AS n FROM (SELECT {_strip_sql('name')} AS city FROM customer JOIN v ON c_custkey % {len(CITIES)} = v.i) WHERE city LIKE '%市' GROUP BY city"),

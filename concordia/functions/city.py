@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .address import contained
+from .divisions import county_table, divisions
 from .text import strip
 
 #: Words that a city's name doesn't contain; provinces by their bare names.
@@ -26,12 +27,13 @@ def _lookup(df: DataFrame, table: DataFrame | None, key: str, out: str) -> DataF
     return df.join(table.select(F.col("name").alias(key), F.col("target").alias(out)), key, "left")
 
 
-def normalize_city(df: DataFrame, city: str, counties: DataFrame, fixes: DataFrame | None = None, *, strict: bool = False, out: str = "city_norm") -> DataFrame:
+def normalize_city(df: DataFrame, city: str, counties: DataFrame | None = None, fixes: DataFrame | None = None, *, strict: bool = False, out: str = "city_norm") -> DataFrame:
     """df with `out`, the canonical name; '' for null, blank and junk.
 
-    counties (name, target): what belongs to a prefecture. fixes (name, target): truncated names. strict=False departs from
+    counties (name, target): what belongs to a prefecture; by default what the division codes say, see divisions.county_table. fixes (name, target): truncated names. strict=False departs from
     plain rule order in two ways: names that are a key or a target of a table are never junk, and 省 or 自治区 after a
     province's name goes with it. strict=True doesn't."""
+    counties = county_table(divisions(df.sparkSession)) if counties is None else counties
     tables = [t for t in (counties, fixes) if t is not None]
     df = df.withColumn("_c", strip(F.coalesce(F.col(city), F.lit(""))))
     if strict:

@@ -62,10 +62,10 @@ def canonical_id(c: Column) -> Column:
     return F.upper(strip(_text(c)))
 
 
-def slug(*parts: Column) -> Column:
-    """A name for an experiment: its parts in lower case, what isn't a letter or digit as one hyphen."""
-    joined = F.lower(F.concat_ws("-", *[F.nullif(_text(p), F.lit("")) for p in parts]))
-    return F.regexp_replace(F.regexp_replace(joined, r"[^\p{L}\p{N}]+", "-"), "^-|-$", "")
+def slug(*parts: Column, at: Column | None = None) -> Column:
+    """A name for an experiment: its parts, in their case, with an underscore between them and for each character that isn't an ASCII letter or digit; behind it the time `at`, if given."""
+    name = F.regexp_replace(F.concat_ws("_", *[F.nullif(_text(p), F.lit("")) for p in parts]), "[^a-zA-Z0-9]", "_")
+    return name if at is None else F.concat(name, F.lit("_"), F.date_format(at, "yyyyMMdd_HHmmss"))
 
 
 def has_text(*parts: Column) -> Column:

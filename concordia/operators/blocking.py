@@ -21,22 +21,10 @@ def without_block(q: DataFrame, c: DataFrame, on: str = "city") -> DataFrame:
     return q.join(named(c, on).select(on).distinct(), on, "left_anti")
 
 
-def with_fallback(q: DataFrame, c: DataFrame, on: str = "city") -> DataFrame:
-    """Block pairs, and all candidates for the queries whose block has none. Written as a union: as one OR condition it would be a nested loop."""
-    lost = without_block(q, c, on)
-    everything = lost.crossJoin(c.drop(on))
-    return block_join(q, c, on).unionByName(everything)
-
-
-def flat_join(q: DataFrame, c: DataFrame, on: str = "city") -> DataFrame:
-    """Every query with every candidate, without blocks."""
-    return q.crossJoin(c.drop(on))
-
-
 def placeholders(q: DataFrame, c: DataFrame, on: str = "city") -> DataFrame:
     """One row of rank 0 for each query whose block has no candidates."""
     lost = without_block(q, c, on)
-    return lost.select("q_id", F.lit(None).cast("long").alias("c_id"), F.lit(0).alias("rank"), F.lit(0.0).alias("similarity"), F.lit(False).alias("verified"))
+    return lost.select("q_id", F.lit(None).cast(c.schema["c_id"].dataType).alias("c_id"), F.lit(0).alias("rank"), F.lit(0.0).alias("similarity"), F.lit(False).alias("verified"))
 
 
 def common_blocks(q: DataFrame, c: DataFrame, on: str = "city") -> DataFrame:

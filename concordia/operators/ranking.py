@@ -12,12 +12,6 @@ def top_k(pairs: DataFrame, k: int, score: str = "sim", by: tuple[str, ...] = ("
     return pairs.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= int(k))
 
 
-def two_pass(pairs: DataFrame, first: str, k: int, refine: Column, keep: int) -> DataFrame:
-    """Ranks by `first`, and computes refine for the k best alone; then keeps the best by it."""
-    held = top_k(pairs, k, first, rank="pass1_rank")
-    return top_k(held.withColumn("fused", refine), keep, "fused")
-
-
 def rerank(ranked: DataFrame, scorer: Column, k: int) -> DataFrame:
     """The first k by rank, scored and ordered anew; the tail goes."""
     held = ranked.where(F.col("rank") <= int(k)).withColumn("rerank_score", scorer)
@@ -32,52 +26,60 @@ def sparse_scores(q: DataFrame, c: DataFrame, on: str = "city") -> DataFrame:
     return x.groupBy("q_id", "c_id").agg(F.sum(F.col("wq") * F.col("wc")).alias("sparse"))
 
 
-def tiled_top_k(q: DataFrame, c: DataFrame, k: int, tile: int = 50_000, part: int = 10_000) -> DataFrame:
-    """(q_id, c_id, sim, rank) of every query with every candidate: candidates are dealt into tiles, queries into parts, and each pair of those is one matrix product that gives k rows a
-    query; the tiles' rows are ranked again. A task holds one tile and one part, whatever the sizes. Similarities are rounded to 12 places, so that equal vectors tie."""
+def best_of(sims, k: int):
+    """Rows and columns of the k greatest values of each row of a matrix whose columns are in the order of ties."""
+    import numpy as np
+
+    n, rows, columns = min(k, sims.shape[1]), [], []
+    # what ties with the last one held competes by its place, so that all of it is looked at
+    least = np.partition(sims, sims.shape[1] - n, axis=1)[:, sims.shape[1] - n]
+    for i, row in enumerate(sims):
+        held = np.flatnonzero(row >= least[i])
+        columns.append(held[np.argsort(-row[held], kind="stable")[:n]])
+        rows.append(np.full(n, i))
+    return np.concatenate(rows), np.concatenate(columns)
+
+
+def multiplied(left, right, k: int, places: int = 12):
+    """(q_id, c_id, sim) of the k best of each query, from frames of (q_id, qv) and (c_id, cv), and c_row where candidates have one; equal similarities by c_id. Similarities are rounded, so that equal vectors tie however they are
+    dealt to products."""
     import numpy as np
     import pandas as pd
 
-    schema = f"q_id {q.schema['q_id'].dataType.simpleString()}, c_id {c.schema['c_id'].dataType.simpleString()}, sim double"
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"q_id": left["q_id"][:0], "c_id": right["c_id"][:0], "sim": np.zeros(0)})
-        right = right.sort_values("c_id", kind="stable")
-        ids, base, asked = right["c_id"].to_numpy(), np.stack(right["cv"].to_numpy()).T, np.stack(left["qv"].to_numpy())
-        n, out = min(k, len(ids)), []
-        for a in range(0, len(left), 256):
-            sims = np.round(asked[a : a + 256] @ base, 12)
-            # what ties with the last one held competes by id, so that all of it is looked at
-            least = np.partition(sims, len(ids) - n, axis=1)[:, len(ids) - n]
-            for i, row in enumerate(sims):
-                held = np.flatnonzero(row >= least[i])
-                held = held[np.argsort(-row[held], kind="stable")[:n]]
-                out.append((np.full(len(held), a + i), held, row[held]))
-        at, held, sim = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pd.DataFrame({"q_id": left["q_id"].to_numpy()[at], "c_id": ids[held], "sim": sim})
+    carried = [x for x in ("c_id", "c_row") if x in right]
+    if left.empty or right.empty:
+        return pd.DataFrame({"q_id": left["q_id"][:0], **{x: right[x][:0] for x in carried}, "sim": np.zeros(0)})
+    right = right.sort_values("c_id", kind="stable")
+    base, asked, out = np.stack(right["cv"].to_numpy()).T, np.stack(left["qv"].to_numpy()), []
+    for a in range(0, len(left), 256):
+        sims = np.round(asked[a : a + 256] @ base, places)
+        rows, columns = best_of(sims, k)
+        out.append((rows + a, columns, sims[rows, columns]))
+    rows, columns, sims = (np.concatenate(x) for x in zip(*out, strict=True))
+    return pd.DataFrame({"q_id": left["q_id"].to_numpy()[rows], **{x: right[x].to_numpy()[columns] for x in carried}, "sim": sims})
 
+
+def _schema(q: DataFrame, c: DataFrame) -> str:
+    """Of what a product gives: c_row, a number that tells rows of one id apart, comes along if c has it."""
+    return ", ".join([f"q_id {q.schema['q_id'].dataType.simpleString()}", f"c_id {c.schema['c_id'].dataType.simpleString()}", *(["c_row long"] if "c_row" in c.columns else []), "sim double"])
+
+
+def tiled_top_k(q: DataFrame, c: DataFrame, k: int, tile: int = 50_000, part: int = 10_000) -> DataFrame:
+    """(q_id, c_id, sim, rank) of every query with every candidate: candidates are dealt into tiles, queries into parts, and each pair of those is one matrix product that gives k rows a
+    query; the tiles' rows are ranked again. A task holds one tile and one part, whatever the sizes. Rows without a vector are compared with nothing; ids are of any type."""
+    q, c = q.where("qv is not null"), c.where("cv is not null")
     tiles, parts = (max(1, -(-df.count() // n)) for df, n in ((c, tile), (q, part)))
-    deal = lambda df, name, own, mine, other, others: df.select(name, "qv" if name == "q_id" else "cv", F.pmod(F.xxhash64(name), F.lit(mine)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
+    deal = lambda df, name, own, mine, other, others: df.select(name, *("c_row" for x in df.columns if x == "c_row"), "qv" if name == "q_id" else "cv", F.pmod(F.xxhash64(name), F.lit(mine)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
+    schema = _schema(q, c)
     q, c = deal(q, "q_id", "_part", parts, "_tile", tiles), deal(c, "c_id", "_tile", tiles, "_part", parts)
-    found = q.groupBy("_tile", "_part").cogroup(c.groupBy("_tile", "_part")).applyInPandas(run, schema)
-    return top_k(found, k)
+    return top_k(q.groupBy("_tile", "_part").cogroup(c.groupBy("_tile", "_part")).applyInPandas(lambda left, right: multiplied(left, right, k), schema), k)
 
 
 def blas_top_k(q: DataFrame, c: DataFrame, k: int, on: str = "city", salts: int = 1) -> DataFrame:
-    """(q_id, c_id, sim, rank) by one matrix product a block. The queries of a block are dealt over `salts` tasks; candidates go to each."""
-    import numpy as np
-    import pandas as pd
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"q_id": [], "c_id": [], "sim": [], "rank": []}).astype({"q_id": "int64", "c_id": "int64", "sim": "float64", "rank": "int32"})
-        ids = right["c_id"].to_numpy()
-        sims = np.stack(left["qv"].to_numpy()) @ np.stack(right["cv"].to_numpy()).T
-        n = min(k, len(ids))
-        best = np.stack([np.lexsort((ids, -row))[:n] for row in sims])
-        return pd.DataFrame({"q_id": np.repeat(left["q_id"].to_numpy(), n), "c_id": ids[best].ravel(), "sim": np.take_along_axis(sims, best, 1).ravel(), "rank": np.tile(np.arange(1, n + 1, dtype="int32"), len(left))})
-
-    q = q.withColumn("_salt", F.pmod(F.xxhash64("q_id"), F.lit(salts)).cast("int"))
-    c = c.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return q.groupBy(on, "_salt").cogroup(c.groupBy(on, "_salt")).applyInPandas(run, "q_id long, c_id long, sim double, rank int")
+    """(q_id, c_id, sim, rank) by one matrix product a block. The queries of a block are dealt over `salts` tasks; candidates go to each. Rows without a vector or a block are compared with
+    nothing; ids are of any type."""
+    q, c = (df.where(F.col(v).isNotNull() & F.col(on).isNotNull()) for df, v in ((q, "qv"), (c, "cv")))
+    schema = _schema(q, c)
+    q = q.select("q_id", "qv", on, F.pmod(F.xxhash64("q_id"), F.lit(salts)).cast("int").alias("_salt"))
+    c = c.select("c_id", "cv", on, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    return top_k(q.groupBy(on, "_salt").cogroup(c.groupBy(on, "_salt")).applyInPandas(lambda left, right: multiplied(left, right, k), schema), k)

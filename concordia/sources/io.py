@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .workbook import read_workbook
+
 
 #: Encodings that Spark's readers take as they are.
 OWN_ENCODINGS = ("UTF-8", "US-ASCII", "ISO-8859-1", "UTF-16", "UTF-16LE", "UTF-16BE", "UTF-32")
@@ -37,14 +40,11 @@ def read_table(spark: SparkSession, path: str, encoding: str = "UTF-8", limit: i
     return df if limit is None else df.limit(limit)
 
 
-def read_excel(spark: SparkSession, path: str) -> DataFrame:
-    """The first sheet, read on the driver: a sheet has 1,048,576 rows at most."""
-    import pandas as pd
-
-    try:
-        return spark.createDataFrame(pd.read_excel(path, dtype=str))
-    except ImportError as e:
-        raise RuntimeError("Excel files need the package openpyxl; save the sheet as CSV instead") from e
+def read_excel(spark: SparkSession, path: str, sheet: str | int | None = None, columns: list[str] | None = None) -> DataFrame:
+    """A sheet of a workbook, the first by default, streamed by ranges of rows; see workbook.read_workbook. The binary format of before 2007 is not read."""
+    if path.lower().endswith(".xls"):
+        raise ValueError("the binary .xls format is not read; save the workbook as .xlsx or CSV")
+    return read_workbook(spark, path, sheet, columns)
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -82,6 +82,60 @@ def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame], tag:
     return spark.read.parquet(where)
 
 
+def _segments(spark: SparkSession, path: str) -> list[str]:
+    """The folders of a table's segments that were written to their end, the oldest first."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    child = lambda name: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, name)
+    names = [f.getPath().getName() for f in fs.listStatus(p)]
+    return sorted(f"{path}/{n}" for n in names if n.startswith("segment=") and fs.exists(child(f"{n}/_SUCCESS")))
+
+
+def encoded(spark: SparkSession, path: str, texts: DataFrame, encode: Callable[[DataFrame], DataFrame], tag: str, *, id_col: str = "id", text_col: str = "text", fan_out: int = 8) -> DataFrame:
+    """texts' ids with what `encode` makes of their texts, kept at path/tag as segments and brought up to date: encode sees new and changed texts alone.
+
+    A segment has (id, hash, deleted, and what encode adds) of one update: new and changed texts with their encodings, ids that are gone as tombstones. The newest row of an id counts. Once
+    there are fan_out segments they become one, without what is gone. A run that breaks off leaves a segment without an end, which is not read; running again does only what is left.
+    Ids name one text each (of several, which one is open); rows without an id are left out, null texts count as empty. encode gets (id, text) and adds columns; the tag names the model."""
+    where = f"{path}/{tag}"
+    now = texts.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).dropDuplicates(["id"])
+    now = now.withColumn("hash", F.sha2("text", 256))
+    found = _segments(spark, where)
+    number = int(found[-1].rsplit("=", 1)[1]) + 1 if found else 0
+
+    def newest(segments: list[str]) -> DataFrame:
+        parts = [spark.read.parquet(s).withColumn("_at", F.lit(i)) for i, s in enumerate(segments)]
+        rows = reduce(DataFrame.unionByName, parts)
+        last = rows.groupBy("id").agg(F.max_by(F.struct(*[c for c in rows.columns if c not in ("id", "_at")]), "_at").alias("r"))
+        return last.select("id", "r.*").where("not deleted")
+
+    if found:
+        kept = newest(found)
+        known = kept.select("id", F.col("hash").alias("_had"))
+        both = now.join(known, "id", "full")
+        fresh = both.where("hash is not null and (_had is null or _had <> hash)").select("id", "text", "hash")
+        gone = both.where("hash is null").select("id")
+        if fresh.isEmpty() and gone.isEmpty():
+            return kept.drop("hash", "deleted")
+    else:
+        fresh, gone = now, None
+    new = encode(fresh.select("id", "text")).drop("text").join(fresh.select("id", "hash"), "id").withColumn("deleted", F.lit(False))
+    if gone is not None:
+        empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in new.schema.fields if f.name not in ("id", "deleted")]
+        new = new.unionByName(gone.select("id", *empty, F.lit(True).alias("deleted")))
+    new.write.mode("overwrite").parquet(f"{where}/segment={number:08d}")
+    found = _segments(spark, where)
+    if len(found) >= fan_out:
+        newest(found).write.mode("overwrite").parquet(f"{where}/segment={number + 1:08d}")
+        for s in found:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        found = _segments(spark, where)
+    return newest(found).drop("hash", "deleted")
+
+
 def find_column(columns: list[str], parts: tuple[str, ...] = ("地址", "addr")) -> str:
     """The first column whose lower-cased name contains one of parts."""
     for c in columns:

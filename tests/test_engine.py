@@ -167,11 +167,6 @@ def test_reports(spark, tmp_path):
     assert len(json.load(open(tmp_path / "r.json"))) == 3
 
 
-def test_excel_needs_its_package(spark, tmp_path):
-    with pytest.raises((RuntimeError, FileNotFoundError)):
-        io.read_table(spark, str(tmp_path / "a.XLSX"))
-
-
 # --- models and streams
 
 
@@ -187,8 +182,9 @@ def test_more_models(spark):
     df = spark.createDataFrame([("hello",), (None,)], "t string")
     out = models.tri_encode(df, "t", lambda: lambda ts: ([[1.0]] * len(ts), [{t: 1.0} for t in ts], [[[1.0, 0.0]]] * len(ts))).collect()
     assert out[0].sparse == {"hello": 1.0} and out[1].multi == [[1.0, 0.0]]
-    score = models.yes_token_scorer(lambda: lambda prompts: [(2.0, 2.0) if "hello" in p else (0.0, 900.0) for p in prompts])
-    assert [r.s for r in df.fillna("").select(score(F.col("t"), F.col("t")).alias("s")).collect()] == [0.5, pytest.approx(0)]
+    score = models.yes_token_scorer(lambda: (str.split, lambda prompts: [float(len(p)) + 100 * ("hello" in p) for p in prompts]), side=3, most=20)
+    asked = df.fillna("").select(score(F.concat("t", F.lit(" a b c d e")), F.col("t")).alias("s")).collect()
+    assert [r.s for r in asked] == [120.0, 20.0]  # three tokens of a side, twenty of all; the Yes logit alone
     assert models.geocode_dry_run(df, "t") == (2, [None, "hello"])
     with pytest.raises(ImportError):
         models.finetune("pairs", lambda path: None)
@@ -211,7 +207,7 @@ def test_prior_results_from_a_file(spark, tmp_path):
 def test_geocoder(spark):
     df = spark.createDataFrame([(1, "x"), (2, "boom")], "id int, addr string")
     known = {"x": {"city": "上海市", "adcode": 31}}
-    out = {r.id: (r.found_city, r.found_adcode) for r in models.geocode(df, "addr", lambda a: known[a], 0).collect()}
+    out = {r.id: (r.found_city, r.found_adcode) for r in models.geocode(df, "addr", lambda a, city: known[a], 0).collect()}
     assert out == {1: ("上海市", "31"), 2: (None, None)}
 
 
