@@ -18,6 +18,8 @@ from pyspark.sql.window import Window
 from .common import table
 
 START, END = "<|im_start|>", "<|im_end|>"
+#: Bytes of a JSON record. A turn by itself may be as long as a string can be.
+LONGEST_RECORD = 1 << 27
 
 
 @dataclass(frozen=True)
@@ -102,9 +104,12 @@ def json_paths() -> str:
 def json_turns(df: DataFrame, raw_col: str = "record", conv_id: str = "conv_id") -> DataFrame:
     """(conv_id, turn, role, text, layout) of JSON records in mixed layouts. A record's own field paths, less those that no layout has, hash to its mapping. Records of
     no known layout, null ones and what isn't JSON give one row with turn, role, text and layout null, so that none goes unnoticed; so does a list of no messages, with its
-    layout. Repeated records and ids of any type, null ones too, are taken as they are; other columns are ignored."""
+    layout. Repeated records and ids of any type, null ones too, are taken as they are; other columns are ignored. A record of more than LONGEST_RECORD bytes is an error."""
     options = {"maxStringLen": str(2**31 - 1)}
-    out = df.select(F.col(conv_id).alias("_conv"), F.from_json(F.col(raw_col).cast("string"), JSON_SCHEMA, options).alias("r")).select("_conv", "r.*")
+    raw = F.col(raw_col).cast("string")
+    # a variant holds 128 MiB: beyond that a message would be lost without a word
+    raw = F.when(F.octet_length(raw) > LONGEST_RECORD, F.raise_error(F.lit(f"a record of more than {LONGEST_RECORD} bytes: pass its turns as rows"))).otherwise(raw)
+    out = df.select(F.col(conv_id).alias("_conv"), F.from_json(raw, JSON_SCHEMA, options).alias("r")).select("_conv", "r.*")
     known = f"substr(sha2(array_join(array_sort(filter({json_paths()}, p -> p is not null)), '\n'), 256), 1, 16)"
     out = out.withColumn("_print", F.expr(known))
     named = [x for x in LAYOUTS if x.turns]
@@ -171,8 +176,8 @@ def probe_conversation(spark: SparkSession) -> DataFrame:
 def through_layouts(turns: DataFrame) -> DataFrame:
     """Turn rows, of which two thirds of the conversations come as JSON records of two layouts with a field that no layout has: one record a turn, which keeps its place."""
     role, text, third = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")), F.pmod(F.xxhash64("conv_id"), F.lit(3))
-    # names that the layout gives another meaning stay as rows
-    plain = third.isin(0) | (third.isin(2) & role.isin("human", "gpt"))
+    # names that the layout gives another meaning stay as rows, and so do texts that could be too long for a record once they are escaped
+    plain = third.isin(0) | (third.isin(2) & role.isin("human", "gpt")) | (F.octet_length(text) + F.octet_length(role) > LONGEST_RECORD >> 4)
     speaker = F.when(role == "user", "human").when(role == "assistant", "gpt").otherwise(role)
     messages = F.to_json(F.struct(F.array(F.struct(role.alias("role"), text.alias("content"), F.lit("x").alias("name"))).alias("messages")))
     conversations = F.to_json(F.struct(F.lit("x").alias("id"), F.array(F.struct(speaker.alias("from"), text.alias("value"))).alias("conversations")))

@@ -517,7 +517,7 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     id_col = options.get("id_col", "doc_id")
     named = jaccard_components(docs, **options)
     keep = named.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.where(F.col(id_col).isNull()).unionByName(docs.join(keep, id_col, "left_semi").select(*docs.columns))
+    return docs.where(F.col(id_col).isNull()).unionByName(docs.join(keep, id_col, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns)))
 
 
 def op8_jaccard(spark, sf_dir):

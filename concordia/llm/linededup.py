@@ -21,13 +21,14 @@ HASH = ["h1", "h2"]
 
 
 class LineRuns:
-    """The levelled runs. Runs are bucketed tables in the warehouse, which executors share."""
+    """The levelled runs. Runs are bucketed tables whose files lie in the shared folder, wherever the warehouse is."""
 
     def __init__(self, spark: SparkSession, buckets: int, fan_out: int = 3):
         self.spark, self.buckets, self.fan_out = spark, buckets, fan_out
         self.levels: list[list[str]] = []
         self.batches: dict[str, int] = {}  # numbers of the batches by name: a hash keeps that of the batch which had it first
         self.name = f"line_runs_{uuid.uuid4().hex}"
+        self.files = Scratch(spark, self.name)
         self.made = 0
 
     def tables(self) -> list[DataFrame]:
@@ -38,7 +39,7 @@ class LineRuns:
         self.made += 1
         name = f"{self.name}_{self.made}"
         rows = hashes.select(*HASH, "batch")
-        (rows if dealt else rows.repartition(self.buckets, *HASH)).write.bucketBy(self.buckets, *HASH).sortBy(*HASH).saveAsTable(name, format="parquet")
+        (rows if dealt else rows.repartition(self.buckets, *HASH)).write.bucketBy(self.buckets, *HASH).sortBy(*HASH).saveAsTable(name, format="parquet", path=f"{self.files.root}/{name}")
         return name
 
     def number(self, batch: str) -> int:
@@ -56,14 +57,17 @@ class LineRuns:
             runs = self.levels[level]
             merged = self._save(reduce(DataFrame.unionByName, [self.spark.table(t) for t in runs]), dealt=True)
             self.levels[level] = []
-            for t in runs:
-                self.spark.sql(f"DROP TABLE IF EXISTS {t}")
+            self._forget(runs)
             self._put(merged, level + 1)
 
+    def _forget(self, names: list[str]) -> None:
+        for t in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {t}")
+        self.files.drop(*names)
+
     def drop(self) -> None:
         for level in self.levels:
-            for t in level:
-                self.spark.sql(f"DROP TABLE IF EXISTS {t}")
+            self._forget(level)
         self.levels = []
 
 
@@ -75,8 +79,8 @@ def line_key(line: Column) -> Column:
     return lower_ascii(F.btrim(line, F.lit(SPACE)))
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_key: int = 10, batches: int = 4, fan_out: int = 3, runs: LineRuns | None = None, batch: str | None = None, rows_a_bucket: int = 200_000) -> DataFrame:
-    """docs with text cut down to its kept lines, and n_lines, n_dropped (long).
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_key: int = 10, batches: int = 4, fan_out: int = 3, runs: LineRuns | None = None, batch: str | None = None, rows_a_bucket: int = 200_000, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """docs with text cut down to its kept lines, and n_lines, n_dropped (long), or whatever names `counts` gives these.
 
     The table comes in batches of ids in ascending order (of ids that aren't whole numbers, in one), or as one batch on top of `runs` that earlier calls have filled. A line whose key
     (ASCII white space stripped, A-Z lower-cased) has at least min_key code points goes if a document with a smaller id, or an earlier
@@ -88,7 +92,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     scratch = Scratch(spark, "lines")
     own = runs is None
     # the caller's other columns travel in one, the text by itself and once; null ids come last. Whole numbers are aggregated as such, other ids behind a flag
-    others = [c for c in docs.columns if c.lower() not in (text_col.lower(), "n_lines", "n_dropped")]
+    others = [c for c in docs.columns if c.lower() not in (text_col.lower(), *(x.lower() for x in counts))]
     numbers = isinstance(docs.schema[id_col].dataType, IntegralType)
     place = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)) if numbers else F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"))
     rows = docs.select(place.alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("row"), F.col(text_col).alias("text"), F.struct(*(F.col(f"`{c}`") for c in others)).alias("own"))
@@ -131,7 +135,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     ends = F.concat(F.col("gone"), F.array(F.size("lines")))
     kept = F.flatten(F.zip_with(starts, ends, lambda s, e: F.slice(F.col("lines"), s + 1, e - s)))
     text = F.when(F.size("gone") == 0, F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n"))
-    return out.select(*(F.col("own").getField(c).alias(c) for c in others), text.alias(text_col), F.size("lines").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_dropped"))
+    return out.select(*(F.col("own").getField(c).alias(c) for c in others), text.alias(text_col), F.size("lines").cast("long").alias(counts[0]), F.size("gone").cast("long").alias(counts[1]))
 
 
 def op3_line_dedup(spark, sf_dir):

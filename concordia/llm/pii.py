@@ -25,7 +25,7 @@ SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 MONTH = r"(?i:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:t(?:ember)?)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
 DAY = r"\d{1,2}(?:st|nd|rd|th)?"
 DATE = (
-    r"(?<![\w-])\d{4}-\d{2}-\d{2}(?![\w-])"
+    r"(?<![\w-])\d{4}-\d{2}-\d{2}(?:(?=T\d{2}:?\d{2})|(?![\w-]))"  # a time may stand behind it, and stays
     r"|(?<![\w/.-])(?:\d{4}/\d{1,2}/\d{1,2}|\d{4}[.]\d{1,2}[.]\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}[.]\d{1,2}[.]\d{4}|\d{1,2}-\d{1,2}-\d{4})(?![\w-]|[/.]\w)"
     rf"|(?<![\w-]){DAY} {MONTH}[.]?,? \d{{4}}(?![\w-])|(?<!\w){MONTH}[.]? {DAY},? \d{{4}}(?![\w-])"
 )

@@ -63,6 +63,10 @@ SOFT_RULES = {"symbols": "10 * n_symbols > n_words", "duplicate_lines": "10 * n_
 SURE, MOST = 2, 0.5
 
 
+#: What judge adds to the columns that it carries, but for the verdict.
+ADDED = ("n_words", "word_chars", "n_symbols", "n_text_lines", "n_dup_lines", "n_repeat_words", "base_failed", *(f"fails_{r}" for r in SOFT_RULES), "host", "host_ok")
+
+
 def host_verdicts(measured: DataFrame) -> DataFrame:
     """(host, n_docs, host_ok, suspect_<rule>), one row a host. measured: host, base_failed, and fails_<rule> for each soft rule.
 
@@ -86,11 +90,11 @@ def host_verdicts(measured: DataFrame) -> DataFrame:
     return hosts.select("host", "n_docs", (least("base")[0] <= MOST).alias("host_ok"), *suspect)
 
 
-def judge(docs: DataFrame, *, text_col: str = "text", host: Column | None = None, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row a document: carry, the measures, base_failed, fails_<rule>, host_ok, kept.
+def judge(docs: DataFrame, *, text_col: str = "text", host: Column | None = None, carry: tuple[str, ...] = ("doc_id",), verdict: str = "kept") -> DataFrame:
+    """One row a document: carry, the measures, base_failed, fails_<rule>, host_ok, kept, or whatever name `verdict` gives that last one.
 
     A document goes if it breaks a base rule, if its host is rejected, or if it breaks a soft rule that its host is suspect for. Null text: no words, so base_failed. Null hosts are one
-    host; empty tables give no rows; repeated rows count each; a carried column that is named like a measure takes its place. Texts are read once: their measures are written and the rest works on those."""
+    host; empty tables give no rows; repeated rows count each; a carried column that is named like a measure, or the verdict, takes its place: name the verdict so that none is (common.fresh). Texts are read once: their measures are written and the rest works on those."""
     host = F.col("source") if host is None else host
     scratch = Scratch(docs.sparkSession, "quality")
     # the caller's columns travel in one, whatever their names
@@ -102,7 +106,7 @@ def judge(docs: DataFrame, *, text_col: str = "text", host: Column | None = None
     verdicts = scratch.write(host_verdicts(measured), "hosts")
     out = measured.alias("d").join(verdicts.alias("h"), F.col("d.host").eqNullSafe(F.col("h.host")))
     breaks = F.expr(" or ".join(f"(fails_{r} and suspect_{r})" for r in SOFT_RULES))
-    found = out.select("_own", *(F.col(f"d.{c}") for c in measured.columns if c not in ("_own", "host")), F.col("d.host").alias("host"), "host_ok", (~F.col("base_failed") & F.col("host_ok") & ~breaks).alias("kept"))
+    found = out.select("_own", *(F.col(f"d.{c}") for c in measured.columns if c not in ("_own", "host")), F.col("d.host").alias("host"), "host_ok", (~F.col("base_failed") & F.col("host_ok") & ~breaks).alias(verdict))
     clash = {c.lower() for c in carry}
     return found.select(*(F.col("_own").getField(c).alias(c) for c in carry), *(c for c in found.columns if c != "_own" and c.lower() not in clash))
 
