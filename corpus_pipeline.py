@@ -6,19 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concordia.llm import bpe, jaccard, linededup, mixing, quality
-from concordia.llm.common import Scratch
+from concordia.llm.common import Scratch, fresh
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go. Texts stay with their rows: no join is needed to act on the verdicts by host."""
-    judged = quality.judge(docs, carry=tuple(docs.columns))
-    return judged.where("kept").select(*docs.columns)
+    """Documents that the quality rules reject go. Texts stay with their rows: no join is needed to act on the verdicts by host. Columns of any name stay as they are, one named like the
+    verdict too."""
+    (verdict,) = fresh([*docs.columns, *quality.ADDED], "verdict")
+    judged = quality.judge(docs, carry=tuple(docs.columns), verdict=verdict)
+    return judged.where(F.col(verdict)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier document has go; n_chars follows the text. A document of which nothing is left stays, empty."""
-    out = linededup.dedup_lines(docs)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Lines that an earlier document has go; n_chars follows the text, if there is one. A document of which nothing is left stays, empty. Other columns stay as they are, whatever their names."""
+    out = linededup.dedup_lines(docs, counts=fresh(docs.columns, "n_lines", "n_dropped"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
