@@ -496,11 +496,14 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     labels = components(links, scratch, "once")
     lists = open_lists(postings, labels, scratch)
     hubs = scratch.write(hub_pairs(postings, lists, labels, 3), "hubs")
-    links = links.union(scratch.write(verified(hubs, found, percent), "hub-links"))
-    labels = components(links, scratch, "twice")
-    lists = open_lists(postings, labels, scratch, "still-open")
+    more = scratch.write(verified(hubs, found, percent), "hub-links")
+    if not more.isEmpty():  # where nothing new links, components and open lists stay as they are
+        links = links.union(more)
+        labels = components(links, scratch, "twice")
+        lists = open_lists(postings, labels, scratch, "still-open")
     more = scratch.write(tree_links(postings, lists, labels, found, scratch, percent), "more")
-    labels = components(links.union(more), scratch, "labels")
+    if not more.isEmpty():
+        labels = components(links.union(more), scratch, "labels")
     scratch.drop("found", "cells", "stars", "hubs", "firsts", "open", "still-open")
     scratch.free_shuffles()
 

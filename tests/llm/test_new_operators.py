@@ -224,3 +224,32 @@ def test_scores_do_not_follow_the_partitioning(spark, sf):
     docs, target = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     runs = [sorted(map(tuple, importance.resample(docs.repartition(n), target).collect())) for n in (1, 6)]
     assert runs[0] == runs[1]
+
+
+def test_articles_known_by_construction(spark):
+    """Pages of three hosts, put together from parts: what extract() gives is the article's parts, whatever the host's frame, and however the pages are dealt."""
+    import random
+
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(3, 9)))
+    sentence = lambda n: " ".join(word() for _ in range(n)).capitalize() + "."
+    frames = {
+        "tags": ('<header><a href="/">Name of the site</a></header><nav><ul>{menu}</ul></nav><main><article><h1>{title}</h1>{body}</article></main><aside><p>{aside}</p></aside><footer>All rights</footer>'),
+        "plain": ('<div><div><span>Name of the site</span></div><div>{menu}</div><div><h1>{title}</h1>{body}</div><div class="sidebar"><p>{aside}</p></div><div class="footer">All rights</div></div>'),
+        "nested": ('<div><table><tr><td>{menu}</td><td><div><div><h1>{title}</h1>{body}</div></div></td></tr></table><form><input name="q"> Search here</form><div class="comments"><p>{aside}</p></div></div>'),
+    }
+    rows, want = [], {}
+    for host, frame in frames.items():
+        menu = "".join(f'<li><a href="/{i}">{sentence(2)}</a></li>' for i in range(5))
+        for i in range(12):
+            title, blocks = sentence(4), [sentence(rnd.randint(8, 40)) for _ in range(rnd.randint(2, 6))]
+            shown = [b.replace(" ", " <b>bold</b> ", 1) if j == 1 else b for j, b in enumerate(blocks)]
+            body = "".join(f"<p>{b} &amp; more</p>" if j != 2 else f"<ul><li>{b} &amp; more</li></ul><script>var x = '{sentence(3)}'</script>" for j, b in enumerate(shown))
+            html_text = "<html><head><title>t</title><style>p {}</style></head><body>" + frame.format(menu=menu, title=title, body=body, aside=sentence(rnd.randint(4, 9))) + "</body></html>"
+            key = f"{host}{i}"
+            rows.append((key, f"https://{host}.example/{i}", html_text))
+            texts = [b.replace("<b>", "").replace("</b>", "") for b in shown]
+            want[key] = "\n\n".join([title, *(f"{t} & more" for t in texts)])
+    for n in (1, 5):
+        out = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id string, url string, html string").repartition(n)).collect()}
+        assert out == want
