@@ -491,6 +491,11 @@ def segment_address(spark, d):
     return divisions.segment(_addresses(spark, d), "addr", divisions.divisions(spark)).select("c_custkey", "addr", "seg_province", "seg_city", "seg_district")
 
 
+def extract_generated(spark, d):
+    """Addresses of all customers by patterns, and along the tree of divisions where these leave a gap."""
+    return address.extract_address(_addresses(spark, d), "addr", table=divisions.divisions(spark)).select("c_custkey", "province", "city", "district", "confidence")
+
+
 def normalize_division(spark, d):
     """The city of each customer's division, by its name alone and the lookup that the codes give."""
     return city.normalize_city(_addresses(spark, d), "name", strict=True).select("c_custkey", "name", "city_norm")
@@ -592,7 +597,7 @@ g AS (SELECT i, arg_max(gz, (length(name), name)) AS g FROM p JOIN gz ON contain
 f AS (SELECT i, p, c, d, coalesce(g.province, '') AS gp, coalesce(g.city, '') AS gc, coalesce(g.district, '') AS gd FROM p LEFT JOIN g USING (i)),
 x AS (SELECT i, CASE WHEN p <> '' THEN p ELSE gp END AS province, CASE WHEN c <> '' THEN c ELSE gc END AS city, CASE WHEN d <> '' THEN d ELSE gd END AS district,
   CASE WHEN (p = '' AND gp <> '') OR (c = '' AND gc <> '') OR (d = '' AND gd <> '') THEN 'mid' WHEN p <> '' OR c <> '' OR d <> '' THEN 'high' ELSE 'none' END AS confidence FROM f),
-k AS (SELECT *, regexp_replace(city, '市+$', '') AS core FROM x)
+k AS (SELECT x.*, CASE WHEN p.d <> '' THEN regexp_replace(city, '市+$', '') ELSE '' END AS core FROM x JOIN p USING (i))
 SELECT c_custkey, province, city, CASE WHEN core <> '' AND starts_with(district, core) THEN substr(district, length(core) + 1) ELSE district END AS district, confidence
 FROM customer JOIN k ON c_custkey % {len(ADDRESSES)} = k.i"""
 
@@ -625,6 +630,14 @@ county(name, target) AS (SELECT name, min(target) FROM ct GROUP BY name HAVING c
 
 
 _NORMAL_DIVISION_SQL = _normal_division_sql()
+def _extract_generated_sql():
+    """The stages of _EXTRACT_SQL, with the tree's answer in the gazetteer's place."""
+    own, rest = _EXTRACT_SQL.split("t AS (SELECT i,", 1)[1].split("g AS (SELECT i, arg_max", 1)
+    rest = rest.split("GROUP BY i),", 1)[1].replace("SELECT c_custkey,", "SELECT k.i AS c_custkey,").replace(f"FROM customer JOIN k ON c_custkey % {len(ADDRESSES)} = k.i", "FROM k")
+    return f"""WITH sg AS ({_SEGMENT_SQL}), v AS (SELECT c_custkey AS i, addr FROM sg), t AS (SELECT i,{own}
+g AS (SELECT i, seg_province AS province, seg_city AS city, seg_district AS district FROM p JOIN sg ON c_custkey = i WHERE p = '' OR c = '' OR d = ''),{rest}"""
+
+
 ALIGNED, KNOWN, WITHIN = ["崇州", "吉林市", "青岛市市", "nowhere", None], ["崇州市", "吉林", "青岛市"], ["杭州市", "州市", "深圳市", "台州市"]
 _ALIGN_SQL = f"""WITH {_cases("name", [(x,) for x in ALIGNED])}, k(city) AS (VALUES {_sql_values([(x,) for x in KNOWN])}), a AS (SELECT i, {_strip_sql("coalesce(name, '')")} AS n FROM v)
 SELECT c_custkey, CASE WHEN n IN (SELECT city FROM k) THEN n WHEN n || '市' IN (SELECT city FROM k) THEN n || '市' WHEN regexp_replace(n, '市$', '') IN (SELECT city FROM k) THEN regexp_replace(n, '市$', '') ELSE n END AS city
@@ -715,6 +728,7 @@ _QUERIES = {
     "address_stats": (address_stats, "SELECT count(*) AS rows, count(*) FILTER (WHERE province <> '') AS with_province, count(*) FILTER (WHERE city <> '') AS with_city, count(*) FILTER (WHERE district <> '') AS with_district, " + ", ".join(f"count(*) FILTER (WHERE confidence = '{v}') AS confidence_{v}" for v in ("high", "mid", "none")) + f" FROM ({_EXTRACT_SQL})"),
     "normalize_city": (normalize_city, _normal_sql(False)),
     "segment_address": (segment_address, _SEGMENT_SQL),
+    "extract_generated": (extract_generated, _extract_generated_sql()),
     "normalize_division": (normalize_division, _NORMAL_DIVISION_SQL),
     "normalize_city_strict": (normalize_city_strict, _normal_sql(True)),
     "normalize_stats": (normalize_stats, f"SELECT count(*) FILTER (WHERE b <> a) AS changed, count(*) FILTER (WHERE b = '') AS empty_before, count(*) FILTER (WHERE a = '') AS empty_after FROM ({_normal_sql(False, "coalesce(name, '') AS b, city_norm AS a")})"),

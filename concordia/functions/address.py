@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .divisions import segment
 from .text import clean_text
 
 #: Municipalities and the endings of provinces, cities and districts.
@@ -41,20 +42,24 @@ def contained(texts: DataFrame, text: str, names: DataFrame, name: str) -> DataF
     return texts.withColumn("_part", F.explode(cut)).join(names.withColumn("_part", F.col(name)), "_part").drop("_part")
 
 
-def extract_address(df: DataFrame, addr: str, gazetteer: DataFrame | None = None) -> DataFrame:
+def extract_address(df: DataFrame, addr: str, gazetteer: DataFrame | None = None, *, table: DataFrame | None = None) -> DataFrame:
     """df with province, city, district, confidence and the source of each field.
 
+    table (code, name): divisions by their codes, whose best path fills empty fields, see divisions.segment; it takes the gazetteer's place.
     gazetteer (name, province, city, district): asked for the addresses with an empty field, by the name that the address
     contains; of several the longest, then the first by code point. Only those rows are joined, and the rest pass by. confidence: none (nothing
     found), high (patterns alone), mid (the gazetteer filled a field)."""
     text = clean_text(F.col(addr))
     p, c, d = by_pattern(F.col("_text"))
     out = df.withColumn("_text", text).withColumns({"_p": p, "_c": c, "_d": d})
-    if gazetteer is not None:
+    if gazetteer is not None or table is not None:
         gap = (F.col("_text") != "") & ((F.col("_p") == "") | (F.col("_c") == "") | (F.col("_d") == ""))
         asked = out.where(gap).select("_text").distinct()
-        best = F.max_by(F.struct("province", "city", "district"), F.struct(F.length("name"), F.col("name")))
-        hits = contained(asked, "_text", gazetteer, "name").groupBy("_text").agg(best.alias("_g"))
+        if table is not None:
+            hits = segment(asked, "_text", table).select("_text", F.struct(*(F.col(f"seg_{f}").alias(f) for f in ("province", "city", "district"))).alias("_g"))
+        else:
+            best = F.max_by(F.struct("province", "city", "district"), F.struct(F.length("name"), F.col("name")))
+            hits = contained(asked, "_text", gazetteer, "name").groupBy("_text").agg(best.alias("_g"))
         out = out.join(hits, "_text", "left")
     else:
         out = out.withColumn("_g", F.lit(None).cast("struct<province:string,city:string,district:string>"))
@@ -64,7 +69,8 @@ def extract_address(df: DataFrame, addr: str, gazetteer: DataFrame | None = None
         fields[name] = F.when(F.col(own) != "", F.col(own)).otherwise(fallback)
         fields[f"{name}_source"] = F.when(F.col(own) != "", "regex").when(fallback != "", "gazetteer").otherwise("none")
     out = out.withColumns(fields)
-    out = out.withColumn("district", without_city(F.col("district"), F.col("city")))
+    # what the patterns cut too long loses its city's name; a gazetteer's names are whole
+    out = out.withColumn("district", F.when(F.col("district_source") == "regex", without_city(F.col("district"), F.col("city"))).otherwise(F.col("district")))
     sources = F.array(*[F.col(f"{n}_source") for n in ("province", "city", "district")])
     confidence = F.when(F.array_contains(sources, "gazetteer"), "mid").when(F.array_contains(sources, "regex"), "high").otherwise("none")
     return out.withColumn("confidence", confidence).drop("_text", "_p", "_c", "_d", "_g")
