@@ -5,7 +5,7 @@ how often each page has it; a fingerprint of the vector adds up in any order, so
 vector are an equivalence class; large classes that most pages of the host have are its template. Equal pages count as one. On a page a
 class is valid if its tokens come in the class's order, as often as they come, and nest with the other classes. Between the template's tags are its slots. The article's slot is
 chosen by structure, over all pages of the host: below the deepest tag of the template that each page has once and that holds most of the host's text outside of links, and its headline.
-On a page where that tag is valid, the text below it is the article; on others, text of valid classes is template and goes, and the page's own tags and names decide. Forms, notices,
+On a page where that tag is valid, the text below it is the article, from the first text on that is no template; on others, text of valid classes is template and goes, and the page's own tags and names decide. Forms, notices,
 adverts and comments inside a slot differ from page to page as the article does: a list of tags and names leaves them out.
 """
 
@@ -226,6 +226,9 @@ def decided(page: str, template: list[list[int]] = (), content: int | None = Non
     for block in blocks:
         if slot:
             parts = [(t, a) for t, _, a, b, _, _, _, own in block if own and not b]
+            # a wide slot begins with the site's name and menus: template up to the first text of the page's own, outside of what the page calls an article
+            if not found and parts and all(not own or b or (not a and token_hash(f"{path}\n{' '.join(t.split())}") in drop) for t, path, a, b, _, _, _, own in block if t.strip()):
+                continue
         else:  # what an article has is no template
             parts = [(t, a) for t, path, a, b, *_ in block if not b and (a or not (drop and token_hash(f"{path}\n{' '.join(t.split())}") in drop))]
         text = " ".join("".join(t for t, _ in parts).split())
