@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import math
 import re
@@ -139,11 +140,15 @@ def vocab():
     return pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
 
 
-def library_ids(path, text):
+@functools.cache
+def library(path):
     from tokenizers import Tokenizer
 
-    lib = Tokenizer.from_file(path)
-    return [*lib.encode(text or "", add_special_tokens=False).ids, 1]
+    return Tokenizer.from_file(path)
+
+
+def library_ids(path, text):
+    return [*library(path).encode(text or "", add_special_tokens=False).ids, 1]
 
 
 def check_packing(spark, docs, path, size):
