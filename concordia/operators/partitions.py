@@ -80,7 +80,8 @@ def metric_top_k(q: DataFrame, c: DataFrame, k: int, *, pivots: int | None = Non
     placed = scratch.write(placed.select(*keep, "ball", "ring", "cut", "far", "length"), "tiles")
     stats = placed.groupBy("ball", "ring", "cut").agg(F.max("far").alias("far"), F.max("length").alias("length"), F.count(F.lit(1)).alias("n")).orderBy("ball", "ring", "cut").toPandas()
     ball, far, longest, sized = (stats[x].to_numpy() for x in ("ball", "far", "length", "n"))
-    tiles = q.sparkSession.createDataFrame(stats[["ball", "ring", "cut"]].reset_index(names="tile").astype("int32")) if len(stats) else None
+    # typed as asks are: an int and a long of one value hash to different tasks
+    tiles = q.sparkSession.createDataFrame([(i, *map(int, x)) for i, x in enumerate(stats[["ball", "ring", "cut"]].to_numpy())], "tile int, ball int, ring int, cut int") if len(stats) else None
     if work is not None:
         work.all = n * q.count()
     nothing = top_k(q.sparkSession.createDataFrame([], schema), k)

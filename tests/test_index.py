@@ -35,6 +35,16 @@ def test_metric_partitions_skip_most_tiles_of_clusters(spark):
     assert held(cut, "q_id", "c_id", near, "rank") == held(own, "q_id", "c_id", near, "rank")
 
 
+def test_metric_partitions_meet_in_many_tasks(spark):
+    q, c = clusters(spark)
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as at size, where tasks aren't merged into one
+        own = held(partitions.metric_top_k(q, c, 5, pivots=60), "q_id", "c_id", "sim", "rank")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert own == held(ranking.tiled_top_k(q, c, 5), "q_id", "c_id", "sim", "rank")
+
+
 def test_metric_partitions_of_hardly_any_rows(spark):
     q, c = clusters(spark, n=3, kind="long")
     assert held(partitions.metric_top_k(q, c, 5), "q_id", "c_id", "rank") == held(ranking.tiled_top_k(q, c, 5), "q_id", "c_id", "rank")
