@@ -48,7 +48,11 @@ def sweep_reselect(scored: DataFrame, weights: DataFrame, k: int, refine: Callab
     """As sweep_frozen, with the k candidates chosen anew by each configuration's dense and sparse weights. refine adds c and correct to the pairs that any configuration has chosen, where
     scored hasn't them yet: each pair once."""
     x = scored.crossJoin(F.broadcast(weights)).withColumn("first", F.col("wd") * F.col("d") + F.col("ws") * F.col("s"))
-    held = top_k(x, k, "first", by=("config", "q_id"), rank="pass1_rank")
+    return reselected(top_k(x, k, "first", by=("config", "q_id"), rank="pass1_rank"), refine)
+
+
+def reselected(held: DataFrame, refine: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """sweep_reselect of the pairs that each configuration holds: config, wd, ws, wc, q_id, c_id and first, their weighted dense and sparse scores."""
     if refine is not None:
         own = refine(held.select("q_id", "c_id").distinct()).select("q_id", "c_id", "c", "correct")
         held = held.join(own, ["q_id", "c_id"])

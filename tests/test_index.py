@@ -45,6 +45,42 @@ def test_metric_partitions_meet_in_many_tasks(spark):
     assert own == held(ranking.tiled_top_k(q, c, 5), "q_id", "c_id", "sim", "rank")
 
 
+def vectors(spark):
+    """Vectors of two blocks, each several times, with components of few digits, so that sums tie or miss by a last digit; some rows without vector or block."""
+    rng = np.random.default_rng(12)
+    v = rng.normal(size=(60, 64)).round(1)
+    rows = [(i, "ab"[i % 2], v[(i // 2) % 60].tolist()) for i in range(400)] + [(1000, "a", None), (1001, None, v[0].tolist())]
+    own = spark.createDataFrame(rows, "id long, city string, v array<double>")
+    q, c = own.where("id % 10 = 0 or id > 900"), own.where("id % 10 <> 0 or id > 900")
+    return q.withColumnsRenamed({"id": "q_id", "v": "qv"}), c.withColumnsRenamed({"id": "c_id", "v": "cv"})
+
+
+@pytest.mark.parametrize("sizes", [{}, {"tile": 30, "part": 7}])
+def test_tiles_of_blocks_give_the_digits_and_ties_of_a_join(spark, sizes):
+    from concordia.functions.vectors import dot
+    from concordia.operators.blocking import block_join
+
+    q, c = vectors(spark)
+    plain = block_join(q.where("qv is not null"), c.where("cv is not null")).withColumn("sim", dot(F.col("qv"), F.col("cv")))
+    own = ranking.block_tiled_top_k(q, c, 4, **sizes)
+    assert held(own, "q_id", "c_id", "sim", "rank") == held(ranking.top_k(plain, 4), "q_id", "c_id", "sim", "rank") and own.count() == 160
+    q, c = (x.withColumn(s, F.transform(v, lambda y: F.greatest(y, F.lit(0.0)))) for x, s, v in ((q, "qs", "qv"), (c, "cs", "cv")))
+    pairs = match.pair_scores(q, c)
+    for n, (wd, ws) in enumerate(weights := [(1, 0), (0, 1), (20, 5), (0, 0)]):
+        want = ranking.top_k(pairs.withColumn("first", wd * F.col("dense") + ws * F.col("sparse")), 4, "first")
+        found = ranking.first_pass(q, c, weights, 4, **sizes).where(F.col("choice") == n)
+        assert held(found, "q_id", "c_id", "dense", "sparse", "pass1_rank") == held(want, "q_id", "c_id", "dense", "sparse", "rank")
+    tokens = lambda df, name, v: df.select(name, "city", F.posexplode(v).alias("token", "weight")).where("weight > 0")
+    listed = ranking.sparse_scores(tokens(q, "q_id", "qv"), tokens(c, "c_id", "cv")).withColumn("sparse", F.round("sparse", 9))
+    assert held(ranking.all_pairs(q, c, ranking.shared_products, "sparse", **sizes).withColumn("sparse", F.round("sparse", 9)), "q_id", "c_id", "sparse") == held(listed, "q_id", "c_id", "sparse")
+
+
+def test_no_pair_is_shuffled_before_it_is_chosen(spark, sf):
+    for name in ("sparse_dot", "maxsim_scores", "fused_two_pass", "score_stats"):
+        p = catalogue.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate [q_id" not in p, name
+
+
 def test_metric_partitions_of_hardly_any_rows(spark):
     q, c = clusters(spark, n=3, kind="long")
     assert held(partitions.metric_top_k(q, c, 5), "q_id", "c_id", "rank") == held(ranking.tiled_top_k(q, c, 5), "q_id", "c_id", "rank")
