@@ -39,5 +39,9 @@ def compare_with_file(spark, path: str, new: DataFrame, field: str, on: str = "c
 
 def compare(base: DataFrame, new: DataFrame, field: str, on: str = "city") -> DataFrame:
     """(city, base, new, delta_pp)."""
-    x = base.select(on, F.col(field).alias("base")).join(new.select(on, F.col(field).alias("new")), on)
+    return differences(base.select(on, F.col(field).alias("base")).join(new.select(on, F.col(field).alias("new")), on))
+
+
+def differences(x: DataFrame) -> DataFrame:
+    """x, with columns base and new, and what lies between them in percentage points."""
     return x.withColumn("delta_pp", F.round((F.col("new") - F.col("base")) * 100, 6))
