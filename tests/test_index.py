@@ -192,3 +192,17 @@ def test_pairs_get_their_third_score_where_they_are_chosen(spark, sf):
 def test_baseline_and_new_list_are_ranked_once(spark, sf):
     p = catalogue.baseline_compare(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert p.count("CoGroups") == 1
+
+
+@pytest.mark.parametrize("sizes", [[4], [1, 3, 2]])
+def test_late_interaction_without_clusters_multiplies_queries_at_once(monkeypatch, sizes):
+    rng = np.random.default_rng(3)
+    entities = [rng.normal(size=(sizes[i % len(sizes)], 16)) for i in range(300)]
+    entities[9] = entities[5]
+    asked = [*entities[:40], entities[5] * 2]
+    best = np.array([[(a @ e.T).max(1).sum() for e in entities] for a in asked]).round(12)
+    seen, own = [], partitions._late_products
+    monkeypatch.setattr(partitions, "_late_products", lambda asked, *rest: seen.append(len(asked)) or own(asked, *rest))
+    rows, found, score, scored = partitions.late_scores(asked, np.concatenate(entities), np.repeat(np.arange(300), [len(e) for e in entities]), 300, rng.normal(size=(8, 16)), 5)
+    assert [(i, int(j)) for i in range(len(asked)) for j in np.lexsort((np.arange(300), -best[i]))[:5]] == list(zip(rows.tolist(), found.tolist(), strict=True))
+    assert seen == [33] and scored <= best.size
