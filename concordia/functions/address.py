@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
 from .divisions import segment
 from .text import clean_text
 
@@ -53,6 +54,10 @@ def extract_address(df: DataFrame, addr: str, gazetteer: DataFrame | None = None
     p, c, d = by_pattern(F.col("_text"))
     out = df.withColumn("_text", text).withColumns({"_p": p, "_c": c, "_d": d})
     if gazetteer is not None or table is not None:
+        # patterns are matched once, in as many tasks as shuffles have: a file of few bytes is one task where it is read
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = df.withColumn("_deal", F.monotonically_increasing_id()).repartition(n, "_deal").drop("_deal")
+        out = Scratch(df.sparkSession, "parsed").write(dealt.withColumn("_text", text).withColumns({"_p": p, "_c": c, "_d": d}), "parsed")
         gap = (F.col("_text") != "") & ((F.col("_p") == "") | (F.col("_c") == "") | (F.col("_d") == ""))
         asked = out.where(gap).select("_text").distinct()
         if table is not None:

@@ -74,20 +74,25 @@ def segment(df: DataFrame, addr: str, table: DataFrame) -> DataFrame:
     is the municipality itself. Null and blank addresses have ''. Each distinct address is segmented once; its parts meet the names by equality, and its paths their ancestors by code."""
     names = gazetteer_names(table).select("code", "part")
     asked = df.select(F.col(addr).alias("_addr")).where(F.length(F.trim("_addr")) > 0).distinct()
+    # dealt by address, in parts that aren't merged by their few bytes: each has some hundred parts of its own
+    asked = asked.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_addr")
     sizes = sorted(names.select(F.collect_set(F.length("part")).alias("s")).first()["s"])  # some tens of lengths
     places = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("_addr") - n + 1, F.lit(1))), lambda i: F.struct(i.alias("at"), F.substring(F.col("_addr"), i, F.lit(n)).alias("part")))
     cut = F.concat(*[places(n) for n in sizes]) if sizes else F.array().cast("array<struct<at:int,part:string>>")
-    met = asked.withColumn("p", F.explode(cut)).select("_addr", F.col("p.at").alias("at"), F.col("p.part").alias("part")).join(names, "part")
+    # names and paths are a country's divisions, some thousands: they go to where the parts are, and no part is shuffled
+    met = asked.withColumn("p", F.explode(cut)).select("_addr", F.col("p.at").alias("at"), F.col("p.part").alias("part")).join(F.broadcast(names), "part")
     # of a division's names the longest at its first place counts
     found = met.groupBy("_addr", "code").agg(F.min(F.struct("at", (-F.length("part")).alias("n"))).alias("m")).select("_addr", "code", F.col("m.at").alias("at"), (-F.col("m.n")).alias("n"))
     up = tree(table).select("code", "level", "ancestor", "ancestor_level")
-    path = found.join(up, "code").join(found.select("_addr", F.col("code").alias("ancestor"), F.col("at").alias("a_at"), F.col("n").alias("a_n")), ["_addr", "ancestor"])
+    every = found.groupBy("_addr").agg(F.collect_list(F.struct("code", "at", "n")).alias("_all")).select("_addr", "_all", F.explode("_all").alias("f"))
+    path = every.select("_addr", "_all", F.col("f.code").alias("code"), F.col("f.at").alias("at")).join(F.broadcast(up), "code")
+    path = path.withColumn("a", F.get(F.filter("_all", lambda x: x["code"] == F.col("ancestor")), F.lit(0))).where("a is not null").select("_addr", "code", "level", "ancestor", "at", F.col("a.at").alias("a_at"), F.col("a.n").alias("a_n"))
     # what is above stands before; names may share characters only with themselves
     path = path.where("code = ancestor or a_at + a_n <= at")
     best = path.groupBy("_addr", "code").agg(F.count(F.lit(1)).alias("levels"), F.max("level").alias("level"), F.sum("a_n").alias("size"), F.min("a_at").alias("begin"))
     chosen = best.groupBy("_addr").agg(F.min_by("code", F.struct(-F.col("levels"), -F.col("level"), -F.col("size"), F.col("begin"), F.col("code"))).alias("code"))
     whole = tree(table).groupBy("code").agg(*(F.max(F.when(F.col("ancestor_level") == i, F.col("ancestor_name"))).alias(f"l{i}") for i in (1, 2, 3)))
     city = F.coalesce("l2", F.when(F.col("l1").endswith("市"), F.col("l1")), F.lit(""))
-    out = chosen.join(whole, "code").select("_addr", F.coalesce("l1", F.lit("")).alias("seg_province"), F.when(city == "市辖区", F.col("l1")).otherwise(city).alias("seg_city"), F.coalesce("l3", F.lit("")).alias("seg_district"))
+    out = chosen.join(F.broadcast(whole), "code").select("_addr", F.coalesce("l1", F.lit("")).alias("seg_province"), F.when(city == "市辖区", F.col("l1")).otherwise(city).alias("seg_city"), F.coalesce("l3", F.lit("")).alias("seg_district"))
     filled = {c: F.coalesce(c, F.lit("")) for c in ("seg_province", "seg_city", "seg_district")}
     return df.join(out, df[addr] == out["_addr"], "left").drop("_addr").withColumns(filled)

@@ -272,3 +272,9 @@ def test_adapter_steps_like_its_twin(spark):
     out = models.encode(spark.createDataFrame([("some text",)], "t string"), "t", adapter.adapted(models.hashing_encoder(12), found)).first()["vector"]
     assert np.allclose(out, found(models.hashing_encoder(12)()(["some text"]))[0], atol=1e-6)
     assert adapter.tune(pairs.limit(0)) is not None
+
+
+def test_parts_of_addresses_are_not_shuffled(spark):
+    df = spark.createDataFrame([("浙江省杭州市西湖区文三路",), ("",), (None,)], "addr string")
+    p = divisions.segment(df, "addr", divisions.divisions(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert p.count("strategy=broadcast") == 3
