@@ -206,3 +206,12 @@ def test_late_interaction_without_clusters_multiplies_queries_at_once(monkeypatc
     rows, found, score, scored = partitions.late_scores(asked, np.concatenate(entities), np.repeat(np.arange(300), [len(e) for e in entities]), 300, rng.normal(size=(8, 16)), 5)
     assert [(i, int(j)) for i in range(len(asked)) for j in np.lexsort((np.arange(300), -best[i]))[:5]] == list(zip(rows.tolist(), found.tolist(), strict=True))
     assert seen == [33] and scored <= best.size
+
+
+def test_sparse_sums_are_made_where_postings_are(spark):
+    own = counted(spark, docs=90)
+    q = own.where("id like '%0'").withColumnRenamed("id", "q_id")
+    found = partitions.sparse_top_k(q, own.withColumnRenamed("id", "c_id"), 5, band=20, part=2)
+    p = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroups" in p and "Aggregate [q_id" not in p
+    assert held(found.select("q_id", "c_id", "rank", F.col("sparse").cast("long").alias("sparse")), "q_id", "c_id", "rank", "sparse") == held(ranking.top_k(ranking.sparse_scores(q, own.withColumnRenamed("id", "c_id")), 5, "sparse"), "q_id", "c_id", "rank", "sparse")
