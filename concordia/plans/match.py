@@ -38,7 +38,7 @@ def dense_match(q: DataFrame, c: DataFrame, k: int, *, mode: str = "block", on_m
         if mode == "tiled":
             ranked = whole(able_q, ranking.block_tiled_top_k)
         else:
-            ranked = ranking.top_k(blocking.block_join(able_q, able_c).withColumn("sim", dot(F.col("qv"), F.col("cv"))), k).drop("qv", "cv")
+            ranked = ranking.joined_top_k(able_q, able_c, k)
         if on_missing == "global":
             ranked = ranked.unionByName(whole(blocking.without_block(able_q, c)))
     truth = F.coalesce(verified if verified is not None else canonical_id(F.col("truth")) == canonical_id(F.col("c_id")), F.lit(False))

@@ -111,6 +111,28 @@ def test_blas_blocks_agree(spark, sf):
     assert a == {(r.q_id, r.c_id, r.rank) for r in catalogue.dense_topk_blocked(spark, sf).collect()}
 
 
+def test_joined_top_k_meets_all_and_sorts_few(spark, sf):
+    """Copies, ties, vectors with null and NaN components or of other lengths, blocks with less than k: the same as a plain join of all pairs."""
+    import random
+
+    from concordia.functions.vectors import dot
+
+    rng = random.Random(5)
+    vector = lambda: [float(rng.randint(-2, 2)) for _ in range(4)]
+    odd = [[1.0, None, 2.0, 0.0], [1.0, 2.0], [float("nan"), 0.0, 1.0, 1.0], None, [0.0] * 4, [-0.0] * 4, []]
+    q = spark.createDataFrame([(i, "abz"[i % 3] if i % 11 else "nan", odd[i % 7] if i % 6 == 1 else vector()) for i in range(60)], "q_id int, city string, qv array<double>")
+    c = spark.createDataFrame([(i, "abc"[min(i % 5, 2)] if i % 13 else None, odd[i % 7] if i % 9 == 2 else vector(), i % 4) for i in range(500)] + [(900 + i, "z", vector(), 0) for i in range(3)], "c_id int, city string, cv array<double>, c_label int")
+    able = q.where("qv is not null"), c.where("cv is not null")
+    # of different lengths the product is null, as of null components: such pairs come last by id
+    want = ranking.top_k(blocking.block_join(*able).withColumn("sim", dot(F.col("qv"), F.col("cv"))), 4)
+    rows = lambda df: sorted(repr(tuple(r)) for r in df.select("q_id", "c_id", "city", "c_label", "rank", F.col("sim") + 0.0).collect())
+    for sizes in ({}, {"tile": 50, "part": 7, "share": 5}, {"share": 1}, {"widest": 2}):
+        assert rows(ranking.joined_top_k(q, c, 4, **sizes)) == rows(want)
+    # a pair leaves the join only if it reaches the query's threshold
+    tree = catalogue.dense_topk_blocked(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert any("Join Inner" in line and "_least" in line and "_last" in line for line in tree.splitlines())
+
+
 def test_clean_text_is_idempotent(spark):
     df = spark.createDataFrame([("　１２ 号　　楼 ",), (None,)], "t string").select(text.clean_text(F.col("t")).alias("t"))
     assert [r.t for r in df.collect()] == [r.t for r in df.select(text.clean_text(F.col("t")).alias("t")).collect()] == ["12 号 楼", ""]
