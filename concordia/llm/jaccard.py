@@ -315,18 +315,29 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         return scratch.write(out.where("v <> u").distinct(), step)
 
     edges = scratch.write(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("v <> u").distinct(), f"{name}-0")
-    seen, i = None, 0
-    while True:
+    i = 0
+    while not are_stars(edges):
         i += 1
         both = edges.union(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         edges = star(star(both, f"{name}-{i}-large", True), f"{name}-{i}-small", False)
-        state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
         scratch.drop(f"{name}-{i - 1}-small", f"{name}-{i}-large", f"{name}-{i}-large-least", f"{name}-{i}-small-least")
-        if state == seen:
-            break
-        seen = state
-    labels = edges.groupBy("v").agg(F.min("u").alias("label"))
-    return scratch.write(labels.select(F.col("v").alias("node"), "label").union(labels.select(F.col("label").alias("node"), "label").distinct()), name)
+    labels = edges.select(F.col("v").alias("node"), F.col("u").alias("label"))
+    return scratch.write(labels.union(edges.select(F.col("u").alias("node"), F.col("u").alias("label")).distinct()), name)
+
+
+def are_stars(edges: DataFrame) -> bool:
+    """Whether edges (v, u), all different, are stars already: each v has one u, and no u is a v. A look costs one shuffle, a round that changes nothing five."""
+    ends = edges.select(F.col("v").alias("node"), F.lit(1).alias("v"), F.lit(0).alias("u")).union(edges.select(F.col("u").alias("node"), F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("v").alias("v"), F.max("u").alias("u")).where("v > 1 or (v > 0 and u > 0)").count() == 0
+
+
+def joined_components(labels: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(node, label) as components gives them of the links that labels are of and these together: components of the links between labels, which are few."""
+    of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"_{x}"))
+    named = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    between = components(named.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")), scratch, f"{name}-between")
+    moved = labels.join(between.select(F.col("node").alias("label"), F.col("label").alias("least")), "label", "left").select("node", F.coalesce("least", "label").alias("label"))
+    return scratch.write(moved.union(between.join(labels.select("node"), "node", "left_anti").select("node", "label")), name)
 
 
 def open_lists(postings: DataFrame, labels: DataFrame, scratch: Scratch, name: str = "open") -> DataFrame:
@@ -498,12 +509,11 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     hubs = scratch.write(hub_pairs(postings, lists, labels, 3), "hubs")
     more = scratch.write(verified(hubs, found, percent), "hub-links")
     if not more.isEmpty():  # where nothing new links, components and open lists stay as they are
-        links = links.union(more)
-        labels = components(links, scratch, "twice")
+        labels = joined_components(labels, more, scratch, "twice")
         lists = open_lists(postings, labels, scratch, "still-open")
     more = scratch.write(tree_links(postings, lists, labels, found, scratch, percent), "more")
     if not more.isEmpty():
-        labels = components(links.union(more), scratch, "labels")
+        labels = joined_components(labels, more, scratch, "labels")
     scratch.drop("found", "cells", "stars", "hubs", "firsts", "open", "still-open")
     scratch.free_shuffles()
 

@@ -676,3 +676,38 @@ def test_pipeline_agrees_with_brute_force(spark, sf, tmp_path, vocab_path):
     ids = [(d["doc_id"], lib.encode(d["text"], add_special_tokens=False).ids) for d in mixed]
     want = sorted((i, len(x), digest(",".join(map(str, x))), digest(lib.decode(x, skip_special_tokens=False))) for i, x in ids)
     assert want == sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect()))
+
+
+def test_jaccard_components_start_from_labels(spark):
+    """Chains, stars and single links, in one go and as more links come: the smallest node of each component; stars are known without another round."""
+    import random
+
+    from concordia.llm import jaccard
+    from concordia.llm.common import Scratch
+
+    rng, written = random.Random(3), []
+
+    class Counted(Scratch):
+        def write(self, df, name, **options):
+            written.append(name)
+            return super().write(df, name, **options)
+
+    def smallest(pairs):
+        root = {x: x for p in pairs for x in p}
+        for _ in root:
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    first = [(i, i + 1) for i in range(10, 24)] + [(100, 100 + i) for i in range(1, 9)] + [(rng.randint(200, 240), rng.randint(200, 240)) for _ in range(25)]
+    first = [p for p in first if p[0] != p[1]]
+    more = [(5, 24), (108, 12), (300, 301), (301, 7), (7, 300)]
+    table = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
+    scratch = Counted(spark, "components")
+    labels = jaccard.components(table(first), scratch, "first")
+    assert {r.node: r.label for r in labels.collect()} == smallest(first) and labels.count() == len(smallest(first))
+    both = jaccard.joined_components(labels, table(more), scratch, "both")
+    assert {r.node: r.label for r in both.collect()} == smallest(first + more) and both.count() == len(smallest(first + more))
+    written.clear()
+    jaccard.components(table([(1, i) for i in range(2, 9)]), scratch, "known")
+    assert written == ["known-0", "known"]
