@@ -224,6 +224,59 @@ def sparse_top_k(q: DataFrame | Column, c: DataFrame, k: int, *, on: str = "city
     return top_k(found.unionByName(summed(rest, key, postings_of(open_))), k, "sparse")
 
 
+def sparse_grouped_top_k(q: DataFrame | Column, c: DataFrame, k: int, *, on: str = "city", other_than_itself: bool = False, lead: int = 64, tile: int = 1_000, part: int = 2_000, work: Work | None = None) -> DataFrame:
+    """As sparse_top_k, without Python, of entities that are rows with arrays of their own tokens and weights (q: q_id, c: c_id, both: block, token, weight); sums have the type of the weights.
+
+    The `lead` longest of a block meet all its queries first: a query's k-th best sum of those is a threshold, and only entities whose length times the query's can reach it are met then. They lie
+    in bands by length, four to an octave; some `tile` of a band and some `part` of the queries that look at it are one group of a bounded number of pairs, dealt to a task as rows of both sides
+    and only there taken apart into tokens: what shares a token is multiplied and summed by pair without another exchange, so that no product is shuffled."""
+    scratch, numbers = Scratch(c.sparkSession, "sparse"), count()
+    shuffles = int(c.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def entities(df: DataFrame, name: str) -> DataFrame:
+        length = F.sqrt(F.aggregate("weight", F.lit(0.0), lambda s, w: s + F.coalesce(w.cast("double") * w, F.lit(0.0))))
+        return df.where(F.col(on).isNotNull()).select(name, on, "token", "weight", length.alias("length"))
+
+    level = F.coalesce(F.floor(4 * F.log2("length")).cast("int"), F.lit(-10_000))  # a length of 0 has no logarithm
+    c = scratch.write(entities(c, "c_id").withColumn("level", level), "entities")
+    q = c.where(q).withColumnRenamed("c_id", "q_id").drop("level") if isinstance(q, Column) else scratch.write(entities(q, "q_id"), "queries")
+    scratch.free_shuffles()
+
+    def summed(asked: DataFrame, among: DataFrame) -> DataFrame:
+        """(q_id, c_id, sparse) of the pairs of a block whose entity's length is at least the query's `need`."""
+        bands = among.groupBy(on, "level").agg(F.max("length").alias("longest"), F.count(F.lit(1)).alias("n"))
+        looks = asked.select(on, "need").join(F.broadcast(bands), on).where("longest >= need").groupBy(on, "level", "longest", "n").agg(F.count(F.lit(1)).alias("asks"))
+        cut = lambda n, size: F.ceil(F.col(n) / size).cast("int")
+        sizes = scratch.write(looks.select("*", cut("n", tile).alias("tiles"), cut("asks", part).alias("parts"), F.monotonically_increasing_id().alias("band")), f"bands{next(numbers)}")
+        pairs = sizes.agg(F.sum(F.col("n") * F.col("asks"))).first()[0] or 0
+        tasks = max(shuffles, -(-pairs // (tile * part)))
+        sizes = F.broadcast(sizes.drop("n", "asks"))  # a few numbers for each band
+        salt = lambda name, n: F.pmod(F.xxhash64(name), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = asked.join(sizes, on).where("longest >= need").select("band", salt("q_id", "parts").alias("part"), every("tiles").alias("tile"), "q_id", "need", "token", "weight")
+        right = among.join(sizes, [on, "level"]).select("band", every("parts").alias("part"), salt("c_id", "tiles").alias("tile"), "c_id", "length", "token", "weight")
+        both = left.unionByName(right, allowMissingColumns=True).repartition(tasks, "band", "part", "tile")
+        flat = both.select("band", "part", "tile", "q_id", "need", "c_id", "length", F.inline(F.arrays_zip("token", "weight"))).where("token is not null and weight is not null")
+        side = lambda *names: F.collect_list(F.when(F.col(names[1]).isNotNull(), F.struct(*names, "weight")))
+        met = flat.groupBy("band", "part", "tile", "token").agg(side("q_id", "need").alias("asked"), side("c_id", "length").alias("held")).where("size(asked) > 0 and size(held) > 0")
+        met = met.select("band", "part", "tile", "held", F.inline("asked").alias("q_id", "need", "wq")).select("band", "part", "tile", "q_id", "need", "wq", F.inline("held").alias("c_id", "length", "wc"))
+        products = met.where("length >= need and q_id <> c_id" if other_than_itself else "length >= need")
+        if work is not None:
+            work.rounds.append(products.count())
+        return products.groupBy("band", "part", "tile", "q_id", "c_id").agg(F.sum(F.col("wq") * F.col("wc")).alias("sparse")).select("q_id", "c_id", "sparse")
+
+    longest = scratch.write(top_k(c.select("c_id", on, "length"), lead, "length", by=(on,)).select("c_id", on), "lead")
+    first = summed(q.withColumn("need", F.lit(float("-inf"))), c.join(longest, ["c_id", on]).withColumn("level", F.lit(0)))
+    least = scratch.write(top_k(first, k, "sparse").where(F.col("rank") == int(k)).select("q_id", F.col("sparse").cast("double").alias("least")), "least")
+    need = F.coalesce(F.try_divide(F.col("least"), F.col("length") * (1 + SLACK)), F.lit(float("-inf")))
+    found = summed(scratch.write(q.join(least, "q_id", "left").select("q_id", on, "token", "weight", need.alias("need")), "asked"), c)
+    if work is not None:
+        words = lambda df, *names: df.select(*names, F.explode("token").alias("token"))
+        every = words(q, "q_id", on).join(words(c, "c_id", on), [on, "token"])
+        work.looked, work.all = sum(work.rounds), (every.where("q_id <> c_id") if other_than_itself else every).count()
+    return top_k(found, k, "sparse")
+
+
 def _late_products(asked: list[np.ndarray], flat: np.ndarray, owner: np.ndarray, n: int, k: int, places: int):
     """(query, candidate, score) as late_scores gives them, by products of all token vectors: some queries at once, so that a few million products are held."""
     counts = np.bincount(owner, minlength=n)

@@ -215,3 +215,40 @@ def test_sparse_sums_are_made_where_postings_are(spark):
     p = found._jdf.queryExecution().optimizedPlan().toString()
     assert "CoGroups" in p and "Aggregate [q_id" not in p
     assert held(found.select("q_id", "c_id", "rank", F.col("sparse").cast("long").alias("sparse")), "q_id", "c_id", "rank", "sparse") == held(ranking.top_k(ranking.sparse_scores(q, own.withColumnRenamed("id", "c_id")), 5, "sparse"), "q_id", "c_id", "rank", "sparse")
+
+
+def listed(flat, name):
+    return flat.groupBy(F.col("id").alias(name) if "id" in flat.columns else name, "city").agg(F.collect_list("token").alias("token"), F.collect_list("weight").alias("weight"))
+
+
+def test_sparse_topk_shuffles_no_product(spark, sf):
+    import re
+
+    from tests.test_engine import plan as formatted
+
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = formatted(catalogue.sparse_topk(spark, sf))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert not re.search(r"hashpartitioning\([^)]*c_id", p) and "hashpartitioning(band" in p
+
+
+@pytest.mark.parametrize("sizes", [{}, {"lead": 6, "tile": 7, "part": 3}])
+def test_sparse_groups_give_the_same_from_few_products(spark, sizes):
+    own = counted(spark)
+    work = partitions.Work()
+    found = partitions.sparse_grouped_top_k(F.col("c_id").like("%0"), listed(own, "c_id"), 5, other_than_itself=True, work=work, **sizes)
+    plain = ranking.top_k(ranking.sparse_scores(own.where("id like '%0'").withColumnRenamed("id", "q_id"), own.withColumnRenamed("id", "c_id")).where("q_id <> c_id"), 5, "sparse")
+    assert held(found, "q_id", "c_id", "rank", "sparse") == held(plain, "q_id", "c_id", "rank", "sparse")
+    assert sizes == {} or work.looked * 3 <= work.all, work
+
+
+def test_sparse_groups_with_few_and_negative_weights(spark):
+    q = spark.createDataFrame([(1, "a", ["x", "y"], [1.0, -2.0]), (2, "a", ["x"], [3.0]), (3, None, ["x"], [1.0]), (4, "b", ["x"], [1.0]), (5, "a", [], []), (6, "a", None, None), (7, "a", ["x"], [0.0])], "q_id long, city string, token array<string>, weight array<double>")
+    c = spark.createDataFrame([(1, "a", ["x"], [5.0]), (2, "a", ["y"], [-4.0]), (3, "a", ["y"], [9.0]), (4, "a", ["z"], [9.0]), (5, "a", ["x"], [0.0]), (6, "a", [None], [1.0]), (7, None, ["x"], [1.0])], "c_id long, city string, token array<string>, weight array<double>")
+    for sizes in ({}, {"lead": 1}):
+        out = partitions.sparse_grouped_top_k(q, c, 2, **sizes)
+        assert held(out, "q_id", "c_id", "sparse", "rank") == [(1, 1, 5.0, 2), (1, 2, 8.0, 1), (2, 1, 15.0, 1), (2, 5, 0.0, 2), (7, 1, 0.0, 1), (7, 5, 0.0, 2)]
+    assert partitions.sparse_grouped_top_k(q, c.limit(0), 2).count() == 0 and partitions.sparse_grouped_top_k(q.limit(0), c, 2).count() == 0
