@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
-from .ranking import _schema, multiplied, top_k
+from .ranking import _schema, multiplied, tiled_top_k, top_k
 
 #: By how much bounds are widened, relative to the lengths of the vectors: far more than a sum of doubles is off.
 SLACK = 1e-9
@@ -46,13 +46,20 @@ def _nearest(vectors: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.nd
     return near, np.sqrt(((vectors - pivots[near]) ** 2).sum(1))
 
 
-def metric_top_k(q: DataFrame, c: DataFrame, k: int, *, pivots: int | None = None, tile: int = 20_000, part: int = 10_000, work: Work | None = None) -> DataFrame:
+def _slices(pdf: pd.DataFrame, step: int):
+    """Some rows at a time."""
+    for a in range(0, len(pdf), step):
+        yield pdf.iloc[a : a + step]
+
+
+def metric_top_k(q: DataFrame, c: DataFrame, k: int, *, pivots: int | None = None, tile: int = 20_000, part: int = 10_000, open_tiles: int = 64, open_share: float = 1 / 4, work: Work | None = None) -> DataFrame:
     """(q_id, c_id, sim, rank), as ranking.tiled_top_k gives it: the k candidates with the greatest dot products, ties by c_id; and c_row if c has it.
 
     Candidates lie in balls around pivots, a bounded sample of them; a ball is cut into rings by distance, and a ring of more than `tile` candidates by hash, so that a tile is a bounded group
     however many share a ball. For a query and a tile, q.p + |q| r and |q| times the greatest length bound every product. Each round a query is multiplied with the tiles of the
     greatest bounds that it hasn't met, once, then 4, 16, ... at a time, as long as they reach its k-th score. Candidates move to their tile's task in the rounds that ask
-    for it, once for each `part` queries that do. The driver holds the pivots and a few numbers a tile: 65,536 tiles at most, above which tiles grow."""
+    for it, once for each `part` queries that do. A query to which more than `open_tiles` tiles with more than `open_share` of all candidates are left after two rounds is multiplied with all by
+    ranking.tiled_top_k instead: bounds leave out little for it, and its vector would go to each of those tiles. Bounds and asks are made for some queries at once. The driver holds the pivots and a few numbers a tile: 65,536 tiles at most, above which tiles grow."""
     q, c = q.where("qv is not null").select("q_id", "qv"), c.where("cv is not null")
     n = c.count()
     scratch = Scratch(q.sparkSession, "metric")
@@ -95,18 +102,20 @@ def metric_top_k(q: DataFrame, c: DataFrame, k: int, *, pivots: int | None = Non
         reach = np.minimum((v @ middles.T)[:, ball] + own * far[None], own * longest[None])
         return reach + SLACK * own * (longest[None] + 1)
 
-    found, begin, size = None, 0, 1
+    found, whole, begin, size = None, None, 0, 1
     while begin < len(ball):
         done = min(len(ball), begin + size)
 
-        def ask(batches, begin=begin, done=done):
+        def ask(batches, begin=begin, done=done, sort=begin >= 5 and whole is None):
             for pdf in batches:
-                if len(pdf):
-                    most = bounds(np.stack(pdf["qv"].to_numpy()))
-                    order = np.argsort(-most, axis=1, kind="stable")[:, begin:done]
-                    reached = np.take_along_axis(most, order, 1) >= pdf["least"].fillna(-np.inf).to_numpy()[:, None]
-                    rows, columns = np.nonzero(reached)
-                    yield pd.DataFrame({"q_id": pdf["q_id"].to_numpy()[rows], "qv": pdf["qv"].to_numpy()[rows], "tile": order[rows, columns].astype("int32")})
+                for some in _slices(pdf, max(1, min(1_000_000 // len(ball), 20_000 // (done - begin)))):
+                    most, least = bounds(np.stack(some["qv"].to_numpy())), some["least"].fillna(-np.inf).to_numpy()[:, None]
+                    order = np.argsort(-most, axis=1, kind="stable")[:, begin:]
+                    reached = np.take_along_axis(most, order, 1) >= least
+                    wide = (reached.sum(1) > open_tiles) & ((reached * sized[order]).sum(1) > open_share * n) if sort else np.zeros(len(some), bool)
+                    rows, columns = np.nonzero(reached[:, : done - begin] & ~wide[:, None])
+                    rows, tile_of = np.concatenate([rows, np.flatnonzero(wide)]), np.concatenate([order[rows, columns], np.full(wide.sum(), -1)])
+                    yield pd.DataFrame({"q_id": some["q_id"].to_numpy()[rows], "qv": some["qv"].to_numpy()[rows], "tile": tile_of.astype("int32")})
 
         if found is None:
             known = q.withColumn("least", F.lit(None).cast("double"))
@@ -116,19 +125,30 @@ def metric_top_k(q: DataFrame, c: DataFrame, k: int, *, pivots: int | None = Non
         kinds_q = dict(q.dtypes)
         asks = scratch.write(known.mapInPandas(ask, f"q_id {kinds_q['q_id']}, qv {kinds_q['qv']}, tile int"), f"asks{begin}")
         met = {r["tile"]: r["n"] for r in asks.groupBy("tile").agg(F.count(F.lit(1)).alias("n")).collect()}  # a number a tile
+        wide = met.pop(-1, 0)
+        if begin >= 5 and whole is None:
+            whole = nothing
+            if wide:
+                alone = asks.where("tile = -1")
+                whole = tiled_top_k(alone.select("q_id", "qv"), c, k)
+                named = alone.select(F.col("q_id").alias("_wide"))
+                q, found = (df.join(named, df["q_id"].eqNullSafe(named["_wide"]), "left_anti") for df in (q, found))
+                q = scratch.write(q, "narrow")
+        if work is not None:
+            work.looked += wide * n
         if not met:
             break
         if work is not None:
             work.looked += int(sum(sized[t] * m for t, m in met.items()))
             work.rounds.append(sum(met.values()))
         parts = q.sparkSession.createDataFrame([(t, -(-m // part)) for t, m in met.items()], "tile int, parts int")
-        left = asks.join(F.broadcast(parts), "tile").withColumn("part", F.pmod(F.xxhash64("q_id"), F.col("parts")).cast("int")).drop("parts")
+        left = asks.where("tile >= 0").join(F.broadcast(parts), "tile").withColumn("part", F.pmod(F.xxhash64("q_id"), F.col("parts")).cast("int")).drop("parts")
         right = placed.join(F.broadcast(parts), "tile").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
         new = left.groupBy("tile", "part").cogroup(right.groupBy("tile", "part")).applyInPandas(lambda a, b: multiplied(a, b, k), schema)
         best = top_k(new if found is None else found.unionByName(new), k).drop("rank")
         found = scratch.write(best, f"found{begin}")
         begin, size = done, size * 4
-    return nothing if found is None else top_k(found, k)
+    return nothing if found is None else top_k(found if whole is None else found.unionByName(whole.drop("rank")), k)
 
 
 def _shared(asked: pd.DataFrame, base: pd.DataFrame, k: int, other_than_itself: bool) -> pd.DataFrame:

@@ -45,6 +45,20 @@ def test_metric_partitions_meet_in_many_tasks(spark):
     assert own == held(ranking.tiled_top_k(q, c, 5), "q_id", "c_id", "sim", "rank")
 
 
+def test_metric_partitions_multiply_queries_whose_bounds_leave_out_little(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    q, c = clusters(spark)
+    far = [(f"far{i}", rng.normal(size=16).tolist()) for i in range(30)]
+    q = q.unionByName(spark.createDataFrame(far, q.schema))
+    seen, own = [], partitions.tiled_top_k
+    monkeypatch.setattr(partitions, "tiled_top_k", lambda asked, *rest: seen.append(sorted(r.q_id for r in asked.collect())) or own(asked, *rest))
+    for sizes in ({"pivots": 60, "open_tiles": 20}, {"pivots": 20, "tile": 40, "part": 3, "open_tiles": 5, "open_share": 0.01}):
+        work, seen[:] = partitions.Work(), []
+        got = held(partitions.metric_top_k(q, c, 5, work=work, **sizes), "q_id", "c_id", "sim", "rank")
+        assert got == held(ranking.tiled_top_k(q, c, 5), "q_id", "c_id", "sim", "rank")
+        assert len(seen) == 1 and 0 < len(seen[0]) and (len(sizes) > 2 or work.looked < work.all), (seen, work)
+
+
 def vectors(spark):
     """Vectors of two blocks, each several times, with components of few digits, so that sums tie or miss by a last digit; some rows without vector or block."""
     rng = np.random.default_rng(12)
